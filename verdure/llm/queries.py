@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import licenses, quality, secrets
 
 
 def _docs(spark, sf_dir, table="documents"):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_license_scans(spark, sf_dir):
+    return licenses.scan(_docs(spark, sf_dir))
+
+
+def op3_secret_scans(spark, sf_dir):
+    return secrets.scan(_docs(spark, sf_dir))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality.score(_docs(spark, sf_dir))
 
 
 QUERIES = {
+    "op2_license_scans": op2_license_scans,
+    "op3_secret_scans": op3_secret_scans,
     "op5_quality_rules": op5_quality_rules,
 }
 
