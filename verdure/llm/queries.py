@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, secrets
+from . import bpe, licenses, media, quality, secrets, toxicity
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def _docs(spark, sf_dir, table="documents"):
@@ -21,10 +23,27 @@ def op5_quality_rules(spark, sf_dir):
     return quality.score(_docs(spark, sf_dir))
 
 
+def op4_media_columns(spark, sf_dir):
+    return media.documents_as_media(_docs(spark, sf_dir))
+
+
+def op8_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.digests(_docs(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.score(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_license_scans": op2_license_scans,
     "op3_secret_scans": op3_secret_scans,
+    "op4_media_columns": op4_media_columns,
     "op5_quality_rules": op5_quality_rules,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL, where SQL can express the rows.
