@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, media, quality, secrets, toxicity
+from . import bpe, licenses, media, mixing, quality, secrets, simhash, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -27,6 +27,14 @@ def op4_media_columns(spark, sf_dir):
     return media.documents_as_media(_docs(spark, sf_dir))
 
 
+def op6_source_mixing(spark, sf_dir):
+    return mixing.shares(_docs(spark, sf_dir))
+
+
+def op7_simhash(spark, sf_dir):
+    return simhash.components(_docs(spark, sf_dir))
+
+
 def op8_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -42,6 +50,8 @@ QUERIES = {
     "op3_secret_scans": op3_secret_scans,
     "op4_media_columns": op4_media_columns,
     "op5_quality_rules": op5_quality_rules,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_toxicity": op10_toxicity,
 }
