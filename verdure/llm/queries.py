@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, media, mixing, quality, secrets, simhash, toxicity
+from . import bpe, licenses, media, mixing, quality, secrets, simhash, substrings, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -11,6 +11,10 @@ def _docs(spark, sf_dir, table="documents"):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substrings.deduplicated(_docs(spark, sf_dir))
+
+
 def op2_license_scans(spark, sf_dir):
     return licenses.scan(_docs(spark, sf_dir))
 
@@ -46,6 +50,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scans": op2_license_scans,
     "op3_secret_scans": op3_secret_scans,
     "op4_media_columns": op4_media_columns,
