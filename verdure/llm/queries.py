@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, media, mixing, quality, secrets, simhash, substrings, toxicity
+from . import bpe, licenses, media, mixing, quality, secrets, simhash, substrings, suffixes, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -45,6 +45,10 @@ def op8_byte_bpe(spark, sf_dir):
     return bpe.digests(_docs(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffixes.deduplicated(_docs(spark, sf_dir))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.score(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
