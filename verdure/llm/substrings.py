@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 WINDOW, MINIMISER = 20, 3
 #: Bytes of text in a slice of the input, and in a part of a bucket.
-SLICE, PART = 4 << 20, 24 << 20
+SLICE, PART = 4 << 20, 8 << 20
 #: A packed string has this many windows at most.
 LONGEST = 4096
 NO_ID = (1 << 63) - 1
@@ -50,6 +50,17 @@ def _sums(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int) -> np.n
     return (total[hi] - total[lo]) * _powers(pow(base, -1, 1 << 64), n + 1)[lo]
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of words, in steps of about 1 MB so that the running sums stay small."""
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 20))))
+        lo, hi = int(starts[at]), int(ends[to - 1])
+        out[at:to] = _sums(data[lo:hi], starts[at:to] - lo, ends[at:to] - lo, _BASE)
+        at = to
+    return _mixed(out)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -185,7 +196,7 @@ def settle(units: Units) -> Settled:
     inside = np.arange(len(ends)) - unit_first[unit]
     at = inside + units.start[unit]
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    hashes = _mixed(_sums(units.data, starts, ends, _BASE))
+    hashes = _word_hashes(units.data, starts, ends)
     first = np.flatnonzero(inside <= units.words[unit] - WINDOW)
     repeated = np.zeros(len(first), bool)
     out = Settled(units, ends, unit, at, hashes, first, repeated)
@@ -255,8 +266,10 @@ def _sorted_units(texts: list[bytes], docs: np.ndarray) -> Units:
 
 
 def repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(__key, lo, hi): stretches of words that repeated windows cover. docs has ``__key`` (long) and ``text``."""
-    n = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(__key, lo, hi): stretches of words that repeated windows cover. docs has ``__key`` (long) and ``text``.
+
+    A bucket should hold a few MB of windows that differ; by default there are eight for each shuffle partition."""
+    n = buckets or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -274,19 +287,19 @@ def repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         return pd.DataFrame({"__key": doc, "lo": lo, "hi": hi})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, size = None, [], 0
+        now, held, size, step = None, [], 0, PART
         for batch in batches:
             for bucket, kind, packed in zip(batch["bucket"].tolist(), batch["kind"].tolist(), batch["packed"]):
                 if kind:
                     yield pd.DataFrame(np.frombuffer(packed, np.int64).reshape(-1, 3), columns=["__key", "lo", "hi"])
                     continue
-                if bucket != now or size > PART:
+                if bucket != now or size > step:
                     if held:
                         found = settle(Units.joined(held))
                         yield spans_of(found)
                         held = [found.carried()] if bucket == now else []
-                    # what is carried on counts by half, so that a bucket of unequal windows still moves on in long steps
-                    now, size = bucket, sum(len(u.data) for u in held) // 2
+                    # steps grow with what is carried on, so that a bucket of unequal windows is not settled again and again
+                    now, size, step = bucket, 0, max(PART, sum(len(u.data) for u in held))
                 held.append(Units.unpack(bytes(packed)))
                 size += len(held[-1].data)
         if held:
