@@ -219,15 +219,15 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             out = pd.DataFrame({"__k": doc[tell], "name": name[tell]})
             return out, (name[bounds], doc[bounds], many | known)
 
-        now, held, size = None, [], 0
+        now, held, size, step = None, [], 0, PART // 8
         for batch in batches:
             for bucket, packed in zip(batch["bucket"].tolist(), batch["packed"]):
-                if bucket != now or size > PART // 16:
+                if bucket != now or size > step:
                     if held:
                         out, carried = settle(held)
                         yield out
                         held = [carried] if bucket == now else []
-                    now, size = bucket, sum(len(h[0]) for h in held) // 2
+                    now, size, step = bucket, 0, max(PART // 8, sum(len(h[0]) for h in held))
                 body = zstandard.ZstdDecompressor().decompress(bytes(packed))
                 n = len(body) // 12
                 doc = np.cumsum(np.frombuffer(body, np.int64, n))
@@ -294,18 +294,18 @@ def repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             bounds = _runs(at, owner)
             return out, s.cut(at[bounds[:-1]], at[bounds[1:] - 1], owner[bounds[:-1]])
 
-        now, held, size = None, [], 0
+        now, held, size, step = None, [], 0, PART // 2
         for batch in batches:
             for bucket, kind, packed in zip(batch["bucket"].tolist(), batch["kind"].tolist(), batch["packed"]):
                 if kind:
                     yield pd.DataFrame(np.frombuffer(packed, np.int64).reshape(-1, 3), columns=columns)
                     continue
-                if bucket != now or size > PART // 4:
+                if bucket != now or size > step:
                     if held:
                         out, carried = settle(held)
                         yield out
                         held = [carried] if bucket == now else []
-                    now, size = bucket, sum(len(h.data) for h in held) // 2
+                    now, size, step = bucket, 0, max(PART // 2, sum(len(h.data) for h in held))
                 held.append(Stretches.unpack(bytes(packed)))
                 size += len(held[-1].data)
         if held:
