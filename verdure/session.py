@@ -32,3 +32,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df):
+    """df written to the session's shared checkpoint folder and read again, so that later steps start from the files."""
+    import uuid
+
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{base.rstrip('/')}/verdure-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
