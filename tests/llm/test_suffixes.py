@@ -65,9 +65,9 @@ def test_small_slices_and_parts(spark, monkeypatch):
 
     spans, held = [], []
     for u in units[::-1]:
-        found, kept = settle([*held, suffixes.Stretches.unpack(u.pack())])
+        found, kept = settle([*held, u])
         spans += found
-        held = [kept]
+        held = [suffixes.Stretches.unpack(kept.pack())]
     assert covered(spans) == covered(settle(units)[0]) and len(covered(spans)) > 19 * 260
 
 

@@ -76,7 +76,8 @@ class Stretches:
     def pack(self) -> bytes:
         import zstandard
 
-        head = [np.array([len(self.size)], np.int64), self.doc.astype(np.int64), self.start.astype(np.int64), self.size.astype(np.int64), self.data]
+        # stretches are sorted by document, so that steps between ids are small; a stretch has LONGEST + LENGTH bytes at most
+        head = [np.array([len(self.size)], np.int64), np.diff(self.doc, prepend=0), self.start.astype(np.int32), self.size.astype(np.uint16), self.data]
         return zstandard.ZstdCompressor(level=3).compress(b"".join([x.tobytes() for x in head]))
 
     @staticmethod
@@ -85,8 +86,9 @@ class Stretches:
 
         body = zstandard.ZstdDecompressor().decompress(packed)
         n = int(np.frombuffer(body, np.int64, 1)[0])
-        doc, start, size = (np.frombuffer(body, np.int64, n, 8 + 8 * n * k) for k in range(3))
-        return Stretches(np.frombuffer(body, np.uint8, -1, 8 + 24 * n), size, doc, start)
+        doc, start = np.cumsum(np.frombuffer(body, np.int64, n, 8)), np.frombuffer(body, np.int32, n, 8 + 8 * n).astype(np.int64)
+        size = np.frombuffer(body, np.uint16, n, 8 + 12 * n).astype(np.int64)
+        return Stretches(np.frombuffer(body, np.uint8, -1, 8 + 14 * n), size, doc, start)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Positions at which LENGTH bytes of one stretch begin, and the stretch of each."""
@@ -243,7 +245,9 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(__key, lo, hi): stretches of bytes that repeated strings cover. docs has ``__key`` (long) and ``text``."""
+    """(__key, lo, hi): stretches of bytes that repeated strings cover. docs has ``__key`` (long), ``text`` and maybe more.
+
+    All of docs goes through the join by key, so that a caller that joins docs by key again shares its shuffle."""
     n = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = shared_anchors(docs, n).groupBy("__k").agg(F.collect_list("name").alias("names"))
 
@@ -311,8 +315,7 @@ def repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         if held:
             yield settle(held)[0]
 
-    rows = docs.select("__key", "text").join(left, F.col("__key") == F.col("__k")).select("__key", "text", "names")
-    dealt = rows.mapInPandas(deal, "bucket long, kind int, packed binary")
+    dealt = docs.join(left, F.col("__key") == F.col("__k")).drop("__k").mapInPandas(deal, "bucket long, kind int, packed binary")
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "__key long, lo long, hi long")
 
 
