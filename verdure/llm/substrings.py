@@ -108,7 +108,9 @@ class Units:
         import zstandard
 
         head = np.array([len(self.words)], np.int64)
-        body = b"".join([head.tobytes(), self.doc.astype(np.int64).tobytes(), self.start.astype(np.int64).tobytes(), self.words.astype(np.int32).tobytes(), self.data.tobytes()])
+        # stretches are sorted by document, so that steps between ids are small; a stretch has LONGEST + WINDOW words at most
+        parts = [np.diff(self.doc, prepend=0), self.start.astype(np.int32), self.words.astype(np.uint16), self.data]
+        body = b"".join([head.tobytes(), *[x.tobytes() for x in parts]])
         return zstandard.ZstdCompressor(level=3).compress(body)
 
     @staticmethod
@@ -117,8 +119,8 @@ class Units:
 
         body = zstandard.ZstdDecompressor().decompress(packed)
         n = int(np.frombuffer(body, np.int64, 1)[0])
-        doc, start = np.frombuffer(body, np.int64, n, 8), np.frombuffer(body, np.int64, n, 8 + 8 * n)
-        return Units(np.frombuffer(body, np.uint8, -1, 8 + 20 * n), np.frombuffer(body, np.int32, n, 8 + 16 * n).astype(np.int64), doc, start)
+        doc, start = np.cumsum(np.frombuffer(body, np.int64, n, 8)), np.frombuffer(body, np.int32, n, 8 + 8 * n).astype(np.int64)
+        return Units(np.frombuffer(body, np.uint8, -1, 8 + 14 * n), np.frombuffer(body, np.uint16, n, 8 + 12 * n).astype(np.int64), doc, start)
 
 
 @dataclass
