@@ -14,12 +14,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import by_text
 
 #: Distinct pieces remembered by a worker; the memory is emptied when it is full.
 REMEMBERED = 600_000
@@ -191,33 +190,25 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` (the bytes that the ids stand for)."""
-    import numpy as np
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         c = codec(path, pattern)
-        for batch in batches:
-            ids = [c.encode(t or "") for t in batch["text"]]
-            batch["ids"] = ids
-            batch["decoded"] = [c.decode(np.frombuffer(i, "<u4").tolist()) for i in ids]
-            yield batch
+        return lambda texts: [(ids := c.encode(t or ""), c.decode(numbers(ids))) for t in texts]
+
+    return by_text(docs, docs.columns, "ids binary, decoded binary", make)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(run, f"{fields}, ids binary, decoded binary")
+
+def numbers(ids: bytes) -> list[int]:
+    import numpy as np
+
+    return np.frombuffer(ids, "<u4").tolist()
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: n_tokens, the digest of its ids and of the bytes that they decode to."""
-    import numpy as np
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path, pattern)
-        for batch in batches:
-            rows = []
-            for t in batch["text"]:
-                ids = c.encode(t or "")
-                back = c.decode(np.frombuffer(ids, "<u4").tolist())
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])], axis=1)
-
-    id_type = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def make():
+        c, sha = codec(path, pattern), hashlib.sha256
+        return lambda texts: [(len(ids := c.encode(t or "")) // 4, sha(ids).hexdigest(), sha(c.decode(numbers(ids))).hexdigest()) for t in texts]
+
+    return by_text(docs, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", make)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +43,26 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def by_text(docs: DataFrame, keep: list[str], fields: str, make: Callable[[], Callable[[list], list[tuple]]]) -> DataFrame:
+    """keep columns of docs beside new ``fields`` (Arrow batches; DDL of plain types) made from each batch's texts.
+
+    ``make`` is called once in each task and gives a function from texts to rows. Kept columns pass through as they are,
+    so that NULL and large ids stay exact."""
+    names = [f.split()[0] for f in fields.split(", ")]
+    types = [_ARROW[f.split()[1]] for f in fields.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_of = make()
+        for batch in batches:
+            rows = rows_of(batch.column(batch.num_columns - 1).to_pylist())
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, *names])
+
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{kept}{fields}")

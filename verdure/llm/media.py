@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import by_text, cut
 
 #: Samples in an image row; payloads are padded to a positive multiple of it.
 WIDTH = 64
@@ -68,19 +68,14 @@ def from_png(media: bytes) -> bytes:
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, digest, media): each text's bytes as a stored image; the digest is the padded payload's SHA-256."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            data = [(t or "").encode("utf-8") for t in batch["text"]]
-            payloads = [padded(d) for d in data]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"],
-                "n_bytes": [len(d) for d in data],
-                "digest": [hashlib.sha256(p).hexdigest() for p in payloads],
-                "media": [to_png(p) for p in payloads],
-            })
-
-    id_type = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, n_bytes long, digest string, media binary")
+    def make():
+        def rows(texts):
+            data = [(t or "").encode("utf-8") for t in texts]
+            return [(len(d), hashlib.sha256(p := padded(d)).hexdigest(), to_png(p)) for d in data]
+
+        return rows
+
+    return by_text(docs, ["doc_id"], "n_bytes long, digest string, media binary", make)
 
 
 def features(media: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -217,11 +218,13 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED, chunks: int = C
     rows = rows.join(got, on).select(*docs.columns, "__takes")
     chars = "n_chars" in docs.columns
 
-    def cut_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = docs.columns
+
+    def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(WORD).finditer
         for batch in batches:
             at, texts = [], []
-            for n, (text, takes) in enumerate(zip(batch["text"], batch["__takes"])):
+            for n, (text, takes) in enumerate(zip(batch.column("text").to_pylist(), batch.column("__takes").to_pylist())):
                 spans = [m.span() for m in find(text)]
                 by_round: dict[int, list[list[int]]] = {}
                 for t in takes:
@@ -233,11 +236,9 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED, chunks: int = C
                 for own in by_round.values():
                     at.append(n)
                     texts.append(text if own == [[0, len(spans)]] else "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in own))
-            out = batch.iloc[at].drop(columns="__takes").reset_index(drop=True)
-            out["text"] = texts
-            if chars:
-                out["n_chars"] = [len(t) for t in texts]
-            yield out
+            out = pa.RecordBatch.from_arrays(batch.columns[:-1], names).take(pa.array(at, pa.int64()))
+            made = {"text": pa.array(texts, pa.string()), **({"n_chars": pa.array([len(t) for t in texts], pa.int64())} if chars else {})}
+            yield pa.RecordBatch.from_arrays([made[n].cast(out.column(n).type) if n in made else out.column(n) for n in names], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInPandas(cut_texts, fields)
+    return rows.mapInArrow(cut_texts, fields)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import by_text, cut
 from .graph import connected
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -58,11 +58,7 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): a row per document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [fingerprint(t) for t in batch["text"]]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return by_text(docs, ["doc_id"], "fp long", lambda: lambda texts: [(fingerprint(t),) for t in texts])
 
 
 def planes(values):

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -316,10 +317,10 @@ def deduplicated(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__key"), F.coalesce("text", F.lit("")).alias("text"))
     spans = repeats(keyed, buckets).groupBy(F.col("__key").alias("__k")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, found in zip(batch["text"], batch["spans"]):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 words = text.encode("utf-8").split()  # bytes split at ASCII white space
                 kept = words
                 if found is not None and len(found):
@@ -329,9 +330,8 @@ def deduplicated(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                     np.add.at(edges, hi, -1)
                     kept = [w for w, n in zip(words, np.cumsum(edges[:-1]).tolist()) if not n]
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = keyed.join(spans, F.col("__key") == F.col("__k"), "left").select("doc_id", "text", "spans")
-    return rows.mapInPandas(keep, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(keep, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string")

@@ -13,13 +13,13 @@ columns are ignored. Without any label of one class the scores are the bias of a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_text
+
 BUCKETS, DIMS, SEGMENT, LEAST, GRAMS = 1 << 16, 8, 32, 12, (3, 4, 5)
 SAMPLE, EPOCHS, RATE, SEED = 1200, 6, 0.5, 7
 #: Distinct words remembered by a worker.
@@ -174,11 +174,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     values = np.frombuffer(model[0]["values"], np.float64) if model else np.zeros(BUCKETS)
     shared = docs.sparkSession.sparkContext.broadcast((values, model[0]["bias"] if model else 0.0))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scorer = Scorer(*shared.value)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": [scorer(t) for t in batch["text"]]})
+        return lambda texts: [(scorer(t),) for t in texts]
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    rows = docs.select("doc_id", held.alias("held_out"), "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double")
+    rows = by_text(docs.select("doc_id", held.alias("held_out"), "text"), ["doc_id", "held_out"], "score double", make)
     return rows.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
