@@ -181,5 +181,6 @@ def documents_as_media(docs: DataFrame) -> DataFrame:
     stored = cut(store(docs))
     page = F.concat(F.lit('<article><figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit("</figcaption></figure></article>"))
     pages = stored.select("doc_id", page.alias("html"))
-    rows = resolved(sequences(pages, "doc_id"), features(stored), "doc_id").filter("kind = 'media'")
+    known = cut(features(stored))  # apart from its aggregation, the join can split a digest that many documents share
+    rows = resolved(sequences(pages, "doc_id"), known, "doc_id").filter("kind = 'media'")
     return rows.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
