@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, media, mixing, quality, secrets, simhash, substrings, suffixes, toxicity
+from pyspark.sql import functions as F
+
+from . import bpe, licenses, media, mixing, quality, secrets, simhash, sql, substrings, suffixes, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -24,7 +26,8 @@ def op3_secret_scans(spark, sf_dir):
 
 
 def op5_quality_rules(spark, sf_dir):
-    return quality.score(_docs(spark, sf_dir))
+    rows = quality.score(_docs(spark, sf_dir))
+    return rows.withColumns({c: F.round(c, 6) for c in ("jsd_chars", "jsd_words")})
 
 
 def op4_media_columns(spark, sf_dir):
@@ -67,4 +70,8 @@ QUERIES = {
 }
 
 #: DuckDB SQL, where SQL can express the rows.
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict = {
+    "op1_substring_dedup": sql.SUBSTRINGS,
+    "op5_quality_rules": sql.quality(),
+    "op9_suffix_dedup": sql.SUFFIXES,
+}
