@@ -50,3 +50,9 @@ def test_hundreds_of_rules_and_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = licenses.scan(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_very_long_runs_of_numbers(spark):
+    text = "licensed under the mit license version " + "1 " * 60_000 + " copyright " + "2020 " * 60_000 + "cc by " * 20_000
+    row = licenses.scan(frame(spark, [(1, text, "en", "a", 0)])).first()
+    assert row["n_base"] == 20_001 and row["first_word"] == 3 and "mit" in row["labels"]

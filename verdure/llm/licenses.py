@@ -75,20 +75,21 @@ FAMILIES = (
     ("elastic", r"elastic", "elastic"),
     ("proprietary", r"(?:proprietary|commercial)", "r"),
 )
-#: (form, priority, confidence): how a text names a license; {n} is the family's name.
+#: (form, priority, confidence): how a text names a license; {n} is the family's name. Repeats of groups are bounded, as
+#: the regex engine's depth grows with them.
 FORMS = (
-    (r" spdx licen[sc]e identifier {n}(?: only| or later| [0-9]+)*", 3, 1.0),
-    (r" licen[sc]ed under (?:the |an? )?(?:terms of )?(?:the )?{n}(?: licen[sc]e)?(?: version)?(?: v?[0-9]+)*", 3, 0.95),
-    (r" (?:released|distributed|available|published|provided) under (?:the |an? )?(?:terms of )?(?:the )?{n}(?: licen[sc]e)?(?: version)?(?: v?[0-9]+)*", 3, 0.9),
-    (r" (?:terms|conditions) of (?:the |an? )?{n}(?: licen[sc]e)?(?: version)?(?: v?[0-9]+)*", 2, 0.8),
-    (r" {n} licen[sc]e version(?: v?[0-9]+)+", 2, 0.85),
+    (r" spdx licen[sc]e identifier {n}(?: only| or later| [0-9]+){0,4}", 3, 1.0),
+    (r" licen[sc]ed under (?:the |an? )?(?:terms of )?(?:the )?{n}(?: licen[sc]e)?(?: version)?(?: v?[0-9]+){0,4}", 3, 0.95),
+    (r" (?:released|distributed|available|published|provided) under (?:the |an? )?(?:terms of )?(?:the )?{n}(?: licen[sc]e)?(?: version)?(?: v?[0-9]+){0,4}", 3, 0.9),
+    (r" (?:terms|conditions) of (?:the |an? )?{n}(?: licen[sc]e)?(?: version)?(?: v?[0-9]+){0,4}", 2, 0.8),
+    (r" {n} licen[sc]e version(?: v?[0-9]+){1,4}", 2, 0.85),
     (r" {n} licen[sc]e", 1, 0.7),
-    (r" {n} v?[0-9]+(?: [0-9]+)*(?: international| unported)?", 1, 0.6),
+    (r" {n} v?[0-9]+(?: [0-9]+){0,4}(?: international| unported)?", 1, 0.6),
 )
 #: Hand-written rules beside the families: (label, regex, keyword, priority, confidence).
 SINGLE = (
-    ("public-domain", r" (?:released |placed |is |are )*(?:in |into )?(?:the )?public domain", "public domain", 1, 0.6),
-    ("copyright", r" copyright (?:c )?(?:[0-9]{4} )+", "copyright", 0, 0.3),
+    ("public-domain", r" (?:released |placed |is |are ){0,3}(?:in |into )?(?:the )?public domain", "public domain", 1, 0.6),
+    ("copyright", r" copyright (?:c )?(?:[0-9]{4} ){1,20}", "copyright", 0, 0.3),
     ("copyright", r" all rights reserved", "all rights reserved", 0, 0.4),
     ("mit", r" permission is hereby granted free of charge to any person obtaining a copy", "hereby granted", 3, 1.0),
     ("bsd", r" redistribution and use in source and binary forms", "redistribution and use", 3, 1.0),
