@@ -16,12 +16,12 @@ from .registry import query
   CAST(CASE WHEN rotate % 180 <> 0 THEN crop_h ELSE crop_w END AS INT) AS width, CAST(CASE WHEN rotate % 180 <> 0 THEN crop_w ELSE crop_h END AS INT) AS height FROM recipes""", "recipes"))
 def rotated_rects(spark, sf_dir):
     c = lambda n: F.col(n)
-    return V.recipes(spark, sf_dir).select("image_id", E.rotated_rect(c("crop_x"), c("crop_y"), c("crop_w"), c("crop_h"), c("ref_w"), c("ref_h"), c("rotate")).alias("r")).select("image_id", "r.*")
+    return V.recipes_in_sql(spark, sf_dir).select("image_id", E.rotated_rect(c("crop_x"), c("crop_y"), c("crop_w"), c("crop_h"), c("ref_w"), c("ref_h"), c("rotate")).alias("r")).select("image_id", "r.*")
 
 
 @query("crop_basis", V.with_sql("SELECT image_id, CASE WHEN rotate % 180 <> 0 THEN 'pre_rotate' ELSE 'after_rotate' END AS basis FROM recipes", "recipes"))
 def crop_basis(spark, sf_dir):
-    return V.recipes(spark, sf_dir).withColumns({"ref_w": F.lit(40), "ref_h": F.lit(30)}).select("image_id", E.crop_basis(F.lit(40), F.lit(30)).alias("basis"))
+    return V.recipes_in_sql(spark, sf_dir).withColumns({"ref_w": F.lit(40), "ref_h": F.lit(30)}).select("image_id", E.crop_basis(F.lit(40), F.lit(30)).alias("basis"))
 
 
 _FX = "CASE rotate WHEN 90 THEN crop_h - (7.5 - crop_y) WHEN 180 THEN crop_w - (5.25 - crop_x) WHEN 270 THEN 7.5 - crop_y ELSE 5.25 - crop_x END"
@@ -32,13 +32,13 @@ _FY = "CASE rotate WHEN 90 THEN 5.25 - crop_x WHEN 180 THEN crop_h - (7.5 - crop
   FROM (SELECT *, CASE WHEN rotate % 180 <> 0 THEN crop_h ELSE crop_w END AS ew, CASE WHEN rotate % 180 <> 0 THEN crop_w ELSE crop_h END AS eh FROM recipes)""", "recipes"))
 def point_to_edited(spark, sf_dir):
     p = E.raw_to_edited(F.lit(5.25), F.lit(7.5), F.lit(V.SIDE), F.lit(V.SIDE))
-    return V.recipes(spark, sf_dir).select("image_id", F.round(p["x"], 5).alias("x"), F.round(p["y"], 5).alias("y"))
+    return V.recipes_in_sql(spark, sf_dir).select("image_id", F.round(p["x"], 5).alias("x"), F.round(p["y"], 5).alias("y"))
 
 
 @query("point_round_trip", V.with_sql("SELECT image_id, 5.25 AS x, 7.5 AS y FROM recipes", "recipes"))
 def point_round_trip(spark, sf_dir):
     side = F.lit(V.SIDE)
-    there = V.recipes(spark, sf_dir).withColumn("p", E.raw_to_edited(F.lit(5.25), F.lit(7.5), side, side))
+    there = V.recipes_in_sql(spark, sf_dir).withColumn("p", E.raw_to_edited(F.lit(5.25), F.lit(7.5), side, side))
     back = E.edited_to_raw(F.col("p.x"), F.col("p.y"), side, side)
     return there.select("image_id", F.round(back["x"], 5).alias("x"), F.round(back["y"], 5).alias("y"))
 

@@ -119,11 +119,16 @@ def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit recipes: rotate, crop rectangle with its reference size, resize percentages; one per image."""
     k = F.col("s_suppkey")
     rot = (k % 4 * 90).cast("int")
-    return table(spark, sf_dir, "supplier").filter(k < 64).select(
+    return table(spark, sf_dir, "supplier").select(
         k.alias("image_id"), rot.alias("rotate"), (k % 5).cast("int").alias("crop_x"), (k % 3).cast("int").alias("crop_y"), (k % 7 + 9).cast("int").alias("crop_w"), (k % 11 + 8).cast("int").alias("crop_h"),
         F.lit(SIDE).alias("ref_w"), F.lit(SIDE).alias("ref_h"), F.when(k % 2 == 0, F.lit(50.0)).otherwise(F.lit(100.0)).alias("scale"),
     )
 
 
+def recipes_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recipes that RECIPES names: those of the first 64 images only."""
+    return recipes(spark, sf_dir).filter("image_id < 64")
+
+
 RECIPES = """SELECT s_suppkey AS image_id, CAST(s_suppkey % 4 * 90 AS INT) AS rotate, CAST(s_suppkey % 5 AS INT) AS crop_x, CAST(s_suppkey % 3 AS INT) AS crop_y, CAST(s_suppkey % 7 + 9 AS INT) AS crop_w,
   CAST(s_suppkey % 11 + 8 AS INT) AS crop_h, 32 AS ref_w, 32 AS ref_h, CASE WHEN s_suppkey % 2 = 0 THEN 50.0 ELSE 100.0 END AS scale FROM supplier WHERE s_suppkey < 64"""
