@@ -56,3 +56,66 @@ def test_very_long_runs_of_numbers(spark):
     text = "licensed under the mit license version " + "1 " * 60_000 + " copyright " + "2020 " * 60_000 + "cc by " * 20_000
     row = licenses.scan(frame(spark, [(1, text, "en", "a", 0)])).first()
     assert row["n_base"] == 20_001 and row["first_word"] == 3 and "mit" in row["labels"]
+
+
+#: Texts that a list of common keywords would pass over, with the label each must get.
+RARE = (
+    ("Released under Apache-2.0.", "apache"),
+    ("distributed under the terms of the MPL 2.0", "mpl"),
+    ("BSD 3-Clause", None),
+    ("bsd 3 clause 2", "bsd-3-clause"),
+    ("available under isc", "isc"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose", "isc"),
+    ("Creative Commons Attribution NonCommercial ShareAlike 4.0", "cc-by-nc-sa"),
+    ("creative commons attribution no derivatives 4 0", "cc-by-nd"),
+    ("creative commons attribution non commercial no derivs 3 0 unported", "cc-by-nc-nd"),
+    ("published under expat", "mit"),
+    ("the terms of wtfpl", "wtfpl"),
+    ("Copyright (c) 2019 2020 Somebody", "copyright"),
+    ("released under apache" + " x" * 50, "apache"),
+)
+
+
+def test_texts_without_common_keywords(spark):
+    rows = [(n, text, "en", "a", 0) for n, (text, _) in enumerate(RARE)]
+    got = result(licenses.scan(frame(spark, rows)))
+    assert got == [{"doc_id": n, **brute(text)} for n, (text, _) in enumerate(RARE)]
+    for row, (text, label) in zip(got, RARE):
+        assert label is None or label in row["labels"].split(",") and row["score"] > 0, text
+
+
+def test_needed_literals_hold_in_every_match():
+    for r in licenses.default_rules():
+        assert r.needs and all(g and min(map(len, g)) >= licenses.LEAST for g in r.needs), r.regex
+        for text in samples(r.regex):
+            padded = text + " "
+            assert re.fullmatch(r.regex, text) and all(any(k in padded for k in g) for g in r.needs), (text, r)
+
+
+def samples(regex, n=12):
+    """Random strings that a regex matches."""
+    import random
+    from re import _constants as c
+    from re import _parser
+
+    def one(items):
+        out = ""
+        for op, arg in items:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.IN:
+                o, a = rng.choice(arg)
+                out += chr(a if o is c.LITERAL else rng.randint(*a))
+            elif op is c.SUBPATTERN:
+                out += one(arg[3])
+            elif op is c.BRANCH:
+                out += one(rng.choice(arg[1]))
+            elif op is c.MAX_REPEAT:
+                out += "".join(one(arg[2]) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 2))))
+            else:
+                raise ValueError(op)
+        return out
+
+    rng = random.Random(regex)
+    return [one(_parser.parse(regex)) for _ in range(n)]

@@ -1,17 +1,19 @@
 """License scans by ordered signature rules (DataFrame functions only).
 
-Texts are lower-cased (A-Z) and reduced to words joined by one space. A cheap gate keeps texts that hold one of a few
-keywords; in these, a rule runs only where its own keyword occurs. Every match is an interval of words. An interval that
+Texts are lower-cased (A-Z) and reduced to words joined by one space. A rule runs only in texts that hold the literals
+which its regex cannot match without; they are read off the regex, so that no match is lost. Every match is an interval of words. An interval that
 lies in another of the same or a higher priority is suppressed (of equal intervals of one priority the first rule's
 stays); what is left gives the labels and the score.
 
-NULL, empty and keyword-free texts have no detections and score 0. Repeated rows repeat their result; extra columns are
+NULL, empty and literal-free texts have no detections and score 0. Repeated rows repeat their result; extra columns are
 ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from re import _constants as _c
+from re import _parser as _p
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,61 +21,62 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, let
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Literals of fewer characters tell nothing; a regex's literals stay within so many alternatives.
+LEAST, MOST = 3, 16
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-GATE = ("licen", "copyright", "spdx", "public domain", "creative commons", "cc by", "cc0", "gpl", "all rights reserved", "redistribution and use")
 
-#: (label, pattern of the name, keyword). Hand-written names of license families, over normalised words.
+#: (label, pattern of the name). Hand-written names of license families, over normalised words.
 FAMILIES = (
-    ("gpl", r"(?:gnu )?(?:general public licen[sc]e|gpl)", "g"),
-    ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "general public"),
-    ("lgpl", r"(?:gnu )?lgpl", "lgpl"),
-    ("agpl", r"(?:gnu )?affero general public licen[sc]e", "affero"),
-    ("agpl", r"(?:gnu )?agpl", "agpl"),
-    ("gfdl", r"(?:gnu )?free documentation licen[sc]e", "free documentation"),
-    ("apache", r"apache(?: software)?(?: foundation)?", "apache"),
-    ("mit", r"(?:mit|expat)", "mit"),
-    ("x11", r"x11", "x11"),
-    ("bsd", r"(?:new |modified |simplified |revised )?bsd", "bsd"),
-    ("bsd-2-clause", r"bsd 2 clause", "2 clause"),
-    ("bsd-3-clause", r"bsd 3 clause", "3 clause"),
-    ("isc", r"isc", "isc"),
-    ("mpl", r"mozilla public", "mozilla"),
-    ("mpl", r"mpl", "mpl"),
-    ("epl", r"eclipse public", "eclipse"),
-    ("cddl", r"common development and distribution", "common development"),
-    ("cpl", r"common public", "common public"),
-    ("eupl", r"(?:european union public|eupl)", "eu"),
-    ("artistic", r"artistic", "artistic"),
-    ("boost", r"boost software", "boost"),
-    ("zlib", r"zlib(?: libpng)?", "zlib"),
-    ("unlicense", r"unlicense", "unlicense"),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public)", "wtf"),
-    ("cc0", r"(?:creative commons zero|cc0)", "c"),
-    ("cc-by", r"(?:creative commons attribution|cc by)", "c"),
-    ("cc-by-sa", r"(?:creative commons attribution share ?alike|cc by sa)", "s"),
-    ("cc-by-nd", r"(?:creative commons attribution no ?deriv[a-z]*|cc by nd)", "nd"),
-    ("cc-by-nc", r"(?:creative commons attribution non ?commercial|cc by nc)", "nc"),
-    ("cc-by-nc-sa", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)", "sa"),
-    ("cc-by-nc-nd", r"(?:creative commons attribution non ?commercial no ?deriv[a-z]*|cc by nc nd)", "nd"),
-    ("odbl", r"(?:open database|odbl)", "od"),
-    ("odc-by", r"(?:open data commons attribution|odc by)", "od"),
-    ("ofl", r"(?:sil )?open font", "open font"),
-    ("psf", r"python(?: software foundation)?", "python"),
-    ("ruby", r"ruby", "ruby"),
-    ("php", r"php", "php"),
-    ("w3c", r"w3c(?: software)?(?: notice)?(?: and)?", "w3c"),
-    ("openssl", r"openssl", "openssl"),
-    ("postgresql", r"postgresql", "postgresql"),
-    ("ncsa", r"(?:university of illinois )?ncsa(?: open source)?", "ncsa"),
-    ("afl", r"academic free", "academic free"),
-    ("osl", r"open software", "open software"),
-    ("ms-pl", r"microsoft public", "microsoft public"),
-    ("ms-rl", r"microsoft reciprocal", "microsoft reciprocal"),
-    ("bsl", r"business source", "business source"),
-    ("sspl", r"server side public", "server side"),
-    ("elastic", r"elastic", "elastic"),
-    ("proprietary", r"(?:proprietary|commercial)", "r"),
+    ("gpl", r"(?:gnu )?(?:general public licen[sc]e|gpl)"),
+    ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[sc]e"),
+    ("lgpl", r"(?:gnu )?lgpl"),
+    ("agpl", r"(?:gnu )?affero general public licen[sc]e"),
+    ("agpl", r"(?:gnu )?agpl"),
+    ("gfdl", r"(?:gnu )?free documentation licen[sc]e"),
+    ("apache", r"apache(?: software)?(?: foundation)?"),
+    ("mit", r"(?:mit|expat)"),
+    ("x11", r"x11"),
+    ("bsd", r"(?:new |modified |simplified |revised )?bsd"),
+    ("bsd-2-clause", r"bsd 2 clause"),
+    ("bsd-3-clause", r"bsd 3 clause"),
+    ("isc", r"isc"),
+    ("mpl", r"mozilla public"),
+    ("mpl", r"mpl"),
+    ("epl", r"eclipse public"),
+    ("cddl", r"common development and distribution"),
+    ("cpl", r"common public"),
+    ("eupl", r"(?:european union public|eupl)"),
+    ("artistic", r"artistic"),
+    ("boost", r"boost software"),
+    ("zlib", r"zlib(?: libpng)?"),
+    ("unlicense", r"unlicense"),
+    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public)"),
+    ("cc0", r"(?:creative commons zero|cc0)"),
+    ("cc-by", r"(?:creative commons attribution|cc by)"),
+    ("cc-by-sa", r"(?:creative commons attribution share ?alike|cc by sa)"),
+    ("cc-by-nd", r"(?:creative commons attribution no ?deriv[a-z]*|cc by nd)"),
+    ("cc-by-nc", r"(?:creative commons attribution non ?commercial|cc by nc)"),
+    ("cc-by-nc-sa", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)"),
+    ("cc-by-nc-nd", r"(?:creative commons attribution non ?commercial no ?deriv[a-z]*|cc by nc nd)"),
+    ("odbl", r"(?:open database|odbl)"),
+    ("odc-by", r"(?:open data commons attribution|odc by)"),
+    ("ofl", r"(?:sil )?open font"),
+    ("psf", r"python(?: software foundation)?"),
+    ("ruby", r"ruby"),
+    ("php", r"php"),
+    ("w3c", r"w3c(?: software)?(?: notice)?(?: and)?"),
+    ("openssl", r"openssl"),
+    ("postgresql", r"postgresql"),
+    ("ncsa", r"(?:university of illinois )?ncsa(?: open source)?"),
+    ("afl", r"academic free"),
+    ("osl", r"open software"),
+    ("ms-pl", r"microsoft public"),
+    ("ms-rl", r"microsoft reciprocal"),
+    ("bsl", r"business source"),
+    ("sspl", r"server side public"),
+    ("elastic", r"elastic"),
+    ("proprietary", r"(?:proprietary|commercial)"),
 )
 #: (form, priority, confidence): how a text names a license; {n} is the family's name. Repeats of groups are bounded, as
 #: the regex engine's depth grows with them.
@@ -86,15 +89,15 @@ FORMS = (
     (r" {n} licen[sc]e", 1, 0.7),
     (r" {n} v?[0-9]+(?: [0-9]+){0,4}(?: international| unported)?", 1, 0.6),
 )
-#: Hand-written rules beside the families: (label, regex, keyword, priority, confidence).
+#: Hand-written rules beside the families: (label, regex, priority, confidence).
 SINGLE = (
-    ("public-domain", r" (?:released |placed |is |are ){0,3}(?:in |into )?(?:the )?public domain", "public domain", 1, 0.6),
-    ("copyright", r" copyright (?:c )?(?:[0-9]{4} ){1,20}", "copyright", 0, 0.3),
-    ("copyright", r" all rights reserved", "all rights reserved", 0, 0.4),
-    ("mit", r" permission is hereby granted free of charge to any person obtaining a copy", "hereby granted", 3, 1.0),
-    ("bsd", r" redistribution and use in source and binary forms", "redistribution and use", 3, 1.0),
-    ("isc", r" permission to use copy modify and or distribute this software for any purpose", "permission to use", 3, 1.0),
-    ("gpl", r" under the terms of the gnu general public licen[sc]e as published by the free software foundation", "free software foundation", 3, 1.0),
+    ("public-domain", r" (?:released |placed |is |are ){0,3}(?:in |into )?(?:the )?public domain", 1, 0.6),
+    ("copyright", r" copyright(?: c)?(?: [0-9]{4}){1,20}", 0, 0.3),
+    ("copyright", r" all rights reserved", 0, 0.4),
+    ("mit", r" permission is hereby granted free of charge to any person obtaining a copy", 3, 1.0),
+    ("bsd", r" redistribution and use in source and binary forms", 3, 1.0),
+    ("isc", r" permission to use copy modify and or distribute this software for any purpose", 3, 1.0),
+    ("gpl", r" under the terms of the gnu general public licen[sc]e as published by the free software foundation", 3, 1.0),
 )
 
 
@@ -103,15 +106,78 @@ class Rule:
     order: int
     label: str
     regex: str
-    keyword: str
     priority: int
     confidence: float
+    needs: tuple[tuple[str, ...], ...]
 
 
 def default_rules() -> tuple[Rule, ...]:
     """Every family in every form, then the single rules: hundreds of signatures from three hand-written lists."""
-    rows = [(label, form.replace("{n}", name), key, p, c) for form, p, c in FORMS for label, name, key in FAMILIES] + list(SINGLE)
-    return tuple(Rule(n, *r) for n, r in enumerate(rows))
+    #: In every form a space leads the name and, beyond the match, follows it.
+    named = [(label, form.replace("{n}", name), p, c, needed(form.replace("{n}", "[^ ]+"), f" {name} ")) for form, p, c in FORMS for label, name in FAMILIES]
+    return tuple(Rule(n, *r) for n, r in enumerate(named + [(*r, needed(r[1])) for r in SINGLE]))
+
+
+def _groups(items) -> list[set[str]]:
+    """Sets of literals, of each of which every match of a parsed regex holds one."""
+    groups: list[set[str]] = []
+
+    def flush(run: set[str]) -> None:
+        least = {s for s in run if not any(o != s and o in s for o in run)}
+        if min(map(len, least)) >= LEAST:
+            groups.append(least)
+
+    def exact(items) -> set[str] | None:
+        """All strings of a part if they are few, else None."""
+        out = {""}
+        for op, arg in items:
+            if op is _c.LITERAL:
+                more = {chr(arg)}
+            elif op is _c.IN and all(o is _c.LITERAL for o, _ in arg):
+                more = {chr(a) for _, a in arg}
+            elif op is _c.SUBPATTERN:
+                more = exact(arg[3])
+            elif op is _c.BRANCH:
+                parts = [exact(x) for x in arg[1]]
+                more = None if None in parts else set().union(*parts)
+            elif op is _c.MAX_REPEAT and arg[:2] == (0, 1):
+                more = exact(arg[2])
+                more = more and more | {""}
+            else:
+                more = None
+            if more is None or len(out) * len(more) > MOST:
+                return None
+            out = {a + b for a in out for b in more}
+        return out
+
+    def walk(items) -> None:
+        run = {""}
+        for item in items:
+            op, arg = item
+            more = exact([item])
+            if more is not None and len(run) * len(more) <= MOST:
+                run = {a + b for a in run for b in more}
+                run = {s for s in run if not any(o != s and s.endswith(o) for o in run)}
+                continue
+            flush(run)
+            run = more or {""}
+            if more is None and op is _c.SUBPATTERN:
+                walk(arg[3])
+            elif more is None and op is _c.BRANCH:
+                parts = [_groups(x) for x in arg[1]]
+                if all(parts):
+                    groups.append({s for p in parts for s in max(p, key=lambda g: min(map(len, g)))})
+            elif more is None and op is _c.MAX_REPEAT and arg[0]:
+                walk(arg[2])
+        flush(run)
+
+    walk(items)
+    return groups
+
+
+def needed(*regexes: str) -> tuple[tuple[str, ...], ...]:
+    """Groups of literals read off regexes: what matches them all holds at least one literal of each group."""
+    return tuple(tuple(sorted(g)) for g in dict.fromkeys(frozenset(g) for r in regexes for g in _groups(_p.parse(r))))
 
 
 def normalised(text: Column) -> Column:
@@ -142,7 +208,7 @@ def _word_spans(text: Column, regex: Column) -> Column:
 
 
 def _rule_literals(rules: tuple[Rule, ...]) -> Column:
-    return F.array(*[F.struct(F.lit(r.order).alias("o"), F.lit(r.label).alias("label"), F.lit(r.regex).alias("rx"), F.lit(r.keyword).alias("kw"), F.lit(r.priority).alias("p"), F.lit(r.confidence).alias("c")) for r in rules])
+    return F.array(*[F.struct(F.lit(r.order).alias("o"), F.lit(r.label).alias("label"), F.lit(r.regex).alias("rx"), F.array(*[F.array(*map(F.lit, g)) for g in r.needs]).cast("array<array<string>>").alias("needs"), F.lit(r.priority).alias("p"), F.lit(r.confidence).alias("c")) for r in rules])
 
 
 def _survivors(found: Column, levels: int) -> Column:
@@ -171,10 +237,9 @@ def detect(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     rows = docs.withColumn("__t", normalised(F.col("text")))
     t = F.col("__t")
     span = "struct<start:int,neg:int,np:int,o:int,end:int,p:int,label:string,c:double>"
-    none_base, none = F.array().cast("array<struct<start:int,end:int,label:string>>"), F.array().cast(f"array<{span}>")
-    gate = F.lit(False)
-    for k in (*GATE, *(p for p in PHRASES)):
-        gate = gate | F.contains(t, F.lit(k))
+    none_base = F.array().cast("array<struct<start:int,end:int,label:string>>")
+    literals = sorted({s for r in rules for g in r.needs for s in g})
+    held = F.filter(F.array(*map(F.lit, literals)).cast("array<string>"), lambda k: F.contains(t, k))
 
     def places(phrase: str, label: str) -> Column:
         named = F.transform(_word_spans(t, F.lit(f" {phrase}")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label")))
@@ -186,9 +251,8 @@ def detect(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
         one = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), (-r["p"]).alias("np"), r["o"].alias("o"), s["end"].alias("end"), r["p"].alias("p"), r["label"].alias("label"), r["c"].alias("c"))
         return F.transform(_word_spans(t, r["rx"]), one)
 
-    open_rules = F.filter(_rule_literals(rules), lambda r: F.contains(t, r["kw"]))
-    found = F.when(gate, F.array_sort(F.flatten(F.transform(open_rules, run)))).otherwise(none)
-    rows = rows.withColumn("__base", F.when(gate, base).otherwise(none_base)).withColumn("__found", found)
+    opened = let(held, lambda h: F.filter(_rule_literals(rules), lambda r: F.forall(r["needs"], lambda g: F.arrays_overlap(g, h))))
+    rows = rows.withColumn("__base", base).withColumn("__found", F.array_sort(F.flatten(F.transform(opened, run))).cast(f"array<{span}>"))
     return rows.withColumn("__kept", _survivors(F.col("__found"), levels))
 
 
