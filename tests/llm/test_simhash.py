@@ -85,3 +85,11 @@ def test_one_document_of_each_group_stays(spark):
     ids = sorted(r["doc_id"] for r in kept.collect())
     comp = {r["component_id"] for r in simhash.components(docs).collect()}
     assert ids == sorted(comp) and 1 in ids and 2 not in ids
+
+
+def test_a_row_of_each_component_stays_whatever_its_id(spark):
+    text = lambda k: " ".join(f"w{k}x{n}" for n in range(60))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (5, text(4)), (9, text(2)), (7, None), (None, ""), (None, None)]
+    docs = frame(spark, [(i, t, "en", "a", 0) for i, t in rows])
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in simhash.deduplicated(docs).collect())
+    assert got == sorted([("None", text(0)), ("None", text(1)), ("9", text(2)), ("5", text(3)), ("5", text(4)), ("7", "")])

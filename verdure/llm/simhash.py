@@ -174,11 +174,15 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
 
 
+def rooted(distinct: DataFrame) -> DataFrame:
+    """A written table of distinct fingerprints (column fp) with ``root``, the least fingerprint of each one's component."""
+    roots = connected(links(distinct.select("fp")))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def classes(fps: DataFrame) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of a written table (doc_id, fp)."""
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = connected(links(distinct))
-    rows = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rows = rooted(cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))))
     least = rows.groupBy("root").agg(F.min("rep").alias("component_id"))
     return rows.select("fp", "root").join(least, "root").select("fp", "component_id")
 
@@ -190,8 +194,15 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the document whose id is the component's; one row of it stays."""
-    ids = components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("text")
-    return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
+    """docs without near-duplicates: one row of each component stays, that of least id (NULL last), then of least text digest.
+
+    Equal texts share a component, so id and digest together name rows of one component only, also where ids are NULL or
+    stand beside several texts. Of rows that agree in both, any one stays."""
+    digest = F.sha2("text", 256)
+    fps = cut(by_text(docs.select("doc_id", "text", digest.alias("__digest")), ["doc_id", "__digest"], "fp long", lambda: lambda texts: [(fingerprint(t),) for t in texts]))
+    key = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("__digest").isNull().alias("m"), "__digest")
+    rows = rooted(cut(fps.groupBy("fp").agg(F.min(key).alias("first"))))
+    first = rows.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.__digest").alias("__of"))
+    kept = docs.withColumn("__digest", digest).join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__digest").eqNullSafe(F.col("__of")), "left_semi")
+    one = Window.partitionBy("doc_id", "__digest").orderBy("doc_id")
+    return kept.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n", "__digest")
