@@ -23,6 +23,10 @@ def documents():
         (15, " ".join(f"z{i}" for i in range(3000)), "en", "a"),
         (15, " ".join(f"z{i}" for i in range(3000)), "en", "a"),
         (None, base, "en", "a"),
+        (None, None, "en", "a"),
+        (None, base + " and a second text without an id " + base[60:], "en", "a"),
+        (19, " ".join(f"n{i}" for i in range(130)), "en", "a"),
+        (19, " ".join(f"o{i}" for i in range(30)) + " " + " ".join(f"n{i}" for i in range(40, 90)), "en", None),
         (16, "SPDX-License-Identifier: MIT. This is licensed under the GNU General Public License, version 3.", "en", "f"),
         (17, "x\x0by\x0cz\r\nq " * 3, "en", "f"),
         (18, "'s 've  it's a b\x1cc\x85d 123abc!!!  \n\n end ", "en", "f"),
@@ -37,3 +41,17 @@ def frame(spark, rows=None):
 def result(df, key="doc_id"):
     rows = [r.asDict() for r in df.collect()]
     return sorted(rows, key=lambda r: (r[key] is None, r[key] or 0, str(r)))
+
+
+def order_of(rows):
+    """Each row's place among documents: by id, NULL last, then by a digest of the text where the id is NULL or repeats."""
+    import xxhash
+
+    ids = [r[0] for r in rows]
+    several = {i for i in ids if i is not None and ids.count(i) > 1}
+
+    def place(r):
+        digest = xxhash.xxh64_intdigest((r[1] or "").encode(), seed=42)
+        return (r[0] is None, r[0] or 0, (digest ^ 1 << 63) - (1 << 63) if r[0] is None or r[0] in several else 0)
+
+    return [place(r) for r in rows]

@@ -3,15 +3,15 @@ import random
 import re
 
 import numpy as np
-from corpus import documents, frame, result
+from corpus import documents, frame, order_of, result
 
 from verdure.llm import substrings
 
 
 def brute(rows):
-    docs = sorted({(substrings.NO_ID if r[0] is None else r[0], r[1] or "") for r in rows})
+    order = order_of(rows)
     seen, removed = set(), {}
-    for key, text in docs:
+    for key, text in sorted({(k, r[1] or "") for k, r in zip(order, rows)}):
         w = re.findall(r"[^\x20\x09-\x0D]+", text)
         gone = set()
         for i in range(len(w) - 19):
@@ -20,13 +20,13 @@ def brute(rows):
                 gone |= set(range(i, i + 20))
             seen.add(g)
         removed[key] = (len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest())
-    return [(r[0], *removed[substrings.NO_ID if r[0] is None else r[0]]) for r in rows]
+    return [(r[0], *removed[k]) for k, r in zip(order, rows)]
 
 
 def same(spark, rows, **options):
     got = result(substrings.deduplicated(frame(spark, rows).repartition(5), **options))
-    want = sorted(brute(rows), key=lambda r: (r[0] is None, r[0] or 0))
-    assert [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got] == want
+    key = lambda r: (r[0] is None, *(x or 0 for x in r[:-1]), r[-1])
+    assert sorted([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got], key=key) == sorted(brute(rows), key=key)
     return got
 
 
@@ -46,6 +46,14 @@ def test_random_passages(spark):
             w += rng.choice(passage) if rng.random() < 0.5 else [f"u{rng.randrange(40)}" for _ in range(rng.randint(1, 30))]
         rows.append((i * 3 % 151, rng.choice([" ", "\n", "  "]).join(w), "en", "a", 0))
     same(spark, rows, buckets=7)
+    same(spark, rows, buckets=2, held_most=0)  # every bucket is dealt again
+    same(spark, [(None if r[0] % 3 else r[0] % 4, *r[1:]) for r in rows], buckets=7)
+    same(spark, [(None if r[0] % 3 else r[0] % 4, *r[1:]) for r in rows], buckets=2, held_most=300)
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"q{k * k % 9973}" for k in range(60_000))
+    same(spark, [(2, long, "en", "a", 0), (1, long[:200_000], "en", "a", 0), (3, "a " * 200_000, "en", "a", 0), (4, "x" * 900_000, "en", "a", 0)])
 
 
 def test_bucket_in_parts_and_slices(spark, monkeypatch):
@@ -56,10 +64,10 @@ def test_bucket_in_parts_and_slices(spark, monkeypatch):
     for u in units[::-1]:
         held.append(u)
         found = substrings.settle(substrings.Units.joined(held))
-        spans += list(zip(*[x.tolist() for x in found.repeats()]))
+        spans += found.repeats().tolist()
         held = [found.carried()]
-    covered = lambda some: {(d, k) for d, lo, hi in some for k in range(lo, hi)}
-    assert covered(spans) == covered(zip(*[x.tolist() for x in whole.repeats()])) and len(covered(spans)) == 29 * 45
+    covered = lambda some: {(d, k) for d, _, lo, hi in some for k in range(lo, hi)}
+    assert covered(spans) == covered(whole.repeats().tolist()) and len(covered(spans)) == 29 * 45
     packed = substrings.Units.unpack(whole.carried().pack())
     assert packed.data.tobytes() == whole.carried().data.tobytes() and (packed.words == whole.carried().words).all()
 

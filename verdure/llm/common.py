@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Word characters of most contracts: everything but the six ASCII white-space characters.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: Stands for a NULL id: ordered behind all others.
+NO_ID = (1 << 63) - 1
 
 
 def let(value: Column, body) -> Column:
@@ -45,6 +47,29 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def identified(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, __key, __sub, text) of docs, NULL texts empty, and the bytes of all texts.
+
+    ``__key`` is the id, or NO_ID for NULL. ``__sub`` tells apart several texts of one key: a 64-bit digest of the text
+    where the id is NULL or stands in several rows, else 0. So rows agree in both only if they are the same document seen
+    again. Ids that repeat are counted first; only if there are any, docs are joined with them."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    counted = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("b"))
+    several, size = counted.agg(F.max(F.when(F.col("doc_id").isNotNull(), F.col("n"))), F.sum("b")).first()
+    rows, alone = docs.select("doc_id", text.alias("text")), F.col("doc_id").isNotNull()
+    if (several or 0) > 1:
+        many = docs.groupBy(F.col("doc_id").alias("__many")).count().filter("count > 1 and __many is not null").select("__many")
+        rows, alone = rows.join(many, F.col("doc_id") == F.col("__many"), "left"), alone & F.col("__many").isNull()
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    sub = F.when(alone, F.lit(0).cast("long")).otherwise(F.xxhash64("text"))
+    return rows.select("doc_id", key.alias("__key"), sub.alias("__sub"), "text"), size or 0
+
+
+def spread(size: int, each: int, docs: DataFrame) -> int:
+    """How many buckets of about ``each`` bytes hold ``size`` bytes; at least as many as there are shuffle partitions."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 _ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
