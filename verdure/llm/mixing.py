@@ -1,17 +1,24 @@
 """Mixing sources to target weights by fixed-length token blocks.
 
-The words of a source, in a fixed order of its documents, are cut into blocks of nearly equal length. Output shards have a
-fixed number of slots; each shard draws a multinomial count of slots per source by the target shares. A source's slots
-are numbered over all shards, and a pseudorandom permutation of its block indices, a new one each round, maps slots to
-blocks; blocks are joined by index. The last slots are added or left out so that a source's slots hold its target.
+The words of a source, in a fixed order of its documents, are packed into blocks of ``BLOCK`` words (the last may be
+shorter). Output shards have a fixed number of slots. Each shard draws how many of its slots each source gets: a source is
+given the whole part of its expected number, and the slots that are left are drawn from a multinomial over the fractional
+parts, so that the draws decide the counts and a source's sum stays near its target. A source's slots are numbered over
+all shards, and a pseudorandom permutation of its block indices, a new one each round, maps slots to blocks; blocks are
+joined by index.
 
 Sources are ordered by code point, NULL last, and weigh 1, 2, 3, repeating; targets share all words and stop at 3 times a
-source's words, the excess going to the others by weight. So no block is taken more than 3 times. Documents of one source
-lie in ``chunks`` hashed chunks, so that offsets come from sums per chunk and no task orders a whole source.
+source's words, the excess going to the others by weight. A slot drawn beyond 3 rounds of a source stays empty, so that no
+block is taken more than 3 times. What a source gives differs from its target by the draws: with S shards, the standard
+deviation is at most sqrt(S) / 2 blocks for sources that expect a slot in each shard, sqrt(slots) blocks for smaller ones,
+and the last block counts as a whole one.
 
-NULL and blank texts have size 0 and take nothing. Rows with a NULL id are ordered first within their chunk; repeated rows
-(same id and source) share one running order and each takes its own words. Extra columns are ignored by :func:`shares`
-and kept by :func:`mixed`. Given the same rows, every run gives the same result.
+Documents of one source lie in hashed chunks of about ``CHUNK`` documents, so that offsets come from sums per chunk and no
+task orders a whole source.
+
+NULL and blank texts have size 0 and take nothing. Rows with a NULL id are ordered by a digest of the text; repeated rows
+(same id, source and text) share one running order and each takes its own words. Extra columns are ignored by
+:func:`shares` and :func:`packed` and kept by :func:`mixed`. Given the same rows, every run gives the same result.
 """
 
 from __future__ import annotations
@@ -28,23 +35,25 @@ from .common import cut, let
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, CAP = (1, 2, 3), 3
-BLOCK, SLOTS, CHUNKS, SEED = 128, 512, 64, 11
-#: Permutations work on indices below 2**31, so that products stay in a signed 64-bit number.
-_HASH = 0x7FFFFFFF
+BLOCK, SLOTS, CHUNK, SEED = 32, 1024, 20_000, 11
+#: Products of two indices below 2**31 stay in a signed 64-bit number; larger ones are decimals.
+_NARROW, _HASH = 1 << 31, (1 << 62) - 1
+#: Shards that one row of the draw stands for.
+PART = 1024
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words per document."""
+    """(doc_id, source, size, digest): words per document, and a digest of its text."""
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD))
-    return docs.select("doc_id", "source", words.cast("long").alias("size"))
+    return docs.select("doc_id", "source", words.cast("long").alias("size"), F.xxhash64("text").alias("digest"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(source, rank, source_size, target): one row per source.
+    """(source, rank, documents, source_size, target): one row per source.
 
     Filling stops a source at its cap; with sources in order of cap per weight, the level at which the rest share what
     the capped ones leave is found from running sums."""
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     rows = by.withColumn("rank", rank).withColumn("w", w.cast("double")).withColumn("cap", (cap * F.col("source_size")).cast("double"))
@@ -56,7 +65,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     # the first source whose cap the level does not pass sets it for itself and all after it
     found = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct(F.col("ratio"), F.col("rank"), F.col("level")))).over(every)["level"]
     return rows.withColumn("fill", found).select(
-        "source", "rank", "source_size", F.when(F.col("fill").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("fill") * F.col("w"))).alias("target")
+        "source", F.col("rank").cast("long").alias("rank"), "documents", "source_size", F.when(F.col("fill").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("fill") * F.col("w"))).alias("target")
     )
 
 
@@ -64,21 +73,33 @@ def _hashed(*parts: Column) -> Column:
     return F.xxhash64(*parts).bitwiseAND(_HASH)
 
 
+def _primes(count: int = 16) -> list[int]:
+    """The largest primes below 2**31."""
+    out, n = [], (1 << 31) - 1
+    while len(out) < count:
+        if all(n % d for d in range(3, int(n**0.5) + 1, 2)):
+            out.append(n)
+        n -= 2
+    return out
+
+
+PRIMES = _primes()
+
+
 def permutation_keys(size: Column, *key: Column, rounds: int = 3) -> Column:
     """What :func:`permuted` needs for one size and key: an array of (factor, shift, part), made once per source and round.
 
-    An affine step permutes if its factor has no common divisor with the size: the last of six hashed candidates that has
-    none is used, else 1."""
+    An affine step permutes if its factor has no common divisor with the size, as a product of primes that do not divide it."""
     n = F.greatest(size, F.lit(1)).cast("long")
-    out = []
-    for r in range(rounds):
-        factor = F.lit(1).cast("long")
-        for t in range(1, 7):
-            candidate = (_hashed(*key, F.lit(10 * r + t)) % n + 1).cast("long")
-            factor = F.when(_coprime(candidate, n), candidate).otherwise(factor)
-        shift, part = _hashed(*key, F.lit(10 * r)) % n, _hashed(*key, F.lit(10 * r + 9)) % n
-        out.append(F.struct(factor.alias("factor"), shift.alias("shift"), part.alias("part")))
-    return F.array(*out)
+    primes = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: n % p != 0)
+
+    def one(keyed: Column) -> Column:
+        p, r = keyed["p"], keyed["r"]
+        pick = lambda k: F.get(p, (_hashed(*key, r, F.lit(k)) % F.size(p)).cast("int")) % n
+        factor = (pick(1).cast("decimal(38,0)") * pick(2)) % n
+        return F.struct(factor.cast("long").alias("factor"), (_hashed(*key, r, F.lit(3)) % n).alias("shift"), (_hashed(*key, r, F.lit(4)) % n).alias("part"))
+
+    return F.transform(F.array(*[F.struct(primes.alias("p"), F.lit(r).alias("r")) for r in range(rounds)]), one)
 
 
 def permuted(index: Column, size: Column, keys: Column, rounds: int = 3) -> Column:
@@ -86,7 +107,8 @@ def permuted(index: Column, size: Column, keys: Column, rounds: int = 3) -> Colu
     x = index
     for r in range(rounds):
         k = keys[r]
-        x = _reversed((x * k["factor"] + k["shift"]) % size, k["part"])
+        wide = (x.cast("decimal(38,0)") * k["factor"] + k["shift"]) % size
+        x = _reversed(F.when(size < _NARROW, (x * k["factor"] + k["shift"]) % size).otherwise(wide.cast("long")), k["part"])
     return x
 
 
@@ -94,131 +116,142 @@ def _reversed(x: Column, part: Column) -> Column:
     return let(x, lambda v: F.when(v < part, part - 1 - v).otherwise(v))
 
 
-def _coprime(a: Column, b: Column) -> Column:
-    """Whether the greatest common divisor is 1, by Euclid's steps on a pair."""
-    step = lambda p, _: F.struct(p["b"].alias("a"), F.when(p["b"] == 0, F.lit(0).cast("long")).otherwise(F.try_mod(p["a"], p["b"])).alias("b"), F.when(p["b"] == 0, p["g"]).otherwise(p["b"]).alias("g"))
-    zero = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), a.cast("long").alias("g"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(48)), zero, step, lambda p: p["g"] == 1)
-
-
-def placed(sizes: DataFrame, chunks: int = CHUNKS) -> DataFrame:
-    """sizes with ``start``: where a document's words begin in its source's stream."""
-    rows = sizes.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
-    sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_words"))
-    earlier = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # at most ``chunks`` rows
-    offsets = sums.select(F.col("source").alias("s2"), F.col("chunk").alias("c2"), F.coalesce(F.sum("chunk_words").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+def placed(sizes: DataFrame, plan: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """sizes with ``rank`` and ``start``: a document's source, and where its words begin in the source's stream."""
+    of = plan.select(F.col("source").alias("s1"), "rank", F.ceil(F.col("documents") / chunk).alias("chunks"))
+    rows = sizes.join(of, F.col("source").eqNullSafe(F.col("s1"))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "digest"), F.col("chunks"))).drop("s1", "chunks")
+    sums = rows.groupBy("rank", "chunk").agg(F.sum("size").alias("chunk_words"))
+    earlier = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row per chunk
+    offsets = sums.select("rank", "chunk", F.coalesce(F.sum("chunk_words").over(earlier), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("rank", "chunk").orderBy("doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    on = F.col("source").eqNullSafe(F.col("s2")) & (F.col("chunk") == F.col("c2"))
-    return rows.join(offsets, on).select("doc_id", "source", "size", "chunk", (F.col("offset") + F.col("inside")).alias("start"))
+    return rows.join(offsets, ["rank", "chunk"]).select("doc_id", "source", "size", "digest", "rank", (F.col("offset") + F.col("inside")).alias("start"))
 
 
-def slots(plan: DataFrame, block: int = BLOCK, per_shard: int = SLOTS, seed: int = SEED) -> DataFrame:
-    """(rank, shard, ordinal, index, words): the block that each output slot takes, and how many of its words.
+def draws(plan: DataFrame, block: int = BLOCK, per_shard: int = SLOTS, seed: int = SEED) -> DataFrame:
+    """(shard, rank, drawn, places): how many slots each source gets in each shard, and which ones.
 
-    plan has a row per source: rank, source_size, target. A whole block counts ``words`` NULL; a source's last slot may
-    take a part."""
+    A source expects as many slots as its target has of its blocks' mean length; shards share them alike."""
     import numpy as np
 
-    one = plan.agg(F.sort_array(F.collect_list(F.struct("rank", "source_size", "target"))).alias("s"), F.sum("source_size").alias("n"))
-    shards = F.ceil(F.col("n") / (block * per_shard)).cast("long")
-    drawn = one.filter("n > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(shards - 1, F.lit(0)))).alias("shard"), "s")
+    mean_blocks = F.col("target") * F.ceil(F.col("source_size") / block) / F.col("source_size")
+    one = plan.filter("source_size > 0").agg(F.sort_array(F.collect_list(F.struct("rank", mean_blocks.alias("want")))).alias("s"), F.sum(mean_blocks).alias("n"))
+    one = one.filter("n > 0").withColumn("slots", F.ceil("n").cast("long"))
+    parts = F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {per_shard * PART}"))
+    dealt = one.select(F.explode(parts).alias("part"), "slots", "s").repartition("part")
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for shard, s in zip(batch["shard"], batch["s"]):
-                want = np.array([x["target"] for x in s], float)
-                counts = np.random.default_rng([seed, int(shard)]).multinomial(per_shard, want / want.sum())
-                out += [(int(shard), int(x["rank"]), int(c)) for x, c in zip(s, counts) if c]
-            yield pd.DataFrame(out, columns=["shard", "rank", "drawn"])
-
-    counts = drawn.repartition("shard").mapInPandas(draw, "shard long, rank long, drawn long")
-    # a running number of a source's slots: sums of 1,024 shards each, then within them
-    counts = counts.withColumn("part", F.floor(F.col("shard") / 1024))
+            for part, slots, s in zip(batch["part"].tolist(), batch["slots"].tolist(), batch["s"]):
+                rank, want = np.array([x["rank"] for x in s]), np.array([x["want"] for x in s], float)
+                for shard in range(part * PART, min((part + 1) * PART, -(-slots // per_shard))):
+                    here = min(per_shard, slots - shard * per_shard)
+                    rng = np.random.default_rng([seed, shard])
+                    drawn = drawn_slots(want, here, rng)
+                    places = np.split(rng.permutation(here), np.cumsum(drawn)[:-1])
+                    yield pd.DataFrame({"shard": shard, "rank": rank, "drawn": drawn, "places": places})[drawn > 0]
+
+    return dealt.mapInPandas(draw, "shard long, rank long, drawn long, places array<long>")
+
+
+def drawn_slots(want, slots: int, rng):
+    """Slots of one shard by source: whole parts of the expected numbers, and a multinomial draw over the fractional parts."""
+    import numpy as np
+
+    expected = want / want.sum() * slots
+    whole = np.floor(expected + 1e-9).astype(np.int64)
+    rest, left = np.clip(expected - whole, 0, None), slots - int(whole.sum())
+    return whole + rng.multinomial(left, rest / rest.sum()) if left > 0 and rest.sum() > 0 else whole
+
+
+def slots(plan: DataFrame, block: int = BLOCK, per_shard: int = SLOTS, seed: int = SEED) -> DataFrame:
+    """(rank, shard, slot, round, index, lo, hi): the block that each output slot takes, as a stretch of its source's stream."""
+    counts = draws(plan, block, per_shard, seed)
+    # a running number of a source's slots: sums of PART shards each, then within them
+    counts = counts.withColumn("part", F.floor(F.col("shard") / PART))
     part_sums = counts.groupBy("rank", "part").agg(F.sum("drawn").alias("d"))
     before = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     part_sums = part_sums.withColumn("first", F.coalesce(F.sum("d").over(before), F.lit(0))).drop("d")
     inside = Window.partitionBy("rank", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("inside", F.coalesce(F.sum("drawn").over(inside), F.lit(0))).join(part_sums, ["rank", "part"])
-    counts = counts.select("rank", "shard", (F.col("first") + F.col("inside")).alias("first"), "drawn")
+    counts = counts.withColumn("first", F.col("first") + F.col("inside"))
 
-    sources = plan.select(F.col("rank").cast("long").alias("rank"), "source_size", F.round("target").cast("long").alias("need"), F.ceil(F.col("source_size") / block).cast("long").alias("blocks"))
-    sources = sources.filter("blocks > 0").withColumn("rest", F.expr(f"need % source_size")).withColumn("rounds", F.expr("need div source_size"))
-    # whole rounds take every block; of the last round as many slots as its words need, the last one in part
-    sources = sources.withColumn("needed", F.col("rounds") * F.col("blocks") + F.ceil(F.col("rest") * F.col("blocks") / F.col("source_size")).cast("long"))
+    sources = plan.select("rank", "source_size", F.ceil(F.col("source_size") / block).cast("long").alias("blocks")).filter("blocks > 0")
     key = lambda e: permutation_keys(F.col("blocks"), F.col("rank"), e, F.lit(seed))
-    sources = sources.withColumn("keys", F.transform(F.sequence(F.lit(0), F.lit(CAP)), key))
-    level = counts.groupBy("rank").agg(F.sum("drawn").alias("have"))
-    extra = sources.join(level, "rank", "left").select("rank", F.lit(-1).cast("long").alias("shard"), F.coalesce("have", F.lit(0)).alias("first"), (F.col("needed") - F.coalesce("have", F.lit(0))).alias("drawn")).filter("drawn > 0")
-    # a levelling draw may be long, so that it is cut into runs of one shard's length
-    runs = extra.select("rank", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("drawn") - 1, F.lit(per_shard).cast("long"))).alias("at"), (F.col("first") + F.col("drawn")).alias("end"))
-    runs = runs.select("rank", "shard", F.col("at").alias("first"), F.least(F.lit(per_shard).cast("long"), F.col("end") - F.col("at")).alias("drawn"))
-    rows = counts.unionByName(runs).join(sources, "rank").filter(F.col("first") < F.col("needed"))
-    last = F.least(F.col("first") + F.col("drawn"), F.col("needed")) - 1
-    rows = rows.select("rank", "shard", "blocks", "source_size", "need", "keys", F.explode(F.sequence(F.col("first"), last)).alias("ordinal"))
+    sources = sources.withColumn("keys", F.transform(F.sequence(F.lit(0), F.lit(CAP - 1)), key))
+    rows = counts.join(sources, "rank").filter(F.col("first") < CAP * F.col("blocks"))
+    rows = rows.select("rank", "shard", "first", "blocks", "keys", "source_size", F.posexplode("places").alias("n", "slot"))
+    rows = rows.withColumn("ordinal", F.col("first") + F.col("n")).filter(F.col("ordinal") < CAP * F.col("blocks"))
     rounds, within = F.expr("ordinal div blocks"), F.col("ordinal") % F.col("blocks")
-    return rows.select("rank", "shard", "ordinal", rounds.alias("round"), permuted(within, F.col("blocks"), F.get("keys", rounds.cast("int"))).alias("index"), "blocks", "source_size", "need")
-
+    rows = rows.select("rank", "shard", "slot", rounds.alias("round"), permuted(within, F.col("blocks"), F.get("keys", rounds.cast("int"))).alias("index"), "source_size")
+    lo = F.col("index") * block
+    return rows.select("rank", "shard", "slot", "round", "index", lo.alias("lo"), F.least(lo + block, F.col("source_size")).alias("hi"))
 
-def taken_blocks(slot_rows: DataFrame) -> DataFrame:
-    """(rank, round, lo, hi): the stretch of a source's stream that each slot takes.
 
-    Block b of n over s words is [s*b div n, s*(b+1) div n). Block lengths differ by one word at most, so that the slots
-    hold the need within a few words; the excess is cut from the last slot's block."""
-    lo, hi = F.expr("(source_size * index) div blocks"), F.expr("(source_size * (index + 1)) div blocks")
-    rows = slot_rows.select("rank", "shard", "ordinal", "round", lo.alias("lo"), hi.alias("hi"), "need")
-    sums = rows.groupBy("rank").agg(F.sum(F.col("hi") - F.col("lo")).alias("held"), F.max("ordinal").alias("last"), F.max("need").alias("need2"))
-    rows = rows.join(sums, "rank")
-    over = F.when(F.col("ordinal") == F.col("last"), F.greatest(F.col("held") - F.col("need2"), F.lit(0))).otherwise(F.lit(0))
-    return rows.select("rank", "shard", "ordinal", "round", "lo", (F.greatest(F.col("lo"), F.col("hi") - over)).alias("hi"))
+def pieces(docs_placed: DataFrame, plan: DataFrame, block: int = BLOCK, seed: int = SEED, per_shard: int = SLOTS) -> DataFrame:
+    """docs_placed with (shard, slot, round, place, begin, end): words begin..end of a document that one slot takes, at a place in it.
 
+    Documents and slots meet by (source, block index): a document is dealt to the blocks that it touches."""
+    rows = docs_placed.filter("size > 0").withColumn("index", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
+    rows = rows.join(slots(plan, block, per_shard, seed), ["rank", "index"])
+    begin, end = F.greatest("lo", "start"), F.least(F.col("hi"), F.col("start") + F.col("size"))
+    return rows.select(*docs_placed.columns, "shard", "slot", "round", (begin - F.col("lo")).alias("place"), (begin - F.col("start")).alias("begin"), (end - F.col("start")).alias("end"))
 
-def pieces(docs_placed: DataFrame, plan: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, start, size, round, from, to): the words of a document that the mix takes, per round.
 
-    Documents and slots meet by (source, block index): a document is dealt to the blocks that it touches."""
-    slot_rows = taken_blocks(slots(plan, block, seed=seed))
-    key = plan.select(F.col("source").alias("s3"), F.col("rank").cast("long").alias("rank"), F.col("source_size").alias("words"), F.ceil(F.col("source_size") / block).cast("long").alias("blocks"))
-    rows = docs_placed.filter("size > 0").join(key, F.col("source").eqNullSafe(F.col("s3"))).drop("s3")
-    # the block of word p is the largest b with s*b div n <= p
-    of = lambda p: F.expr(f"(({p} + 1) * blocks - 1) div words")
-    rows = rows.withColumn("block", F.explode(F.sequence(of("start"), of("(start + size - 1)"))))
-    slot_rows = slot_rows.join(key.select("rank", "words", "blocks"), "rank").select("rank", F.expr("((lo + 1) * blocks - 1) div words").alias("block"), "round", "lo", "hi").filter("hi > lo")
-    rows = rows.join(slot_rows, ["rank", "block"])
-    begin, end = F.greatest("lo", "start") - F.col("start"), F.least(F.col("hi"), F.col("start") + F.col("size")) - F.col("start")
-    return rows.select("doc_id", "source", "start", "size", "round", begin.alias("begin"), end.alias("end")).filter("end > begin")
-
-
-def shares(docs: DataFrame, block: int = BLOCK, seed: int = SEED, chunks: int = CHUNKS) -> DataFrame:
-    """One row per document: size, source_size, target and taken."""
+def _planned(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
     sizes = cut(sized(docs))
     plan = cut(targets(sizes))
-    at = cut(placed(sizes, chunks))
-    got = pieces(at, plan, block, seed).groupBy(F.col("source").alias("s4"), F.col("start").alias("t4"), F.col("size").alias("z4")).agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
+    return cut(placed(sizes, plan, chunk)), plan
+
+
+def shares(docs: DataFrame, block: int = BLOCK, seed: int = SEED, chunk: int = CHUNK, per_shard: int = SLOTS) -> DataFrame:
+    """One row per document: size, source_size, target and taken."""
+    at, plan = _planned(docs, chunk)
+    got = pieces(at, plan, block, seed, per_shard).groupBy(F.col("rank").alias("r4"), F.col("start").alias("t4")).agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
     # a document with words is known by its place in its source's stream
-    rows = at.join(got, F.col("source").eqNullSafe(F.col("s4")) & (F.col("start") == F.col("t4")) & (F.col("size") == F.col("z4")), "left")
-    rows = rows.join(plan.select(F.col("source").alias("s5"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s5")), "left")
+    rows = at.join(got, (F.col("rank") == F.col("r4")) & (F.col("start") == F.col("t4")) & (F.col("size") > 0), "left")
+    rows = rows.join(plan.select("rank", "source_size", "target"), "rank")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED, chunks: int = CHUNKS) -> DataFrame:
+def _with_takes(docs: DataFrame, block: int, seed: int, chunk: int, per_shard: int) -> DataFrame:
+    """docs with words that the mix takes, each with ``__takes``: structs of round, begin, end, shard, slot and place."""
+    at, plan = _planned(docs, chunk)
+    got = pieces(at, plan, block, seed, per_shard).groupBy("doc_id", "rank", "digest", "size", "start")
+    got = got.agg(F.sort_array(F.collect_list(F.struct("round", "begin", "end", "shard", "slot", "place"))).alias("__takes"))
+    # rows of one id, source and text are alike: it does not matter which of them has which place
+    got = got.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "rank", "digest", "size").orderBy("start")))
+    got = got.join(plan.select("rank", "source"), "rank").select(*[F.col(c).alias(f"__{c}2") for c in ("doc_id", "source", "digest")], F.col("__copy").alias("__copy2"), "__takes")
+    rows = docs.withColumn("__digest", F.xxhash64("text")).filter(F.rlike(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)))
+    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "source", "__digest").orderBy(F.lit(0))))
+    on = F.col("doc_id").eqNullSafe(F.col("__doc_id2")) & F.col("source").eqNullSafe(F.col("__source2")) & (F.col("__digest") == F.col("__digest2")) & (F.col("__copy") == F.col("__copy2"))
+    return rows.join(got, on).select(*docs.columns, "__takes")
+
+
+def packed(docs: DataFrame, block: int = BLOCK, seed: int = SEED, chunk: int = CHUNK, per_shard: int = SLOTS) -> DataFrame:
+    """The mix as blocks: (shard, slot, source, n_words, text), a row per slot that is filled."""
+    rows = _with_takes(docs.select("doc_id", "source", "text"), block, seed, chunk, per_shard).select("source", "text", "__takes")
+
+    def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for source, text, takes in zip(*[c.to_pylist() for c in batch.columns]):
+                words = re.findall(WORD, text)
+                out += [(t["shard"], t["slot"], source, t["place"], t["end"] - t["begin"], " ".join(words[t["begin"] : t["end"]])) for t in takes]
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            names = ["shard", "slot", "source", "place", "n", "piece"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds, strict=True)], names)
+
+    parts = rows.mapInArrow(cut_blocks, "shard long, slot long, source string, place long, n long, piece string")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "piece"))), lambda x: x["piece"]), " ")
+    return parts.groupBy("shard", "slot").agg(F.first("source").alias("source"), F.sum("n").alias("n_words"), joined.alias("text"))
+
+
+def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED, chunk: int = CHUNK, per_shard: int = SLOTS) -> DataFrame:
     """The mix as documents: for each round in which some of a document's words are taken, a row with these words as its
     text (the text unchanged if all are) and with the document's other columns."""
-    sizes = cut(sized(docs))
-    plan = cut(targets(sizes))
-    got = pieces(cut(placed(sizes, chunks)), plan, block, seed)
-    got = got.groupBy("doc_id", "source", "size", "start").agg(F.sort_array(F.collect_list(F.struct("round", "begin", "end"))).alias("__takes"))
-    same = Window.partitionBy("doc_id", "source", "size")
-    got = got.withColumn("__copy", F.row_number().over(same.orderBy("start")))
-    rows = docs.withColumn("__size", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")).filter("__size > 0")
-    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy("text")))
-    got = got.select(*[F.col(c).alias(f"__{c}2") for c in ("doc_id", "source", "size")], F.col("__copy").alias("__copy2"), "__takes")
-    on = F.col("doc_id").eqNullSafe(F.col("__doc_id2")) & F.col("source").eqNullSafe(F.col("__source2")) & (F.col("__size") == F.col("__size2")) & (F.col("__copy") == F.col("__copy2"))
-    rows = rows.join(got, on).select(*docs.columns, "__takes")
-    chars = "n_chars" in docs.columns
-
-    names = docs.columns
+    rows = _with_takes(docs, block, seed, chunk, per_shard)
+    chars, names = "n_chars" in docs.columns, docs.columns
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(WORD).finditer
