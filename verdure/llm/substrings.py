@@ -295,12 +295,32 @@ def packed_rows(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "kind", "packed"])
 
 
+def packed_spans(spans: np.ndarray) -> bytes:
+    """Rows of (doc, sub, from, to), column by column."""
+    import zstandard
+
+    parts = [np.diff(spans[:, 0], prepend=0), *(np.ascontiguousarray(spans[:, k]) for k in (1, 2, 3))]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([x.tobytes() for x in parts]))
+
+
+FOUND = "__key long, __sub long, span long"
+
+
 def spans_of(packed) -> pd.DataFrame:
-    return pd.DataFrame(np.frombuffer(packed, np.int64).reshape(-1, 4), columns=["__key", "__sub", "lo", "hi"])
+    """A row per stretch; ``span`` holds where it begins in its upper half and where it ends in its lower half."""
+    import zstandard
+
+    doc, sub, lo, hi = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(packed)), np.int64).reshape(4, -1)
+    return pd.DataFrame({"__key": np.cumsum(doc), "__sub": sub, "span": lo << 32 | hi})
+
+
+def ends_of(spans: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    some = np.array(spans, np.int64)
+    return some >> 32, some & (1 << 32) - 1
 
 
 def repeats(docs: DataFrame, buckets: int, held_most: int = HELD) -> DataFrame:
-    """(__key, __sub, lo, hi): stretches of words that repeated windows cover. docs has ``__key``, ``__sub`` and ``text``."""
+    """(__key, __sub, span): stretches of words that repeated windows cover. docs has ``__key``, ``__sub`` and ``text``."""
     n = buckets
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -310,7 +330,7 @@ def repeats(docs: DataFrame, buckets: int, held_most: int = HELD) -> DataFrame:
                 rows = [(b, TEXT, u.pack()) for b, u in found.dealt(n)]
                 spans = found.repeats()
                 if len(spans):
-                    rows.append((int(keys[0]) % n, SPANS, spans.tobytes()))
+                    rows.append((int(keys[0]) % n, SPANS, packed_spans(spans)))
                 if rows:
                     yield packed_rows(rows)
 
@@ -321,7 +341,7 @@ def repeats(docs: DataFrame, buckets: int, held_most: int = HELD) -> DataFrame:
         def out() -> tuple[list[tuple], Units | None]:
             found = settle(Units.joined(held))
             spans = found.repeats()
-            rows = [(int(now) * 31 % n, SPANS, spans.tobytes())] if len(spans) else []
+            rows = [(int(now) * 31 % n, SPANS, packed_spans(spans))] if len(spans) else []
             kept = found.carried()
             if over or most is not None and len(kept.data) > most:
                 return rows + [(b, TEXT, u.pack()) for b, u in found.dealt(n, alone=True)], None
@@ -360,12 +380,12 @@ def repeats(docs: DataFrame, buckets: int, held_most: int = HELD) -> DataFrame:
 
     gathered = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket")
     dealt = gathered(docs.select("__key", "__sub", "text").mapInPandas(deal, PACKED))
-    return gathered(dealt.mapInPandas(meet, PACKED)).mapInPandas(end, "__key long, __sub long, lo long, hi long")
+    return gathered(dealt.mapInPandas(meet, PACKED)).mapInPandas(end, FOUND)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, text, spans): each document beside the distinct stretches that were found in it, NULL for none."""
-    found = spans.groupBy(F.col("__key").alias("__k"), F.col("__sub").alias("__s")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    found = spans.groupBy(F.col("__key").alias("__k"), F.col("__sub").alias("__s")).agg(F.collect_set("span").alias("spans"))
     return docs.join(found, (F.col("__key") == F.col("__k")) & (F.col("__sub") == F.col("__s")), "left").select("doc_id", "text", "spans")
 
 
@@ -382,7 +402,7 @@ def deduplicated(docs: DataFrame, buckets: int | None = None, held_most: int = H
                 kept = words
                 if found:
                     edges = np.zeros(len(words) + 1, np.int64)
-                    lo, hi = (np.array([s[k] for s in found]) for k in ("lo", "hi"))
+                    lo, hi = ends_of(found)
                     np.add.at(edges, lo, 1)
                     np.add.at(edges, hi, -1)
                     kept = [w for w, n in zip(words, np.cumsum(edges[:-1]).tolist()) if not n]

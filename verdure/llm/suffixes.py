@@ -27,7 +27,7 @@ same result. Extra columns are ignored by :func:`deduplicated`.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,31 +37,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import identified, spread
-from .substrings import LONGEST, PACKED, PART, SPANS, TEXT, _mixed, _slices, packed_rows, spans_of, with_spans
+from .substrings import FOUND, LONGEST, PACKED, PART, SPANS, TEXT, _mixed, _slices, ends_of, packed_rows, packed_spans, spans_of, with_spans
 
 #: Bytes of a string, of an anchor, and the offset at which ranks are paired: 16 + 17 = 33, 33 + 17 = 50.
 LENGTH, ANCHOR, OFFSET = 50, 16, 17
 #: Bytes of text to a bucket, and bytes of different strings that a bucket holds at once before it is dealt again.
 BUCKET, HELD = 4 << 20, 8 << 20
+#: Positions that are ranked at once.
+BLOCK = 1 << 15
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _paired(ranks: np.ndarray, offset: int) -> np.ndarray:
-    """Ranks of longer prefixes: each position's rank paired with the rank ``offset`` further on."""
-    return _mixed(ranks[:-offset] * _A + ranks[offset:] * _B) if len(ranks) > offset else ranks[:0]
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ranks of longer prefixes: each position's rank paired with the rank further on."""
+    return _mixed(a * _A + b * _B)
 
 
 def _eights(data: np.ndarray) -> np.ndarray:
     """The eight bytes at each position as one number: exact ranks of 8-byte prefixes."""
     n = len(data) - 7
-    if n <= 0:
-        return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(min(8, n)):
         out[k::8] = data[k : k + (len(data) - k) // 8 * 8].view(">u8")
     return out
 
 
+def _blocks(values: np.ndarray, reach: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """What ``of`` gives for each position with ``reach`` values ahead, made in blocks that stay in a processor's cache."""
+    n = len(values) - reach + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for lo in range(0, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        out[lo:hi] = of(values[lo : hi + reach - 1])
+    return out
+
+
 @dataclass
 class Stretches:
     """Stretches of documents' bytes. Sorted by (doc, sub, start)."""
@@ -120,8 +130,13 @@ class Stretches:
         return np.arange(len(owner)) - (np.cumsum(room) - room)[owner] + first[owner], owner
 
     def ranks(self) -> np.ndarray:
-        """The 16-byte rank of each position."""
-        return _paired(_eights(self.data), 8)
+        """The 16-byte rank of each position, from the ranks of eight bytes."""
+
+        def of(data: np.ndarray) -> np.ndarray:
+            eights = _eights(data)
+            return _pair(eights[:-8], eights[8:])
+
+        return _blocks(self.data, ANCHOR, of)
 
     def cut(self, a: np.ndarray, b: np.ndarray, owner: np.ndarray) -> Stretches:
         """Stretches from positions a to the ends of the strings that begin at b."""
@@ -135,16 +150,18 @@ def anchors(ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Where the first least of its 16-byte ranks stands in each of the strings that begin at these positions.
 
     The rank's upper half and the position make one number, of which a minimum is taken by doubling."""
-    if len(ranks) >> 32:
-        raise ValueError("a slice of the input must be shorter than 4 GB")
-    have, width = 1, LENGTH - ANCHOR + 1
-    low = np.uint64((1 << 32) - 1)
-    least = ranks & ~low | np.arange(len(ranks), dtype=np.uint64)
-    while have < width and len(least):
-        step = min(have, width - have)
-        least = np.minimum(least[: len(least) - step], least[step:])
-        have += step
-    return (least[at] & low).astype(np.int64)
+    width, low = LENGTH - ANCHOR + 1, np.uint64((1 << 32) - 1)
+
+    def of(some: np.ndarray) -> np.ndarray:
+        have, place = 1, np.arange(len(some), dtype=np.uint64)
+        least = some & ~low | place
+        while have < width:
+            step = min(have, width - have)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            have += step
+        return (least & low) - place[: len(least)]
+
+    return at + _blocks(ranks, width, of)[at].astype(np.int64)
 
 
 def _runs(at: np.ndarray, owner: np.ndarray, also: np.ndarray | None = None) -> np.ndarray:
@@ -160,7 +177,7 @@ def _runs(at: np.ndarray, owner: np.ndarray, also: np.ndarray | None = None) ->
     return bounds
 
 
-def repeated(s: Stretches, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeated(s: Stretches, at: np.ndarray, owner: np.ndarray, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Which strings also begin in an earlier document among the stretches, exactly; and which need not go on.
 
     The latter are the former, and strings that stand here for a document that is there twice.
@@ -168,7 +185,7 @@ def repeated(s: Stretches, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarra
     out = np.zeros(len(at), bool)
     if len(at) < 2:
         return out, out
-    ranks, doc = full_ranks(s)[at], s.documents()
+    ranks, doc = full_ranks(s.ranks() if ranks is None else ranks, at), s.documents()
     order = np.argsort(ranks)
     bounds = np.flatnonzero(np.concatenate([[True], ranks[order][1:] != ranks[order][:-1]]))
     sizes = np.diff(np.concatenate([bounds, [len(order)]]))
@@ -209,9 +226,10 @@ def _again(s: Stretches, at: np.ndarray, owner: np.ndarray, doc: np.ndarray) ->
     return out
 
 
-def full_ranks(s: Stretches) -> np.ndarray:
-    """The rank of the LENGTH bytes at each position, by pairs of ranks at growing offsets."""
-    return _paired(_paired(s.ranks(), OFFSET), OFFSET)
+def full_ranks(ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ranks of the LENGTH bytes at positions, by pairs of ranks at growing offsets."""
+    a, b, c = ranks[at], ranks[at + OFFSET], ranks[at + 2 * OFFSET]
+    return _pair(_pair(a, b), _pair(b, c))
 
 
 def _spans(s: Stretches, at: np.ndarray, owner: np.ndarray, flags: np.ndarray) -> np.ndarray:
@@ -247,7 +265,7 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(__k, __s, name): the anchors of each document that at least one more document has."""
+    """(__k, __s, value): the anchors of each document that at least one more document has, shortened."""
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -288,7 +306,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             many = np.add.reduceat(_new(name, doc, sub).astype(np.int64), bounds) > 1
             known = np.logical_or.reduceat(told, bounds)
             tell = np.repeat(many | known, sizes) & ~told
-            out = pd.DataFrame({"__k": doc[tell], "__s": sub[tell], "name": name[tell]})
+            out = pd.DataFrame({"__k": doc[tell], "__s": sub[tell], "value": _short(name[tell])})
             return out, (name[bounds], doc[bounds], sub[bounds], many | known)
 
         now, held, size, step = None, [], 0, PART // 8
@@ -310,12 +328,12 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             yield settle(held)[0]
 
     sampled = docs.select("__key", "__sub", "text").mapInPandas(sample, "bucket long, packed binary")
-    return sampled.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "__k long, __s long, name long")
+    return sampled.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "__k long, __s long, value int")
 
 
-def _beside(docs: DataFrame, found: DataFrame, column: str) -> DataFrame:
-    """docs that have values in ``found`` (__k, __s, column), each beside the array of its values."""
-    lists = found.groupBy("__k", "__s").agg(F.collect_set(column).alias("values"))
+def _beside(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs that have values in ``found`` (__k, __s, value), each beside the array of its values."""
+    lists = found.groupBy("__k", "__s").agg(F.collect_set("value").alias("values"))
     return docs.join(lists, (F.col("__key") == F.col("__k")) & (F.col("__sub") == F.col("__s"))).drop("__k", "__s")
 
 
@@ -333,26 +351,28 @@ def _kept(s: Stretches, values: dict, owner: np.ndarray, of: np.ndarray) -> np.n
 
 def _sides(s: Stretches, ranks: np.ndarray, place: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """33-byte ranks that begin at anchors, and those that end with them; and whether the stretch has room for each."""
-    pairs = _paired(ranks, OFFSET).astype(np.int64)
-    if not len(pairs):
-        none = np.zeros(len(place), bool)
-        return np.zeros(len(place), np.int64), np.zeros(len(place), np.int64), none, none
-    ends = np.cumsum(s.size)
+    ends, last = np.cumsum(s.size), max(len(ranks) - 1, 0)
     right, left = place + ANCHOR + OFFSET <= ends[owner], place - OFFSET >= (ends - s.size)[owner]
-    after, before = pairs[np.minimum(place, len(pairs) - 1)] & ~1, pairs[np.clip(place - OFFSET, 0, len(pairs) - 1)] | 1
-    return after, before, right, left
+    here = ranks[place]
+    after, before = _pair(here, ranks[np.minimum(place + OFFSET, last)]), _pair(ranks[np.maximum(place - OFFSET, 0)], here)
+    return after.astype(np.int64) & ~1, before.astype(np.int64) | 1, right, left
+
+
+def _short(ranks: np.ndarray) -> np.ndarray:
+    """Ranks for telling those of one document apart: chance equals only keep more than is needed."""
+    return ranks.astype(np.uint64).astype(np.uint32).view(np.int32)
 
 
 def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Stretches, dict]]:
     """Slices of documents, and the values beside each document."""
     for batch in batches:
-        values = {(k, s): np.asarray(v, np.int64) for k, s, v in zip(batch["__key"].tolist(), batch["__sub"].tolist(), batch["values"])}
+        values = {(k, s): np.asarray(v, np.int32) for k, s, v in zip(batch["__key"].tolist(), batch["__sub"].tolist(), batch["values"])}
         for texts, keys, subs in _slices(batch):
             yield Stretches.of_texts(texts, keys, subs), values
 
 
 def shared_pairs(docs: DataFrame, names: DataFrame, buckets: int) -> DataFrame:
-    """(__k, __s, rank): 33-byte ranks beside anchors that stand in at least two documents."""
+    """(__k, __s, value): 33-byte ranks beside anchors that stand in at least two documents, shortened."""
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for s, values in _batches(batches):
@@ -361,11 +381,14 @@ def shared_pairs(docs: DataFrame, names: DataFrame, buckets: int) -> DataFrame:
                 continue
             ranks = s.ranks()
             place = anchors(ranks, at)
-            first = _new(place)
+            first = np.flatnonzero(_new(place))
+            most, least = (place - at)[first], (place - at)[np.concatenate([first[1:], [len(at)]]) - 1]  # bytes of strings before their anchor
             place, owner = place[first], owner[first]
-            stay = _kept(s, values, owner, _names(ranks[place], buckets))
+            stay = _kept(s, values, owner, _short(_names(ranks[place], buckets)))
             place, owner = place[stay], owner[stay]
             after, before, right, left = _sides(s, ranks, place, owner)
+            right &= least[stay] <= OFFSET
+            left &= most[stay] >= OFFSET
             rank, of = np.concatenate([after[right], before[left]]), np.concatenate([owner[right], owner[left]])
             order = np.lexsort((rank, of))
             rank, of = rank[order], of[order]
@@ -373,15 +396,30 @@ def shared_pairs(docs: DataFrame, names: DataFrame, buckets: int) -> DataFrame:
             rank, of = rank[new], of[new]
             yield pd.DataFrame({"rank": rank, "__k": s.doc[of], "__s": s.sub[of]})
 
-    beside = _beside(docs, names, "name").select("__key", "__sub", "text", "values")
-    rows = beside.mapInPandas(pairs, "rank long, __k long, __s long").repartition("rank")
-    several = rows.groupBy(F.col("rank").alias("again")).agg(*[f(c).alias(f"{n}{c}") for c in ("__k", "__s") for n, f in (("lo", F.min), ("hi", F.max))])
-    several = several.filter("lo__k != hi__k or lo__s != hi__s").select("again")
-    return rows.join(several, F.col("rank") == F.col("again"), "left_semi")
+    def several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of ranks that two documents have. Rows come sorted; of the last rank the first row is carried on."""
+        held = None
+        for batch in batches:
+            rank, doc, sub = (batch[c].to_numpy(np.int64) for c in ("rank", "__k", "__s"))
+            told = np.zeros(len(rank), bool)
+            if held is not None:
+                rank, doc, sub, told = (np.concatenate(x) for x in zip(held, (rank, doc, sub, told)))
+            if not len(rank):
+                continue
+            bounds = np.flatnonzero(_new(rank))
+            many = (np.add.reduceat(_new(rank, doc, sub).astype(np.int64), bounds) > 1) | np.logical_or.reduceat(told, bounds)
+            tell = np.repeat(many, np.diff(np.concatenate([bounds, [len(rank)]]))) & ~told
+            yield pd.DataFrame({"__k": doc[tell], "__s": sub[tell], "value": _short(rank[tell])})
+            last = slice(bounds[-1], bounds[-1] + 1)
+            held = rank[last], doc[last], sub[last], many[-1:]
+
+    beside = _beside(docs, names).select("__key", "__sub", "text", "values")
+    ranked = beside.mapInPandas(pairs, "rank long, __k long, __s long").repartition("rank").sortWithinPartitions("rank", "__k", "__s")
+    return ranked.mapInPandas(several, "__k long, __s long, value int")
 
 
 def repeats(docs: DataFrame, buckets: int, held_most: int = HELD) -> DataFrame:
-    """(__key, __sub, lo, hi): stretches of bytes that repeated strings cover. docs has ``__key``, ``__sub``, ``text`` and maybe more.
+    """(__key, __sub, span): stretches of bytes that repeated strings cover. docs has ``__key``, ``__sub``, ``text`` and maybe more.
 
     All of docs goes through the joins by key, so that a caller that joins docs by key again shares their shuffle."""
     n = buckets
@@ -405,15 +443,15 @@ def repeats(docs: DataFrame, buckets: int, held_most: int = HELD) -> DataFrame:
             first = _new(place)
             of, heads, home = np.cumsum(first) - 1, place[first], owner[first]
             after, before, right, left = _sides(s, ranks, heads, home)
-            right &= _kept(s, values, home, after)
-            left &= _kept(s, values, home, before)
+            right &= _kept(s, values, home, _short(after))
+            left &= _kept(s, values, home, _short(before))
             reach = place - at  # bytes of the string before its anchor; LENGTH - ANCHOR - reach are behind it
             stay = (right[of] | (reach > OFFSET)) & (left[of] | (reach < OFFSET))
             at, owner, place = at[stay], owner[stay], place[stay]
             if not len(at):
                 continue
-            flags, settled = repeated(s, at, owner)
-            rows = [(int(s.doc[0]) % n, SPANS, _spans(s, at, owner, flags).tobytes())] if flags.any() else []
+            flags, settled = repeated(s, at, owner, ranks)
+            rows = [(int(s.doc[0]) % n, SPANS, packed_spans(_spans(s, at, owner, flags)))] if flags.any() else []
             at, owner, place = at[~settled], owner[~settled], place[~settled]
             yield packed_rows(rows + packed(s, at, owner, (ranks[place] % np.uint64(n)).astype(np.int64), place))
 
@@ -425,12 +463,12 @@ def repeats(docs: DataFrame, buckets: int, held_most: int = HELD) -> DataFrame:
             s = Stretches.joined(held)
             at, owner = s.windows()
             flags, settled = repeated(s, at, owner)
-            rows = [(int(now) * 31 % n, SPANS, _spans(s, at, owner, flags).tobytes())] if flags.any() else []
+            rows = [(int(now) * 31 % n, SPANS, packed_spans(_spans(s, at, owner, flags)))] if flags.any() else []
             at, owner = at[~settled], owner[~settled]
             bounds = _runs(at, owner)
             kept = s.cut(at[bounds[:-1]], at[bounds[1:] - 1], owner[bounds[:-1]])
             if over or most is not None and len(kept.data) > most:
-                own = full_ranks(s)[at]
+                own = full_ranks(s.ranks(), at)
                 return rows + packed(s, at, owner, (_mixed(own) % np.uint64(n)).astype(np.int64), own), None
             return rows, kept
 
@@ -465,8 +503,8 @@ def repeats(docs: DataFrame, buckets: int, held_most: int = HELD) -> DataFrame:
                 yield spans_of(body)
 
     gathered = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket")
-    dealt = gathered(_beside(docs, ranked, "rank").mapInPandas(deal, PACKED))
-    return gathered(dealt.mapInPandas(meet, PACKED)).mapInPandas(end, "__key long, __sub long, lo long, hi long")
+    dealt = gathered(_beside(docs, ranked).mapInPandas(deal, PACKED))
+    return gathered(dealt.mapInPandas(meet, PACKED)).mapInPandas(end, FOUND)
 
 
 def deduplicated(docs: DataFrame, buckets: int | None = None, held_most: int = HELD) -> DataFrame:
@@ -482,8 +520,9 @@ def deduplicated(docs: DataFrame, buckets: int | None = None, held_most: int = H
                 kept, removed, runs = data, 0, 0
                 if found:
                     edges = np.zeros(len(data) + 1, np.int32)
-                    np.add.at(edges, [s["lo"] for s in found], 1)
-                    np.add.at(edges, [s["hi"] for s in found], -1)
+                    lo, hi = ends_of(found)
+                    np.add.at(edges, lo, 1)
+                    np.add.at(edges, hi, -1)
                     gone = np.cumsum(edges[:-1]) > 0
                     removed, runs = int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
