@@ -413,8 +413,8 @@ def shared_pairs(docs: DataFrame, names: DataFrame, buckets: int) -> DataFrame:
             last = slice(bounds[-1], bounds[-1] + 1)
             held = rank[last], doc[last], sub[last], many[-1:]
 
-    beside = _beside(docs, names).select("__key", "__sub", "text", "values")
-    ranked = beside.mapInPandas(pairs, "rank long, __k long, __s long").repartition("rank").sortWithinPartitions("rank", "__k", "__s")
+    # all columns of docs go in, so that every join by key starts from one and the same shuffle
+    ranked = _beside(docs, names).mapInPandas(pairs, "rank long, __k long, __s long").repartition("rank").sortWithinPartitions("rank", "__k", "__s")
     return ranked.mapInPandas(several, "__k long, __s long, value int")
 
 
