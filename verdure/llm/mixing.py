@@ -148,10 +148,10 @@ def draws(plan: DataFrame, block: int = BLOCK, per_shard: int = SLOTS, seed: int
                     here = min(per_shard, slots - shard * per_shard)
                     rng = np.random.default_rng([seed, shard])
                     drawn = drawn_slots(want, here, rng)
-                    places = np.split(rng.permutation(here), np.cumsum(drawn)[:-1])
+                    places = np.split(rng.permutation(here).astype(np.int32), np.cumsum(drawn)[:-1])
                     yield pd.DataFrame({"shard": shard, "rank": rank, "drawn": drawn, "places": places})[drawn > 0]
 
-    return dealt.mapInPandas(draw, "shard long, rank long, drawn long, places array<long>")
+    return dealt.mapInPandas(draw, "shard long, rank long, drawn long, places array<int>")
 
 
 def drawn_slots(want, slots: int, rng):
@@ -166,7 +166,7 @@ def drawn_slots(want, slots: int, rng):
 
 def slots(plan: DataFrame, block: int = BLOCK, per_shard: int = SLOTS, seed: int = SEED) -> DataFrame:
     """(rank, shard, slot, round, index, lo, hi): the block that each output slot takes, as a stretch of its source's stream."""
-    counts = draws(plan, block, per_shard, seed)
+    counts = cut(draws(plan, block, per_shard, seed))  # as files, so that the planner knows their size
     # a running number of a source's slots: sums of PART shards each, then within them
     counts = counts.withColumn("part", F.floor(F.col("shard") / PART))
     part_sums = counts.groupBy("rank", "part").agg(F.sum("drawn").alias("d"))
@@ -193,7 +193,7 @@ def pieces(docs_placed: DataFrame, plan: DataFrame, block: int = BLOCK, seed: in
 
     Documents and slots meet by (source, block index): a document is dealt to the blocks that it touches."""
     rows = docs_placed.filter("size > 0").withColumn("index", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
-    rows = rows.join(slots(plan, block, per_shard, seed), ["rank", "index"])
+    rows = rows.join(cut(slots(plan, block, per_shard, seed)), ["rank", "index"])
     begin, end = F.greatest("lo", "start"), F.least(F.col("hi"), F.col("start") + F.col("size"))
     return rows.select(*docs_placed.columns, "shard", "slot", "round", (begin - F.col("lo")).alias("place"), (begin - F.col("start")).alias("begin"), (end - F.col("start")).alias("end"))
 
