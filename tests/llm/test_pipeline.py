@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from test_quality import counts
-from test_simhash import brute_components, brute_fingerprint
+from test_simhash import brute_kept
 
 from verdure.llm import bpe, mixing, secrets
 
@@ -38,11 +38,9 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in want)
     one = corpus_pipeline.near_duplicates(spark, kept, str(tmp_path))
     assert one.columns == columns
-    roots = brute_components([brute_fingerprint(r[1]) for r in want])
-    least = {}
-    for r in sorted(want):
-        least.setdefault(roots[brute_fingerprint(r[1])], r)
-    assert sorted(r["doc_id"] for r in one.collect()) == sorted(r[0] for r in least.values())
+    stays = {t[1] for t in brute_kept(want)}
+    least = {r[0]: r for r in want if r[0] in stays}
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted(least)
     masked = corpus_pipeline.secret_scans(spark, one, str(tmp_path))
     assert masked.columns == columns
     texts = {r["doc_id"]: r["text"] for r in masked.collect()}

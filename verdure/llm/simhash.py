@@ -1,15 +1,22 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
-A fingerprint has a bit set where over half of the text's shingle hashes have it set. Fingerprints link at ``RADIUS`` or
-fewer differing bits. Distinct fingerprints are dealt to buckets by every pair of six bit blocks: two that differ in at
-most four bits agree in two blocks at least, so each link meets in some bucket and none is lost. In a bucket, fingerprints
-are compared as vertical bit planes: carry-save counters add the differing bits of many lanes at once, and a block of
-lanes is abandoned once all exceed the radius. A large bucket is searched from fingerprint to fingerprint among those not
-yet reached, so that dense groups take near-linear time and give a tree of links, not all pairs.
+A fingerprint has a bit set where over half of the text's shingle hashes have it set. Candidates are compared as vertical
+bit planes: carry-save counters add the differing bits of many lanes at once, and a block of lanes is abandoned once all
+exceed the radius. A bucket of candidates that is large is searched from one to the next among those not yet reached, so
+that dense groups take near-linear time and give a tree of links, not all pairs.
+
+:func:`components` links 64-bit fingerprints at ``RADIUS`` or fewer differing bits. They are dealt to buckets by every pair
+of six bit blocks: two that differ in at most four bits agree in two blocks at least, so each link meets in some bucket
+and none is lost.
+
+:func:`deduplicated` links texts whose sets of ``WIDTH``-word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
+A text gets ten 64-bit fingerprints and meets others in a bucket for each of their forty 16-bit bands; candidates within
+``SPAN`` bits of the first two fingerprints are compared by their whole shingle sets. At a similarity of 0.8 a pair meets
+in one bucket at least with a chance of about 0.95, at 0.9 of over 0.99. Texts of the same words are one text.
 
 NULL and blank texts have fingerprint zero and are linked as any other. Rows with a NULL id take part, but are never a
-component's id unless no row of it has one (then the id is NULL). Repeated rows repeat their result; extra columns are
-ignored by :func:`components` and kept by :func:`deduplicated`.
+component's id unless no row of it has one (then the id is NULL; the largest 64-bit number counts as none). Repeated rows
+repeat their result; extra columns are ignored by :func:`components` and kept by :func:`deduplicated`.
 """
 
 from __future__ import annotations
@@ -21,10 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_text, cut
+from .common import NO_ID, by_text, cut
 from .graph import connected
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
+#: For texts that are alike: words to a shingle, similarity, 64-bit fingerprints, bits that two of these may differ in.
+WIDTH, SIMILARITY, PRINTS, SPAN = 5, 0.8, 10, 30
 #: Bit blocks (shift, width); every pair of blocks is one way to deal.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Buckets up to this size compare all their pairs; larger ones are searched.
@@ -62,44 +71,45 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def planes(values):
-    """Bit planes of 64-bit values: row k holds bit k of all values, eight lanes to a byte."""
+    """Bit planes of rows of 64-bit values: plane k holds bit k of all rows, eight lanes to a byte."""
     import numpy as np
 
-    bits = np.unpackbits(values.astype(np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    rows = np.ascontiguousarray((values if values.ndim == 2 else values[:, None]).astype(np.uint64))
+    bits = np.unpackbits(rows.view(np.uint8).reshape(len(rows), 8 * rows.shape[1]), axis=1, bitorder="little")
     return np.packbits(bits.T, axis=1, bitorder="little")
 
 
 def within(differing, lanes: int, radius: int = RADIUS):
-    """Which lanes have at most ``radius`` (under 8) bits set over 64 planes; blocks beyond it are abandoned early.
+    """Which lanes have at most ``radius`` bits set over all planes; blocks beyond it are abandoned early.
 
-    Counters ones, twos and fours are updated by carry-save addition of one plane at a time; ``over`` remembers eight."""
+    A plane is added to the counters of ones, twos, fours and so on by carry-save steps; ``over`` remembers an overflow."""
     import numpy as np
 
-    ones = np.zeros(differing.shape[1], np.uint8)
-    twos, fours, over = ones.copy(), ones.copy(), ones.copy()
+    counters = [np.zeros(differing.shape[1], np.uint8) for _ in range(radius.bit_length())]
+    over = np.zeros(differing.shape[1], np.uint8)
 
     def exceeding():
-        out = over.copy()
-        for count in range(radius + 1, 8):
-            out |= (ones if count & 1 else ~ones) & (twos if count & 2 else ~twos) & (fours if count & 4 else ~fours)
-        return out
+        more, same = over.copy(), np.full(len(over), 255, np.uint8)
+        for k in reversed(range(len(counters))):
+            if radius >> k & 1:
+                same &= counters[k]
+            else:
+                more |= same & counters[k]
+                same &= ~counters[k]
+        return more
 
     unused = np.packbits(np.arange(differing.shape[1] * 8) >= lanes, bitorder="little")
-    for k in range(64):
-        p = differing[k]
-        carry = ones & p
-        ones ^= p
-        more = twos & carry
-        twos ^= carry
-        over |= fours & more
-        fours ^= more
-        if k % 8 == 7 and k < 63 and ((exceeding() | unused) == 255).all():
+    for n, carry in enumerate(differing, 1):
+        for k, counter in enumerate(counters):
+            counters[k], carry = counter ^ carry, counter & carry
+        over |= carry
+        if n % 8 == 0 and n > radius and n < len(differing) and ((exceeding() | unused) == 255).all():
             return np.zeros(lanes, bool)
     return np.unpackbits(~exceeding(), bitorder="little", count=lanes).astype(bool)
 
 
-def links_of_small(keys, values):
-    """Linked pairs inside runs of equal keys, all of at most SMALL values: neighbours at each distance, in blocks of lanes."""
+def links_of_small(keys, values, radius: int = RADIUS):
+    """Index pairs that are linked inside runs of equal keys, all of at most SMALL rows: neighbours at each distance."""
     import numpy as np
 
     found = []
@@ -109,100 +119,213 @@ def links_of_small(keys, values):
             break
         for s in range(0, len(at), LANES):
             i = at[s : s + LANES]
-            hit = i[within(planes(values[i] ^ values[i + step]), len(i))]
+            hit = i[within(planes(values[i] ^ values[i + step]), len(i), radius)]
             if len(hit):
-                found.append(np.stack([values[hit], values[hit + step]], 1))
+                found.append(np.stack([hit, hit + step], 1))
     return found
 
 
-def links_of_large(values):
-    """A tree of links for each group of linked values: every value is once compared with all that are not yet reached."""
+def links_of_large(values, radius: int = RADIUS):
+    """Index pairs that are a tree of links for each group: every row is once compared with all that are not yet reached."""
     import numpy as np
 
-    rest, found = values, []
+    rest, found = np.arange(len(values)), []
     full = np.array([0, 255], np.uint8)
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
-        vertical = planes(rest)  # made anew only when values leave
+        vertical = planes(values[rest])  # made anew only when rows leave
         while queue and len(rest):
             q = queue.pop()
-            flips = full[np.unpackbits(np.array([q], np.uint64).view(np.uint8), bitorder="little")][:, None]
+            own = np.ascontiguousarray(values[q : q + 1].astype(np.uint64)).view(np.uint8).reshape(-1)
+            flips = full[np.unpackbits(own, bitorder="little")][:, None]
             hit = np.zeros(len(rest), bool)
             for s in range(0, len(rest), LANES):
                 n = min(LANES, len(rest) - s)
-                hit[s : s + n] = within(vertical[:, s // 8 : (s + n + 7) // 8] ^ flips, n)
+                hit[s : s + n] = within(vertical[:, s // 8 : (s + n + 7) // 8] ^ flips, n, radius)
             if hit.any():
-                found.append(np.stack([np.full(hit.sum(), q, np.uint64), rest[hit]], 1))
+                found.append(np.stack([np.full(hit.sum(), q), rest[hit]], 1))
                 queue += list(rest[hit])
                 rest = rest[~hit]
-                vertical = planes(rest)
+                vertical = planes(values[rest])
     return found
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that connect all that are within the radius."""
+NODE = ("id", "x", "y")
+
+
+def met(dealt: DataFrame, words: list[str], radius: int) -> DataFrame:
+    """(a, b): nodes that meet in a bucket within the radius; in large buckets only a tree of them.
+
+    dealt has ``key``, the node's columns ``id``, ``x``, ``y`` (64-bit numbers) and 64-bit ``words`` to compare."""
     import numpy as np
 
-    ways = [F.struct(*[F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1).alias(f"k{i}") for i, (s, w) in enumerate(pair)]) for pair in combinations(BLOCKS, 2)]
-    coded = F.array(*[F.lit(n << 22).cast("long") + F.shiftleft(k["k0"], 11) + k["k1"] for n, k in enumerate(ways)])
-    dealt = distinct.select(F.explode(coded).alias("key"), "fp")
+    names = [*words, *NODE]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_k, held_v = np.array([], np.int64), np.array([], np.uint64)
-
-        def solve(keys, values) -> Iterator[pd.DataFrame]:
-            bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.array([0])
+        held: list[tuple] = []  # rows of the last key so far
+
+        def solve() -> Iterator[pd.DataFrame]:
+            keys = np.concatenate([k for k, _ in held])
+            rows = np.concatenate([r for _, r in held])
+            held.clear()
+            values = rows[:, : len(words)].view(np.uint64)
+            bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
             sizes = np.diff(bounds)
-            small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
-            found = links_of_small(keys[small], values[small])
+            small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+            found = [small[p] for p in links_of_small(keys[small], values[small], radius)]
             for g in np.flatnonzero(sizes > SMALL):
-                found += links_of_large(values[bounds[g] : bounds[g + 1]])
+                found += [p + bounds[g] for p in links_of_large(values[bounds[g] : bounds[g + 1]], radius)]
             if found:
-                pairs = np.concatenate(found).astype(np.uint64).view(np.int64)
-                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                pairs, nodes = np.concatenate(found), rows[:, len(words) :]
+                both = np.concatenate([nodes[pairs[:, 0]], nodes[pairs[:, 1]]], 1)
+                yield pd.DataFrame(both, columns=[f"{side}{c}" for side in "ab" for c in NODE]).drop_duplicates()
 
         for batch in batches:
-            keys = np.concatenate([held_k, batch["key"].to_numpy(np.int64)])
-            values = np.concatenate([held_v, batch["fp"].to_numpy(np.int64).view(np.uint64)])
-            if not len(keys):
+            if not len(batch):
                 continue
+            keys, rows = batch["key"].to_numpy(np.int64), np.stack([batch[c].to_numpy(np.int64) for c in names], 1)
             last = int(np.searchsorted(keys, keys[-1]))  # rows come sorted by key; the last run may go on
-            yield from solve(keys[:last], values[:last])
-            held_k, held_v = keys[last:], values[last:]
-        yield from solve(held_k, held_v)
+            if last or held and held[-1][0][-1] != keys[-1]:
+                held.append((keys[:last], rows[:last]))
+                yield from solve()
+            held.append((keys[last:], rows[last:]))
+        if held:
+            yield from solve()
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
+    schema = ", ".join(f"{side}{c} long" for side in "ab" for c in NODE)
+    pairs = dealt.select("key", *names).repartition("key").sortWithinPartitions("key", *NODE).mapInPandas(run, schema)
+    a, b = (F.struct(*[F.col(f"{side}{c}").alias(c) for c in NODE]) for side in "ab")
+    return pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
 
 
-def rooted(distinct: DataFrame) -> DataFrame:
-    """A written table of distinct fingerprints (column fp) with ``root``, the least fingerprint of each one's component."""
-    roots = connected(links(distinct.select("fp")))
-    return distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-
-
-def classes(fps: DataFrame) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of a written table (doc_id, fp)."""
-    rows = rooted(cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))))
-    least = rows.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rows.select("fp", "root").join(least, "root").select("fp", "component_id")
+def links(distinct: DataFrame) -> DataFrame:
+    """(a, b): links between distinct fingerprints (columns id, fp) that connect all that are within the radius."""
+    ways = [F.struct(*[F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1).alias(f"k{i}") for i, (s, w) in enumerate(pair)]) for pair in combinations(BLOCKS, 2)]
+    coded = F.array(*[F.lit(n << 22).cast("long") + F.shiftleft(k["k0"], 11) + k["k1"] for n, k in enumerate(ways)])
+    dealt = distinct.select(F.explode(coded).alias("key"), "fp", "id", F.col("fp").alias("x"), F.lit(0).cast("long").alias("y"))
+    return met(dealt, ["fp"], RADIUS)
 
 
 def components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id."""
     fps = cut(fingerprints(docs))
-    return fps.join(classes(fps), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # nodes are ordered by their least id, so that a component's root has the component's id
+    distinct = cut(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id").cast("long"), F.lit(NO_ID)).alias("id")))
+    roots = connected(links(distinct)).select(F.col("node.x").alias("__fp"), F.col("root.id").alias("__root"))
+    known = distinct.join(roots, F.col("fp") == F.col("__fp"), "left").select("fp", F.coalesce("__root", "id").alias("__id"))
+    own = F.when(F.col("__id") != NO_ID, F.col("__id")).cast(dict(docs.dtypes)["doc_id"])
+    return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), own.alias("component_id"))
+
+
+def shingles(texts: list[str | None], width: int = WIDTH):
+    """For each text, the bytes of its words joined by one space, and its distinct shingle hashes in order (64-bit).
+
+    Words and shingles are hashed for all texts at once; a text of fewer words is one shingle, one without words none."""
+    import numpy as np
 
+    from .substrings import _STEP, Units, _mixed, _sums, _word_hashes
+
+    lower = bytes.maketrans(_UPPER, _LOWER)
+    units = Units.of_texts([(t or "").encode("utf-8").translate(lower) for t in texts], np.arange(len(texts)))
+    ends = np.flatnonzero(units.data == 32)
+    hashes = _word_hashes(units.data, np.concatenate([[0], ends[:-1] + 1]), ends) if len(ends) else np.zeros(0, np.uint64)
+    raw, stop = units.data.tobytes(), np.cumsum(units.words)
+    out = []
+    for n, last in zip(units.words.tolist(), stop.tolist()):
+        if not n:
+            out.append((b"", np.zeros(0, np.uint64)))
+            continue
+        first = last - n
+        lo = np.arange(first, max(first + 1, last - width + 1))
+        grams = _mixed(_sums(hashes[first:last], lo - first, np.minimum(lo + width, last) - first, _STEP))
+        out.append((raw[ends[first - 1] + 1 if first else 0 : ends[last - 1]], np.unique(grams)))
+    return out
+
+
+def prints(grams, count: int = PRINTS) -> list[int]:
+    """Fingerprints of a text's shingle hashes, each by another mixing of them, as signed numbers."""
+    import numpy as np
+
+    from .substrings import _mixed
+
+    keys = _mixed(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    set_bits = np.zeros(64 * count, np.int64)
+    for at in range(0, len(grams), 1 << 12):
+        words = _mixed(grams[at : at + (1 << 12), None] ^ keys)
+        set_bits += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return np.packbits(2 * set_bits > len(grams), bitorder="little").view(np.int64).tolist()
+
+
+def similar(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """A table of distinct texts (id, x, y and the digest of a row that holds it), and (a, b) links between their nodes.
+
+    docs has ``__id``, ``__digest`` and ``text``. x and y are 128 bits of the text's words; id and digest are the least ones."""
+
+    def make():
+        import xxhash
+
+        def rows(texts):
+            out = []
+            for words, grams in shingles(texts, width):
+                h = xxhash.xxh3_128_intdigest(words)
+                x, y = (n - (1 << 64) if n >> 63 else n for n in (h >> 64, h & (1 << 64) - 1))
+                out.append((x, y, *(prints(grams) if len(grams) else [None] * PRINTS)))
+            return out
+
+        return rows
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+    fields = ", ".join(["x long", "y long", *(f"p{k} long" for k in range(PRINTS))])
+    rows = by_text(docs.select("__id", "__digest", "text"), ["__id", "__digest"], fields, make)
+    texts = cut(rows.groupBy("x", "y").agg(F.min(F.struct("__id", "__digest")).alias("row"), *[F.first(f"p{k}").alias(f"p{k}") for k in range(PRINTS)]))
+    nodes = texts.select(F.col("row.__id").alias("id"), "x", "y", F.col("row.__digest").alias("digest"))
+    bands = [F.shiftrightunsigned(f"p{k}", 16 * b).bitwiseAND(0xFFFF) + F.lit((4 * k + b) << 16).cast("long") for k in range(PRINTS) for b in range(4)]
+    dealt = texts.filter("p0 is not null").select(F.explode(F.array(*bands)).alias("key"), "p0", "p1", F.col("row.__id").alias("id"), "x", "y")
+    near = cut(met(dealt, ["p0", "p1"], SPAN))
+    return nodes, _verified(near, nodes, docs, width, similarity)
+
+
+def _verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs of near whose shingle sets are that similar. Only texts in pairs are read, a set of hashes each."""
+    import pyarrow as pa
+
+    asked = near.select("a").union(near.select("b")).distinct().select(F.col("a.id").alias("id"), F.col("a.x").alias("x"), F.col("a.y").alias("y"))
+    rows = nodes.join(asked, list(NODE)).select(F.col("id").alias("__i"), F.col("digest").alias("__d"), F.struct(*NODE).alias("node"))
+    held = docs.join(rows, (F.col("__id") == F.col("__i")) & (F.col("__digest") == F.col("__d"))).select("node", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [g.tobytes() for _, g in shingles(batch.column("text").to_pylist(), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(grams, pa.binary())], ["node", "grams"])
+
+    known = cut(held.mapInArrow(sets, "node struct<id:long,x:long,y:long>, grams binary").dropDuplicates(["node"]))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            keep = []
+            for one, other in zip(batch.column("g").to_pylist(), batch.column("h").to_pylist()):
+                a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+                if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                    keep.append(False)
+                    continue
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = near.join(known.select(F.col("node").alias("a"), F.col("grams").alias("g")), "a").join(known.select(F.col("node").alias("b"), F.col("grams").alias("h")), "b")
+    node = "struct<id:long,x:long,y:long>"
+    return pairs.select("a", "b", "g", "h").mapInArrow(alike, f"a {node}, b {node}")
+
+
+def deduplicated(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """docs without near-duplicates: one row of each component stays, that of least id (NULL last), then of least text digest.
 
-    Equal texts share a component, so id and digest together name rows of one component only, also where ids are NULL or
-    stand beside several texts. Of rows that agree in both, any one stays."""
-    digest = F.sha2("text", 256)
-    fps = cut(by_text(docs.select("doc_id", "text", digest.alias("__digest")), ["doc_id", "__digest"], "fp long", lambda: lambda texts: [(fingerprint(t),) for t in texts]))
-    key = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("__digest").isNull().alias("m"), "__digest")
-    rows = rooted(cut(fps.groupBy("fp").agg(F.min(key).alias("first"))))
-    first = rows.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.__digest").alias("__of"))
-    kept = docs.withColumn("__digest", digest).join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__digest").eqNullSafe(F.col("__of")), "left_semi")
-    one = Window.partitionBy("doc_id", "__digest").orderBy("doc_id")
-    return kept.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n", "__digest")
+    Of rows that agree in id and text, any one stays."""
+    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__digest": F.coalesce(F.sha2("text", 256), F.lit(""))})
+    nodes, edges = similar(rows.select("__id", "__digest", "text"), width, similarity)
+    others = connected(edges).select("node.*")
+    first = nodes.join(others, list(NODE), "left_anti").select(F.col("id").alias("__i"), F.col("digest").alias("__d"))
+    kept = rows.join(first, (F.col("__id") == F.col("__i")) & (F.col("__digest") == F.col("__d")), "left_semi")
+    one = Window.partitionBy("__id", "__digest").orderBy(F.lit(0))
+    return kept.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
