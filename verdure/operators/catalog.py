@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Trailing name tokens that mark a modality or channel.
 KNOWN_SUFFIXES = (
     "radiance", "reflectance", "radiometric", "ir", "rgb", "thermal", "ms", "nir", "red", "green", "blue", "gray", "grey", "pan", "panchromatic",
@@ -45,11 +47,18 @@ def files_by_tree(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("folder", tree_key(F.col("filename")).alias("tree")).agg(F.sort_array(F.collect_list("filename")).alias("files"))
 
 
-def paired(left: DataFrame, right: DataFrame, offset: int) -> DataFrame:
-    """Roots of two sorted lists (column root) paired by position: right position = left position + offset.
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """rows with a running number from 0 in the given order: sorted range by range, each range's offset added."""
+    parts = written(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return parts.withColumn("__own", own).join(sizes, "__part").select(*rows.columns, (F.col("__before") + F.col("__own")).alias(name))
 
-    Root lists hold one row per image group; their order needs one sorted pass over these names."""
-    number = lambda df: df.select("root", (F.row_number().over(Window.orderBy("root")) - 1).alias("i"))
+
+def paired(left: DataFrame, right: DataFrame, offset: int) -> DataFrame:
+    """Roots of two sorted lists (column root) paired by position: right position = left position + offset."""
+    number = lambda df: numbered(df.select("root"), "i", "root")
     a, b = number(left), number(right).select(F.col("root").alias("paired"), (F.col("i") - offset).alias("i"))
     return a.join(b, "i", "left").select("root", "paired")
 
@@ -133,7 +142,8 @@ def resolved_recipes(catalog: DataFrame, recipes: DataFrame) -> DataFrame:
     r = r.withColumn("priority", priority)
     own = c.join(r.filter("r_base is not null"), (F.col("base") == F.col("r_base")) & ((F.col("scope") == "project") | (F.col("folder") == F.col("r_folder"))))
     wide = c.join(r.filter("r_base is null and scope = 'side'"), F.col("folder") == F.col("r_folder"))
-    every = c.join(F.broadcast(r.filter("r_base is null and scope = 'project'").limit(1)), F.lit(True))  # one global recipe
+    # one global recipe: the least, should there be several
+    every = c.join(F.broadcast(r.filter("r_base is null and scope = 'project'").orderBy("body").limit(1)), F.lit(True))
     found = own.unionByName(wide).unionByName(every)
     best = found.groupBy("file_id").agg(F.min(F.struct("priority", "body")).alias("b"))
     return c.select("file_id").join(best, "file_id", "left").select("file_id", F.col("b.priority").alias("priority"), F.col("b.body").alias("body"))

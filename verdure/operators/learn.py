@@ -11,7 +11,7 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,13 +125,16 @@ def search(rows: DataFrame, names: list[str], kind: str, draws: int | None = Non
         every = random.Random(seed).sample(every, draws)
     indexed = StringIndexer(inputCol="label", outputCol="label_id", stringOrderType="alphabetAsc").fit(rows).transform(rows)
     ready = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(indexed)
-    scored = []
-    for params in every:
-        est = estimator(kind, **params)
-        cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=BalancedAccuracy(), numFolds=folds, seed=seed, parallelism=parallelism)
-        scored.append((cv.fit(ready).avgMetrics[0], params))
-    best = max(scored, key=lambda s: s[0])
-    return fit(rows, names, kind, **best[1]), {"params": best[1], "balanced_accuracy": best[0]}
+    ready = ready.select("features", "label_id").persist()
+    whole = estimator(kind)
+    inner = whole.getStages()[-1] if isinstance(whole, Pipeline) else whole
+    inner = inner.getClassifier() if isinstance(inner, OneVsRest) else inner
+    maps = [{inner.getParam(k): v for k, v in params.items()} for params in every]
+    cv = CrossValidator(estimator=whole, estimatorParamMaps=maps, evaluator=BalancedAccuracy(), numFolds=folds, seed=seed, parallelism=parallelism)
+    scored = cv.fit(ready).avgMetrics
+    ready.unpersist()
+    best = max(range(len(every)), key=scored.__getitem__)
+    return fit(rows, names, kind, **every[best]), {"params": every[best], "balanced_accuracy": scored[best]}
 
 
 def holdout(rows: DataFrame, share: float = 0.2, seed: int = SEED, *key: str) -> DataFrame:
@@ -215,8 +218,10 @@ def class_map(model: PipelineModel, pixels: DataFrame, bands: list[str], express
     """(image_id, y, x, class_id) of every pixel; windows repeat the edge; masked pixels get the NoData value, or NULL."""
     base = [*bands, *(expressions or {})]
     px = evaluate(pixels, expressions or {}, "preserve").withColumn("__m", F.lit(False) if masked is None else masked)
-    centres = px.select("image_id", "y", "x", "__m")
-    rows = window_features(px.drop("__m"), centres, base, window, "edge").na.fill(0.0)
+    if window == 1:  # every pixel is its own window
+        rows = px.select("image_id", "y", "x", "__m", *base).na.fill(0.0)
+    else:
+        rows = window_features(px.drop("__m"), px.select("image_id", "y", "x", "__m"), base, window, "edge").na.fill(0.0)
     out = model.transform(rows.withColumn("label", F.lit(None).cast("string")))
     return out.select("image_id", "y", "x", F.when(F.col("__m"), F.lit(nodata).cast("double")).otherwise(F.col("prediction")).alias("class_id"))
 

@@ -11,18 +11,28 @@ from pyspark.sql import functions as F
 from ..session import written
 from .catalog import canonical_base, stem
 
-CELLS = (1.0, 4.0, 16.0, 64.0, 360.0)
+CELLS = tuple(360.0 / 4**k for k in range(13))
+#: Images to an occupied cell of the first grid, about.
+DENSITY = 4
 
 
-def nearest(targets: DataFrame, images: DataFrame, cells: tuple[float, ...] = CELLS) -> DataFrame:
+def _grids(images: DataFrame) -> tuple[float, ...]:
+    """Cell widths from the widest that holds about DENSITY images where there are any, each four times the one before."""
+    cell = lambda c: F.struct(F.floor(F.col("ilat") / c), F.floor(F.col("ilon") / c))
+    n, *occupied = images.agg(F.count("*"), *[F.approx_count_distinct(cell(c)) for c in CELLS]).first()
+    first = next((k for k, o in enumerate(occupied) if n <= DENSITY * o), len(CELLS) - 1)
+    return CELLS[first::-1]
+
+
+def nearest(targets: DataFrame, images: DataFrame, cells: tuple[float, ...] | None = None) -> DataFrame:
     """(target_index, filename, degrees): the image nearest to each target in plain (latitude, longitude) degrees.
 
     Both sides meet by grid cell: a target looks into the nine cells around it, and its best match holds if it is no
-    farther than a cell is wide; the others go on to a coarser grid. Ties go to the lesser name. Targets without any
+    farther than a cell is wide; the others go on to a coarser grid. The first grid's cells follow from the images' density. Ties go to the lesser name. Targets without any
     image, or without coordinates, are left out."""
     left = targets.filter("latitude is not null and longitude is not null").select("target_index", "latitude", "longitude")
     pics = images.filter("latitude is not null and longitude is not null").select("filename", F.col("latitude").alias("ilat"), F.col("longitude").alias("ilon"))
-    done = []
+    done, cells = [], cells or _grids(pics)
     for n, cell in enumerate(cells):
         at = lambda c: F.floor(F.col(c) / cell)  # noqa: B023, E731
         near = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])

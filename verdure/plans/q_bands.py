@@ -11,38 +11,34 @@ from .registry import query
 BANDS = ["b1", "b2", "b3", "b4"]
 
 
-def _r(c, digits=4):
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
-
-
 _CLEAN = "SELECT image_id, y, x, coalesce(b1, 0) AS b1, b2, b3, b4 FROM gaps"
 
 
-@query("band_expression_zero_fill", f"WITH gaps AS ({V.GAPS}), z AS ({_CLEAN}) SELECT image_id, y, x, round(CASE WHEN b1 + b2 <> 0 THEN (b1 - b2) / (b1 + b2) ELSE 0 END, 4) AS ndvi, CAST(CASE WHEN b1 > 100 AND NOT b2 < 20 THEN 1 ELSE 0 END AS DOUBLE) AS bright FROM z")
+@query("band_expression_zero_fill", f"WITH gaps AS ({V.GAPS}), z AS ({_CLEAN}) SELECT image_id, y, x, (CASE WHEN b1 + b2 <> 0 THEN (b1 - b2) / (b1 + b2) ELSE 0 END) AS ndvi, CAST(CASE WHEN b1 > 100 AND NOT b2 < 20 THEN 1 ELSE 0 END AS DOUBLE) AS bright FROM z")
 def band_expression_zero_fill(spark, sf_dir):
     px = B.evaluate(V.pixels(spark, sf_dir, gaps=True), {"ndvi": "(b1-b2)/(b1+b2)", "bright": "(b1>100) AND NOT (b2<20)"})
-    return px.select("image_id", "y", "x", _r("ndvi").alias("ndvi"), "bright")
+    return px.select("image_id", "y", "x", "ndvi", "bright")
 
 
-@query("band_expression_preserve", V.with_sql("SELECT image_id, y, x, round(b1 / nullif(b2 - b3, 0), 4) AS ratio FROM gaps", "gaps"))
+@query("band_expression_preserve", V.with_sql("SELECT image_id, y, x, (b1 / nullif(b2 - b3, 0)) AS ratio FROM gaps", "gaps"))
 def band_expression_preserve(spark, sf_dir):
     px = B.evaluate(V.pixels(spark, sf_dir, gaps=True), {"ratio": "b1/(b2-b3)"}, "preserve")
-    return px.select("image_id", "y", "x", _r("ratio").alias("ratio"))
+    return px.select("image_id", "y", "x", "ratio")
 
 
-@query("band_expression_functions", V.with_sql("""SELECT image_id, y, x, round(greatest(10, least(200, b1)), 4) AS clipped, round(CASE WHEN b3 > 50 THEN b1 ELSE b4 END, 4) AS chosen,
-  round(sqrt(greatest(b4, 0)) + ln(greatest(b1, 1e-12)) + abs(b4), 4) AS mathy, round((b1 + b2 + b3) / 3, 4) AS m3, round(list_median([b1, b2, b3]), 4) AS med3,
-  round(sqrt((power(b1 - (b1 + b2) / 2, 2) + power(b2 - (b1 + b2) / 2, 2)) / 2), 4) AS sd2, round(least(b1, b2), 4) AS lo FROM pixels""".replace("list_median([b1, b2, b3])", "b1 + b2 + b3 - least(b1, b2, b3) - greatest(b1, b2, b3)"), "pixels"))
+@query("band_expression_functions", V.with_sql("""SELECT image_id, y, x, (greatest(10, least(200, b1))) AS clipped, (CASE WHEN b3 > 50 THEN b1 ELSE b4 END) AS chosen,
+  (sqrt(greatest(b4, 0)) + ln(greatest(b1, 1e-12)) + abs(b4)) AS mathy, ((b1 + b2 + b3) / 3) AS m3, (list_median([b1, b2, b3])) AS med3,
+  (sqrt((power(b1 - (b1 + b2) / 2, 2) + power(b2 - (b1 + b2) / 2, 2)) / 2)) AS sd2, (least(b1, b2)) AS lo FROM pixels""".replace("list_median([b1, b2, b3])", "b1 + b2 + b3 - least(b1, b2, b3) - greatest(b1, b2, b3)"), "pixels"))
 def band_expression_functions(spark, sf_dir):
     px = B.evaluate(V.pixels(spark, sf_dir), {"clipped": "clip(b1, 10, 200)", "chosen": "where(b3>50, b1, b4)", "mathy": "sqrt(b4)+log(b1)+abs(b4)", "m3": "mean(b1,b2,b3)", "med3": "pmedian(b1,b2,b3)", "sd2": "std(b1,b2)", "lo": "MIN(b1,b2)"})
-    return px.select("image_id", "y", "x", *[_r(c).alias(c) for c in ("clipped", "chosen", "mathy", "m3", "med3", "sd2", "lo")])
+    return px.select("image_id", "y", "x", *[F.col(c).alias(c) for c in ("clipped", "chosen", "mathy", "m3", "med3", "sd2", "lo")])
 
 
-@query("band_expression_image_reducers", V.with_sql("""SELECT p.image_id, y, x, round((b1 - m) / s, 4) AS z, round(b2 - q, 4) AS off FROM pixels p
+@query("band_expression_image_reducers", V.with_sql("""SELECT p.image_id, y, x, ((b1 - m) / s) AS z, (b2 - q) AS off FROM pixels p
   JOIN (SELECT image_id, avg(b1) AS m, stddev_pop(b1) AS s, quantile_cont(b2, 0.5) AS q FROM pixels GROUP BY image_id) a ON p.image_id = a.image_id""", "pixels"))
 def band_expression_image_reducers(spark, sf_dir):
     px = B.evaluate(V.pixels(spark, sf_dir), {"z": "(b1-mean(b1))/std(b1)", "off": "b2-median(b2)"})
-    return px.select("image_id", "y", "x", _r("z").alias("z"), _r("off").alias("off"))
+    return px.select("image_id", "y", "x", "z", "off")
 
 
 @query("band_expression_display", V.with_sql("""SELECT p.image_id, y, x, CAST(CASE WHEN lo = hi THEN 128 ELSE floor((b1 + b3 - lo) * 255 / nullif(hi - lo, 0)) END AS INT) AS band FROM pixels p
@@ -51,18 +47,18 @@ def band_expression_display(spark, sf_dir):
     return B.display_bytes(V.pixels(spark, sf_dir), "b1+b3").select("image_id", "y", "x", "band")
 
 
-@query("many_named_formulas", V.with_sql("SELECT image_id, round(avg(b1 - b2), 4) AS d, round(avg(CASE WHEN b1 + b3 <> 0 THEN b3 / (b1 + b3) ELSE 0 END), 4) AS s FROM pixels GROUP BY image_id", "pixels"))
+@query("many_named_formulas", V.with_sql("SELECT image_id, (avg(b1 - b2)) AS d, (avg(CASE WHEN b1 + b3 <> 0 THEN b3 / (b1 + b3) ELSE 0 END)) AS s FROM pixels GROUP BY image_id", "pixels"))
 def many_named_formulas(spark, sf_dir):
     px = B.evaluate(V.pixels(spark, sf_dir), B.parse_formulas("d = b1-b2\ns=b3/(b1+b3)\nbad = b1**2\n# note"), strict=False)
-    return px.groupBy("image_id").agg(_r(F.avg("d")).alias("d"), _r(F.avg("s")).alias("s"))
+    return px.groupBy("image_id").agg(F.avg("d").alias("d"), F.avg("s").alias("s"))
 
 
-@query("vegetation_indices", V.with_sql("""SELECT image_id, y, x, round(2 * b2 - (b1 + b3), 4) AS exg, round(b2 / (CASE WHEN b1 + b2 + b3 = 0 THEN 1 ELSE b1 + b2 + b3 END), 4) AS gcc,
-  round(b3 / (CASE WHEN b1 + b2 + b3 = 0 THEN 1 ELSE b1 + b2 + b3 END), 4) AS bcc, round((b2 - b3) / (CASE WHEN b2 + b3 = 0 THEN 1 ELSE b2 + b3 END), 4) AS gbd, round(2 * b3 + b1 - 2 * b2, 4) AS wdx, round(b1 + b2 + b3, 4) AS shd FROM pixels""", "pixels"))
+@query("vegetation_indices", V.with_sql("""SELECT image_id, y, x, (2 * b2 - (b1 + b3)) AS exg, (b2 / (CASE WHEN b1 + b2 + b3 = 0 THEN 1 ELSE b1 + b2 + b3 END)) AS gcc,
+  (b3 / (CASE WHEN b1 + b2 + b3 = 0 THEN 1 ELSE b1 + b2 + b3 END)) AS bcc, ((b2 - b3) / (CASE WHEN b2 + b3 = 0 THEN 1 ELSE b2 + b3 END)) AS gbd, (2 * b3 + b1 - 2 * b2) AS wdx, (b1 + b2 + b3) AS shd FROM pixels""", "pixels"))
 def vegetation_indices(spark, sf_dir):
     r, g, b = F.col("b1"), F.col("b2"), F.col("b3")
     named = {"exg": B.exg(r, g, b), "gcc": B.gcc(r, g, b), "bcc": B.bcc(r, g, b), "gbd": B.gbd(g, b), "wdx": B.wdx(r, g, b), "shd": B.shd(r, g, b)}
-    return V.pixels(spark, sf_dir).select("image_id", "y", "x", *[_r(c).alias(n) for n, c in named.items()])
+    return V.pixels(spark, sf_dir).select("image_id", "y", "x", *[c.alias(n) for n, c in named.items()])
 
 
 @query("export_band_order", V.with_sql("SELECT image_id, y, x, b3 AS b1, b2, b1 AS b3, b4 FROM pixels", "pixels"))
@@ -89,14 +85,14 @@ def mask_invalid_to_null(spark, sf_dir):
     return B.mask_missing(V.pixels(spark, sf_dir, gaps=True), [-9999.0], ["b1", "b2"]).select("image_id", "y", "x", "b1", "b2")
 
 
-@query("expression_on_unmasked", V.with_sql(f"SELECT image_id, y, x, round(CASE WHEN {_NODATA} THEN b1 ELSE CASE WHEN b3 <> 0 THEN b2 / b3 ELSE 0 END END, 4) AS v FROM gaps", "gaps"))
+@query("expression_on_unmasked", V.with_sql(f"SELECT image_id, y, x, (CASE WHEN {_NODATA} THEN b1 ELSE CASE WHEN b3 <> 0 THEN b2 / b3 ELSE 0 END END) AS v FROM gaps", "gaps"))
 def expression_on_unmasked(spark, sf_dir):
     px = V.pixels(spark, sf_dir, gaps=True)
     value, _ = B.parse("b2/b3", BANDS)
-    return px.select("image_id", "y", "x", _r(B.apply_masked(value, F.col("b1"), _nodata())).alias("v"))
+    return px.select("image_id", "y", "x", B.apply_masked(value, F.col("b1"), _nodata()).alias("v"))
 
 
-@query("append_derived_band", V.with_sql("SELECT image_id, y, x, b1, b2, b3, b4, round(b1 + b2, 4) AS b5 FROM pixels", "pixels"))
+@query("append_derived_band", V.with_sql("SELECT image_id, y, x, b1, b2, b3, b4, (b1 + b2) AS b5 FROM pixels", "pixels"))
 def append_derived_band(spark, sf_dir):
     value, _ = B.parse("b1+b2", BANDS)
-    return B.append_band(V.pixels(spark, sf_dir), F.round(value, 4))
+    return B.append_band(V.pixels(spark, sf_dir), value)

@@ -43,9 +43,7 @@ def paired_roots(spark, sf_dir):
 @query("natural_order", "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS place FROM supplier")
 def natural_order(spark, sf_dir):
     rows = V.table(spark, sf_dir, "supplier").select("s_suppkey", C.natural_key(F.concat(F.lit("Tile "), F.col("s_suppkey").cast("string"), F.lit(".TIF"))).alias("k"))
-    from pyspark.sql import Window
-
-    return rows.select("s_suppkey", F.row_number().over(Window.orderBy("k")).cast("long").alias("place"))
+    return C.numbered(rows, "n", "k").select("s_suppkey", (F.col("n") + 1).cast("long").alias("place"))
 
 
 @query("canonical_base", V.with_sql(f"SELECT file_id, regexp_replace(lower({_STEM}), '(_(radiance|ir))+$', '') AS base FROM catalog", "catalog"))
@@ -82,7 +80,7 @@ def base_to_root(spark, sf_dir):
 @query("effective_size", V.with_sql("""SELECT image_id, CAST(greatest(1, round_even((CASE WHEN rotate % 180 <> 0 THEN ch ELSE cw END) * scale / 100, 0)) AS INT) AS out_w, CAST(greatest(1, round_even((CASE WHEN rotate % 180 <> 0 THEN cw ELSE ch END) * scale / 100, 0)) AS INT) AS out_h
   FROM (SELECT *, least(crop_w, 32 - crop_x) AS cw, least(crop_h, 32 - crop_y) AS ch FROM recipes)""", "recipes"))
 def effective_size(spark, sf_dir):
-    return C.effective_size(V.recipes_in_sql(spark, sf_dir), F.lit(V.SIDE), F.lit(V.SIDE)).select("image_id", "out_w", "out_h")
+    return C.effective_size(V.recipes(spark, sf_dir), F.lit(V.SIDE), F.lit(V.SIDE)).select("image_id", "out_w", "out_h")
 
 
 @query("resolved_recipes", V.with_sql(f"""SELECT file_id, CASE WHEN own THEN 0 ELSE 1 END AS priority, CASE WHEN own THEN 'own' ELSE 'global' END AS body FROM (SELECT file_id, {_STEM} IN (SELECT {_STEM} FROM catalog WHERE file_id % 5 = 0) AS own FROM catalog)""", "catalog"))

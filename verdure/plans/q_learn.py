@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import learn as L
+from ..session import shared_folder, written
 from . import views as V
 from .registry import query
 
@@ -16,17 +17,17 @@ def training_sample_per_polygon(spark, sf_dir):
     return rows.select("poly_id", "label", "image_id", "y", "x")
 
 
-@query("training_table_expressions", V.with_sql("""SELECT i.poly_id, i.grp AS label, g.image_id, g.y, g.x, g.b1, round(g.b1 / nullif(g.b2 + g.b3, 0), 4) AS ratio FROM inside i JOIN gaps g ON g.image_id = i.image_id AND g.y = i.y AND g.x = i.x WHERE g.b1 IS NOT NULL AND g.b2 <> -9999 AND g.b2 + g.b3 <> 0""", "gaps", "shapes", "inside"))
+@query("training_table_expressions", V.with_sql("""SELECT i.poly_id, i.grp AS label, g.image_id, g.y, g.x, g.b1, (g.b1 / nullif(g.b2 + g.b3, 0)) AS ratio FROM inside i JOIN gaps g ON g.image_id = i.image_id AND g.y = i.y AND g.x = i.x WHERE g.b1 IS NOT NULL AND g.b2 <> -9999 AND g.b2 + g.b3 <> 0""", "gaps", "shapes", "inside"))
 def training_table_expressions(spark, sf_dir):
     rows, _ = L.training_table(V.pixels(spark, sf_dir, gaps=True), V.polygons(spark, sf_dir), ["b1"], {"ratio": "b1/(b2+b3)"}, missing=F.col("b2") == -9999)
-    return rows.withColumn("ratio", F.round("ratio", 4))
+    return rows.withColumn("ratio", F.col("ratio"))
 
 
-@query("training_windows", V.with_sql("""SELECT poly_id, count(*) AS n, round(avg(a), 4) AS upper_left FROM (SELECT i.poly_id, i.y, i.x, count(*) AS k, max(CASE WHEN n.y = i.y - 1 AND n.x = i.x - 1 THEN n.b1 END) AS a FROM inside i
+@query("training_windows", V.with_sql("""SELECT poly_id, count(*) AS n, (avg(a)) AS upper_left FROM (SELECT i.poly_id, i.y, i.x, count(*) AS k, max(CASE WHEN n.y = i.y - 1 AND n.x = i.x - 1 THEN n.b1 END) AS a FROM inside i
   JOIN pixels n ON n.image_id = i.image_id AND abs(n.y - i.y) <= 1 AND abs(n.x - i.x) <= 1 JOIN pixels c ON c.image_id = i.image_id AND c.y = i.y AND c.x = i.x GROUP BY 1, 2, 3) WHERE k = 9 GROUP BY poly_id""", "pixels", "shapes", "inside"))
 def training_windows(spark, sf_dir):
     rows, _ = L.training_table(V.pixels(spark, sf_dir), V.polygons(spark, sf_dir), ["b1"], window=3)
-    return rows.groupBy("poly_id").agg(F.count("*").alias("n"), F.round(F.avg("b1_r-1c-1"), 4).alias("upper_left"))
+    return rows.groupBy("poly_id").agg(F.count("*").alias("n"), F.avg("b1_r-1c-1").alias("upper_left"))
 
 
 _CLIP = "LEFT JOIN pixels n{k} ON n{k}.image_id = c.image_id AND n{k}.y = greatest(0, least(c.my, c.y + ({dy}))) AND n{k}.x = greatest(0, least(c.mx, c.x + ({dx})))"
@@ -76,15 +77,15 @@ def confusion_matrix(spark, sf_dir):
 _CM = f"SELECT l.label, coalesce(h * 1.0 / g, 0) AS p, h * 1.0 / s AS r, s FROM (SELECT label, count(*) AS s, sum(CASE WHEN label = predicted THEN 1 ELSE 0 END) AS h FROM ({_PRED}) GROUP BY 1) l LEFT JOIN (SELECT predicted, count(*) AS g FROM ({_PRED}) GROUP BY 1) q ON q.predicted = l.label"
 
 
-@query("class_metrics", f"SELECT label, round(p, 5) AS precision, round(r, 5) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 5) AS f1, s AS support FROM ({_CM})")
+@query("class_metrics", f"SELECT label, (p) AS precision, (r) AS recall, (CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) AS f1, s AS support FROM ({_CM})")
 def class_metrics(spark, sf_dir):
     rows = L.class_metrics(_predicted(spark, sf_dir))
-    return rows.select("label", *[F.round(c, 5).alias(c) for c in ("precision", "recall", "f1")], "support")
+    return rows.select("label", *[F.col(c).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
-@query("overall_metrics", f"SELECT round(sum(r * s) / sum(s), 5) AS accuracy, round(avg(r), 5) AS balanced_accuracy FROM ({_CM})")
+@query("overall_metrics", f"SELECT (sum(r * s) / sum(s)) AS accuracy, (avg(r)) AS balanced_accuracy FROM ({_CM})")
 def overall_metrics(spark, sf_dir):
-    return L.overall_metrics(_predicted(spark, sf_dir)).select(F.round("accuracy", 5).alias("accuracy"), F.round("balanced_accuracy", 5).alias("balanced_accuracy"))
+    return L.overall_metrics(_predicted(spark, sf_dir)).select("accuracy", "balanced_accuracy")
 
 
 def _separable(spark, sf_dir):
@@ -95,18 +96,19 @@ def _separable(spark, sf_dir):
 
 def _model_query(kind, **params):
     def run(spark, sf_dir):
-        px, rows = _separable(spark, sf_dir)
-        model = L.fit(rows, ["b1", "b2"], kind, **params)
-        out = L.predict(model, rows)
+        _, rows = _separable(spark, sf_dir)
+        held = written(L.holdout(rows.select("label", "image_id", "y", "x", "b1", "b2"), 0.2, L.SEED, "image_id", "y", "x"))
+        model = L.fit(held.filter("not held"), ["b1", "b2"], kind, **params)
+        out = L.predict(model, held.filter("held"))
         return L.class_metrics(out.select("label", "predicted")).withColumn("model", F.lit(kind))
 
     return run
 
 
-query("model_forest")(_model_query("forest", numTrees=10, maxDepth=5))
-query("model_boosting")(_model_query("boosting", maxIter=3, maxDepth=3))
-query("model_logistic")(_model_query("logistic", maxIter=20))
-query("model_svm")(_model_query("svm", maxIter=10))
+query("model_forest")(_model_query("forest"))
+query("model_boosting")(_model_query("boosting"))
+query("model_logistic")(_model_query("logistic"))
+query("model_svm")(_model_query("svm"))
 query("model_bayes")(_model_query("bayes"))
 
 
@@ -126,14 +128,35 @@ def forest_class_map(spark, sf_dir):
 
 @query("parameter_search")
 def parameter_search(spark, sf_dir):
+    """The whole grid by five folds."""
     _, rows = _separable(spark, sf_dir)
-    _, found = L.search(rows.select("label", "b1", "b2"), ["b1", "b2"], "bayes", draws=2, folds=3)
+    _, found = L.search(rows.select("label", "b1", "b2"), ["b1", "b2"], "bayes")
     return rows.groupBy("label").agg(F.count("*").alias("n")).withColumn("balanced_accuracy", F.lit(found["balanced_accuracy"]))
 
 
+@query("random_parameter_search")
+def random_parameter_search(spark, sf_dir):
+    """Up to thirty seeded draws from the space by five folds."""
+    _, rows = _separable(spark, sf_dir)
+    _, found = L.search(rows.select("label", "b1", "b2"), ["b1", "b2"], "logistic", draws=30)
+    return rows.groupBy("label").agg(F.count("*").alias("n")).withColumn("balanced_accuracy", F.lit(found["balanced_accuracy"]))
+
+
+@query("saved_model")
+def saved_model(spark, sf_dir):
+    """A model written to the shared folder and read again predicts what it did."""
+    _, rows = _separable(spark, sf_dir)
+    model = L.fit(rows, ["b1", "b2"], "bayes")
+    path = shared_folder(spark)
+    L.save(model, path, ["b1", "b2"], {}, spark)
+    again = L.predict(L.load(path, spark)[0], rows).select("image_id", "y", "x", F.col("predicted").alias("again"))
+    both = L.predict(model, rows).select("image_id", "y", "x", "predicted").join(again, ["image_id", "y", "x"])
+    return both.groupBy("predicted", "again").agg(F.count("*").alias("n"))
+
+
 @query("stacked_models")
 def stacked_models(spark, sf_dir):
     _, rows = _separable(spark, sf_dir)
     rows = rows.select("label", "image_id", "y", "x", "b1", "b2")
-    base, top, _ = L.stack(rows, ["b1", "b2"], ["bayes", "logistic"], ["image_id", "y", "x"], folds=2)
+    base, top, _ = L.stack(rows, ["b1", "b2"], ["bayes", "logistic"], ["image_id", "y", "x"])
     return L.class_metrics(L.stacked_predictions(base, top, rows).select("label", "predicted"))

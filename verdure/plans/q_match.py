@@ -32,38 +32,38 @@ _LAB = f"""SELECT image_id, b1, b2, b3, CAST(greatest(0, least(255, round_even((
   SELECT *, {_LIN.format(c='b1')} AS r, {_LIN.format(c='b2')} AS g, {_LIN.format(c='b3')} AS bl FROM ({_RGB})))"""
 
 
-@query("colour_features", V.with_sql(f"""SELECT image_id, round(avg(l), 3) AS mean_L, round(stddev_pop(l), 3) AS std_L, round(avg(a), 3) AS mean_a, round(avg(b), 3) AS mean_b, round((avg(b1) + 1e-6) / (avg(b2) + 1e-6), 3) AS ratio_rg FROM ({_LAB}) GROUP BY image_id""", "pixels"))
+@query("colour_features", V.with_sql(f"""SELECT image_id, (avg(l)) AS mean_L, (stddev_pop(l)) AS std_L, (avg(a)) AS mean_a, (avg(b)) AS mean_b, ((avg(b1) + 1e-6) / (avg(b2) + 1e-6)) AS ratio_rg FROM ({_LAB}) GROUP BY image_id""", "pixels"))
 def colour_features(spark, sf_dir):
     rows = S.colour_statistics(_rgb(spark, sf_dir))
-    return rows.select("image_id", *[F.round(c, 3).alias(c) for c in ("mean_L", "std_L", "mean_a", "mean_b", "ratio_rg")])
+    return rows.select("image_id", *[F.col(c).alias(c) for c in ("mean_L", "std_L", "mean_a", "mean_b", "ratio_rg")])
 
 
-@query("lightness_histogram", V.with_sql(f"""SELECT i.image_id, CAST(b.bin AS INT) AS bin, round(coalesce(c, 0) / (n + 1e-6), 4) AS share FROM (SELECT image_id, count(*) AS n FROM ({_LEVEL}) GROUP BY 1) i CROSS JOIN range(0, 32) b(bin) LEFT JOIN
+@query("lightness_histogram", V.with_sql(f"""SELECT i.image_id, CAST(b.bin AS INT) AS bin, (coalesce(c, 0) / (n + 1e-6)) AS share FROM (SELECT image_id, count(*) AS n FROM ({_LEVEL}) GROUP BY 1) i CROSS JOIN range(0, 32) b(bin) LEFT JOIN
   (SELECT image_id, l // 8 AS bin, count(*) AS c FROM ({_LEVEL}) GROUP BY 1, 2) h ON h.image_id = i.image_id AND h.bin = b.bin""", "pixels"))
 def lightness_histogram(spark, sf_dir):
-    return S.histogram(_level(spark, sf_dir), "l").select("image_id", F.posexplode("hist").alias("bin", "share")).withColumn("share", F.round("share", 4))
+    return S.histogram(_level(spark, sf_dir), "l").select("image_id", F.posexplode("hist").alias("bin", "share")).withColumn("share", F.col("share"))
 
 
-@query("lightness_entropy", V.with_sql(f"SELECT image_id, round(-sum(p * log2(p)), 4) AS entropy FROM (SELECT image_id, c / (sum(c) OVER (PARTITION BY image_id) + 1e-6) AS p FROM (SELECT image_id, l, count(*) AS c FROM ({_LEVEL}) GROUP BY 1, 2)) GROUP BY 1", "pixels"))
+@query("lightness_entropy", V.with_sql(f"SELECT image_id, (-sum(p * log2(p))) AS entropy FROM (SELECT image_id, c / (sum(c) OVER (PARTITION BY image_id) + 1e-6) AS p FROM (SELECT image_id, l, count(*) AS c FROM ({_LEVEL}) GROUP BY 1, 2)) GROUP BY 1", "pixels"))
 def lightness_entropy(spark, sf_dir):
-    return S.entropy(_level(spark, sf_dir), "l").withColumn("entropy", F.round("entropy", 4))
+    return S.entropy(_level(spark, sf_dir), "l").withColumn("entropy", F.col("entropy"))
 
 
-@query("block_homogeneity", V.with_sql(f"SELECT image_id, round(var_pop(m), 4) AS spatial_variance, round(stddev_pop(m) / (avg(m) + 1e-6), 4) AS coeff_variation FROM (SELECT image_id, y // 4 AS by, x // 4 AS bx, round_even(avg(l), 0) AS m FROM ({_LEVEL}) GROUP BY 1, 2, 3) GROUP BY 1", "pixels"))
+@query("block_homogeneity", V.with_sql(f"SELECT image_id, (var_pop(m)) AS spatial_variance, (stddev_pop(m) / (avg(m) + 1e-6)) AS coeff_variation FROM (SELECT image_id, y // 4 AS by, x // 4 AS bx, round_even(avg(l), 0) AS m FROM ({_LEVEL}) GROUP BY 1, 2, 3) GROUP BY 1", "pixels"))
 def block_homogeneity(spark, sf_dir):
     rows = S.block_homogeneity(_level(spark, sf_dir), "l")
-    return rows.select("image_id", *[F.round(c, 4).alias(c) for c in ("spatial_variance", "coeff_variation")])
+    return rows.select("image_id", *[F.col(c).alias(c) for c in ("spatial_variance", "coeff_variation")])
 
 
 _PAIRS = " UNION ALL ".join(f"SELECT a.image_id, a.l // 8 AS i, b.l // 8 AS j FROM lev a JOIN lev b ON a.image_id = b.image_id AND b.y = a.y + ({dy}) AND b.x = a.x + ({dx})" for dy, dx in ((0, 1), (-1, 1), (-1, 0), (-1, -1)))
 
 
 @query("texture_features", V.with_sql(f""", lev AS ({_LEVEL}), g AS (SELECT image_id, i, j, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY image_id) AS p FROM ({_PAIRS}) GROUP BY 1, 2, 3)
-  SELECT g.image_id, round(sum(p * (i - j) * (i - j)), 4) AS glcm_contrast, round(sum(p / (1 + abs(i - j))), 4) AS glcm_homogeneity, round(sum(p * p), 6) AS glcm_energy,
-  round(sum(p * (i - mi) * (j - mj)) / (sqrt(sum(p * (i - mi) * (i - mi))) * sqrt(sum(p * (j - mj) * (j - mj)))), 4) AS glcm_correlation FROM g JOIN (SELECT image_id, sum(p * i) AS mi, sum(p * j) AS mj FROM g GROUP BY 1) m ON m.image_id = g.image_id GROUP BY g.image_id""", "pixels").replace(") , lev", "), lev"))
+  SELECT g.image_id, (sum(p * (i - j) * (i - j))) AS glcm_contrast, (sum(p / (1 + abs(i - j)))) AS glcm_homogeneity, (sum(p * p)) AS glcm_energy,
+  (sum(p * (i - mi) * (j - mj)) / (sqrt(sum(p * (i - mi) * (i - mi))) * sqrt(sum(p * (j - mj) * (j - mj))))) AS glcm_correlation FROM g JOIN (SELECT image_id, sum(p * i) AS mi, sum(p * j) AS mj FROM g GROUP BY 1) m ON m.image_id = g.image_id GROUP BY g.image_id""", "pixels").replace(") , lev", "), lev"))
 def texture_features(spark, sf_dir):
     rows = S.texture(_level(spark, sf_dir), "l")
-    return rows.select("image_id", F.round("glcm_contrast", 4).alias("glcm_contrast"), F.round("glcm_homogeneity", 4).alias("glcm_homogeneity"), F.round("glcm_energy", 6).alias("glcm_energy"), F.round("glcm_correlation", 4).alias("glcm_correlation"))
+    return rows.select("image_id", "glcm_contrast", "glcm_homogeneity", "glcm_energy", "glcm_correlation")
 
 
 @query("batch_image_features")
@@ -97,14 +97,14 @@ def _scored(spark, sf_dir):
     return rows, S.scores(rows, rows.filter("image_id in (3, 7)"))
 
 
-@query("similarity_scores", f"WITH {_SC} SELECT ref_id, image_id, round(score, 5) AS score FROM sc")
+@query("similarity_scores", f"WITH {_SC} SELECT ref_id, image_id, (score) AS score FROM sc")
 def similarity_scores(spark, sf_dir):
-    return _scored(spark, sf_dir)[1].withColumn("score", F.round("score", 5))
+    return _scored(spark, sf_dir)[1].withColumn("score", F.col("score"))
 
 
-@query("similarity_top", f"WITH {_SC} SELECT image_id, round(max(score), 5) AS score FROM sc GROUP BY image_id ORDER BY max(score) DESC, image_id LIMIT 20")
+@query("similarity_top", f"WITH {_SC} SELECT image_id, (max(score)) AS score FROM sc GROUP BY image_id ORDER BY max(score) DESC, image_id LIMIT 20")
 def similarity_top(spark, sf_dir):
-    return S.top(S.best_score(_scored(spark, sf_dir)[1]), 20).withColumn("score", F.round("score", 5))
+    return S.top(S.best_score(_scored(spark, sf_dir)[1]), 20).withColumn("score", F.col("score"))
 
 
 @query("similarity_split", f"WITH {_SC} SELECT image_id, max(score) >= 0.1 AS selected FROM sc GROUP BY image_id")
@@ -117,20 +117,20 @@ def similarity_histogram(spark, sf_dir):
     return S.score_histogram(S.best_score(_scored(spark, sf_dir)[1]))
 
 
-@query("similarity_summary", f"WITH {_SC} SELECT label, round(avg(score), 5) AS mean, round(stddev_pop(score), 5) AS std, round(min(score), 5) AS min, round(max(score), 5) AS max, count(*) AS n FROM sc GROUP BY label")
+@query("similarity_summary", f"WITH {_SC} SELECT label, (avg(score)) AS mean, (stddev_pop(score)) AS std, (min(score)) AS min, (max(score)) AS max, count(*) AS n FROM sc GROUP BY label")
 def similarity_summary(spark, sf_dir):
     rows, scored = _scored(spark, sf_dir)
     out = S.summary_by(scored.join(rows.select("image_id", "label"), "image_id"), "label")
-    return out.select("label", *[F.round(c, 5).alias(c) for c in ("mean", "std", "min", "max")], "n")
+    return out.select("label", *[F.col(c).alias(c) for c in ("mean", "std", "min", "max")], "n")
 
 
 _NEAR = """SELECT target_index, filename, degrees, latitude, longitude, ilat, ilon FROM (SELECT t.*, g.filename, g.latitude AS ilat, g.longitude AS ilon, sqrt(power(t.latitude - g.latitude, 2) + power(t.longitude - g.longitude, 2)) AS degrees,
   row_number() OVER (PARTITION BY target_index ORDER BY sqrt(power(t.latitude - g.latitude, 2) + power(t.longitude - g.longitude, 2)), g.filename) AS k FROM targets t CROSS JOIN gps g) WHERE k = 1"""
 
 
-@query("nearest_image", V.with_sql(f"SELECT target_index, round(degrees, 6) AS degrees FROM ({_NEAR})", "gps", "targets"))
+@query("nearest_image", V.with_sql(f"SELECT target_index, (degrees) AS degrees FROM ({_NEAR})", "gps", "targets"))
 def nearest_image(spark, sf_dir):
-    return P.nearest(V.targets(spark, sf_dir), V.gps(spark, sf_dir)).select("target_index", F.round("degrees", 6).alias("degrees"))
+    return P.nearest(V.targets(spark, sf_dir), V.gps(spark, sf_dir)).select("target_index", "degrees")
 
 
 _HAV = "2 * 6371008.8 * asin(sqrt(least(1.0, power(sin((radians(g.latitude) - radians(t.latitude)) / 2), 2) + cos(radians(t.latitude)) * cos(radians(g.latitude)) * power(sin(radians(g.longitude - t.longitude) / 2), 2))))"
@@ -142,9 +142,9 @@ def _pairs(spark, sf_dir):
     return t.join(g, F.col("target_index") % 100 == F.col("k"))
 
 
-@query("distance_metres", V.with_sql(f"SELECT t.target_index, round({_HAV}, 1) AS metres FROM targets t JOIN gps g ON g.filename = 'IMG_' || lpad(CAST(t.target_index % 100 AS VARCHAR), 4, '0') || '.tif'", "gps", "targets"))
+@query("distance_metres", V.with_sql(f"SELECT t.target_index, ({_HAV}) AS metres FROM targets t JOIN gps g ON g.filename = 'IMG_' || lpad(CAST(t.target_index % 100 AS VARCHAR), 4, '0') || '.tif'", "gps", "targets"))
 def distance_metres(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("target_index", F.round(P.haversine(*map(F.col, ("lat1", "lon1", "lat2", "lon2"))), 1).alias("metres"))
+    return _pairs(spark, sf_dir).select("target_index", P.haversine(*map(F.col, ("lat1", "lon1", "lat2", "lon2"))).alias("metres"))
 
 
 @query("geodesic_metres")
@@ -198,30 +198,30 @@ def resolved_image_names(spark, sf_dir):
     return P.resolved_images(names, files).select("p_partkey", "filename")
 
 
-@query("dms_to_degrees", "SELECT c_custkey, round((c_custkey % 90 + c_custkey % 60 / 60.0 + c_custkey % 50 / 3600.0) * CASE WHEN c_custkey % 4 < 2 THEN -1 ELSE 1 END, 6) AS degrees FROM customer")
+@query("dms_to_degrees", "SELECT c_custkey, ((c_custkey % 90 + c_custkey % 60 / 60.0 + c_custkey % 50 / 3600.0) * CASE WHEN c_custkey % 4 < 2 THEN -1 ELSE 1 END) AS degrees FROM customer")
 def dms_to_degrees(spark, sf_dir):
     k = F.col("c_custkey")
     ref = F.element_at(F.array(*map(F.lit, "SwNE")), (k % 4 + 1).cast("int"))
-    return V.table(spark, sf_dir, "customer").select("c_custkey", F.round(P.from_dms(k % 90, k % 60, k % 50, ref), 6).alias("degrees"))
+    return V.table(spark, sf_dir, "customer").select("c_custkey", P.from_dms(k % 90, k % 60, k % 50, ref).alias("degrees"))
 
 
-_SUP = "SELECT s_suppkey, 'g' || (s_suppkey % 5) AS grp, s_suppkey % 8 AS image_id, s_name AS name, CASE WHEN s_suppkey % 8 < 5 THEN 'r1' ELSE 'r2' END AS root FROM supplier"
+_SUP = "SELECT s_suppkey, 'g' || (s_suppkey % 5) AS grp, s_suppkey // 10 AS image_id, s_name AS name, CASE WHEN s_suppkey % 8 < 5 THEN 'r1' ELSE 'r2' END AS root FROM supplier"
 
 
 def _rooted(spark, sf_dir):
     rows = V.polygons(spark, sf_dir)
-    return rows.select("grp", "image_id", "name", F.when(F.col("image_id") < 5, "r1").otherwise("r2").alias("root"))
+    return rows.select("grp", "image_id", "name", F.when(F.col("poly_id") % 8 < 5, "r1").otherwise("r2").alias("root"))
 
 
 def _offsets(spark, sf_dir):
-    return V.polygons(spark, sf_dir).select("image_id").distinct().filter("image_id < 3").select("image_id", (F.col("image_id") + 100).alias("target_image"))
+    return V.polygons(spark, sf_dir).select("image_id").distinct().filter("image_id % 3 = 0").select("image_id", (F.col("image_id") + 100).alias("target_image"))
 
 
-@query("copied_polygons", f"SELECT grp, image_id, name, root FROM ({_SUP}) UNION ALL SELECT grp, image_id + 100, name, 'r9' FROM ({_SUP}) WHERE grp IN ('g1', 'g2') AND root = 'r1' AND image_id < 3")
+@query("copied_polygons", f"SELECT grp, image_id, name, root FROM ({_SUP}) UNION ALL SELECT grp, image_id + 100, name, 'r9' FROM ({_SUP}) WHERE grp IN ('g1', 'g2') AND root = 'r1' AND image_id % 3 = 0")
 def copied_polygons(spark, sf_dir):
     return P.copied(_rooted(spark, sf_dir), ["g1", "g2"], "r9", _offsets(spark, sf_dir))
 
 
-@query("moved_polygons", f"SELECT grp, image_id, name, root FROM ({_SUP}) WHERE NOT (grp IN ('g1', 'g2') AND image_id < 3) UNION ALL SELECT grp, image_id + 100, name, 'r9' FROM ({_SUP}) WHERE grp IN ('g1', 'g2') AND root = 'r1' AND image_id < 3")
+@query("moved_polygons", f"SELECT grp, image_id, name, root FROM ({_SUP}) WHERE NOT (grp IN ('g1', 'g2') AND image_id % 3 = 0) UNION ALL SELECT grp, image_id + 100, name, 'r9' FROM ({_SUP}) WHERE grp IN ('g1', 'g2') AND root = 'r1' AND image_id % 3 = 0")
 def moved_polygons(spark, sf_dir):
     return P.moved(_rooted(spark, sf_dir), ["g1", "g2"], "r9", _offsets(spark, sf_dir))

@@ -14,10 +14,6 @@ def _side():
     return F.lit(V.SIDE)
 
 
-def _r(c, alias):
-    return F.round(c, 4).alias(alias)
-
-
 _DEG = "(image_id % 4 * 90)"
 _TURN_Y = "CASE {d} WHEN 90 THEN {x} WHEN 180 THEN {h} - 1 - {y} WHEN 270 THEN {w} - 1 - {x} ELSE {y} END"
 _TURN_X = "CASE {d} WHEN 90 THEN {h} - 1 - {y} WHEN 180 THEN {w} - 1 - {x} WHEN 270 THEN {y} ELSE {x} END"
@@ -46,21 +42,21 @@ def replayed_recipes(spark, sf_dir):
 _STEP = 32.0 / 12
 
 
-@query("area_resample", V.with_sql(f"""SELECT image_id, t.y AS y, u.x AS x, round(sum(b1 * wy * wx) / sum(wy * wx), 4) AS b1 FROM (SELECT p.*, ty, tx, least(y + 1.0, (ty + 1) * 32.0 / 12) - greatest(y * 1.0, ty * 32.0 / 12) AS wy, least(x + 1.0, (tx + 1) * 32.0 / 12) - greatest(x * 1.0, tx * 32.0 / 12) AS wx
+@query("area_resample", V.with_sql(f"""SELECT image_id, t.y AS y, u.x AS x, (sum(b1 * wy * wx) / sum(wy * wx)) AS b1 FROM (SELECT p.*, ty, tx, least(y + 1.0, (ty + 1) * 32.0 / 12) - greatest(y * 1.0, ty * 32.0 / 12) AS wy, least(x + 1.0, (tx + 1) * 32.0 / 12) - greatest(x * 1.0, tx * 32.0 / 12) AS wx
   FROM pixels p, range(0, 12) a(ty), range(0, 12) b(tx)) s, LATERAL (SELECT ty AS y) t, LATERAL (SELECT tx AS x) u WHERE wy > 1e-9 AND wx > 1e-9 GROUP BY 1, 2, 3""", "pixels"))
 def area_resample(spark, sf_dir):
     rows = V.pixels(spark, sf_dir).select("image_id", "y", "x", "b1").withColumns({"h": _side(), "w": _side()})
-    return G.shrink(rows, F.lit(12), F.lit(12)).select("image_id", "y", "x", _r(F.col("b1"), "b1"))
+    return G.shrink(rows, F.lit(12), F.lit(12)).select("image_id", "y", "x", "b1")
 
 
-@query("nodata_resample", V.with_sql("""SELECT image_id, y // 2 AS y, x // 2 AS x, CASE WHEN bool_or(b2 = -9999) THEN -9999.0 ELSE round(avg(b2), 4) END AS b2 FROM gaps GROUP BY 1, 2, 3""", "gaps"))
+@query("nodata_resample", V.with_sql("""SELECT image_id, y // 2 AS y, x // 2 AS x, CASE WHEN bool_or(b2 = -9999) THEN -9999.0 ELSE (avg(b2)) END AS b2 FROM gaps GROUP BY 1, 2, 3""", "gaps"))
 def nodata_resample(spark, sf_dir):
     rows = V.pixels(spark, sf_dir, gaps=True).select("image_id", "y", "x", "b2").withColumns({"h": _side(), "w": _side()})
-    return G.shrink(rows, F.lit(16), F.lit(16), F.col("b2") == -9999, -9999.0).select("image_id", "y", "x", _r(F.col("b2"), "b2"))
+    return G.shrink(rows, F.lit(16), F.lit(16), F.col("b2") == -9999, -9999.0).select("image_id", "y", "x", "b2")
 
 
 _FULL = "(SELECT image_id FROM pixels GROUP BY image_id HAVING count(*) = 1024)"
-_BI = """SELECT g.image_id, g.ty AS y, g.tx AS x, round(sum(p.b1 * greatest(0, 1 - abs(g.sy - a.k)) * greatest(0, 1 - abs(g.sx - b.k))), 4) AS b1 FROM (SELECT image_id, ty, tx, (ty + 0.5) * 32 / 48.0 - 0.5 AS sy, (tx + 0.5) * 32 / 48.0 - 0.5 AS sx
+_BI = """SELECT g.image_id, g.ty AS y, g.tx AS x, (sum(p.b1 * greatest(0, 1 - abs(g.sy - a.k)) * greatest(0, 1 - abs(g.sx - b.k)))) AS b1 FROM (SELECT image_id, ty, tx, (ty + 0.5) * 32 / 48.0 - 0.5 AS sy, (tx + 0.5) * 32 / 48.0 - 0.5 AS sx
   FROM {full} f, range(0, 48) r(ty), range(0, 48) s(tx)) g, range(-1, 33) a(k), range(-1, 33) b(k) JOIN pixels p ON p.image_id = g.image_id AND p.y = greatest(0, least(31, a.k)) AND p.x = greatest(0, least(31, b.k))
   WHERE a.k BETWEEN floor(g.sy) AND floor(g.sy) + 1 AND b.k BETWEEN floor(g.sx) AND floor(g.sx) + 1 GROUP BY 1, 2, 3"""
 
@@ -73,26 +69,26 @@ def _full(spark, sf_dir, side):
 
 @query("bilinear_resample", V.with_sql(_BI.format(full=_FULL).replace("FROM (SELECT image_id, ty", "FROM (SELECT f.image_id, ty"), "pixels").replace("JOIN pixels p ON p.image_id = g.image_id AND p.y", ", pixels p WHERE p.image_id = g.image_id AND p.y").replace("\n  WHERE a.k BETWEEN", "\n  AND a.k BETWEEN"))
 def bilinear_resample(spark, sf_dir):
-    return G.enlarge(*_full(spark, sf_dir, 48)).select("image_id", "y", "x", _r(F.col("b1"), "b1"))
+    return G.enlarge(*_full(spark, sf_dir, 48)).select("image_id", "y", "x", "b1")
 
 
 _CUBE = "CASE WHEN abs({d}) <= 1 THEN 1.25 * power(abs({d}), 3) - 2.25 * power(abs({d}), 2) + 1 WHEN abs({d}) < 2 THEN -0.75 * power(abs({d}), 3) + 3.75 * power(abs({d}), 2) - 6 * abs({d}) + 3 ELSE 0 END"
 
 
-@query("cubic_resample", V.with_sql(f"""SELECT g.image_id, g.ty AS y, g.tx AS x, round(sum(p.b1 * ({_CUBE.format(d='(g.sy - a.k)')}) * ({_CUBE.format(d='(g.sx - b.k)')})), 4) AS b1 FROM (SELECT f.image_id, ty, tx, (ty + 0.5) * 32 / 64.0 - 0.5 AS sy, (tx + 0.5) * 32 / 64.0 - 0.5 AS sx
-  FROM {_FULL} f, range(0, 64) r(ty), range(0, 64) s(tx) WHERE ty % 3 = 0) g, range(-2, 34) a(k), range(-2, 34) b(k), pixels p WHERE p.image_id = g.image_id AND p.y = greatest(0, least(31, a.k)) AND p.x = greatest(0, least(31, b.k))
+@query("cubic_resample", V.with_sql(f"""SELECT g.image_id, g.ty AS y, g.tx AS x, (sum(p.b1 * ({_CUBE.format(d='(g.sy - a.k)')}) * ({_CUBE.format(d='(g.sx - b.k)')}))) AS b1 FROM (SELECT f.image_id, ty, tx, (ty + 0.5) * 32 / 64.0 - 0.5 AS sy, (tx + 0.5) * 32 / 64.0 - 0.5 AS sx
+  FROM {_FULL} f, range(0, 64) r(ty), range(0, 64) s(tx)) g, range(-2, 34) a(k), range(-2, 34) b(k), pixels p WHERE p.image_id = g.image_id AND p.y = greatest(0, least(31, a.k)) AND p.x = greatest(0, least(31, b.k))
   AND a.k BETWEEN floor(g.sy) - 1 AND floor(g.sy) + 2 AND b.k BETWEEN floor(g.sx) - 1 AND floor(g.sx) + 2 GROUP BY 1, 2, 3""", "pixels"))
 def cubic_resample(spark, sf_dir):
-    return G.enlarge(*_full(spark, sf_dir, 64), cubic=True).filter("y % 3 = 0").select("image_id", "y", "x", _r(F.col("b1"), "b1"))
+    return G.enlarge(*_full(spark, sf_dir, 64), cubic=True).select("image_id", "y", "x", "b1")
 
 
-@query("warped_rasters", V.with_sql("""SELECT g.image_id, g.y, g.x, round(sum(coalesce(p.b1, 0) * greatest(0, 1 - abs(g.sy - a.k)) * greatest(0, 1 - abs(g.sx - b.k))), 4) AS b1 FROM (SELECT f.image_id, ty AS y, tx AS x, 0.1 * tx + 0.9 * ty + 1.25 AS sy, 0.8 * tx - 0.2 * ty + 2.5 AS sx
+@query("warped_rasters", V.with_sql("""SELECT g.image_id, g.y, g.x, (sum(coalesce(p.b1, 0) * greatest(0, 1 - abs(g.sy - a.k)) * greatest(0, 1 - abs(g.sx - b.k)))) AS b1 FROM (SELECT f.image_id, ty AS y, tx AS x, 0.1 * tx + 0.9 * ty + 1.25 AS sy, 0.8 * tx - 0.2 * ty + 2.5 AS sx
   FROM (SELECT image_id FROM pixels GROUP BY image_id HAVING count(*) = 1024) f, range(0, 32) r(ty), range(0, 32) s(tx)) g CROSS JOIN range(-10, 45) a(k) CROSS JOIN range(-10, 45) b(k) LEFT JOIN pixels p ON p.image_id = g.image_id AND p.y = a.k AND p.x = b.k
   WHERE a.k BETWEEN floor(g.sy) AND floor(g.sy) + 1 AND b.k BETWEEN floor(g.sx) AND floor(g.sx) + 1 GROUP BY 1, 2, 3""", "pixels"))
 def warped_rasters(spark, sf_dir):
     px, sizes = _full(spark, sf_dir, 32)
     m = [F.lit(v) for v in (0.8, -0.2, 2.5, 0.1, 0.9, 1.25, 0.0, 0.0, 1.0)]
-    return G.warp(px, sizes.select("image_id", "h", "w"), m).select("image_id", "y", "x", _r(F.col("b1"), "b1"))
+    return G.warp(px, sizes.select("image_id", "h", "w"), m).select("image_id", "y", "x", "b1")
 
 
 @query("random_points", "SELECT image_id, point, x >= 0 AND x < 32 AND y >= 0 AND y < 20 AS inside FROM (SELECT s_suppkey AS image_id, CAST(t.p AS INT) AS point, 1 AS x, 1 AS y FROM supplier, range(1, 6) t(p))")
@@ -102,10 +98,10 @@ def random_points(spark, sf_dir):
     return rows.select("image_id", "point", (F.col("x").between(0, 31) & F.col("y").between(0, 19)).alias("inside"))
 
 
-@query("reference_mean_std", V.with_sql("SELECT image_id, round(avg(b1), 4) AS m_b1, round(stddev_pop(b1), 4) AS s_b1 FROM gaps WHERE b2 <> -9999 GROUP BY image_id", "gaps"))
+@query("reference_mean_std", V.with_sql("SELECT image_id, (avg(b1)) AS m_b1, (stddev_pop(b1)) AS s_b1 FROM gaps WHERE b2 <> -9999 GROUP BY image_id", "gaps"))
 def reference_mean_std(spark, sf_dir):
     rows = R.mean_std(V.pixels(spark, sf_dir, gaps=True), ["b1"], masked=F.col("b2") == -9999)
-    return rows.select("image_id", _r(F.col("m_b1"), "m_b1"), _r(F.col("s_b1"), "s_b1"))
+    return rows.select("image_id", "m_b1", "s_b1")
 
 
 _CDF = """SELECT b.bin, (b.bin + 0.5) / 1024 AS x, sum(coalesce(c, 0)) OVER (ORDER BY b.bin) * 1.0 / n AS y, lo, hi FROM (SELECT CAST(bin AS INT) AS bin FROM range(0, 1024) t(bin)) b CROSS JOIN
@@ -113,25 +109,25 @@ _CDF = """SELECT b.bin, (b.bin + 0.5) / 1024 AS x, sum(coalesce(c, 0)) OVER (ORD
   (SELECT CAST(least(floor((b1 - lo) / (hi - lo) * 1024), 1023) AS INT) AS bin, count(*) AS c FROM pixels, (SELECT quantile_cont(b1, 0.0001) AS lo, quantile_cont(b1, 0.9999) AS hi FROM pixels WHERE image_id = 0) WHERE image_id = 0 AND b1 BETWEEN lo AND hi GROUP BY 1) h ON h.bin = b.bin"""
 
 
-@query("reference_cdf", V.with_sql(f"SELECT bin, round(x, 6) AS x, round(y, 6) AS y, round(lo, 4) AS lo, round(hi, 4) AS hi FROM ({_CDF})", "pixels"))
+@query("reference_cdf", V.with_sql(f"SELECT bin, (x) AS x, (y) AS y, (lo) AS lo, (hi) AS hi FROM ({_CDF})", "pixels"))
 def reference_cdf(spark, sf_dir):
     rows = R.reference_cdf(V.pixels(spark, sf_dir).filter("image_id = 0"), "b1")
-    return rows.select("bin", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), _r(F.col("lo"), "lo"), _r(F.col("hi"), "hi"))
+    return rows.select("bin", "x", "y", "lo", "hi")
 
 
-@query("mean_std_match", V.with_sql("""SELECT p.image_id, y, x, round((b1 - m) * (12.0 / s) + 100.0, 4) AS b1 FROM pixels p JOIN (SELECT image_id, avg(b1) AS m, stddev_pop(b1) AS s FROM pixels GROUP BY image_id) a ON a.image_id = p.image_id""", "pixels"))
+@query("mean_std_match", V.with_sql("""SELECT p.image_id, y, x, ((b1 - m) * (12.0 / s) + 100.0) AS b1 FROM pixels p JOIN (SELECT image_id, avg(b1) AS m, stddev_pop(b1) AS s FROM pixels GROUP BY image_id) a ON a.image_id = p.image_id""", "pixels"))
 def mean_std_match(spark, sf_dir):
-    return R.match_mean_std(V.pixels(spark, sf_dir), {"b1": (100.0, 12.0)}).select("image_id", "y", "x", _r(F.col("b1"), "b1"))
+    return R.match_mean_std(V.pixels(spark, sf_dir), {"b1": (100.0, 12.0)}).select("image_id", "y", "x", "b1")
 
 
 @query("cdf_match", V.with_sql(f""", ref AS ({_CDF}), z AS (SELECT image_id, y, x, CAST(trunc(greatest(0, least(1, (b1 - lo) / (hi - lo))) * 2047) AS INT) AS bin, lo, hi FROM pixels, (SELECT any_value(lo) AS lo, any_value(hi) AS hi FROM ref)),
   s AS (SELECT image_id, bin, sum(c) OVER (PARTITION BY image_id ORDER BY bin) * 1.0 / sum(c) OVER (PARTITION BY image_id) AS v, lo, hi FROM (SELECT image_id, bin, count(*) AS c, any_value(lo) AS lo, any_value(hi) AS hi FROM z GROUP BY 1, 2)),
   j AS (SELECT s.*, (SELECT max(bin) FROM ref WHERE ref.y <= s.v) AS k FROM s),
   t AS (SELECT j.image_id, j.bin, CASE WHEN a.bin IS NULL THEN 0.5 / 1024 WHEN b.bin IS NULL OR b.y <= a.y THEN a.x ELSE a.x + (v - a.y) / (b.y - a.y) * (b.x - a.x) END * (j.hi - j.lo) + j.lo AS new FROM j LEFT JOIN ref a ON a.bin = k LEFT JOIN ref b ON b.bin = k + 1)
-  SELECT z.image_id, y, x, round(new, 2) AS b1 FROM z JOIN t ON t.image_id = z.image_id AND t.bin = z.bin""", "pixels").replace(") , ref", "), ref"))
+  SELECT z.image_id, y, x, (new) AS b1 FROM z JOIN t ON t.image_id = z.image_id AND t.bin = z.bin""", "pixels").replace(") , ref", "), ref"))
 def cdf_match(spark, sf_dir):
     px = V.pixels(spark, sf_dir)
-    return R.match_cdf(px, "b1", R.reference_cdf(px.filter("image_id = 0"), "b1")).select("image_id", "y", "x", F.round("b1", 2).alias("b1"))
+    return R.match_cdf(px, "b1", R.reference_cdf(px.filter("image_id = 0"), "b1")).select("image_id", "y", "x", "b1")
 
 
 @query("percentile_stretch", V.with_sql("""SELECT p.image_id, y, x, CAST(trunc(greatest(0, least(1, (b1 - lo) / (hi - lo))) * 255) AS INT) AS b1 FROM pixels p JOIN (SELECT image_id, quantile_cont(b1, 0.005) AS lo, quantile_cont(b1, 0.995) AS hi FROM pixels GROUP BY image_id) a ON a.image_id = p.image_id""", "pixels"))

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..sources import files
 from . import views as V
 from .registry import query
 
 
-@query("gps_json", V.with_sql("SELECT filename, round(latitude, 4) AS latitude, round(longitude, 4) AS longitude FROM gps", "gps"))
+@query("gps_json", V.with_sql("SELECT filename, (latitude) AS latitude, (longitude) AS longitude FROM gps", "gps"))
 def gps_json(spark, sf_dir):
-    g = V.gps(spark, sf_dir).withColumn("k", F.regexp_extract("filename", "[0-9]+", 0).cast("int") % 3)
+    number = F.regexp_extract("filename", "[0-9]+", 0).cast("int")
+    g = V.gps(spark, sf_dir).withColumns({"k": number % 3, "folder": F.floor(number / 64)})  # a text per folder and kind
     path = F.concat(F.lit("/data/x/"), F.col("filename"))
-    records = g.filter("k = 0").agg(F.to_json(F.collect_list(F.struct(path.alias("filename"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")))).alias("value"))
-    exif = g.filter("k = 1").agg(F.to_json(F.collect_list(F.struct(path.alias("SourceFile"), F.col("latitude").alias("GPSLatitude"), F.col("longitude").alias("GPSLongitude")))).alias("value"))
-    named = g.filter("k = 2").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("filename", F.struct("latitude", "longitude"))))).alias("value"))
+    records = g.filter("k = 0").groupBy("folder").agg(F.to_json(F.collect_list(F.struct(path.alias("filename"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")))).alias("value"))
+    exif = g.filter("k = 1").groupBy("folder").agg(F.to_json(F.collect_list(F.struct(path.alias("SourceFile"), F.col("latitude").alias("GPSLatitude"), F.col("longitude").alias("GPSLongitude")))).alias("value"))
+    named = g.filter("k = 2").groupBy("folder").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("filename", F.struct("latitude", "longitude"))))).alias("value"))
     rows = files.gps_rows(records.unionByName(exif).unionByName(named))
-    return rows.select("filename", F.round("latitude", 4).alias("latitude"), F.round("longitude", 4).alias("longitude"))
+    return rows.select("filename", "latitude", "longitude")
 
 
 @query("target_json", """SELECT CAST(c_custkey AS VARCHAR) AS source, i AS target_index, CASE c_custkey % 3 WHEN 0 THEN 10.5 WHEN 1 THEN 2.0 ELSE i * 1.0 END AS latitude, CASE c_custkey % 3 WHEN 0 THEN c_custkey * 1.0 WHEN 1 THEN 3.0 ELSE 5.0 END AS longitude
@@ -47,3 +49,54 @@ def exif_tags(spark, sf_dir):
     rows = V.table(spark, sf_dir, "pages").select(F.col("url").alias("SourceFile"), F.col("page_id").alias("Number"), F.concat(F.lit("cam"), (F.col("page_id") % 3).cast("string")).alias("Model"))
     docs = rows.select(F.concat(F.lit("["), F.to_json(F.struct("SourceFile", "Number", "Model")), F.lit("]")).alias("value"))
     return files.exif_rows(docs).select("path", F.col("tags")["Number"].alias("number"), F.col("tags")["Model"].alias("model"))
+
+
+@query("exif_attached", V.with_sql("SELECT file_id, CASE WHEN file_id % 2 = 0 THEN CAST(file_id AS VARCHAR) END AS number FROM catalog", "catalog"))
+def exif_attached(spark, sf_dir):
+    rows = V.catalog(spark, sf_dir).select("file_id", F.concat(F.lit("/d/"), F.col("file_id").cast("string")).alias("path"))
+    listed = rows.filter("file_id % 2 = 0").select(F.concat(F.lit("["), F.to_json(F.struct(F.col("path").alias("SourceFile"), F.col("file_id").alias("Number"))), F.lit("]")).alias("value"))
+    return files.with_exif(rows, files.exif_rows(listed)).select("file_id", F.col("tags")["Number"].alias("number"))
+
+
+@query("pixel_table", V.with_sql("SELECT image_id, y, x, b1, b2, b3, b4 FROM pixels WHERE y BETWEEN 4 AND 20", "pixels"))
+def pixel_table(spark, sf_dir):
+    path = shared_folder(spark)
+    files.write_pixels(V.pixels(spark, sf_dir), path)
+    return spark.read.parquet(path).filter("y between 4 and 20")
+
+
+@query("delimited_table", V.with_sql("SELECT file_id, filename, folder, width FROM catalog", "catalog"))
+def delimited_table(spark, sf_dir):
+    path = shared_folder(spark)
+    files.write_table(V.catalog(spark, sf_dir).select("file_id", "filename", "folder", "width"), path, ";")
+    return files.read_table(spark, path).select(F.col("file_id").cast("long").alias("file_id"), "filename", "folder", F.col("width").cast("long").alias("width"))
+
+
+@query("match_records", "SELECT 's' || (c_custkey % 5) AS source, c_custkey AS target_index, 'IMG_' || c_custkey AS closest_image, c_custkey / 8 AS distance_meters FROM customer")
+def match_records(spark, sf_dir):
+    path, k = shared_folder(spark), F.col("c_custkey")
+    rows = V.table(spark, sf_dir, "customer").select(F.concat(F.lit("s"), (k % 5).cast("string")).alias("source"), k.alias("target_index"), F.concat(F.lit("IMG_"), k.cast("string")).alias("closest_image"), (k / 8).alias("distance_meters"))
+    files.write_matches(rows, path)
+    return spark.read.schema("target_index long, closest_image string, distance_meters double, source string").json(path)
+
+
+@query("polygon_records", V.with_sql(f"SELECT poly_id, grp, name, 'image' AS coord_space, CAST({V.FIRST[0]} AS DOUBLE) AS x, CAST({V.FIRST[1]} AS DOUBLE) AS y, CAST(CASE WHEN shape = 'pair' THEN 2 ELSE 1 END AS INT) AS parts FROM shapes", "shapes"))
+def polygon_records(spark, sf_dir):
+    path = shared_folder(spark)
+    files.write_polygons(V.polygons(spark, sf_dir).select("grp", "poly_id", "name", "points"), path)
+    rows = spark.read.text(path).withColumn("v", F.try_parse_json("value"))
+    out = rows.select("grp", F.try_variant_get("v", "$.poly_id", "long").alias("poly_id"), *files.polygon_record(F.col("v")))
+    first = F.col("parts")[0][0]
+    return out.select("poly_id", "grp", "name", "coord_space", first["x"].alias("x"), first["y"].alias("y"), F.size("parts").alias("parts"))
+
+
+@query("project_polygons", V.with_sql(f"SELECT grp, '/d/' || poly_id || '.tif' AS image_path, name, CAST({V.FIRST[0]} AS DOUBLE) AS x FROM shapes", "shapes"))
+def project_polygons(spark, sf_dir):
+    """A project text per group, each with all that its group has, written and scanned."""
+    path = shared_folder(spark)
+    rows = V.polygons(spark, sf_dir).select("grp", F.floor(F.col("poly_id") / 64).alias("part"), F.concat(F.lit("/d/"), F.col("poly_id").cast("string"), F.lit(".tif")).alias("p"), F.struct("name", "points").alias("r"))
+    by_image = rows.groupBy("grp", "part").agg(F.map_from_entries(F.collect_list(F.struct("p", "r"))).alias("m"))
+    whole = F.struct(F.map_from_arrays(F.array("grp"), F.array("m")).alias("all_polygons"), F.lit(0).alias("current_root_index"), F.lit(0).alias("root_offset"), F.lit("{}").alias("root_coordinates"))
+    by_image.select("grp", "part", F.to_json(whole).alias("value")).write.partitionBy("grp", "part").text(path)  # a file per project
+    found = files.read_projects(spark, f"{path}/*/*", "*.txt")
+    return found.select("grp", "image_path", "name", F.col("parts")[0][0]["x"].alias("x"))

@@ -12,25 +12,21 @@ from .registry import query
 _VALID = "b1 IS NOT NULL AND b2 IS NOT NULL AND b3 IS NOT NULL AND NOT abs(b1 + 9999) <= 9.999 AND NOT abs(b2 + 9999) <= 9.999 AND NOT abs(b3 + 9999) <= 9.999"
 
 
-def _r(c):
-    return F.round(c, 4)
-
-
 @query("zonal_mean_gcc", V.with_sql(f"""SELECT s.poly_id, s.grp, s.image_id, coalesce(n, 0) AS n, gcc FROM shapes s LEFT JOIN (
-  SELECT i.poly_id, count(*) AS n, round(avg(b2 / (CASE WHEN b1 + b2 + b3 = 0 THEN 1 ELSE b1 + b2 + b3 END)), 4) AS gcc FROM inside i JOIN gaps g ON i.image_id = g.image_id AND i.x = g.x AND i.y = g.y
+  SELECT i.poly_id, count(*) AS n, (avg(b2 / (CASE WHEN b1 + b2 + b3 = 0 THEN 1 ELSE b1 + b2 + b3 END))) AS gcc FROM inside i JOIN gaps g ON i.image_id = g.image_id AND i.x = g.x AND i.y = g.y
   WHERE {_VALID} GROUP BY i.poly_id) a ON a.poly_id = s.poly_id""", "gaps", "shapes", "inside"))
 def zonal_mean_gcc(spark, sf_dir):
     px, polys = V.pixels(spark, sf_dir, gaps=True), V.polygons(spark, sf_dir)
     gcc = B.gcc(F.col("b1"), F.col("b2"), F.col("b3"))
     missing = B.is_nodata([-9999.0], ["b1", "b2", "b3"])
-    rows = zonal.zonal(px, polys, [F.count("*").alias("n"), _r(F.avg(gcc)).alias("gcc")], missing)
+    rows = zonal.zonal(px, polys, [F.count("*").alias("n"), F.avg(gcc).alias("gcc")], missing)
     return rows.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-@query("zonal_mean_bands", V.with_sql("""SELECT s.poly_id, s.grp, s.image_id, mean_b1, mean_b4 FROM shapes s LEFT JOIN (SELECT i.poly_id, round(avg(b1), 4) AS mean_b1, round(avg(b4), 4) AS mean_b4 FROM inside i
+@query("zonal_mean_bands", V.with_sql("""SELECT s.poly_id, s.grp, s.image_id, mean_b1, mean_b4 FROM shapes s LEFT JOIN (SELECT i.poly_id, (avg(b1)) AS mean_b1, (avg(b4)) AS mean_b4 FROM inside i
   JOIN pixels g ON i.image_id = g.image_id AND i.x = g.x AND i.y = g.y GROUP BY i.poly_id) a ON a.poly_id = s.poly_id""", "pixels", "shapes", "inside"))
 def zonal_mean_bands(spark, sf_dir):
-    return zonal.zonal(V.pixels(spark, sf_dir), V.polygons(spark, sf_dir), [_r(F.avg(b)).alias(f"mean_{b}") for b in ("b1", "b4")])
+    return zonal.zonal(V.pixels(spark, sf_dir), V.polygons(spark, sf_dir), [F.avg(b).alias(f"mean_{b}") for b in ("b1", "b4")])
 
 
 @query("polygon_pixels", V.with_sql("SELECT i.poly_id, i.grp, g.* FROM inside i JOIN pixels g ON i.image_id = g.image_id AND i.x = g.x AND i.y = g.y", "pixels", "shapes", "inside"))
@@ -43,20 +39,20 @@ def rasterised_polygons(spark, sf_dir):
     return shapes.spans(V.polygons(spark, sf_dir)).select("poly_id", "y", "x0", "x1")
 
 
-@query("polygon_statistics", V.with_sql("""SELECT i.poly_id, round(avg(b1), 4) AS b1_mean, round(quantile_cont(b1, 0.5), 4) AS b1_median, round(stddev_pop(b1), 4) AS b1_std, round(quantile_cont(b1, 0.05), 4) AS b1_q5,
-  round(quantile_cont(b1, 0.95), 4) AS b1_q95 FROM inside i JOIN gaps g ON i.image_id = g.image_id AND i.x = g.x AND i.y = g.y GROUP BY i.poly_id""", "gaps", "shapes", "inside"))
+@query("polygon_statistics", V.with_sql("""SELECT i.poly_id, (avg(b1)) AS b1_mean, (quantile_cont(b1, 0.5)) AS b1_median, (stddev_pop(b1)) AS b1_std, (quantile_cont(b1, 0.05)) AS b1_q5,
+  (quantile_cont(b1, 0.95)) AS b1_q95 FROM inside i JOIN gaps g ON i.image_id = g.image_id AND i.x = g.x AND i.y = g.y GROUP BY i.poly_id""", "gaps", "shapes", "inside"))
 def polygon_statistics(spark, sf_dir):
     rows = zonal.pixels_in(V.pixels(spark, sf_dir, gaps=True), V.polygons(spark, sf_dir)).groupBy("poly_id").agg(*zonal.statistics("b1", (5, 0.95)))
-    return rows.select("poly_id", *[_r(F.col(c)).alias(c) for c in rows.columns if c != "poly_id"])
+    return rows.select("poly_id", *[F.col(c).alias(c) for c in rows.columns if c != "poly_id"])
 
 
-@query("scene_and_polygon_statistics", V.with_sql("""SELECT z.poly_id, z.m AS poly_mean, s.m AS scene_mean, s.sd AS scene_std, s.q AS scene_median FROM (SELECT i.poly_id, i.image_id, round(avg(b1), 4) AS m FROM inside i
+@query("scene_and_polygon_statistics", V.with_sql("""SELECT z.poly_id, z.m AS poly_mean, s.m AS scene_mean, s.sd AS scene_std, s.q AS scene_median FROM (SELECT i.poly_id, i.image_id, (avg(b1)) AS m FROM inside i
   JOIN pixels g ON i.image_id = g.image_id AND i.x = g.x AND i.y = g.y GROUP BY i.poly_id, i.image_id) z
-  JOIN (SELECT image_id, round(avg(b1), 4) AS m, round(stddev_pop(b1), 4) AS sd, round(quantile_cont(b1, 0.5), 4) AS q FROM pixels GROUP BY image_id) s ON s.image_id = z.image_id""", "pixels", "shapes", "inside"))
+  JOIN (SELECT image_id, (avg(b1)) AS m, (stddev_pop(b1)) AS sd, (quantile_cont(b1, 0.5)) AS q FROM pixels GROUP BY image_id) s ON s.image_id = z.image_id""", "pixels", "shapes", "inside"))
 def scene_and_polygon_statistics(spark, sf_dir):
     px = V.pixels(spark, sf_dir)
-    z = zonal.pixels_in(px, V.polygons(spark, sf_dir)).groupBy("poly_id", "image_id").agg(_r(F.avg("b1")).alias("poly_mean"))
-    s = px.groupBy("image_id").agg(_r(F.avg("b1")).alias("scene_mean"), _r(F.stddev_pop("b1")).alias("scene_std"), _r(F.percentile("b1", F.lit(0.5))).alias("scene_median"))
+    z = zonal.pixels_in(px, V.polygons(spark, sf_dir)).groupBy("poly_id", "image_id").agg(F.avg("b1").alias("poly_mean"))
+    s = px.groupBy("image_id").agg(F.avg("b1").alias("scene_mean"), F.stddev_pop("b1").alias("scene_std"), F.percentile("b1", F.lit(0.5)).alias("scene_median"))
     return z.join(s, "image_id").drop("image_id")
 
 
@@ -72,12 +68,11 @@ _FOLD = "CASE WHEN {v} < 0 THEN -({v}) WHEN {v} > {m} THEN 2 * {m} - ({v}) ELSE
 _WIN = "LEFT JOIN pixels n{k} ON n{k}.image_id = c.image_id AND n{k}.y = greatest(0, " + _FOLD.format(v="c.y + ({dy})", m="c.my") + ") AND n{k}.x = greatest(0, " + _FOLD.format(v="c.x + ({dx})", m="c.mx") + ")"
 
 
-@query("pixel_windows_reflect", V.with_sql("SELECT c.image_id, c.y, c.x, n0.b1 AS b1_w0, n4.b1 AS b1_w4, n5.b1 AS b1_w5, n8.b1 AS b1_w8 FROM (SELECT p.image_id, y, x, my, mx FROM pixels p JOIN (SELECT image_id, max(y) AS my, max(x) AS mx FROM pixels GROUP BY image_id) a ON a.image_id = p.image_id WHERE (x + y) % 7 = 0) c "
+@query("pixel_windows_reflect", V.with_sql("SELECT c.image_id, c.y, c.x, n0.b1 AS b1_w0, n4.b1 AS b1_w4, n5.b1 AS b1_w5, n8.b1 AS b1_w8 FROM (SELECT p.image_id, y, x, my, mx FROM pixels p JOIN (SELECT image_id, max(y) AS my, max(x) AS mx FROM pixels GROUP BY image_id) a ON a.image_id = p.image_id) c "
   + " ".join(_WIN.format(k=k, dy=k // 3 - 1, dx=k % 3 - 1) for k in (0, 4, 5, 8)), "pixels"))
 def pixel_windows_reflect(spark, sf_dir):
     px = V.pixels(spark, sf_dir)
-    centres = px.filter((F.col("x") + F.col("y")) % 7 == 0).select("image_id", "y", "x")
-    return zonal.windows(px, centres, 3, ["b1"]).select("image_id", "y", "x", "b1_w0", "b1_w4", "b1_w5", "b1_w8")
+    return zonal.windows(px, px.select("image_id", "y", "x"), 3, ["b1"]).select("image_id", "y", "x", "b1_w0", "b1_w4", "b1_w5", "b1_w8")
 
 
 @query("channel_layout", V.with_sql("SELECT image_id, y, x, b1 AS R, b2 AS G, b3 AS B, b4 AS band_4, CAST(NULL AS DOUBLE) AS band_5 FROM pixels", "pixels"))
@@ -96,19 +91,19 @@ def polygon_inventory(spark, sf_dir):
     return zonal.inventory(V.polygons(spark, sf_dir)).withColumn("examples", F.array_join("examples", ","))
 
 
-@query("roi_band_values", V.with_sql(f"SELECT i.poly_id, g.x, g.y, g.b1, round(2 * g.b2 - (g.b1 + g.b3), 4) AS exg FROM inside i JOIN gaps g ON i.image_id = g.image_id AND i.x = g.x AND i.y = g.y WHERE i.shape = 'diamond' AND {_VALID}", "gaps", "shapes", "inside"))
+@query("roi_band_values", V.with_sql(f"SELECT i.poly_id, g.x, g.y, g.b1, (2 * g.b2 - (g.b1 + g.b3)) AS exg FROM inside i JOIN gaps g ON i.image_id = g.image_id AND i.x = g.x AND i.y = g.y WHERE {_VALID}", "gaps", "shapes", "inside"))
 def roi_band_values(spark, sf_dir):
     px = V.pixels(spark, sf_dir, gaps=True).filter(~B.is_nodata([-9999.0], ["b1", "b2", "b3"]))
-    rows = zonal.pixels_in(px, V.polygons(spark, sf_dir).filter("shape = 'diamond'"))
-    return rows.select("poly_id", "x", "y", "b1", _r(B.exg(F.col("b1"), F.col("b2"), F.col("b3"))).alias("exg"))
+    rows = zonal.pixels_in(px, V.polygons(spark, sf_dir))
+    return rows.select("poly_id", "x", "y", "b1", B.exg(F.col("b1"), F.col("b2"), F.col("b3")).alias("exg"))
 
 
-@query("pixel_probe", V.with_sql("""SELECT q.c_custkey AS probe, q.image_id, q.y, q.x, g.b1, round(g.b2 - g.b3, 4) AS value, g.b1 < 50 AS missing FROM (SELECT c_custkey, c_custkey % 8 AS image_id, c_custkey * 3 % 40 AS y, c_custkey * 7 % 40 AS x FROM customer) q
+@query("pixel_probe", V.with_sql("""SELECT q.c_custkey AS probe, q.image_id, q.y, q.x, g.b1, (g.b2 - g.b3) AS value, g.b1 < 50 AS missing FROM (SELECT c_custkey, c_custkey // 150 AS image_id, c_custkey * 3 % 40 AS y, c_custkey * 7 % 40 AS x FROM customer) q
   LEFT JOIN pixels g ON g.image_id = q.image_id AND g.y = q.y AND g.x = q.x""", "pixels"))
 def pixel_probe(spark, sf_dir):
     k = F.col("c_custkey")
-    points = V.table(spark, sf_dir, "customer").select(k.alias("probe"), (k % 8).alias("image_id"), (k * 3 % 40).alias("y"), (k * 7 % 40).alias("x"))
-    rows = zonal.probe(V.pixels(spark, sf_dir), points, F.col("b1") < 50, _r(F.col("b2") - F.col("b3")))
+    points = V.table(spark, sf_dir, "customer").select(k.alias("probe"), F.expr("c_custkey div 150").alias("image_id"), (k * 3 % 40).alias("y"), (k * 7 % 40).alias("x"))
+    rows = zonal.probe(V.pixels(spark, sf_dir), points, F.col("b1") < 50, F.col("b2") - F.col("b3"))
     return rows.select("probe", "image_id", "y", "x", "b1", "value", "missing")
 
 
@@ -119,29 +114,29 @@ def segmentation_labels(spark, sf_dir):
 
 
 @query("polygon_chips", V.with_sql("""SELECT b.poly_id, g.image_id, g.y - ya AS chip_y, g.x - xa AS chip_x, g.b1, g.b2, g.b3, g.b4 FROM (SELECT poly_id, image_id, CAST(greatest(0, floor(mx - hx)) AS BIGINT) AS xa, CAST(ceil(mx + hx) AS BIGINT) AS xb, CAST(greatest(0, floor(my - hy)) AS BIGINT) AS ya, CAST(ceil(my + hy) AS BIGINT) AS yb
-  FROM (SELECT poly_id, image_id, x0 + w / 2.0 AS mx, greatest(w * 1.4, 16.0) / 2 AS hx, y0 + h / 2.0 AS my, greatest(h * 1.4, 16.0) / 2 AS hy FROM shapes WHERE shape = 'rect')) b
+  FROM (SELECT poly_id, image_id, (xl + xh) / 2.0 AS mx, greatest((xh - xl) * CAST(1.4 AS DOUBLE), 16.0) / 2 AS hx, (yl + yh) / 2.0 AS my, greatest((yh - yl) * CAST(1.4 AS DOUBLE), 16.0) / 2 AS hy FROM (""" + V.BOX + """))) b
   JOIN pixels g ON g.image_id = b.image_id AND g.x BETWEEN xa AND xb AND g.y BETWEEN ya AND yb""", "pixels", "shapes"))
 def polygon_chips(spark, sf_dir):
-    return zonal.chips(V.pixels(spark, sf_dir), V.polygons(spark, sf_dir).filter("shape = 'rect'"))
+    return zonal.chips(V.pixels(spark, sf_dir), V.polygons(spark, sf_dir))
 
 
-@query("rescaled_polygons", V.with_sql("SELECT poly_id, CAST(trunc(least(greatest(x0 * 2.0, 0), 63)) AS BIGINT) AS first_x, CAST(least(trunc(y0 * 0.5), 15) AS BIGINT) AS first_y FROM shapes WHERE shape = 'rect'", "shapes"))
+@query("rescaled_polygons", V.with_sql(f"SELECT poly_id, CAST(trunc(least(greatest(({V.FIRST[0]}) * 2.0, 0), 63)) AS BIGINT) AS first_x, CAST(least(trunc(({V.FIRST[1]}) * 0.5), 15) AS BIGINT) AS first_y FROM shapes", "shapes"))
 def rescaled_polygons(spark, sf_dir):
     side = F.lit(32)
     p = shapes.rescaled(F.col("points"), side, side, F.lit(64), F.lit(16), F.lit(True))
-    return V.polygons(spark, sf_dir).filter("shape = 'rect'").select("poly_id", p[0]["x"].cast("long").alias("first_x"), p[0]["y"].cast("long").alias("first_y"))
+    return V.polygons(spark, sf_dir).select("poly_id", p[0]["x"].cast("long").alias("first_x"), p[0]["y"].cast("long").alias("first_y"))
 
 
-@query("shrunk_polygons", V.with_sql("SELECT poly_id, round(x0 + w / 2.0 - w / 2.0 * 0.8, 4) AS left_x, round(y0 + h / 2.0 + h / 2.0 * 0.8, 4) AS bottom_y FROM shapes WHERE shape = 'rect'", "shapes"))
+@query("shrunk_polygons", V.with_sql(f"SELECT poly_id, CASE WHEN shape IN ('point', 'pair') THEN fx * 1.0 ELSE mx + (fx - mx) * 0.8 END AS first_x, CASE WHEN shape IN ('point', 'pair') THEN ly * 1.0 ELSE my + (ly - my) * 0.8 END AS last_y FROM (SELECT poly_id, shape, {V.FIRST[0]} AS fx, {V.LAST_Y} AS ly, CAST({V.MEAN[0]} AS DOUBLE) AS mx, CAST({V.MEAN[1]} AS DOUBLE) AS my FROM shapes)", "shapes"))
 def shrunk_polygons(spark, sf_dir):
     p = shapes.shrunk(F.col("points"), 0.2)
-    return V.polygons(spark, sf_dir).filter("shape = 'rect'").select("poly_id", _r(p[0]["x"]).alias("left_x"), _r(p[2]["y"]).alias("bottom_y"))
+    return V.polygons(spark, sf_dir).select("poly_id", p[0]["x"].alias("first_x"), F.element_at(p, -1)["y"].alias("last_y"))
 
 
-@query("polygon_mean_point", V.with_sql("SELECT poly_id, round(x0 + w / 2.0, 4) AS mx, round(y0 + h / 2.0, 4) AS my FROM shapes WHERE shape = 'rect'", "shapes"))
+@query("polygon_mean_point", V.with_sql(f"SELECT poly_id, CAST({V.MEAN[0]} AS DOUBLE) AS mx, CAST({V.MEAN[1]} AS DOUBLE) AS my FROM shapes", "shapes"))
 def polygon_mean_point(spark, sf_dir):
     m = shapes.mean_point(F.col("points"))
-    return V.polygons(spark, sf_dir).filter("shape = 'rect'").select("poly_id", _r(m["x"]).alias("mx"), _r(m["y"]).alias("my"))
+    return V.polygons(spark, sf_dir).select("poly_id", m["x"].alias("mx"), m["y"].alias("my"))
 
 
 @query("polygon_parts", V.with_sql("""SELECT poly_id, CASE WHEN shape IN ('point') THEN 1 WHEN shape = 'pair' THEN 2 ELSE 1 END::BIGINT AS parts, CASE WHEN shape IN ('point', 'pair') THEN 1 WHEN shape = 'tri' THEN 3 ELSE 4 END::BIGINT AS first_size FROM shapes""", "shapes"))

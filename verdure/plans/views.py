@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..session import table
 
 SIDE = 32
-IMAGES = 8
+#: Shapes to an image: there are ten times as many suppliers as whole images.
+PER_IMAGE = 10
 POINTS = "array<struct<x:double,y:double>>"
 
 
@@ -58,14 +59,14 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(p(x0 + 6 - r, y0 + 6), p(x0 + 6, y0 + 6 - r), p(x0 + 6 + r, y0 + 6), p(x0 + 6, y0 + 6 + r)))
     )
     base = table(spark, sf_dir, "supplier").select(
-        s.alias("poly_id"), F.concat(F.lit("g"), (s % 5).cast("string")).alias("grp"), (s % IMAGES).alias("image_id"), F.col("s_name").alias("name"),
+        s.alias("poly_id"), F.concat(F.lit("g"), (s % 5).cast("string")).alias("grp"), F.expr(f"s_suppkey div {PER_IMAGE}").alias("image_id"), F.col("s_name").alias("name"),
         _shape(s).alias("shape"), (s * 7 % 20).alias("x0"), (s * 5 % 20).alias("y0"), (s % 9 + 3).alias("w"), (s % 7 + 2).alias("h"), (s % 4 + 2).alias("r"),
     )
     return base.select("poly_id", "grp", "image_id", "name", "shape", points.alias("points"))
 
 
 #: The same shapes with their numbers, and which pixels lie in each.
-SHAPES = """SELECT s_suppkey AS poly_id, 'g' || (s_suppkey % 5) AS grp, s_suppkey % 8 AS image_id, s_name AS name,
+SHAPES = """SELECT s_suppkey AS poly_id, 'g' || (s_suppkey % 5) AS grp, s_suppkey // 10 AS image_id, s_name AS name,
   CASE WHEN s_suppkey % 17 = 5 THEN 'point' WHEN s_suppkey % 17 = 6 THEN 'pair' WHEN s_suppkey % 23 = 7 THEN 'outside' WHEN s_suppkey % 3 = 0 THEN 'rect'
        WHEN s_suppkey % 3 = 1 THEN 'tri' ELSE 'diamond' END AS shape,
   s_suppkey * 7 % 20 AS x0, s_suppkey * 5 % 20 AS y0, s_suppkey % 9 + 3 AS w, s_suppkey % 7 + 2 AS h, s_suppkey % 4 + 2 AS r FROM supplier"""
@@ -75,6 +76,17 @@ INSIDE = """SELECT poly_id, grp, image_id, shape, t.x AS x, u.y AS y FROM shapes
   OR (shape = 'tri' AND t.x >= x0 AND u.y >= y0 AND (t.x - x0) + (u.y - y0) <= w) OR (shape = 'diamond' AND abs(t.x - x0 - 6) + abs(u.y - y0 - 6) <= r)"""
 
 
+#: A shape's first and last point, the mean of its points and its box, as SQL over the columns of SHAPES.
+FIRST = ("CASE shape WHEN 'outside' THEN x0 + 100 WHEN 'diamond' THEN x0 + 6 - r ELSE x0 END", "CASE shape WHEN 'diamond' THEN y0 + 6 ELSE y0 END")
+LAST_Y = "CASE shape WHEN 'point' THEN y0 WHEN 'tri' THEN y0 + w WHEN 'diamond' THEN y0 + 6 + r ELSE y0 + h END"
+MEAN = (
+    "CASE shape WHEN 'point' THEN x0 * 1.0 WHEN 'outside' THEN x0 + w / 2.0 + 100 WHEN 'tri' THEN x0 + w / 3.0 WHEN 'diamond' THEN x0 + 6.0 ELSE x0 + w / 2.0 END",
+    "CASE shape WHEN 'point' THEN y0 * 1.0 WHEN 'tri' THEN y0 + w / 3.0 WHEN 'diamond' THEN y0 + 6.0 ELSE y0 + h / 2.0 END",
+)
+BOX = """SELECT poly_id, image_id, CASE shape WHEN 'outside' THEN x0 + 100 WHEN 'diamond' THEN x0 + 6 - r ELSE x0 END AS xl, CASE shape WHEN 'point' THEN x0 WHEN 'outside' THEN x0 + w + 100 WHEN 'diamond' THEN x0 + 6 + r ELSE x0 + w END AS xh,
+  CASE shape WHEN 'diamond' THEN y0 + 6 - r ELSE y0 END AS yl, CASE shape WHEN 'point' THEN y0 WHEN 'tri' THEN y0 + w WHEN 'diamond' THEN y0 + 6 + r ELSE y0 + h END AS yh FROM shapes"""
+
+
 def with_sql(select: str, *views: str) -> str:
     """WITH clause over the named views, then the select."""
     known = {"pixels": PIXELS, "gaps": GAPS, "shapes": SHAPES, "inside": INSIDE, "gps": GPS, "targets": TARGETS, "catalog": CATALOG, "recipes": RECIPES}
@@ -125,10 +137,5 @@ def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def recipes_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The recipes that RECIPES names: those of the first 64 images only."""
-    return recipes(spark, sf_dir).filter("image_id < 64")
-
-
 RECIPES = """SELECT s_suppkey AS image_id, CAST(s_suppkey % 4 * 90 AS INT) AS rotate, CAST(s_suppkey % 5 AS INT) AS crop_x, CAST(s_suppkey % 3 AS INT) AS crop_y, CAST(s_suppkey % 7 + 9 AS INT) AS crop_w,
-  CAST(s_suppkey % 11 + 8 AS INT) AS crop_h, 32 AS ref_w, 32 AS ref_h, CASE WHEN s_suppkey % 2 = 0 THEN 50.0 ELSE 100.0 END AS scale FROM supplier WHERE s_suppkey < 64"""
+  CAST(s_suppkey % 11 + 8 AS INT) AS crop_h, 32 AS ref_w, 32 AS ref_h, CASE WHEN s_suppkey % 2 = 0 THEN 50.0 ELSE 100.0 END AS scale FROM supplier"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -23,7 +24,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
-        .config("spark.checkpoint.dir", os.environ.get("VERDURE_CHECKPOINT", tempfile.mkdtemp(prefix="spark-")))
+        .config("spark.checkpoint.dir", os.environ.get("VERDURE_CHECKPOINT") or tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -34,14 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df):
-    """df written to the session's shared checkpoint folder and read again, so that later steps start from the files."""
-    import uuid
-
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The name of a new folder in the shared checkpoint folder that the session names."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{base.rstrip('/')}/verdure-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/verdure-{uuid.uuid4().hex}"
+
+
+def written(df):
+    """df written to the session's shared checkpoint folder and read again, so that later steps start from the files."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import parsed_polygon_file, stem
@@ -79,32 +79,29 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", F.posexplode("parts").alias("part", "points")).drop("parts")
 
 
-def read_projects(spark: SparkSession, path: str) -> DataFrame:
+def read_projects(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """(project, grp, image_path, record columns) of all project files that have every required key."""
-    rows = _whole(spark, path).withColumn("v", F.try_parse_json("value")).filter("v is not null")
+    rows = _whole(spark, path, glob).withColumn("v", F.try_parse_json("value")).filter("v is not null")
     for k in PROJECT_KEYS:
         rows = rows.filter(F.expr(f"try_variant_get(v, '$.{k}', 'variant') is not null"))
-    rows.createOrReplaceTempView("__projects")
-    groups = spark.sql("select p.path as project, g.key as grp, g.value as g from __projects p, lateral variant_explode(try_variant_get(p.v, '$.all_polygons', 'variant')) g")
-    groups.createOrReplaceTempView("__groups")
-    files = spark.sql("select project, grp, f.key as image_path, f.value as f from __groups, lateral variant_explode(g) f")
+    groups = spark.sql("select p.path as project, g.key as grp, g.value as g from {rows} p, lateral variant_explode(try_variant_get(p.v, '$.all_polygons', 'variant')) g", rows=rows)
+    files = spark.sql("select project, grp, f.key as image_path, f.value as f from {groups}, lateral variant_explode(g) f", groups=groups)
     return files.select("project", "grp", "image_path", *polygon_record(F.col("f")))
 
 
 def gps_rows(documents: DataFrame) -> DataFrame:
     """(filename, latitude, longitude) of JSON texts (column value): lists of records or of triples, or records by name.
 
-    Latitude and longitude go by any of their usual names; of one base name the first entry stays."""
-    documents.select("value").createOrReplaceTempView("__gps")
-    spark = documents.sparkSession
-    rows = spark.sql("select e.pos, e.key, e.value as v from __gps, lateral variant_explode(try_parse_json(value)) e")
+    Latitude and longitude go by any of their usual names; of one base name the first entry of its text stays, of several
+    texts' first ones the least."""
+    rows = documents.sparkSession.sql("select e.pos, e.key, e.value as v from {docs}, lateral variant_explode(try_parse_json(value)) e", docs=documents.select("value"))
     get = lambda *names, t="string": F.coalesce(*[F.try_variant_get("v", p, t) for p in names])
     out = rows.select(
         "pos", base_name(F.coalesce(get("$.filename", "$.file", "$.path", "$.SourceFile", "$[0]"), F.col("key"))).alias("filename"),
         get("$.latitude", "$.lat", "$.GPSLatitude", "$[1]", t="double").alias("latitude"), get("$.longitude", "$.lon", "$.lng", "$.GPSLongitude", "$[2]", t="double").alias("longitude"),
     )
     out = out.filter("filename is not null and latitude is not null and longitude is not null")
-    return out.groupBy("filename").agg(F.min_by(F.struct("latitude", "longitude"), "pos").alias("p")).select("filename", "p.latitude", "p.longitude")
+    return out.groupBy("filename").agg(F.min_by(F.struct("latitude", "longitude"), F.struct("pos", "latitude", "longitude")).alias("p")).select("filename", "p.latitude", "p.longitude")
 
 
 def target_rows(documents: DataFrame) -> DataFrame:
@@ -128,8 +125,7 @@ def target_rows(documents: DataFrame) -> DataFrame:
 
 def root_mapping_rows(documents: DataFrame) -> DataFrame:
     """(root_id, base, ordinal) of root mappings held as JSON text: files of both folders, then the RGB and thermal ones."""
-    documents.select("value").createOrReplaceTempView("__roots")
-    rows = documents.sparkSession.sql("select e.key as root_id, e.value as v from __roots, lateral variant_explode(try_parse_json(value)) e")
+    rows = documents.sparkSession.sql("select e.key as root_id, e.value as v from {docs}, lateral variant_explode(try_parse_json(value)) e", docs=documents.select("value"))
     files = lambda p: F.coalesce(F.try_variant_get("v", p, "array<string>"), F.array().cast("array<string>"))
     singles = F.array(F.try_variant_get("v", "$.RGB", "string"), F.try_variant_get("v", "$.thermal", "string"))
     every = F.filter(F.concat(files("$.folder1.files"), files("$.folder2.files"), singles), lambda f: f.isNotNull() & (f != ""))
@@ -139,8 +135,7 @@ def root_mapping_rows(documents: DataFrame) -> DataFrame:
 
 def exif_rows(documents: DataFrame) -> DataFrame:
     """(path, tags) of metadata listings held as JSON arrays of records; tags is a map of text by name."""
-    documents.select("value").createOrReplaceTempView("__exif")
-    rows = documents.sparkSession.sql("select e.value as v from __exif, lateral variant_explode(try_parse_json(value)) e")
+    rows = documents.sparkSession.sql("select e.value as v from {docs}, lateral variant_explode(try_parse_json(value)) e", docs=documents.select("value"))
     tags = F.from_json(F.to_json("v"), "map<string,string>")
     return rows.select(F.try_variant_get("v", "$.SourceFile", "string").alias("path"), F.map_filter(tags, lambda k, v: k != "SourceFile").alias("tags")).filter("path is not null")
 
@@ -150,12 +145,14 @@ def with_exif(rows: DataFrame, exif: DataFrame, path: str = "path") -> DataFrame
     return rows.join(exif.select(F.col("path").alias("__p"), "tags"), F.col(path) == F.col("__p"), "left").drop("__p")
 
 
-def read_table(spark: SparkSession, path: str, header: bool = True, sample: int | None = None, seed: int = 7) -> DataFrame:
-    """Delimited text with its delimiter found on the first line; with ``sample``, that many uniformly chosen rows."""
-    first = spark.read.text(path).limit(1).first()
+def read_table(spark: SparkSession, path: str, header: bool = True, sample: int | None = None, seed: int = 7, encoding: str = "UTF-8") -> DataFrame:
+    """Delimited text with its delimiter found on the first line; with ``sample``, that many uniformly chosen rows.
+
+    ``encoding`` names the text's encoding, such as ISO-8859-1 for Latin-1."""
+    first = spark.read.option("header", False).option("sep", "\x00").option("quote", "").option("encoding", encoding).csv(path).limit(1).first()
     line = (first[0] if first else "").lstrip("﻿")
     sep = max(",;\t|", key=line.count)
-    rows = spark.read.option("header", header).option("sep", sep).csv(path)
+    rows = spark.read.option("header", header).option("sep", sep).option("encoding", encoding).csv(path)
     if header and rows.columns and rows.columns[0].startswith("﻿"):
         rows = rows.withColumnRenamed(rows.columns[0], rows.columns[0].lstrip("﻿"))
     if sample is None:
@@ -176,7 +173,3 @@ def write_polygons(polygons: DataFrame, path: str) -> None:
     """One JSON record per polygon, in a folder per group."""
     body = F.to_json(F.struct(*[c for c in polygons.columns if c != "grp"]))
     polygons.select("grp", body.alias("value")).write.mode("overwrite").partitionBy("grp").text(path)
-
-
-def first_by(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("__n = 1").drop("__n")
