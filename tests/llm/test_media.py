@@ -31,5 +31,30 @@ def test_sequences_keep_order_captions_and_references(spark):
     assert rows[1, 1]["payload_bytes"] == 64 and rows[1, 1]["caption"] == "Cap tion" and rows[4, 0]["payload_bytes"] is None
 
 
+def test_captions_stay_with_their_figure(spark):
+    img = lambda d, alt=None: {"kind": "media", "text": None, "digest": d, "caption": alt}
+    text = lambda t: {"kind": "text", "text": t, "digest": None, "caption": None}
+    cases = {
+        "<img src='sha256:a'><figure><figcaption>of b</figcaption><img src='sha256:b'></figure>": [img("a"), img("b", "of b")],
+        "<figure><img src='sha256:a'><img src='sha256:b' alt='x'><figcaption>both</figcaption></figure><img src='sha256:c' alt='own'>": [img("a", "both"), img("b", "both"), img("c", "own")],
+        "<figure><img src='sha256:a'><figcaption>never closed": [img("a", "never closed")],
+        "<figure><img src='sha256:a'><figcaption>cap<p>more</figure>after": [img("a", "capmore"), text("after")],
+        "one<figure><figcaption>no picture</figcaption></figure>two": [text("one"), text("no picture"), text("two")],
+        "<figcaption>loose</figcaption>end": [text("loose"), text("end")],
+        "<figure><img src='sha256:a'><figure><img src='sha256:b'><figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure>": [img("a", "outer"), img("b", "inner")],
+        "a &lt;b&gt; <script>x<img src=y></script><br>c": [text("a <b>"), text("c")],
+    }
+    for html, want in cases.items():
+        got = [{k: v for k, v in i.items() if k != "position"} for i in media.parse(html)]
+        assert got == want, html
+        assert [i["position"] for i in media.parse(html)] == list(range(len(want)))
+
+
+def test_lines_of_a_text_are_blocks_around_its_reference(spark):
+    rows = {r["doc_id"]: r for r in result(media.documents_as_media(frame(spark, [(1, "one <b> & two\n\nthree\nfour", "en", "a", 0), (2, None, "en", "a", 0), (3, "x" * 700_000 + "\n&amp;", "en", "a", 0)])))}
+    assert (rows[1]["n_blocks"], rows[1]["position"]) == (3, 1) and (rows[2]["n_blocks"], rows[2]["position"]) == (0, 0)
+    assert rows[3]["n_bytes"] == 700_006 and rows[3]["n_blocks"] == 2
+
+
 def test_empty_table(spark):
     assert media.documents_as_media(frame(spark, [])).count() == 0
