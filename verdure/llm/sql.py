@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import CLASSES, COMMON, MAX_CHAR_JSD, MAX_WORD_JSD, MIN_WORDS
+from .quality import CLASSES, LANGUAGES, MAX_CHAR_JSD, MAX_WORD_JSD, MIN_WORDS, TOP
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -39,34 +39,31 @@ def _count(name: str) -> str:
     return f"length(regexp_replace(coalesce(text, ''), '[^{_SETS[name]}]', '', 'g'))"
 
 
-def _jsd(p: list[str], q: list[str]) -> str:
+def _term(a: str, b: str) -> str:
     part = "CASE WHEN {a} > 0 THEN ({a}) * log2(2 * ({a}) / (({a}) + ({b}))) ELSE 0 END"
-    total = " + ".join(f"({part.format(a=a, b=b)} + {part.format(a=b, b=a)}) / 2" for a, b in zip(p, q))
-    return f"sqrt(greatest(0, {total}))"
+    return f"({part.format(a=a, b=b)} + {part.format(a=b, b=a)}) / 2"
 
 
 def quality() -> str:
-    slots = range(len(next(iter(COMMON.values()))))
-    lists = "CASE lang " + " ".join(f"WHEN '{n}' THEN [{', '.join(repr(w) for w in ws)}]" for n, ws in COMMON.items()) + " END"
-    common = ", ".join(f"len(list_filter(ws, lambda x: x = cw[{i + 1}])) AS k{i}" for i in slots)
-    some = " + ".join(f"k{i}" for i in slots)
-    shares = [f"(k{i} * 1.0 / n)" for i in slots] + [f"((n - ({some})) * 1.0 / n)"]
-    chars = [f"(c_{c} * 1.0 / c_total)" for c in CLASSES]
-    ref_words = [f"rk{i}" for i in slots] + ["rk_other"]
+    chars = " + ".join(_term(f"(m.c_{c} * 1.0 / m.c_total)", f"r.rc_{c}") for c in CLASSES)
+    line = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))"
     return f"""
-WITH d AS (SELECT doc_id, lang, text, {_WORDS} AS ws, {lists} AS cw FROM documents),
-c AS (SELECT doc_id, lang, len(ws) AS n, length(coalesce(text, '')) AS c_total, {", ".join(f"{_count(k)} AS c_{k}" for k in _SETS)},
-  len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS dup,
-  {common} FROM d),
-m AS (SELECT *, c_total - ({" + ".join(f"c_{k}" for k in _SETS)}) AS c_other FROM c),
-w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM d),
+WITH d AS (SELECT doc_id, lang, text, {_WORDS} AS ws FROM documents),
+c AS (SELECT doc_id, lang, len(ws) AS n, length(coalesce(text, '')) AS c_total, {", ".join(f"{_count(k)} AS c_{k}" for k in _SETS)}, len({line}) - len(list_distinct({line})) AS dup FROM d),
+w AS (SELECT doc_id, lang, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM d),
 g AS (SELECT doc_id, i, word || ' ' || lead(word) OVER v || ' ' || lead(word, 2) OVER v AS g FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
 t AS (SELECT doc_id, i, g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 AS twice FROM g),
 x AS (SELECT doc_id, sum(CASE WHEN hit THEN 1 ELSE 0 END) AS repeated FROM (SELECT doc_id, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM t) GROUP BY doc_id),
-r AS (SELECT lang, {", ".join(f"sum(c_{c}) * 1.0 / sum(c_total) AS rc_{c}" for c in CLASSES)}, {", ".join(f"sum(k{i}) * 1.0 / sum(n) AS rk{i}" for i in slots)}, sum(n - ({some})) * 1.0 / sum(n) AS rk_other
-  FROM m WHERE lang IN ({", ".join(repr(n) for n in COMMON)}) GROUP BY lang),
-j AS (SELECT m.doc_id, n, c_total - c_space AS wc, c_symbol AS sy, dup, CAST(coalesce(repeated, 0) AS BIGINT) AS rep, CASE WHEN n >= {MIN_WORDS} AND r.lang IS NOT NULL THEN {_jsd(chars, [f"rc_{c}" for c in CLASSES])} END AS jc,
-  CASE WHEN n >= {MIN_WORDS} AND r.lang IS NOT NULL THEN {_jsd(shares, ref_words)} END AS jw FROM m LEFT JOIN x ON x.doc_id = m.doc_id LEFT JOIN r ON r.lang = m.lang)
-SELECT doc_id, n AS n_words, wc AS word_chars, sy AS n_symbols, dup AS n_dup_lines, rep AS n_repeat_words, n < 50 OR 100 * rep > 50 * n AS base_failed,
-  NOT (n < 50 OR 100 * rep > 50 * n) AND NOT (coalesce(jc, 0) > {MAX_CHAR_JSD} OR coalesce(jw, 0) > {MAX_WORD_JSD}) AS kept, round(jc, 6) AS jsd_chars, round(jw, 6) AS jsd_words FROM j
+m AS (SELECT c.*, c_total - ({" + ".join(f"c_{k}" for k in _SETS)}) AS c_other, CAST(coalesce(repeated, 0) AS BIGINT) AS rep, n < 50 OR 100 * coalesce(repeated, 0) > 50 * n AS failed FROM c LEFT JOIN x ON x.doc_id = c.doc_id),
+v AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS place FROM (SELECT DISTINCT doc_id, lang, word FROM w WHERE lang IN ({", ".join(repr(n) for n in LANGUAGES)})) GROUP BY lang, word),
+k AS (SELECT w.doc_id, v.lang, v.place, count(*) AS c FROM w JOIN v ON v.lang = w.lang AND v.word = w.word AND v.place <= {TOP} GROUP BY 1, 2, 3),
+r AS (SELECT lang, sum(n) AS rn, {", ".join(f"sum(c_{c}) * 1.0 / sum(c_total) AS rc_{c}" for c in CLASSES)} FROM m WHERE NOT failed AND lang IN ({", ".join(repr(n) for n in LANGUAGES)}) GROUP BY lang),
+q AS (SELECT k.lang, k.place, sum(c) * 1.0 / any_value(rn) AS q FROM k JOIN m ON m.doc_id = k.doc_id AND NOT m.failed JOIN r ON r.lang = k.lang GROUP BY 1, 2),
+o AS (SELECT r.lang, 1 - coalesce(sum(q.q), 0) AS q_other FROM r LEFT JOIN q ON q.lang = r.lang GROUP BY r.lang),
+p AS (SELECT k.doc_id, sum(c) AS held, sum(coalesce(q.q, 0)) AS q_held, sum({_term("(c * 1.0 / m.n)", "coalesce(q.q, 0)")}) AS terms FROM k JOIN m ON m.doc_id = k.doc_id LEFT JOIN q ON q.lang = k.lang AND q.place = k.place GROUP BY 1),
+j AS (SELECT m.*, CASE WHEN m.n >= {MIN_WORDS} AND r.lang IS NOT NULL THEN sqrt(greatest(0, {chars})) END AS jc, CASE WHEN m.n >= {MIN_WORDS} AND r.lang IS NOT NULL THEN
+  sqrt(greatest(0, coalesce(terms, 0) + (1 - q_other - coalesce(q_held, 0)) / 2 + {_term("((m.n - coalesce(held, 0)) * 1.0 / m.n)", "q_other")})) END AS jw
+  FROM m LEFT JOIN r ON r.lang = m.lang LEFT JOIN o ON o.lang = m.lang LEFT JOIN p ON p.doc_id = m.doc_id)
+SELECT doc_id, n AS n_words, c_total - c_space AS word_chars, c_symbol AS n_symbols, dup AS n_dup_lines, rep AS n_repeat_words, failed AS base_failed,
+  NOT failed AND NOT (coalesce(jc, 0) > {MAX_CHAR_JSD} OR coalesce(jw, 0) > {MAX_WORD_JSD}) AS kept, jc AS jsd_chars, jw AS jsd_words FROM j
 """
