@@ -35,11 +35,11 @@ from .common import cut, let
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, CAP = (1, 2, 3), 3
-BLOCK, SLOTS, CHUNK, SEED = 32, 1024, 20_000, 11
+BLOCK, SLOTS, CHUNK, SEED = 32, 1024, 500, 11
 #: Products of two indices below 2**31 stay in a signed 64-bit number; larger ones are decimals.
 _NARROW, _HASH = 1 << 31, (1 << 62) - 1
-#: Shards that one row of the draw stands for.
-PART = 1024
+#: Chunks or shards that are summed at once for a running number, and shards that one row of the draw stands for.
+PART, DRAWN = 1024, 64
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -121,13 +121,22 @@ def placed(sizes: DataFrame, plan: DataFrame, chunk: int = CHUNK) -> DataFrame:
     of = plan.select(F.col("source").alias("s1"), "rank", F.ceil(F.col("documents") / chunk).alias("chunks"))
     rows = sizes.join(of, F.col("source").eqNullSafe(F.col("s1"))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "digest"), F.col("chunks"))).drop("s1", "chunks")
     sums = rows.groupBy("rank", "chunk").agg(F.sum("size").alias("chunk_words"))
-    earlier = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row per chunk
-    offsets = sums.select("rank", "chunk", F.coalesce(F.sum("chunk_words").over(earlier), F.lit(0)).alias("offset"))
+    offsets = _before(sums, "chunk", "chunk_words").select("rank", "chunk", F.col("before").alias("offset"))
     inside = Window.partitionBy("rank", "chunk").orderBy("doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return rows.join(offsets, ["rank", "chunk"]).select("doc_id", "source", "size", "digest", "rank", (F.col("offset") + F.col("inside")).alias("start"))
 
 
+def _before(rows: DataFrame, order: str, value: str) -> DataFrame:
+    """rows (rank, order, value) with ``before``: the sum of all earlier values of the rank. Sums of PART first, then within them."""
+    rows = rows.withColumn("__part", F.floor(F.col(order) / PART))
+    earlier = lambda w, by: w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("rank", "__part").agg(F.sum(value).alias("__sum"))
+    parts = parts.select("rank", "__part", F.coalesce(F.sum("__sum").over(earlier(Window.partitionBy("rank"), "__part")), F.lit(0)).alias("__first"))
+    inside = F.coalesce(F.sum(value).over(earlier(Window.partitionBy("rank", "__part"), order)), F.lit(0))
+    return rows.withColumn("__inside", inside).join(parts, ["rank", "__part"]).withColumn("before", F.col("__first") + F.col("__inside")).drop("__part", "__first", "__inside")
+
+
 def draws(plan: DataFrame, block: int = BLOCK, per_shard: int = SLOTS, seed: int = SEED) -> DataFrame:
     """(shard, rank, drawn, places): how many slots each source gets in each shard, and which ones.
 
@@ -137,14 +146,15 @@ def draws(plan: DataFrame, block: int = BLOCK, per_shard: int = SLOTS, seed: int
     mean_blocks = F.col("target") * F.ceil(F.col("source_size") / block) / F.col("source_size")
     one = plan.filter("source_size > 0").agg(F.sort_array(F.collect_list(F.struct("rank", mean_blocks.alias("want")))).alias("s"), F.sum(mean_blocks).alias("n"))
     one = one.filter("n > 0").withColumn("slots", F.ceil("n").cast("long"))
-    parts = F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {per_shard * PART}"))
-    dealt = one.select(F.explode(parts).alias("part"), "slots", "s").repartition("part")
+    parts = F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {per_shard * DRAWN}"))
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few rows are still dealt out
+    dealt = one.select(F.explode(parts).alias("part"), "slots", "s").repartition(tasks, "part")
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part, slots, s in zip(batch["part"].tolist(), batch["slots"].tolist(), batch["s"]):
                 rank, want = np.array([x["rank"] for x in s]), np.array([x["want"] for x in s], float)
-                for shard in range(part * PART, min((part + 1) * PART, -(-slots // per_shard))):
+                for shard in range(part * DRAWN, min((part + 1) * DRAWN, -(-slots // per_shard))):
                     here = min(per_shard, slots - shard * per_shard)
                     rng = np.random.default_rng([seed, shard])
                     drawn = drawn_slots(want, here, rng)
@@ -167,14 +177,7 @@ def drawn_slots(want, slots: int, rng):
 def slots(plan: DataFrame, block: int = BLOCK, per_shard: int = SLOTS, seed: int = SEED) -> DataFrame:
     """(rank, shard, slot, round, index, lo, hi): the block that each output slot takes, as a stretch of its source's stream."""
     counts = cut(draws(plan, block, per_shard, seed))  # as files, so that the planner knows their size
-    # a running number of a source's slots: sums of PART shards each, then within them
-    counts = counts.withColumn("part", F.floor(F.col("shard") / PART))
-    part_sums = counts.groupBy("rank", "part").agg(F.sum("drawn").alias("d"))
-    before = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    part_sums = part_sums.withColumn("first", F.coalesce(F.sum("d").over(before), F.lit(0))).drop("d")
-    inside = Window.partitionBy("rank", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("inside", F.coalesce(F.sum("drawn").over(inside), F.lit(0))).join(part_sums, ["rank", "part"])
-    counts = counts.withColumn("first", F.col("first") + F.col("inside"))
+    counts = _before(counts, "shard", "drawn").withColumnRenamed("before", "first")
 
     sources = plan.select("rank", "source_size", F.ceil(F.col("source_size") / block).cast("long").alias("blocks")).filter("blocks > 0")
     key = lambda e: permutation_keys(F.col("blocks"), F.col("rank"), e, F.lit(seed))
