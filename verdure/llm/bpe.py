@@ -169,7 +169,7 @@ class Codec:
             if ids is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                if len(self.fits) >= 8 * REMEMBERED:
+                if len(self.fits) >= REMEMBERED:
                     self.fits.clear()
                 ids = b"".join([pack[i] for i in self.merge(piece.encode("utf-8"))])
                 if len(ids) <= 256:
@@ -189,13 +189,14 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` (the bytes that the ids stand for)."""
+    """docs with ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` (the bytes that the ids stand for), in place
+    of columns of these names."""
 
     def make():
         c = codec(path, pattern)
         return lambda texts: [(ids := c.encode(t or ""), c.decode(numbers(ids))) for t in texts]
 
-    return by_text(docs, docs.columns, "ids binary, decoded binary", make)
+    return by_text(docs, [c for c in docs.columns if c not in ("ids", "decoded")], "ids binary, decoded binary", make)
 
 
 def numbers(ids: bytes) -> list[int]:

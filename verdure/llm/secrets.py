@@ -62,10 +62,10 @@ def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(cand_id, cand_rules): the rules whose query a document satisfies, by intersecting postings."""
+    """(__cand_id, __cand_rules): the rules whose query a document satisfies, by intersecting postings."""
     clauses = _clauses(docs.sparkSession, rules)
     hits = postings(docs, rules).join(F.broadcast(clauses), "trigram").groupBy("doc_id", "rule", "clause", "size").agg(F.collect_set("trigram").alias("g"))
-    return hits.filter(F.size("g") == F.col("size")).groupBy(F.col("doc_id").alias("cand_id")).agg(F.collect_set("rule").alias("cand_rules"))
+    return hits.filter(F.size("g") == F.col("size")).groupBy(F.col("doc_id").alias("__cand_id")).agg(F.collect_set("rule").alias("__cand_rules"))
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -97,13 +97,13 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with ``__spans``: all spans, sorted by start and then by the rules' order."""
-    rows = docs.join(candidates(docs, rules), F.col("doc_id").eqNullSafe(F.col("cand_id")), "left")
+    rows = docs.join(candidates(docs, rules), F.col("doc_id").eqNullSafe(F.col("__cand_id")), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = []
     for n, rule in enumerate(rules):
         spans = _spans(text, rule, n)
         if trigram_query(rule.regex):
-            spans = F.when(F.array_contains("cand_rules", rule.kind), spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+            spans = F.when(F.array_contains("__cand_rules", rule.kind), spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
         parts.append(spans)
     return rows.withColumn("__spans", F.array_sort(F.concat(*parts))).select(*docs.columns, "__spans")
 

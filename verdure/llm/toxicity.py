@@ -149,11 +149,14 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(toxic, text) of at most ``sample`` rows per class: those of the least hash of doc_id outside the held-out fifth."""
-    open_rows = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).select("doc_id", "toxic")
-    parts = [open_rows.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
+    """(doc_id, toxic, text) of at most ``sample`` labelled documents per class: those of the least hash of doc_id outside the
+    held-out fifth. Of several texts of an id the least is learned from, of several labels the greater."""
+    open_rows = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    there = open_rows.join(docs.select("doc_id"), "doc_id", "left_semi")  # ids alone
+    parts = [there.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # at most 2 * sample rows: small enough to be sent to all
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> DataFrame:

@@ -6,7 +6,6 @@ occur in its lower-cased form. An empty list means that nothing is mandatory and
 
 from __future__ import annotations
 
-import re
 from itertools import product
 
 from re import _constants as sre
@@ -88,7 +87,3 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
 def can_match(text: str, query: list[frozenset[str]]) -> bool:
     """What the index decides, for tests."""
     return not query or any(all(g in text.lower() for g in c) for c in query)
-
-
-def is_valid(regex: str) -> bool:
-    return bool(re.compile(regex))
