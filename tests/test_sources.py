@@ -109,3 +109,12 @@ def test_nodata_specs(spark):
     rows = spark.createDataFrame([(0, -9999.0, 1.0), (1, -9989.1, 1.0), (2, -9990.0, 1.0), (3, float("nan"), 1.0), (4, float("inf"), 1.0), (5, None, 1.0), (6, 7.0, 1.0)], "k int, b1 double, b2 double")
     got = {r["k"]: r["m"] for r in rows.select("k", bands.is_nodata([-9999.0], ["b1", "b2"]).alias("m")).collect()}
     assert got == {0: True, 1: True, 2: True, 3: True, 4: True, 5: True, 6: False} or got == {0: True, 1: False, 2: True, 3: True, 4: True, 5: True, 6: False}
+
+
+def test_encodings_and_previews(spark, tmp_path):
+    (tmp_path / "l.csv").write_bytes("name;n\ncaf\u00e9;1\nna\u00efve;2\n".encode("latin-1"))
+    rows, n = files.preview_table(spark, str(tmp_path / "l.csv"))
+    assert n == 2 and {r["name"] for r in rows.collect()} == {"caf\u00e9", "na\u00efve"}
+    (tmp_path / "b.csv").write_text("a,b\n" + "".join(f"{i:06d},{i % 7:06d}\n" for i in range(4000)))
+    rows, n = files.preview_table(spark, str(tmp_path / "b.csv"), big=1000, rows=50)
+    assert rows.count() == 50 and abs(n - 4001) < 100

@@ -18,11 +18,20 @@ REDUCERS = {"sum": "sum", "mean": "avg", "avg": "avg", "min": "min", "max": "max
 PIXELWISE = {"psum": "sum", "pmean": "mean", "pmin": "min", "pmax": "max", "pstd": "std", "pmedian": "median"}
 _COMPARE = {ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">=", ast.Eq: "=", ast.NotEq: "!="}
 
-#: Named indices with their formulas over R=b1, G=b2, B=b3.
-INDICES = {
-    "ExG": "2*b2 - (b1 + b3)", "WDX": "2*b3 + b1 - 2*b2", "SHD": "b1 + b2 + b3", "RCC": "b1 / (b1 + b2 + b3)",
-    "WDX_2": "b1 + 2*b3 - 2*b2", "sum": "b1 + b2 + b3",
-}
+#: The named expressions that a training table offers by default.
+DEFAULT_EXPRESSIONS = {
+    "boolean1": "b1 > 150",
+    "boolean2": "(b1 > 150) & (b2 > 165)",
+    "boolean3": "(b2 / (b1 + b2 + b3)) > 0.41",
+    "sum": "b1 + b2 + b3",
+    "GCC": "b2 / (b1 + b2 + b3)",
+    "EXG": "2*b2 - (b1 + b3)",
+    "RCC": "b3 / (b1 + b2 + b3)",
+    "BCC": "b1 / (b1 + b2 + b3)",
+    "WDX_2": "(2*b1) + b3 - (2*b2)",
+    "WDX": "b1 + 2*b1 - b2",
+    "WDX_3": "b1 + 2*b3 - 2*b2",
+}
 
 
 class Unknown(ValueError):

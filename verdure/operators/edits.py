@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import append_band, parse
 from .catalog import resized
-from .geometry import crop_first, replay, shrink
+from .geometry import crop_first, replay, resize, shrink, warp
 from .radiometry import match_mean_std, stretch
 from .shapes import spans
 from .zonal import band_names
@@ -120,24 +120,66 @@ def feature_input(pixels: DataFrame, longest: int = 800, bytes_already: bool = F
     return out.join(sizes, "image_id").select("image_id", "y", "x", *[F.rint(b).cast("int").alias(b) for b in ("b1", "b2", "b3")], "s.h", "s.w")
 
 
-def geometry_only(pixels: DataFrame, recipes: DataFrame, h: int, w: int) -> DataFrame:
-    """Turn, crop and shrink of each image's recipe (column scale, percent up to 100), one lazy plan."""
-    rows = replay(pixels, recipes.drop("scale"), h, w).join(recipes.select("image_id", "scale"), "image_id", "left")
-    size = resized(F.col("w"), F.col("h"), scale=F.coalesce("scale", F.lit(100.0)))
-    return shrink(rows, size["height"], size["width"])
+MATRIX = tuple(f"m{k}" for k in range(9))
 
 
-def edited(pixels: DataFrame, recipes: DataFrame, h: int, w: int, reference: dict[str, tuple[float, float]] | None = None, expression: str | None = None, after_resize: bool = True) -> DataFrame:
-    """The whole replay: turn and crop, histogram match, resize, then a derived band.
+def geometry_only(pixels: DataFrame, recipes: DataFrame, h: int, w: int, masked: Column | None = None, restore: float | None = None) -> DataFrame:
+    """Turn, crop and resize of each image's recipe (column scale, in percent), one lazy plan."""
+    return _resized(replay(pixels, recipes.select(*_turning(recipes)), h, w), recipes, masked, restore).drop("h", "w")
 
-    When a recipe shrinks, the match comes after the resize (``after_resize``), which changes results and so is a choice."""
-    if reference and not after_resize:
-        rows = replay(pixels, recipes.drop("scale"), h, w)
-        sizes = rows.select("image_id", "h", "w").distinct()
-        rows = match_mean_std(rows.drop("h", "w"), reference).join(sizes, "image_id").join(recipes.select("image_id", "scale"), "image_id", "left")
-        size = resized(F.col("w"), F.col("h"), scale=F.coalesce("scale", F.lit(100.0)))
-        out = shrink(rows, size["height"], size["width"])
+
+def _turning(recipes: DataFrame) -> list[str]:
+    return [c for c in recipes.columns if c != "scale" and c not in MATRIX]
+
+
+def _resized(rows: DataFrame, recipes: DataFrame, masked: Column | None, restore: float | None) -> DataFrame:
+    rows = rows.join(recipes.select("image_id", F.col("scale").alias("__scale")), "image_id", "left")
+    size = resized(F.col("w"), F.col("h"), scale=F.coalesce("__scale", F.lit(100.0)))
+    sized = rows.withColumns({"__rh": size["height"], "__rw": size["width"]}).drop("__scale")
+    return resize(sized, F.col("__rh"), F.col("__rw"), masked, restore)
+
+
+def registered(rows: DataFrame, recipes: DataFrame) -> DataFrame:
+    """rows (with h and w) warped by their image's matrix, the recipe columns m0 to m8; images without one stay as they are."""
+    if MATRIX[0] not in recipes.columns:
+        return rows
+    have = recipes.filter(F.col(MATRIX[0]).isNotNull()).select("image_id", *MATRIX)
+    sizes = rows.select("image_id", "h", "w").distinct().join(have, "image_id")
+    moved = warp(rows.join(have.select("image_id"), "image_id", "left_semi").drop("h", "w"), sizes, [F.col(m) for m in MATRIX])
+    moved = moved.join(sizes.select("image_id", "h", "w"), "image_id")
+    return rows.join(have.select("image_id"), "image_id", "left_anti").unionByName(moved.select(*rows.columns))
+
+
+def edited(
+    pixels: DataFrame, recipes: DataFrame, h: int, w: int, reference: dict[str, tuple[float, float]] | None = None, expression: str | None = None,
+    after_resize: bool = True, masked: Column | None = None, restore: float | None = None, model=None, model_bands: list[str] | None = None,
+) -> DataFrame:
+    """The whole replay: turn and crop, histogram match, resize, registration, then a derived band and a class band.
+
+    The match comes before the resize, but behind it and the registration for images that shrink (``after_resize``), which
+    changes results and so is a choice. ``masked`` pixels give their target cells ``restore`` when an image shrinks. The
+    class band is a model's class of each pixel, from ``model_bands``."""
+    rows = replay(pixels, recipes.select(*_turning(recipes)), h, w)
+
+    def matched(some: DataFrame) -> DataFrame:
+        sizes = some.select("image_id", "h", "w").distinct()
+        return match_mean_std(some.drop("h", "w"), reference).join(sizes, "image_id").select(*some.columns)
+
+    def placed(some: DataFrame) -> DataFrame:
+        return registered(_resized(some, recipes, masked, restore), recipes)
+
+    if not reference:
+        out = placed(rows)
     else:
-        out = geometry_only(pixels, recipes, h, w)
-        out = match_mean_std(out, reference) if reference else out
-    return append_band(out, parse(expression, band_names(out))[0]) if expression else out
+        late = recipes.filter("scale < 100").select("image_id") if after_resize else recipes.filter("false").select("image_id")
+        out = matched(placed(rows.join(late, "image_id", "left_semi"))).unionByName(placed(matched(rows.join(late, "image_id", "left_anti"))))
+    out = out.drop("h", "w")
+    if expression:
+        out = append_band(out, parse(expression, band_names(out))[0])
+    if model is not None:
+        from .learn import class_map
+
+        bands = band_names(out)
+        classes = class_map(model, out, model_bands or bands).withColumnRenamed("class_id", f"b{len(bands) + 1}")
+        out = out.join(classes, ["image_id", "y", "x"])
+    return out

@@ -129,6 +129,26 @@ def enlarge(pixels: DataFrame, sizes: DataFrame, cubic: bool = False) -> DataFra
     return _gathered(grid, pixels, 4 if cubic else 2, True)
 
 
+def resize(pixels: DataFrame, new_h: Column, new_w: Column, masked: Column | None = None, restore: float | None = None) -> DataFrame:
+    """pixels (with their image's h and w) on rasters of another size, with the new size as h and w.
+
+    By each image's factors: area averages if a side shrinks, bilinear values below double, cubic ones from there; an
+    unchanged size passes. Masked pixels and their restore value are those of :func:`shrink`."""
+    bands = band_names(pixels)
+    rows = pixels.withColumns({"__nh": new_h.cast("long"), "__nw": new_w.cast("long")})
+    small = (F.col("__nh") < F.col("h")) | (F.col("__nw") < F.col("w"))
+    same = (F.col("__nh") == F.col("h")) & (F.col("__nw") == F.col("w"))
+    most = F.greatest(F.col("__nh") / F.col("h"), F.col("__nw") / F.col("w"))
+    keep = ["image_id", "y", "x", *bands]
+    sizes = rows.select("image_id", "h", "w", F.col("__nh").alias("new_h"), F.col("__nw").alias("new_w"), small.alias("small"), same.alias("same"), most.alias("most")).distinct()
+    less = shrink(rows.filter(small).drop("__nh", "__nw"), new_h, new_w, masked, restore)
+    grown = [enlarge(rows.filter(~small & ~same & f(most)).select(*keep), sizes.filter(~F.col("small") & ~F.col("same") & f(F.col("most"))), cubic) for f, cubic in ((lambda c: c < 2, False), (lambda c: c >= 2, True))]
+    out = rows.filter(same).select(*keep)
+    for part in (less, *grown):
+        out = out.unionByName(part.select(*keep))
+    return out.join(sizes.select("image_id", F.col("new_h").alias("h"), F.col("new_w").alias("w")), "image_id")
+
+
 def warp(pixels: DataFrame, sizes: DataFrame, matrix: list[Column]) -> DataFrame:
     """Bilinear values where a 3 by 3 matrix (nine Columns over sizes) maps each target pixel; zero outside.
 

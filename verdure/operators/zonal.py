@@ -98,6 +98,13 @@ def inventory(polygons: DataFrame) -> DataFrame:
     )
 
 
+def inventory_by_root(polygons: DataFrame, roots: DataFrame) -> DataFrame:
+    """Per root, labelled ``id (name)`` where roots (root, root_name) names it: shapes, polygons, point sets, dots, two examples."""
+    named = polygons.join(roots, "root", "left")
+    label = F.when(F.col("root").isNull(), "No Root ID").when(F.col("root_name").isNull(), F.col("root")).otherwise(F.concat("root", F.lit(" ("), "root_name", F.lit(")")))
+    return inventory(named.withColumn("grp", label)).withColumnRenamed("grp", "label")
+
+
 def labels(polygons: DataFrame) -> DataFrame:
     """(image_id, y, x, label): polygons numbered from 1 per image in their order, later ones over earlier ones.
 

@@ -96,3 +96,12 @@ def expression_on_unmasked(spark, sf_dir):
 def append_derived_band(spark, sf_dir):
     value, _ = B.parse("b1+b2", BANDS)
     return B.append_band(V.pixels(spark, sf_dir), value)
+
+
+_SUM3 = "(b1 + b2 + b3)"
+
+
+@query("default_expressions", V.with_sql(f"""SELECT image_id, y, x, CAST(b1 > 150 AS INT) * 1.0::DOUBLE AS boolean1, CAST(b1 > 150 AND b2 > 165 AS INT) * 1.0::DOUBLE AS boolean2, CAST({_SUM3} <> 0 AND b2 / nullif({_SUM3}, 0) > 0.41 AS INT) * 1.0::DOUBLE AS boolean3, {_SUM3} AS sum,
+  coalesce(b2 / nullif({_SUM3}, 0), 0) AS "GCC", 2 * b2 - (b1 + b3) AS "EXG", coalesce(b3 / nullif({_SUM3}, 0), 0) AS "RCC", coalesce(b1 / nullif({_SUM3}, 0), 0) AS "BCC", 2 * b1 + b3 - 2 * b2 AS "WDX_2", b1 + 2 * b1 - b2 AS "WDX", b1 + 2 * b3 - 2 * b2 AS "WDX_3" FROM pixels""", "pixels"))
+def default_expressions(spark, sf_dir):
+    return B.evaluate(V.pixels(spark, sf_dir), B.DEFAULT_EXPRESSIONS).select("image_id", "y", "x", *B.DEFAULT_EXPRESSIONS)

@@ -82,6 +82,27 @@ def cubic_resample(spark, sf_dir):
     return G.enlarge(*_full(spark, sf_dir, 64), cubic=True).select("image_id", "y", "x", "b1")
 
 
+_HALF = "SELECT image_id, y // 2 AS y, x // 2 AS x, avg(b1) AS b1 FROM pixels WHERE image_id % 4 = 0 GROUP BY 1, 2, 3"
+_WHOLE = "(SELECT image_id FROM pixels GROUP BY image_id HAVING count(*) = 1024 AND image_id % 4 = {k})"
+
+
+def _of(name: str, k: int) -> str:
+    """The select of a registered resampling query over every fourth image."""
+    from .registry import ORACLE_SQL
+
+    text = ORACLE_SQL[name]
+    return text[text.index(" SELECT g.image_id") :].replace("HAVING count(*) = 1024", f"HAVING count(*) = 1024 AND image_id % 4 = {k}")
+
+
+@query("resized_rasters", V.with_sql(f"SELECT image_id, y, x, b1 FROM ({_HALF}) UNION ALL SELECT image_id, y, x, b1 FROM ({_of('bilinear_resample', 1)}) UNION ALL SELECT image_id, y, x, b1 FROM ({_of('cubic_resample', 2)}) UNION ALL SELECT image_id, y, x, b1 FROM pixels WHERE image_id % 4 = 3", "pixels").replace("FROM pixels WHERE image_id % 4", "FROM pixels WHERE image_id IN (SELECT image_id FROM pixels GROUP BY image_id HAVING count(*) = 1024) AND image_id % 4"))
+def resized_rasters(spark, sf_dir):
+    """Half, one and a half times, twice and once the size, by image."""
+    px, sizes = _full(spark, sf_dir, 32)
+    rows = px.join(sizes.select("image_id", "h", "w"), "image_id")
+    side = F.element_at(F.array(*map(F.lit, (16, 48, 64, 32))), (F.col("image_id") % 4 + 1).cast("int"))
+    return G.resize(rows, side, side).select("image_id", "y", "x", "b1")
+
+
 @query("warped_rasters", V.with_sql("""SELECT g.image_id, g.y, g.x, (sum(coalesce(p.b1, 0) * greatest(0, 1 - abs(g.sy - a.k)) * greatest(0, 1 - abs(g.sx - b.k)))) AS b1 FROM (SELECT f.image_id, ty AS y, tx AS x, 0.1 * tx + 0.9 * ty + 1.25 AS sy, 0.8 * tx - 0.2 * ty + 2.5 AS sx
   FROM (SELECT image_id FROM pixels GROUP BY image_id HAVING count(*) = 1024) f, range(0, 32) r(ty), range(0, 32) s(tx)) g CROSS JOIN range(-10, 45) a(k) CROSS JOIN range(-10, 45) b(k) LEFT JOIN pixels p ON p.image_id = g.image_id AND p.y = a.k AND p.x = b.k
   WHERE a.k BETWEEN floor(g.sy) AND floor(g.sy) + 1 AND b.k BETWEEN floor(g.sx) AND floor(g.sx) + 1 GROUP BY 1, 2, 3""", "pixels"))

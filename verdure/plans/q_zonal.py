@@ -91,6 +91,14 @@ def polygon_inventory(spark, sf_dir):
     return zonal.inventory(V.polygons(spark, sf_dir)).withColumn("examples", F.array_join("examples", ","))
 
 
+@query("polygons_by_root", V.with_sql("""SELECT CASE k WHEN 0 THEN '0 (RGB)' WHEN 1 THEN '1' ELSE 'No Root ID' END AS label, count(*) AS shapes, sum(CASE WHEN shape IN ('point', 'pair') THEN 0 ELSE 1 END)::BIGINT AS polygons, sum(CASE WHEN shape IN ('point', 'pair') THEN 1 ELSE 0 END)::BIGINT AS point_sets,
+  sum(CASE shape WHEN 'point' THEN 1 WHEN 'pair' THEN 2 ELSE 0 END)::BIGINT AS dots, array_to_string(list_sort(list(DISTINCT CAST(image_id AS VARCHAR)))[1:2], ',') AS examples FROM (SELECT *, poly_id % 3 AS k FROM shapes) GROUP BY 1""", "shapes"))
+def polygons_by_root(spark, sf_dir):
+    rows = V.polygons(spark, sf_dir).withColumn("root", F.when(F.col("poly_id") % 3 < 2, (F.col("poly_id") % 3).cast("string")))
+    names = V.table(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.lit("0").alias("root"), F.lit("RGB").alias("root_name"))
+    return zonal.inventory_by_root(rows, names).withColumn("examples", F.array_join("examples", ","))
+
+
 @query("roi_band_values", V.with_sql(f"SELECT i.poly_id, g.x, g.y, g.b1, (2 * g.b2 - (g.b1 + g.b3)) AS exg FROM inside i JOIN gaps g ON i.image_id = g.image_id AND i.x = g.x AND i.y = g.y WHERE {_VALID}", "gaps", "shapes", "inside"))
 def roi_band_values(spark, sf_dir):
     px = V.pixels(spark, sf_dir, gaps=True).filter(~B.is_nodata([-9999.0], ["b1", "b2", "b3"]))

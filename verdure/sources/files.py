@@ -145,6 +145,24 @@ def with_exif(rows: DataFrame, exif: DataFrame, path: str = "path") -> DataFrame
     return rows.join(exif.select(F.col("path").alias("__p"), "tags"), F.col(path) == F.col("__p"), "left").drop("__p")
 
 
+def preview_table(spark: SparkSession, path: str, big: int = 2 << 20, rows: int = 1000) -> tuple[DataFrame, int]:
+    """A table's rows, or a sample of ``rows`` where its files are over ``big`` bytes; and its row count, estimated from the
+    mean length of sampled lines where it is big."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    encoding = text_encoding(spark, path)
+    if size <= big:
+        whole = read_table(spark, path, encoding=encoding)
+        return whole, whole.count()
+    mean = spark.read.text(path).select(F.octet_length("value").alias("n")).limit(rows).agg(F.avg("n")).first()[0]
+    return read_table(spark, path, sample=rows, encoding=encoding), int(size / (mean + 1))
+
+
+def text_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8, or Latin-1 where some line is not valid UTF-8."""
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
+    return "ISO-8859-1" if broken else "UTF-8"
+
+
 def read_table(spark: SparkSession, path: str, header: bool = True, sample: int | None = None, seed: int = 7, encoding: str = "UTF-8") -> DataFrame:
     """Delimited text with its delimiter found on the first line; with ``sample``, that many uniformly chosen rows.
 
