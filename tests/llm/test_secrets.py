@@ -54,3 +54,9 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = secrets.scan(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"token={i:08x}" for i in range(4000)) + " " + "f" * 30
+    got = result(secrets.scan(frame(spark, [(1, text, "en", "a", 0), (2, text[:2000], "en", "a", 0)])))
+    assert got == [{"doc_id": 1, **brute(text)}, {"doc_id": 2, **brute(text[:2000])}] and got[0]["n_assign"] == 4000

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Word characters of most contracts: everything but the six ASCII white-space characters.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: Pieces that :func:`along` gathers at once.
+RUN = 128
 #: Stands for a NULL id: ordered behind all others.
 NO_ID = (1 << 63) - 1
 
@@ -21,6 +23,24 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def along(size: Column, kind: str, piece: Callable[[Column, Column], Column]) -> Column:
+    """An array of ``kind`` built from left to right over 0..size-1. piece(acc, i) gives the next struct of ``at`` (an int,
+    from 0) and ``out`` (the array so far).
+
+    Appending copies what is there, so that pieces are gathered in runs of RUN and the runs put together at the end."""
+    none, nested = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def run(at: Column, k: Column) -> Column:
+        return F.aggregate(F.sequence(k * RUN, F.least((k + 1) * RUN, size) - 1), F.struct(at.alias("at"), none.alias("out")), piece)
+
+    def add(acc: Column, k: Column) -> Column:
+        return let(run(acc["at"], k), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    runs = F.sequence(F.lit(0), F.floor((size - 1) / RUN).cast("int"))
+    built = F.aggregate(runs, F.struct(F.lit(0).alias("at"), nested.alias("out")), add, lambda acc: acc["out"])
+    return F.when(size > 0, F.flatten(built)).otherwise(none)
+
+
 def words_of(text: Column) -> Column:
     """Words between ASCII white space; none for NULL or blank text."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

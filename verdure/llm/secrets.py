@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import along, ascii_lower, let
 from .trigrams import trigram_query
 
 
@@ -89,8 +89,7 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         return add
 
     def walk(b: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(b["m"]) - 1), zero, step(b), lambda acc: acc["out"])
+        return along(F.size(b["m"]), "struct<start:int,kind:int,end:int>", step(b))
 
     return F.when(F.rlike(text, rx), let(all_of, walk)).otherwise(none)
 
