@@ -18,7 +18,7 @@ from re import _parser as _p
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import along, ascii_lower, let
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Literals of fewer characters tell nothing; a regex's literals stay within so many alternatives.
@@ -89,15 +89,67 @@ FORMS = (
     (r" {n} licen[sc]e", 1, 0.7),
     (r" {n} v?[0-9]+(?: [0-9]+){0,4}(?: international| unported)?", 1, 0.6),
 )
-#: Hand-written rules beside the families: (label, regex, priority, confidence).
+#: Hand-written rules beside the families: (label, regex, priority, confidence). Sentences of the licenses'
+#: own texts and notices, normalised; they outrank names, as a notice says which license holds and not only that one is named.
+_ANY = r"(?: [a-z0-9]+){1,12}"
 SINGLE = (
     ("public-domain", r" (?:released |placed |is |are ){0,3}(?:in |into )?(?:the )?public domain", 1, 0.6),
     ("copyright", r" copyright(?: c)?(?: [0-9]{4}){1,20}", 0, 0.3),
     ("copyright", r" all rights reserved", 0, 0.4),
-    ("mit", r" permission is hereby granted free of charge to any person obtaining a copy", 3, 1.0),
+    ("mit", r" permission is hereby granted free of charge to any person obtaining a copy", 4, 1.0),
+    ("mit", r" the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 4, 0.95),
+    ("mit", r" the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", 4, 0.7),
+    ("json", r" the software shall be used for good not evil", 4, 1.0),
+    ("ncsa", r" to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute", 4, 0.9),
     ("bsd", r" redistribution and use in source and binary forms", 3, 1.0),
+    ("bsd", r" redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 4, 0.9),
+    ("bsd", r" redistributions in binary form must reproduce the above copyright notice", 4, 0.9),
+    ("bsd", r" this software is provided by the (?:copyright holders|regents|authors?)(?: and contributors)? as is and any express or implied warranties", 4, 0.8),
+    ("bsd-3-clause", r" neither the names? of" + _ANY + r" nor the names of its contributors may be used to endorse or promote products", 4, 1.0),
+    ("bsd-4-clause", r" all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 4, 1.0),
     ("isc", r" permission to use copy modify and or distribute this software for any purpose", 3, 1.0),
-    ("gpl", r" under the terms of the gnu general public licen[sc]e as published by the free software foundation", 3, 1.0),
+    ("isc", r" permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", 4, 1.0),
+    ("postgresql", r" permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 4, 1.0),
+    ("apache", r" you may not use this file except in compliance with the license", 4, 0.95),
+    ("apache", r" unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 4, 0.9),
+    ("apache", r" www apache org licenses license 2 0", 4, 1.0),
+    ("gpl", r" under the terms of the gnu general public licen[sc]e as published by the free software foundation", 4, 1.0),
+    ("gpl", r" this program is free software you can redistribute it and or modify it", 4, 0.9),
+    ("gpl", r" this program is distributed in the hope that it will be useful but without any warranty", 4, 0.9),
+    ("gpl", r" you should have received a copy of the gnu general public licen[sc]e", 4, 1.0),
+    ("gpl", r" either version [23] of the licen[sc]e or at your option any later version", 4, 0.9),
+    ("lgpl", r" under the terms of the gnu (?:lesser|library) general public licen[sc]e as published by the free software foundation", 4, 1.0),
+    ("lgpl", r" this library is free software you can redistribute it and or modify it", 4, 0.9),
+    ("lgpl", r" you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", 4, 1.0),
+    ("agpl", r" under the terms of the gnu affero general public licen[sc]e", 4, 1.0),
+    ("agpl", r" you should have received a copy of the gnu affero general public licen[sc]e", 4, 1.0),
+    ("gfdl", r" permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e", 4, 1.0),
+    ("mpl", r" this source code form is subject to the terms of the mozilla public licen[sc]e", 4, 1.0),
+    ("mpl", r" if a copy of the mpl was not distributed with this file you can obtain one at", 4, 1.0),
+    ("epl", r" this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e", 4, 1.0),
+    ("cddl", r" the contents of this file are subject to the terms of the common development and distribution licen[sc]e", 4, 1.0),
+    ("boost", r" permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 4, 1.0),
+    ("zlib", r" the origin of this software must not be misrepresented you must not claim that you wrote the original software", 4, 1.0),
+    ("zlib", r" altered source versions must be plainly marked as such", 4, 1.0),
+    ("zlib", r" this software is provided as is without any express or implied warranty in no event will the authors? be held liable", 4, 0.9),
+    ("unlicense", r" this is free and unencumbered software released into the public domain", 4, 1.0),
+    ("wtfpl", r" everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed", 4, 1.0),
+    ("cc0", r" has waived all copyright and related or neighbou?ring rights", 4, 1.0),
+    ("cc-by", r" this work is licen[sc]ed under (?:a|the) creative commons attribution (?:[1-4] [0-9] )?(?:international |unported |generic )?licen[sc]e", 4, 1.0),
+    ("cc-by-sa", r" this work is licen[sc]ed under (?:a|the) creative commons attribution share ?alike (?:[1-4] [0-9] )?(?:international |unported |generic )?licen[sc]e", 4, 1.0),
+    ("cc-by-nc", r" this work is licen[sc]ed under (?:a|the) creative commons attribution non ?commercial (?:[1-4] [0-9] )?(?:international |unported |generic )?licen[sc]e", 4, 1.0),
+    ("ofl", r" this font software is licen[sc]ed under the sil open font licen[sc]e", 4, 1.0),
+    ("artistic", r" under the same terms as perl itself", 4, 0.8),
+    ("psf", r" this licen[sc]e agreement is between the python software foundation", 4, 1.0),
+    ("openssl", r" this product includes software developed by the openssl project for use in the openssl toolkit", 4, 1.0),
+    ("ms-pl", r" this licen[sc]e governs use of the accompanying software if you use the software you accept this licen[sc]e", 4, 0.9),
+    ("sspl", r" if you make the functionality of the program or a modified version available to third parties as a service", 4, 1.0),
+    ("elastic", r" you may not provide the software to third parties as a hosted or managed service", 4, 1.0),
+    ("commons-clause", r" the grant of rights under the licen[sc]e will not include and the licen[sc]e does not grant to you the right to sell the software", 4, 1.0),
+    ("beerware", r" if we meet some day and you think this stuff is worth it you can buy me a beer", 4, 1.0),
+    ("proprietary", r" unauthori[sz]ed copying of this (?:file|document|software) via any medium is strictly prohibited", 4, 1.0),
+    ("proprietary", r" (?:proprietary and confidential|confidential and proprietary)", 4, 0.8),
+    ("proprietary", r" may not be (?:copied|reproduced|distributed|disclosed)(?: or (?:copied|reproduced|distributed|disclosed)){0,3} without (?:the )?(?:prior )?(?:express )?written (?:permission|consent)", 4, 0.8),
 )
 
 
@@ -193,7 +245,6 @@ def _word_spans(text: Column, regex: Column) -> Column:
     """Word intervals (start, end) of a regex that begins with a space; its matches end before the next one."""
     rx = F.concat(regex, F.lit("(?= )"))
     found = F.struct(F.regexp_extract_all(text, rx, F.lit(0)).alias("m"), F.split(text, rx, -1).alias("between"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
 
     def walk(b: Column) -> Column:
         def add(acc: Column, i: Column) -> Column:
@@ -201,8 +252,7 @@ def _word_spans(text: Column, regex: Column) -> Column:
             end = start + _spaces(b["m"][i])
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
 
-        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.aggregate(F.filter(F.sequence(F.lit(0), F.size(b["m"])), lambda i: i < F.size(b["m"])), zero, add, lambda acc: acc["out"])
+        return along(F.size(b["m"]), "struct<start:int,end:int>", add)
 
     return let(found, walk)
 
