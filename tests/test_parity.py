@@ -23,7 +23,7 @@ def sql():
 
 def same(a, b):
     if isinstance(a, float) or isinstance(b, float):
-        return a is not None and b is not None and (math.isclose(float(a), float(b), rel_tol=1e-6, abs_tol=2e-4))
+        return a is not None and b is not None and (math.isclose(float(a), float(b), rel_tol=1e-9, abs_tol=1e-9))
     return a == b
 
 
