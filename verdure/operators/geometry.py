@@ -123,10 +123,20 @@ def _grid(sizes: DataFrame) -> DataFrame:
 
 
 def enlarge(pixels: DataFrame, sizes: DataFrame, cubic: bool = False) -> DataFrame:
-    """Bilinear or cubic values on a larger raster; sizes has image_id, h, w, new_h, new_w. Edges repeat."""
-    at = lambda v, n, m: (F.col(v) + 0.5) * F.col(n) / F.col(m) - 0.5
-    grid = _grid(sizes).withColumns({"sy": at("y", "h", "new_h"), "sx": at("x", "w", "new_w")})
-    return _gathered(grid, pixels, 4 if cubic else 2, True)
+    """Bilinear or cubic values on a larger raster; sizes has image_id, h, w, new_h, new_w. Edges repeat.
+
+    The weights are products, so that rows are interpolated first and columns then: 4 and 4 source values, not 16."""
+    bands, taps = band_names(pixels), 4 if cubic else 2
+
+    def along(rows: DataFrame, axis: str, other: str, n: str, new: str) -> DataFrame:
+        places = sizes.withColumn("__t", F.explode(F.sequence(F.lit(0).cast("long"), F.col(new).cast("long") - 1)))
+        at = (F.col("__t") + 0.5) * F.col(n) / F.col(new) - 0.5
+        places = places.withColumn("__w", F.explode(_weights(at, F.col(n), taps, True))).select("image_id", "__t", F.col("__w.p").alias(axis), F.col("__w.w").alias("__w"))
+        joined = rows.join(places, ["image_id", axis])
+        return joined.groupBy("image_id", F.col("__t").alias(axis), other).agg(*[F.sum(F.col("__w") * F.col(b)).alias(b) for b in bands])
+
+    rows = along(pixels.select("image_id", "y", "x", *bands), "y", "x", "h", "new_h")
+    return along(rows, "x", "y", "w", "new_w").select("image_id", "y", "x", *bands)
 
 
 def resize(pixels: DataFrame, new_h: Column, new_w: Column, masked: Column | None = None, restore: float | None = None) -> DataFrame:
