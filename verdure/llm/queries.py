@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, media, mixing, quality, secrets, simhash, sql, substrings, suffixes, toxicity
+from . import bpe, licenses, media, merkle, mixing, quality, secrets, simhash, sql, substrings, suffixes, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -53,6 +53,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.audited(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scans": op2_license_scans,
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 #: DuckDB SQL, where SQL can express the rows.
@@ -71,4 +76,5 @@ ORACLE_SQL: dict = {
     "op1_substring_dedup": sql.SUBSTRINGS,
     "op5_quality_rules": sql.quality(),
     "op9_suffix_dedup": sql.SUFFIXES,
+    "op11_merkle_manifest": sql.merkle(),
 }

@@ -1,4 +1,4 @@
-"""DuckDB SQL for the operators that SQL can express: operators 1, 5 and 9."""
+"""DuckDB SQL for the operators that SQL can express: operators 1, 5, 9, 11 and 13."""
 
 from __future__ import annotations
 
@@ -67,3 +67,29 @@ j AS (SELECT m.*, CASE WHEN m.n >= {MIN_WORDS} AND r.lang IS NOT NULL THEN sqrt(
 SELECT doc_id, n AS n_words, c_total - c_space AS word_chars, c_symbol AS n_symbols, dup AS n_dup_lines, rep AS n_repeat_words, failed AS base_failed,
   NOT failed AND NOT (coalesce(jc, 0) > {MAX_CHAR_JSD} OR coalesce(jw, 0) > {MAX_WORD_JSD}) AS kept, jc AS jsd_chars, jw AS jsd_words FROM j
 """
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for ch in regexp_extract_all(CAST(doc_id AS VARCHAR), '.')])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+
+
+def merkle(levels: int = 5, top: int = 3) -> str:
+    """Enough levels for 16 ** levels documents of a source and 16 ** top sources; a tree that has its root goes on unchanged."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+    leaf = lambda text: "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"l AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {leaf(lowered)} END AS found FROM documents)",
+        "d0 AS (SELECT doc_id, leaf, coalesce(found, leaf) AS f, '' AS proof, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t FROM l)",
+        "s0 AS (SELECT t, i, leaf AS d, count(*) OVER (PARTITION BY t) AS c FROM d0)",
+    ]
+    for k in range(levels + top):
+        if k == levels:
+            parts.append(f"s{k} AS (SELECT 0 AS t, t AS i, d, count(*) OVER () AS c FROM s{k}x)")
+            parts.append(f"d{k} AS (SELECT e.* REPLACE (0 AS t, e.t AS i), x.d AS subroot FROM d{k}x e JOIN s{k}x x ON x.t = e.t)")
+        end = "x" if k + 1 == levels else ""
+        parts.append(f"g{k} AS (SELECT t, i // 16 AS i, c, list(d ORDER BY i) AS ds FROM s{k} GROUP BY t, i // 16, c)")
+        parts.append(f"s{k + 1}{end} AS (SELECT t, i, CASE WHEN c = 1 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END AS d, (c + 15) // 16 AS c FROM g{k})")
+        parts.append(f"h{k} AS (SELECT d.*, c, array_to_string(ds[1:d.i % 16], '') AS lt, array_to_string(ds[d.i % 16 + 2:], '') AS rt FROM d{k} d JOIN g{k} g ON g.t = d.t AND g.i = d.i // 16)")
+        parts.append(f"d{k + 1}{end} AS (SELECT * EXCLUDE (lt, rt, c) REPLACE (i // 16 AS i, CASE WHEN c = 1 THEN f ELSE sha256(lt || f || rt) END AS f, CASE WHEN c = 1 THEN proof ELSE proof || lt || rt END AS proof) FROM h{k})")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, s.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = s.d AS verified FROM d{levels + top} d JOIN s{levels + top} s ON s.t = d.t"
