@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, media, merkle, mixing, quality, secrets, simhash, sql, substrings, suffixes, toxicity
+from . import bpe, licenses, media, merkle, mixing, quality, ranking, secrets, simhash, sql, substrings, suffixes, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -57,6 +57,10 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.audited(_docs(spark, sf_dir))
 
 
+def op13_ranked_search(spark, sf_dir):
+    return ranking.search(_docs(spark, sf_dir), _docs(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scans": op2_license_scans,
@@ -69,6 +73,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 #: DuckDB SQL, where SQL can express the rows.
@@ -77,4 +82,5 @@ ORACLE_SQL: dict = {
     "op5_quality_rules": sql.quality(),
     "op9_suffix_dedup": sql.SUFFIXES,
     "op11_merkle_manifest": sql.merkle(),
+    "op13_ranked_search": sql.RANKING,
 }

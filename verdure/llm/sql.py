@@ -93,3 +93,18 @@ def merkle(levels: int = 5, top: int = 3) -> str:
         parts.append(f"h{k} AS (SELECT d.*, c, array_to_string(ds[1:d.i % 16], '') AS lt, array_to_string(ds[d.i % 16 + 2:], '') AS rt FROM d{k} d JOIN g{k} g ON g.t = d.t AND g.i = d.i // 16)")
         parts.append(f"d{k + 1}{end} AS (SELECT * EXCLUDE (lt, rt, c) REPLACE (i // 16 AS i, CASE WHEN c = 1 THEN f ELSE sha256(lt || f || rt) END AS f, CASE WHEN c = 1 THEN proof ELSE proof || lt || rt END AS proof) FROM h{k})")
     return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, s.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = s.d AS verified FROM d{levels + top} d JOIN s{levels + top} s ON s.t = d.t"
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKING = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ws FROM documents),
+p AS (SELECT doc_id, len(ws) AS n FROM d WHERE len(ws) > 0),
+c AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM p),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term, nn),
+q AS (SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN w USING (term) JOIN p USING (doc_id), c GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
