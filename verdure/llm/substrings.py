@@ -31,9 +31,9 @@ from .common import identified, spread
 
 WINDOW, MINIMISER = 20, 3
 #: Bytes of text in a slice of the input, and in a part of a bucket.
-SLICE, PART = 4 << 20, 8 << 20
+SLICE, PART = 4 << 20, 4 << 20
 #: Bytes of text to a bucket, and bytes of different windows that a bucket holds at once before it is dealt again.
-BUCKET, HELD = 2 << 20, 24 << 20
+BUCKET, HELD = 2 << 20, 8 << 20
 #: A packed string has this many windows at most.
 LONGEST = 4096
 _SPACE = np.zeros(256, bool)
