@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, media, merkle, mixing, quality, ranking, secrets, simhash, sql, substrings, suffixes, toxicity
+from . import bpe, licenses, media, merkle, mixing, pii, quality, ranking, secrets, simhash, sql, substrings, suffixes, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -57,6 +57,10 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.audited(_docs(spark, sf_dir))
 
 
+def op12_personal_data(spark, sf_dir):
+    return pii.scan(_docs(spark, sf_dir))
+
+
 def op13_ranked_search(spark, sf_dir):
     return ranking.search(_docs(spark, sf_dir), _docs(spark, sf_dir, "benchmark"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_personal_data": op12_personal_data,
     "op13_ranked_search": op13_ranked_search,
 }
 
