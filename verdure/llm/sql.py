@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import CLASSES, LANGUAGES, MAX_CHAR_JSD, MAX_WORD_JSD, MIN_WORDS, TOP
+from .quality import CLASSES, FEWEST, MAX_CHAR_JSD, MAX_WORD_JSD, MIN_WORDS, RAREST, TOP
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -55,9 +55,10 @@ g AS (SELECT doc_id, i, word || ' ' || lead(word) OVER v || ' ' || lead(word, 2)
 t AS (SELECT doc_id, i, g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 AS twice FROM g),
 x AS (SELECT doc_id, sum(CASE WHEN hit THEN 1 ELSE 0 END) AS repeated FROM (SELECT doc_id, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM t) GROUP BY doc_id),
 m AS (SELECT c.*, c_total - ({" + ".join(f"c_{k}" for k in _SETS)}) AS c_other, CAST(coalesce(repeated, 0) AS BIGINT) AS rep, n < 50 OR 100 * coalesce(repeated, 0) > 50 * n AS failed FROM c LEFT JOIN x ON x.doc_id = c.doc_id),
-v AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS place FROM (SELECT doc_id, lang, word FROM w WHERE lang IN ({", ".join(repr(n) for n in LANGUAGES)}) GROUP BY 1, 2, 3 HAVING count(*) > 1) GROUP BY lang, word),
+z AS (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {FEWEST} AND count(*) * {RAREST} >= (SELECT count(*) FROM documents)),
+v AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS place FROM w WHERE lang IN (FROM z) GROUP BY lang, word),
 k AS (SELECT w.doc_id, v.lang, v.place, count(*) AS c FROM w JOIN v ON v.lang = w.lang AND v.word = w.word AND v.place <= {TOP} GROUP BY 1, 2, 3),
-r AS (SELECT lang, sum(n) AS rn, {", ".join(f"sum(c_{c}) * 1.0 / sum(c_total) AS rc_{c}" for c in CLASSES)} FROM m WHERE NOT failed AND lang IN ({", ".join(repr(n) for n in LANGUAGES)}) GROUP BY lang),
+r AS (SELECT lang, sum(n) AS rn, {", ".join(f"sum(c_{c}) * 1.0 / sum(c_total) AS rc_{c}" for c in CLASSES)} FROM m WHERE NOT failed AND lang IN (FROM z) GROUP BY lang),
 q AS (SELECT k.lang, k.place, sum(c) * 1.0 / any_value(rn) AS q FROM k JOIN m ON m.doc_id = k.doc_id AND NOT m.failed JOIN r ON r.lang = k.lang GROUP BY 1, 2),
 o AS (SELECT r.lang, 1 - coalesce(sum(q.q), 0) AS q_other FROM r LEFT JOIN q ON q.lang = r.lang GROUP BY r.lang),
 p AS (SELECT k.doc_id, sum(c) AS held, sum(coalesce(q.q, 0)) AS q_held, sum({_term("(c * 1.0 / m.n)", "coalesce(q.q, 0)")}) AS terms FROM k JOIN m ON m.doc_id = k.doc_id LEFT JOIN q ON q.lang = k.lang AND q.place = k.place GROUP BY 1),
