@@ -67,6 +67,23 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_order(rows: DataFrame, *order: str | Column, name: str = "n") -> DataFrame:
+    """rows with ``name``: their places in an order, from 0. Ranges are sorted apart, and each is told how many rows stand before
+    it; of the numbers, one per partition passes through the driver."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()  # partition in the upper bits, row in the lower 33
+    placed = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", at))
+    ranges = placed.groupBy(F.shiftright("__at", 33).alias("__range")).count().orderBy("__range").collect()
+    before, known = 0, []
+    for r in ranges:
+        known.append((r["__range"], before))
+        before += r["count"]
+    offsets = F.broadcast(spark.createDataFrame(known, "__range long, __before long"))
+    numbered = placed.withColumn("__range", F.shiftright("__at", 33)).join(offsets, "__range")
+    return numbered.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__range", "__before", "__at")
+
+
 def identified(docs: DataFrame) -> tuple[DataFrame, int]:
     """(doc_id, __key, __sub, text) of docs, NULL texts empty, and the bytes of all texts.
 
