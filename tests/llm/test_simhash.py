@@ -146,6 +146,41 @@ def test_recall_of_similar_texts(spark):
     assert want <= kept and len(missed) <= 0.1 * (len(rows) - len(want)) and len(rows) - len(want) > 50
 
 
+def test_twins_in_a_dense_group_are_found(spark):
+    """Texts of one template (mutual similarity about 0.68) of which two by two are twins (about 0.93): all share large buckets."""
+    rng = random.Random(4)
+    base = [f"t{k}" for k in range(400)]
+    rows, pairs = [], 150
+    for g in range(pairs):
+        one = list(base)
+        for k in rng.sample(range(400), 8):
+            one[k] = f"g{g}x{k}"
+        two = list(one)
+        for k in rng.sample(range(400), 2):
+            two[k] = f"h{g}x{k}"
+        rows += [(2 * g, " ".join(one), "en", "a", 0), (2 * g + 1, " ".join(two), "en", "a", 0)]
+    sets = [grams(r[1]) for r in rows]
+    jaccard = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert 0.6 < sum(jaccard(2 * g, (2 * g + 7) % (2 * pairs)) for g in range(50)) / 50 < 0.75
+    assert 0.9 < sum(jaccard(2 * g, 2 * g + 1) for g in range(50)) / 50 < 0.97
+    kept = {r["doc_id"] for r in simhash.deduplicated(frame(spark, rows)).collect()}
+    want = {t[1] for t in brute_kept(rows)}
+    assert want <= kept and len(kept - want) <= 0.01 * pairs
+
+
+def test_a_text_passed_over_in_vain_is_compared_again(spark, monkeypatch):
+    """With a bound for sure pairs that is far too wide, failed ones are searched for again."""
+    monkeypatch.setattr(simhash, "SURE", simhash.LIKELY + 120)
+    monkeypatch.setattr(simhash, "LIKELY", simhash.LIKELY + 120)
+    rows = copies(6, groups=1, words=300)[:1]
+    base = rows[0][1].split()
+    for g in range(25):
+        one = [w if (k * 7 + g) % 13 else f"g{g}x{k}" for k, w in enumerate(base)]
+        rows += [(2 * g + 1, " ".join(one), "en", "a", 0), (2 * g + 2, " ".join(one[:-1] + ["end"]), "en", "a", 0)]
+    kept = {r["doc_id"] for r in simhash.deduplicated(frame(spark, rows)).collect()}
+    assert kept == {t[1] for t in brute_kept(rows)}
+
+
 def test_large_group_of_near_copies(spark):
     rng = random.Random(9)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]

@@ -10,9 +10,14 @@ of six bit blocks: two that differ in at most four bits agree in two blocks at l
 and none is lost.
 
 :func:`deduplicated` links texts whose sets of ``WIDTH``-word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
-A text gets ten 64-bit fingerprints and meets others in a bucket for each of their forty 16-bit bands; candidates within
-``SPAN`` bits of the first two fingerprints are compared by their whole shingle sets. At a similarity of 0.8 a pair meets
-in one bucket at least with a chance of about 0.95, at 0.9 of over 0.99. Texts of the same words are one text.
+A text gets ten 64-bit fingerprints and meets others in a bucket for each of their forty 16-bit bands. In buckets of up to
+``SMALL`` texts all pairs within ``SPAN`` bits of the first two fingerprints are candidates. Texts of larger buckets get
+``WIDE`` fingerprints: there, all pairs within ``LIKELY`` of their bits are candidates, and only a text within ``SURE`` bits,
+whose similarity is well above the limit, need not be compared with further ones. Candidates are compared by their whole shingle
+sets. Where such a text turns out not to be similar after all, it is compared with its whole bucket again. At a similarity
+of 0.8 a pair meets in one bucket at least with a chance of about 0.95, at 0.9 of over 0.99, whatever the bucket's size.
+Large groups whose texts are alike just below the limit (0.74 to 0.8) are compared pair by pair. Texts of the same words are
+one text.
 
 NULL and blank texts have fingerprint zero and are linked as any other. Rows with a NULL id take part, but are never a
 component's id unless no row of it has one (then the id is NULL; the largest 64-bit number counts as none). Repeated rows
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, by_text, cut
@@ -34,6 +39,8 @@ from .graph import connected
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: For texts that are alike: words to a shingle, similarity, 64-bit fingerprints, bits that two of these may differ in.
 WIDTH, SIMILARITY, PRINTS, SPAN = 5, 0.8, 10, 30
+#: In large buckets: 64-bit fingerprints, bits in which texts of a similarity of 0.8 hardly ever differ less, and more.
+WIDE, SURE, LIKELY = 32, 262, 345
 #: Bit blocks (shift, width); every pair of blocks is one way to deal.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Buckets up to this size compare all their pairs; larger ones are searched.
@@ -150,13 +157,38 @@ def links_of_large(values, radius: int = RADIUS):
     return found
 
 
+def links_of_wide(values, likely: int, sure: int):
+    """Index pairs of wide rows within ``likely`` bits. Every row is once compared with all that are not yet reached; only rows
+    within ``sure`` bits are reached. Rows have too many planes for few lanes: their bits are counted word by word."""
+    import numpy as np
+
+    rest, found = np.arange(len(values)), []
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        held = values[rest]
+        while queue and len(rest):
+            q = queue.pop()
+            away = np.bitwise_count(held ^ values[q]).sum(1, dtype=np.int64)
+            hit = away <= likely
+            if not hit.any():
+                continue
+            found.append(np.stack([np.full(hit.sum(), q), rest[hit]], 1))
+            near = away <= sure
+            if near.any():
+                queue += list(rest[near])
+                rest, held = rest[~near], held[~near]
+    return found
+
+
 NODE = ("id", "x", "y")
+#: Key of rows that are pairs of nodes; other rows say that a node (twice) is in the large bucket of that key.
+PAIR = -1
 
 
-def met(dealt: DataFrame, words: list[str], radius: int) -> DataFrame:
-    """(a, b): nodes that meet in a bucket within the radius; in large buckets only a tree of them.
+def met(dealt: DataFrame, words: list[str], radius: int, crowds: bool = False) -> DataFrame:
+    """(key, a, b): nodes that meet in a bucket within the radius; in large buckets a tree of them, or only the nodes (``crowds``).
 
-    dealt has ``key``, the node's columns ``id``, ``x``, ``y`` (64-bit numbers) and 64-bit ``words`` to compare."""
+    dealt has ``key`` (from 0), the node's columns ``id``, ``x``, ``y`` (64-bit numbers) and 64-bit ``words`` to compare."""
     import numpy as np
 
     names = [*words, *NODE]
@@ -173,12 +205,19 @@ def met(dealt: DataFrame, words: list[str], radius: int) -> DataFrame:
             sizes = np.diff(bounds)
             small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
             found = [small[p] for p in links_of_small(keys[small], values[small], radius)]
+            kinds = [np.full(len(p), PAIR) for p in found]
             for g in np.flatnonzero(sizes > SMALL):
-                found += [p + bounds[g] for p in links_of_large(values[bounds[g] : bounds[g + 1]], radius)]
+                if crowds:
+                    found.append(np.repeat(np.arange(bounds[g], bounds[g + 1])[:, None], 2, 1))
+                    kinds.append(keys[bounds[g] : bounds[g + 1]])
+                    continue
+                linked = [p + bounds[g] for p in links_of_large(values[bounds[g] : bounds[g + 1]], radius)]
+                found += linked
+                kinds += [np.full(len(p), PAIR) for p in linked]
             if found:
                 pairs, nodes = np.concatenate(found), rows[:, len(words) :]
-                both = np.concatenate([nodes[pairs[:, 0]], nodes[pairs[:, 1]]], 1)
-                yield pd.DataFrame(both, columns=[f"{side}{c}" for side in "ab" for c in NODE]).drop_duplicates()
+                both = np.concatenate([np.concatenate(kinds)[:, None], nodes[pairs[:, 0]], nodes[pairs[:, 1]]], 1)
+                yield pd.DataFrame(both, columns=["key", *(f"{side}{c}" for side in "ab" for c in NODE)]).drop_duplicates()
 
         for batch in batches:
             if not len(batch):
@@ -192,10 +231,16 @@ def met(dealt: DataFrame, words: list[str], radius: int) -> DataFrame:
         if held:
             yield from solve()
 
-    schema = ", ".join(f"{side}{c} long" for side in "ab" for c in NODE)
-    pairs = dealt.select("key", *names).repartition("key").sortWithinPartitions("key", *NODE).mapInPandas(run, schema)
+    pairs = dealt.select("key", *names).repartition("key").sortWithinPartitions("key", *NODE).mapInPandas(run, f"key long, {_SIDES}")
+    return pairs.select("key", *_ordered()).distinct()
+
+
+_SIDES = ", ".join(f"{side}{c} long" for side in "ab" for c in NODE)
+
+
+def _ordered() -> list:
     a, b = (F.struct(*[F.col(f"{side}{c}").alias(c) for c in NODE]) for side in "ab")
-    return pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -203,7 +248,7 @@ def links(distinct: DataFrame) -> DataFrame:
     ways = [F.struct(*[F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1).alias(f"k{i}") for i, (s, w) in enumerate(pair)]) for pair in combinations(BLOCKS, 2)]
     coded = F.array(*[F.lit(n << 22).cast("long") + F.shiftleft(k["k0"], 11) + k["k1"] for n, k in enumerate(ways)])
     dealt = distinct.select(F.explode(coded).alias("key"), "fp", "id", F.col("fp").alias("x"), F.lit(0).cast("long").alias("y"))
-    return met(dealt, ["fp"], RADIUS)
+    return met(dealt, ["fp"], RADIUS).select("a", "b")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -280,24 +325,100 @@ def similar(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY)
     nodes = texts.select(F.col("row.__id").alias("id"), "x", "y", F.col("row.__digest").alias("digest"))
     bands = [F.shiftrightunsigned(f"p{k}", 16 * b).bitwiseAND(0xFFFF) + F.lit((4 * k + b) << 16).cast("long") for k in range(PRINTS) for b in range(4)]
     dealt = texts.filter("p0 is not null").select(F.explode(F.array(*bands)).alias("key"), "p0", "p1", F.col("row.__id").alias("id"), "x", "y")
-    near = cut(met(dealt, ["p0", "p1"], SPAN))
-    return nodes, _verified(near, nodes, docs, width, similarity)
+    found = cut(met(dealt, ["p0", "p1"], SPAN, crowds=True))
+    near, crowds = found.filter(F.col("key") == PAIR).select("a", "b"), found.filter(F.col("key") != PAIR).select("key", F.col("a").alias("node"))
+    asked = near.select(F.col("a").alias("node")).union(near.select("b")).union(crowds.select("node")).distinct()
+    known = cut(_known(asked, crowds.select("node").distinct(), nodes, docs, width))
+    links = _alike(near, known, similarity)
+    if crowds.isEmpty():
+        return nodes, links
+    links = cut(links.unionByName(_in_crowds(crowds, known, similarity)))
+    return nodes, links
+
+
+def _in_crowds(crowds: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Verified links of large buckets. crowds has ``key`` and ``node``."""
+    search = lambda rows: _searched(rows.join(known.select("node", "wide"), "node"))
+    first = cut(search(crowds.withColumn("stays", F.lit(False))))
+    links = cut(_alike(first.select("a", "b").distinct(), known, similarity))
+    # a text that was passed over for one that it is not similar to is compared with its whole buckets
+    failed = first.filter("sure").join(links, ["a", "b"], "left_anti").select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
+    failed = cut(failed.withColumn("stays", F.lit(True)))
+    if failed.isEmpty():
+        return links
+    again = crowds.join(failed.select("key").distinct(), "key", "left_semi").join(failed, ["key", "node"], "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
+    more = search(again).select("a", "b").distinct().join(first.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    return links.unionByName(_alike(cut(more), known, similarity))
+
+
+def _searched(rows: DataFrame) -> DataFrame:
+    """(key, a, b, sure): candidates in large buckets. rows has ``key``, ``node``, ``stays`` and ``wide``, a text's WIDE fingerprints.
+
+    Texts that stay are compared with all others; if a bucket has any, those come first."""
+    import numpy as np
+    import pyarrow as pa
+
+    def solve(key: int, held: list[tuple]) -> pd.DataFrame:
+        nodes, stays = np.array([h[:3] for h in held], np.int64), np.array([h[3] for h in held])
+        values = np.frombuffer(b"".join(h[4] for h in held), np.uint64).reshape(len(held), WIDE)
+        if stays.any():
+            found = [np.stack([np.full(len(hit), q), hit], 1) for q in np.flatnonzero(stays) if len(hit := _within_wide(values, q))]
+        else:
+            found = links_of_wide(values, LIKELY, SURE)
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        away = np.bitwise_count(values[pairs[:, 0]] ^ values[pairs[:, 1]]).sum(1, dtype=np.int64)
+        out = pd.DataFrame(np.concatenate([nodes[pairs[:, 0]], nodes[pairs[:, 1]]], 1), columns=[f"{side}{c}" for side in "ab" for c in NODE])
+        return out.assign(key=key, sure=away <= SURE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        schema = pa.schema([("key", pa.int64()), *((f"{side}{c}", pa.int64()) for side in "ab" for c in NODE), ("sure", pa.bool_())])
+        out = lambda: pa.RecordBatch.from_pandas(solve(now, held)[schema.names], schema, preserve_index=False)
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", *NODE, "stays", "wide"))):
+                if row[0] != now:
+                    if held:
+                        yield out()
+                    now, held = row[0], []
+                held.append(row[1:])
+        if held:
+            yield out()
+
+    dealt = rows.select("key", "node.*", "stays", "wide").repartition("key").sortWithinPartitions("key", *NODE)
+    return dealt.mapInArrow(run, f"key long, {_SIDES}, sure boolean").select("key", *_ordered(), "sure")
 
 
-def _verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Pairs of near whose shingle sets are that similar. Only texts in pairs are read, a set of hashes each."""
+def _within_wide(values, q: int):
+    """Other rows within LIKELY bits of one."""
+    import numpy as np
+
+    hit = np.flatnonzero(np.bitwise_count(values ^ values[q]).sum(1, dtype=np.int64) <= LIKELY)
+    return hit[hit != q]
+
+
+def _known(asked: DataFrame, crowded: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, grams, wide): the shingle hashes of texts that are asked for, each read once; WIDE fingerprints of those in large buckets."""
     import pyarrow as pa
 
-    asked = near.select("a").union(near.select("b")).distinct().select(F.col("a.id").alias("id"), F.col("a.x").alias("x"), F.col("a.y").alias("y"))
-    rows = nodes.join(asked, list(NODE)).select(F.col("id").alias("__i"), F.col("digest").alias("__d"), F.struct(*NODE).alias("node"))
-    held = docs.join(rows, (F.col("__id") == F.col("__i")) & (F.col("__digest") == F.col("__d"))).select("node", "text")
+    flags = asked.join(crowded.withColumn("crowded", F.lit(True)), "node", "left").select(*[F.col(f"node.{c}").alias(c) for c in NODE], F.coalesce("crowded", F.lit(False)).alias("crowded"))
+    rows = nodes.join(flags, list(NODE)).select(F.col("id").alias("__i"), F.col("digest").alias("__d"), F.struct(*NODE).alias("node"), "crowded")
+    held = docs.join(rows, (F.col("__id") == F.col("__i")) & (F.col("__digest") == F.col("__d"))).select("node", "crowded", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for batch in batches:
-            grams = [g.tobytes() for _, g in shingles(batch.column("text").to_pylist(), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(grams, pa.binary())], ["node", "grams"])
+            grams = [g for _, g in shingles(batch.column("text").to_pylist(), width)]
+            wide = [np.array(prints(g, WIDE), np.int64).tobytes() if c else None for g, c in zip(grams, batch.column("crowded").to_pylist())]
+            columns = [batch.column("node"), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "grams", "wide"])
 
-    known = cut(held.mapInArrow(sets, "node struct<id:long,x:long,y:long>, grams binary").dropDuplicates(["node"]))
+    return held.mapInArrow(sets, "node struct<id:long,x:long,y:long>, grams binary, wide binary").dropDuplicates(["node"])
+
+
+def _alike(near: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of near whose shingle sets are that similar."""
+    import pyarrow as pa
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -323,9 +444,10 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILA
 
     Of rows that agree in id and text, any one stays."""
     rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__digest": F.coalesce(F.sha2("text", 256), F.lit(""))})
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():  # of repeated rows each task sends one
+        rows = rows.dropDuplicates(["__id", "__digest"])
     nodes, edges = similar(rows.select("__id", "__digest", "text"), width, similarity)
     others = connected(edges).select("node.*")
     first = nodes.join(others, list(NODE), "left_anti").select(F.col("id").alias("__i"), F.col("digest").alias("__d"))
     kept = rows.join(first, (F.col("__id") == F.col("__i")) & (F.col("__digest") == F.col("__d")), "left_semi")
-    one = Window.partitionBy("__id", "__digest").orderBy(F.lit(0))
-    return kept.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
+    return kept.select(*docs.columns)
