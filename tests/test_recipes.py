@@ -72,7 +72,7 @@ def test_whole_replay_with_registration_nodata_and_classes(spark):
     assert got[0, 0, 0]["b1"] == -9999.0 and got[0, 1, 1]["b1"] == (18 + 19 + 26 + 27) / 4
     assert got[1, 3, 2]["b1"] == 3 * 8 + 3 and got[1, 3, 7]["b1"] == 0  # one pixel to the right, zero outside
     sizes = spark.createDataFrame([(2, 8, 8, 16, 16)], "image_id long, h long, w long, new_h long, new_w long")
-    want = {(r["y"], r["x"]): r["b1"] for r in geometry.enlarge(px.filter("image_id = 2"), sizes, cubic=True).collect()}
+    want = {(r["y"], r["x"]): r["b1"] for r in geometry.enlarge(px.filter("image_id = 2"), sizes, True, F.col("b1") == 0, -9999.0).collect()}
     assert all(abs(got[2, y, x]["b1"] - v) < 1e-9 for (y, x), v in want.items()) and abs(got[2, 5, 5]["b3"] - got[2, 5, 5]["b1"] - got[2, 5, 5]["b2"]) < 1e-9
     model = learn.fit(px.withColumn("label", F.when(F.col("b1") < 32, "low").otherwise("high")), ["b1"], "forest", numTrees=5, maxDepth=3)
     classes = edits.edited(px, recipes, 8, 8, model=model, model_bands=["b1"]).filter("image_id = 1")

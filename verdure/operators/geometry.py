@@ -105,15 +105,28 @@ def _weights(at: Column, n: Column, taps: int, clamp: bool) -> Column:
     return F.transform(F.sequence(base - (taps // 2 - 1), base + taps // 2), one)
 
 
-def _gathered(grid: DataFrame, pixels: DataFrame, taps: int, clamp: bool) -> DataFrame:
+def _touched(weight: Column, masked: str = "__m") -> Column:
+    """Whether a masked source pixel has a weight in a target: the greatest mask among those that weigh anything."""
+    return F.max(F.when(F.abs(weight) > 1e-12, F.col(masked)))
+
+
+def _restored(rows: DataFrame, bands: list[str], restore: float | None) -> DataFrame:
+    """Targets with ``__m`` get the restore value in every band."""
+    value = F.lit(None if restore is None else float(restore)).cast("double")
+    return rows.withColumns({b: F.when(F.col("__m") > 0, value).otherwise(F.col(b)) for b in bands})
+
+
+def _gathered(grid: DataFrame, pixels: DataFrame, taps: int, clamp: bool, masked: Column | None = None, restore: float | None = None) -> DataFrame:
     """Weighted sums over source pixels for grid rows (image_id, y, x, sy, sx, h, w): one explode, one join, one sum."""
     bands = band_names(pixels)
+    pixels = pixels.withColumn("__m", (F.lit(False) if masked is None else masked).cast("int"))
     rows = grid.withColumn("__a", F.explode(_weights(F.col("sy"), F.col("h"), taps, clamp))).withColumn("__b", F.explode(_weights(F.col("sx"), F.col("w"), taps, clamp)))
     rows = rows.select("image_id", "y", "x", F.col("__a.p").alias("__y"), F.col("__b.p").alias("__x"), (F.col("__a.w") * F.col("__b.w")).alias("__w"))
-    source = pixels.select(F.col("image_id").alias("__i"), F.col("y").alias("__y2"), F.col("x").alias("__x2"), *bands)
+    source = pixels.select(F.col("image_id").alias("__i"), F.col("y").alias("__y2"), F.col("x").alias("__x2"), *bands, "__m")
     joined = rows.join(source, (F.col("image_id") == F.col("__i")) & (F.col("__y") == F.col("__y2")) & (F.col("__x") == F.col("__x2")), "left")
     value = (lambda b: F.sum(F.col("__w") * F.col(b))) if clamp else (lambda b: F.sum(F.col("__w") * F.coalesce(F.col(b), F.lit(0.0))))
-    return joined.groupBy("image_id", "y", "x").agg(*[value(b).alias(b) for b in bands])
+    out = joined.groupBy("image_id", "y", "x").agg(*[value(b).alias(b) for b in bands], _touched(F.col("__w")).alias("__m"))
+    return _restored(out, bands, restore).drop("__m")
 
 
 def _grid(sizes: DataFrame) -> DataFrame:
@@ -122,10 +135,11 @@ def _grid(sizes: DataFrame) -> DataFrame:
     return rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("new_w").cast("long") - 1)))
 
 
-def enlarge(pixels: DataFrame, sizes: DataFrame, cubic: bool = False) -> DataFrame:
+def enlarge(pixels: DataFrame, sizes: DataFrame, cubic: bool = False, masked: Column | None = None, restore: float | None = None) -> DataFrame:
     """Bilinear or cubic values on a larger raster; sizes has image_id, h, w, new_h, new_w. Edges repeat.
 
-    The weights are products, so that rows are interpolated first and columns then: 4 and 4 source values, not 16."""
+    The weights are products, so that rows are interpolated first and columns then: 4 and 4 source values, not 16. A mask is
+    carried beside the bands: a target in which a masked pixel has a weight gets the restore value."""
     bands, taps = band_names(pixels), 4 if cubic else 2
 
     def along(rows: DataFrame, axis: str, other: str, n: str, new: str) -> DataFrame:
@@ -133,34 +147,37 @@ def enlarge(pixels: DataFrame, sizes: DataFrame, cubic: bool = False) -> DataFra
         at = (F.col("__t") + 0.5) * F.col(n) / F.col(new) - 0.5
         places = places.withColumn("__w", F.explode(_weights(at, F.col(n), taps, True))).select("image_id", "__t", F.col("__w.p").alias(axis), F.col("__w.w").alias("__w"))
         joined = rows.join(places, ["image_id", axis])
-        return joined.groupBy("image_id", F.col("__t").alias(axis), other).agg(*[F.sum(F.col("__w") * F.col(b)).alias(b) for b in bands])
+        return joined.groupBy("image_id", F.col("__t").alias(axis), other).agg(*[F.sum(F.col("__w") * F.col(b)).alias(b) for b in bands], _touched(F.col("__w")).alias("__m"))
 
-    rows = along(pixels.select("image_id", "y", "x", *bands), "y", "x", "h", "new_h")
-    return along(rows, "x", "y", "w", "new_w").select("image_id", "y", "x", *bands)
+    rows = pixels.withColumn("__m", (F.lit(False) if masked is None else masked).cast("int")).select("image_id", "y", "x", *bands, "__m")
+    rows = along(along(rows, "y", "x", "h", "new_h"), "x", "y", "w", "new_w")
+    return _restored(rows, bands, restore).select("image_id", "y", "x", *bands)
 
 
 def resize(pixels: DataFrame, new_h: Column, new_w: Column, masked: Column | None = None, restore: float | None = None) -> DataFrame:
     """pixels (with their image's h and w) on rasters of another size, with the new size as h and w.
 
     By each image's factors: area averages if a side shrinks, bilinear values below double, cubic ones from there; an
-    unchanged size passes. Masked pixels and their restore value are those of :func:`shrink`."""
+    unchanged size passes. Wherever a masked pixel has a weight, whatever the method, the target gets the restore value."""
     bands = band_names(pixels)
-    rows = pixels.withColumns({"__nh": new_h.cast("long"), "__nw": new_w.cast("long")})
+    rows = pixels.withColumns({"__nh": new_h.cast("long"), "__nw": new_w.cast("long"), "__masked": F.lit(False) if masked is None else masked})
+    masked, restore = (None, None) if masked is None else (F.col("__masked"), restore)
     small = (F.col("__nh") < F.col("h")) | (F.col("__nw") < F.col("w"))
     same = (F.col("__nh") == F.col("h")) & (F.col("__nw") == F.col("w"))
     most = F.greatest(F.col("__nh") / F.col("h"), F.col("__nw") / F.col("w"))
     keep = ["image_id", "y", "x", *bands]
     sizes = rows.select("image_id", "h", "w", F.col("__nh").alias("new_h"), F.col("__nw").alias("new_w"), small.alias("small"), same.alias("same"), most.alias("most")).distinct()
     less = shrink(rows.filter(small).drop("__nh", "__nw"), new_h, new_w, masked, restore)
-    grown = [enlarge(rows.filter(~small & ~same & f(most)).select(*keep), sizes.filter(~F.col("small") & ~F.col("same") & f(F.col("most"))), cubic) for f, cubic in ((lambda c: c < 2, False), (lambda c: c >= 2, True))]
+    grown = [enlarge(rows.filter(~small & ~same & f(most)).select(*keep, "__masked"), sizes.filter(~F.col("small") & ~F.col("same") & f(F.col("most"))), cubic, masked, restore) for f, cubic in ((lambda c: c < 2, False), (lambda c: c >= 2, True))]
     out = rows.filter(same).select(*keep)
     for part in (less, *grown):
         out = out.unionByName(part.select(*keep))
     return out.join(sizes.select("image_id", F.col("new_h").alias("h"), F.col("new_w").alias("w")), "image_id")
 
 
-def warp(pixels: DataFrame, sizes: DataFrame, matrix: list[Column]) -> DataFrame:
-    """Bilinear values where a 3 by 3 matrix (nine Columns over sizes) maps each target pixel; zero outside.
+def warp(pixels: DataFrame, sizes: DataFrame, matrix: list[Column], masked: Column | None = None, restore: float | None = None) -> DataFrame:
+    """Bilinear values where a 3 by 3 matrix (nine Columns over sizes) maps each target pixel; zero outside. A target in which a
+    masked pixel has a weight gets the restore value.
 
     sizes has image_id, h, w and, if the matrix was found at another size, calc_h and calc_w."""
     m = matrix
@@ -170,7 +187,7 @@ def warp(pixels: DataFrame, sizes: DataFrame, matrix: list[Column]) -> DataFrame
     x, y = F.col("x") * kx, F.col("y") * ky
     below = m[6] * x + m[7] * y + m[8]
     sx, sy = (m[0] * x + m[1] * y + m[2]) / below / kx, (m[3] * x + m[4] * y + m[5]) / below / ky
-    return _gathered(grid.withColumns({"sx": sx, "sy": sy}), pixels, 2, False)
+    return _gathered(grid.withColumns({"sx": sx, "sy": sy}), pixels, 2, False, masked, restore)
 
 
 def random_points(sizes: DataFrame, n: int, seed: int = 12345) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REFERENCE_BINS, MATCH_BINS = 1024, 2048
+#: Points of a curve whose length is a column.
+MOST_POINTS = 1 << 20
 
 
 def mean_std(pixels: DataFrame, bands: list[str], image: str = "image_id", masked: Column | None = None) -> DataFrame:
@@ -41,9 +43,9 @@ def reference_cdf(pixels: DataFrame, band: str, bins: int = REFERENCE_BINS) -> D
     return every.select("bin", ((F.col("bin") + 0.5) / bins).alias("x"), (total / F.greatest("n", F.lit(1))).alias("y"), "lo", "hi")
 
 
-def interpolated(v: Column, ys: Column, xs: Column, n: int) -> Column:
+def interpolated(v: Column, ys: Column, xs: Column, n: int | Column) -> Column:
     """x at value v on rising points (ys, xs): a binary search in arrays of n points; of equal ys the last counts."""
-    steps = max(1, n).bit_length()
+    steps = max(1, n).bit_length() if isinstance(n, int) else MOST_POINTS.bit_length()
     half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
 
     def step(s: Column, _: Column) -> Column:
@@ -51,7 +53,7 @@ def interpolated(v: Column, ys: Column, xs: Column, n: int) -> Column:
         go = (s["hi"] - s["lo"] > 1) & (ys[mid] <= v)
         return F.struct(F.when(go, mid).otherwise(s["lo"]).alias("lo"), F.when(go | (s["hi"] - s["lo"] <= 1), s["hi"]).otherwise(mid).alias("hi"))
 
-    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+    start = F.struct(F.lit(0).alias("lo"), (F.lit(n) if isinstance(n, int) else n).alias("hi"))
 
     def finish(s: Column) -> Column:
         j = s["lo"]

@@ -55,6 +55,34 @@ def nodata_resample(spark, sf_dir):
     return G.shrink(rows, F.lit(16), F.lit(16), F.col("b2") == -9999, -9999.0).select("image_id", "y", "x", "b2")
 
 
+_GROWN = """SELECT image_id, ty AS y, tx AS x, CASE WHEN bool_or(b2 = -9999 AND abs(wy * wx) > 1e-12) THEN -9999.0 ELSE sum(b2 * wy * wx) END AS b2 FROM (SELECT g.*, {wy} AS wy, {wx} AS wx, p.b2 FROM (SELECT image_id, ty, tx, (ty + 0.5) * 32 / {n}.0 - 0.5 AS sy, (tx + 0.5) * 32 / {n}.0 - 0.5 AS sx FROM (SELECT DISTINCT image_id FROM gaps WHERE image_id % 2 = {k}), range(0, {n}) r(ty), range(0, {n}) s(tx)) g, range(-2, 34) a(k), range(-2, 34) b(k), gaps p
+  WHERE p.image_id = g.image_id AND p.y = greatest(0, least(31, a.k)) AND p.x = greatest(0, least(31, b.k)) AND a.k BETWEEN floor(g.sy) - {t} AND floor(g.sy) + {t} + 1 AND b.k BETWEEN floor(g.sx) - {t} AND floor(g.sx) + {t} + 1) GROUP BY 1, 2, 3"""
+_CUBIC_W = "CASE WHEN abs({d}) <= 1 THEN 1.25 * power(abs({d}), 3) - 2.25 * power(abs({d}), 2) + 1 WHEN abs({d}) < 2 THEN -0.75 * power(abs({d}), 3) + 3.75 * power(abs({d}), 2) - 6 * abs({d}) + 3 ELSE 0 END"
+_LINEAR_W = "greatest(0, 1 - abs({d}))"
+
+
+def _grown(n: int, k: int, t: int, weight: str) -> str:
+    return _GROWN.format(n=n, k=k, t=t, wy=weight.format(d="(g.sy - a.k)"), wx=weight.format(d="(g.sx - b.k)"))
+
+
+@query("nodata_growth", V.with_sql(f"SELECT * FROM ({_grown(48, 0, 0, _LINEAR_W)}) UNION ALL SELECT * FROM ({_grown(64, 1, 1, _CUBIC_W)})", "gaps"))
+def nodata_growth(spark, sf_dir):
+    """Masked pixels in growing rasters: bilinear to one and a half, cubic to double the size, by image."""
+    rows = V.pixels(spark, sf_dir, gaps=True).select("image_id", "y", "x", "b2").withColumns({"h": _side(), "w": _side()})
+    side = F.when(F.col("image_id") % 2 == 0, 48).otherwise(64)
+    return G.resize(rows, side, side, F.col("b2") == -9999, -9999.0).select("image_id", "y", "x", "b2")
+
+
+@query("nodata_warp", V.with_sql("""SELECT g.image_id, g.y, g.x, CASE WHEN bool_or(p.b2 = -9999 AND abs(greatest(0, 1 - abs(g.sy - a.k)) * greatest(0, 1 - abs(g.sx - b.k))) > 1e-12) THEN -9999.0 ELSE sum(coalesce(p.b2, 0) * greatest(0, 1 - abs(g.sy - a.k)) * greatest(0, 1 - abs(g.sx - b.k))) END AS b2 FROM (SELECT f.image_id, ty AS y, tx AS x, 0.1 * tx + 0.9 * ty + 1.25 AS sy, 0.8 * tx - 0.2 * ty + 2.5 AS sx
+  FROM (SELECT DISTINCT image_id FROM gaps) f, range(0, 32) r(ty), range(0, 32) s(tx)) g CROSS JOIN range(-10, 45) a(k) CROSS JOIN range(-10, 45) b(k) LEFT JOIN gaps p ON p.image_id = g.image_id AND p.y = a.k AND p.x = b.k
+  WHERE a.k BETWEEN floor(g.sy) AND floor(g.sy) + 1 AND b.k BETWEEN floor(g.sx) AND floor(g.sx) + 1 GROUP BY 1, 2, 3""", "gaps"))
+def nodata_warp(spark, sf_dir):
+    px = V.pixels(spark, sf_dir, gaps=True).select("image_id", "y", "x", "b2")
+    sizes = px.select("image_id").distinct().withColumns({"h": _side(), "w": _side()})
+    m = [F.lit(v) for v in (0.8, -0.2, 2.5, 0.1, 0.9, 1.25, 0.0, 0.0, 1.0)]
+    return G.warp(px, sizes, m, F.col("b2") == -9999, -9999.0).select("image_id", "y", "x", "b2")
+
+
 _FULL = "(SELECT image_id FROM pixels GROUP BY image_id HAVING count(*) = 1024)"
 _BI = """SELECT g.image_id, g.ty AS y, g.tx AS x, (sum(p.b1 * greatest(0, 1 - abs(g.sy - a.k)) * greatest(0, 1 - abs(g.sx - b.k)))) AS b1 FROM (SELECT image_id, ty, tx, (ty + 0.5) * 32 / 48.0 - 0.5 AS sy, (tx + 0.5) * 32 / 48.0 - 0.5 AS sx
   FROM {full} f, range(0, 48) r(ty), range(0, 48) s(tx)) g, range(-1, 33) a(k), range(-1, 33) b(k) JOIN pixels p ON p.image_id = g.image_id AND p.y = greatest(0, least(31, a.k)) AND p.x = greatest(0, least(31, b.k))

@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import q_bands, q_catalog, q_edits, q_learn, q_match, q_raster, q_sources, q_zonal  # noqa: E402, F401
+from . import q_bands, q_catalog, q_edits, q_learn, q_match, q_raster, q_recipes, q_sources, q_zonal  # noqa: E402, F401
