@@ -46,6 +46,8 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Buckets up to this size compare all their pairs; larger ones are searched.
 SMALL = 16
 LANES = 1 << 13
+#: Characters of text that are hashed at once.
+SLICE = 1 << 21
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 
 
@@ -262,10 +264,23 @@ def components(docs: DataFrame) -> DataFrame:
     return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), own.alias("component_id"))
 
 
-def shingles(texts: list[str | None], width: int = WIDTH):
+def shingles(texts: list[str | None], width: int = WIDTH) -> Iterator[tuple]:
     """For each text, the bytes of its words joined by one space, and its distinct shingle hashes in order (64-bit).
 
-    Words and shingles are hashed for all texts at once; a text of fewer words is one shingle, one without words none."""
+    Texts are hashed in slices of about SLICE characters; a text of fewer words is one shingle, one without words none."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text or "") > SLICE:
+            yield from _shingles(part, width)
+            part, size = [], 0
+        part.append(text)
+        size += len(text or "")
+    if part:
+        yield from _shingles(part, width)
+
+
+def _shingles(texts: list[str | None], width: int) -> list[tuple]:
+    """Words and shingles of all texts at once."""
     import numpy as np
 
     from .substrings import _STEP, Units, _mixed, _sums, _word_hashes
@@ -408,10 +423,11 @@ def _known(asked: DataFrame, crowded: DataFrame, nodes: DataFrame, docs: DataFra
         import numpy as np
 
         for batch in batches:
-            grams = [g for _, g in shingles(batch.column("text").to_pylist(), width)]
-            wide = [np.array(prints(g, WIDE), np.int64).tobytes() if c else None for g, c in zip(grams, batch.column("crowded").to_pylist())]
-            columns = [batch.column("node"), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(wide, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "grams", "wide"])
+            crowded, grams, wide = batch.column("crowded").to_pylist(), [], []
+            for c, (_, g) in zip(crowded, shingles((t.as_py() for t in batch.column("text")), width)):
+                grams.append(g.tobytes())
+                wide.append(np.array(prints(g, WIDE), np.int64).tobytes() if c else None)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(grams, pa.binary()), pa.array(wide, pa.binary())], ["node", "grams", "wide"])
 
     return held.mapInArrow(sets, "node struct<id:long,x:long,y:long>, grams binary, wide binary").dropDuplicates(["node"])
 
@@ -425,8 +441,8 @@ def _alike(near: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
 
         for batch in batches:
             keep = []
-            for one, other in zip(batch.column("g").to_pylist(), batch.column("h").to_pylist()):
-                a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+            for one, other in zip(batch.column("g"), batch.column("h")):  # read where they lie
+                a, b = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(other.as_buffer(), np.uint64)
                 if min(len(a), len(b)) < similarity * max(len(a), len(b)):
                     keep.append(False)
                     continue
