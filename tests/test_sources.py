@@ -80,6 +80,60 @@ def test_stream_refresh_keeps_the_last_version(spark, tmp_path):
     assert rows == {"a": 9.0, "b": 2.0}
 
 
+def test_a_batch_rewrites_only_the_buckets_of_its_names(spark, tmp_path):
+    landing, table = tmp_path / "in", tmp_path / "t"
+    landing.mkdir()
+    put = lambda n, rows: (landing / f"{n}.json").write_text("\n".join(json.dumps({"latitude": 1.0, "longitude": 1.0, **r}) for r in rows))
+    run = lambda: refresh.follow(spark, str(landing), str(table), str(tmp_path / "c"), buckets=8).awaitTermination()
+    put(0, [{"filename": f"f{i}", "version": 1} for i in range(100)])
+    run()
+    for n in (1, 2, 3):
+        put(n, [{"filename": "f7", "latitude": 10.0 + n, "version": 1 + n}])
+        run()
+    folders = lambda n: sorted(p.name for p in (table / f"batch={n}").glob("bucket=*"))
+    assert len(folders(0)) == 7 and folders(1) == [] and len(folders(2)) == len(folders(3)) == 1
+    rows = {r["filename"]: r["latitude"] for r in refresh.current(spark, str(table)).collect()}
+    assert len(rows) == 100 and rows["f7"] == 13.0 and rows["f8"] == 1.0
+    assert refresh.current(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_windows_of_any_size_on_small_and_gappy_rasters(spark):
+    import numpy as np
+
+    from verdure.operators import zonal
+
+    a = np.arange(12, dtype=float).reshape(3, 4)
+    rows = [(1, y, x, float(a[y, x])) for y in range(3) for x in range(4) if (y, x) != (1, 2)]
+    px = spark.createDataFrame(rows, "image_id long, y long, x long, b1 double")
+    a[1, 2] = np.nan
+    centres = px.select("image_id", "y", "x")
+    for border, mode in (("reflect", "reflect"), ("edge", "edge"), ("drop", None)):
+        got = {(r["y"], r["x"]): [r[f"b1_w{i}"] for i in range(9)] for r in zonal.windows(px, centres, 3, ["b1"], border).collect()}
+        padded = np.pad(a, 1, mode=mode) if mode else np.pad(a, 1, constant_values=np.nan)
+        want = {(y, x): padded[y : y + 3, x : x + 3].ravel() for y in range(3) for x in range(4) if (y, x) != (1, 2)}
+        want = {k: v for k, v in want.items() if border != "drop" or not np.isnan(v).any()}
+        assert got.keys() == want.keys()
+        assert all(np.array_equal(np.array(got[k], float), want[k], equal_nan=True) for k in want)
+    plan = zonal.windows(px, centres, 5, ["b1"])._jdf.queryExecution().executedPlan().toString()
+    strips = [line for line in plan.splitlines() if "Exchange" in line and "__to" in line]
+    assert 1 <= len(strips) <= 3  # strips once, centres, and lines that have any
+
+
+def test_holdout_cuts_by_counts(spark):
+    import hashlib
+    import math
+
+    from verdure.operators import learn
+
+    rows = [("a" if i % 5 else "b" if i % 2 else "c", i) for i in range(3000)] + [("single", 1)]
+    out = learn.holdout(spark.createDataFrame(rows, "label string, k long"), 0.2, 7, "k").collect()
+    for label in "abc":
+        own = sorted(((hashlib.md5(f"7|{k}".encode()).hexdigest(), k) for x, k in rows if x == label))
+        want = {k for _, k in own[: math.ceil(len(own) * 0.2)]}
+        assert {r["k"] for r in out if r["label"] == label and r["held"]} == want
+    assert not any(r["held"] for r in out if r["label"] == "single") and len(out) == len(rows)
+
+
 def test_models_survive_saving(spark, tmp_path):
     from verdure.operators import learn
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import evaluate
+from ..session import written
 from .zonal import pixels_in, windows
 
 SEED = 12345
@@ -137,14 +138,32 @@ def search(rows: DataFrame, names: list[str], kind: str, draws: int | None = Non
     return fit(rows, names, kind, **every[best]), {"params": every[best], "balanced_accuracy": scored[best]}
 
 
+def kth_place(rows: DataFrame, by: str, place: str, k: DataFrame, steps: tuple[int, ...] = (4, 8, 32)) -> DataFrame:
+    """(by, cut): the kth least of the hex strings ``place`` in each group; k has the group and ``k`` (from 1).
+
+    Counts of leading digits say in which bin it lies; each pass looks into that bin alone, with more digits. A pass is one
+    aggregation, summed in each task before it travels, and at most 16 ** 4 running counts per group are ordered."""
+    state = k.select(by, "k", F.lit("").alias("cut"))
+    for before, depth in zip((0, *steps), steps):
+        inside = rows.select(F.col(by), F.col(place)).join(state, by).filter(F.substring(place, 1, before) == F.col("cut") if before else F.lit(True))
+        counts = inside.groupBy(by, "k", F.substring(place, 1, depth).alias("cut")).agg(F.count("*").alias("n"))
+        so_far = F.sum("n").over(Window.partitionBy(by).orderBy("cut"))
+        bins = counts.withColumn("before", so_far - F.col("n")).filter((F.col("before") < F.col("k")) & (F.col("before") + F.col("n") >= F.col("k")))
+        state = written(bins.select(by, (F.col("k") - F.col("before")).alias("k"), "cut"))  # a row per group
+    return state.select(by, "cut")
+
+
 def holdout(rows: DataFrame, share: float = 0.2, seed: int = SEED, *key: str) -> DataFrame:
     """rows with ``held``: the first share of each label in the order of a hash of the key columns.
 
-    Labels with a single row are not held out."""
+    Labels with a single row are not held out. Where the share ends follows from counts of hashes, so that no task holds a
+    label's rows; rows that agree in their key stay together."""
     place = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]).cast("binary"))
-    n = F.count("*").over(Window.partitionBy("label"))
-    k = F.row_number().over(Window.partitionBy("label").orderBy(place))
-    return rows.withColumn("held", (n >= 2) & (k <= F.ceil(n * share)))
+    placed = rows.withColumn("__place", place)
+    sizes = placed.groupBy("label").agg(F.count("*").alias("n")).filter("n >= 2").select("label", F.ceil(F.col("n") * share).alias("k"))
+    cuts = kth_place(placed, "label", "__place", sizes).select(F.col("label").alias("__label"), "cut")
+    out = placed.join(cuts, F.col("label") == F.col("__label"), "left")
+    return out.withColumn("held", F.coalesce(F.col("__place") <= F.col("cut"), F.lit(False))).select(*rows.columns, "held")
 
 
 def confusion(rows: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:

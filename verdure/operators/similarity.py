@@ -102,14 +102,16 @@ def hist_distance(p: Column, q: Column) -> Column:
 
 
 def scores(candidates: DataFrame, references: DataFrame, weights: dict[str, float] | None = None, hist_weight: float = 0.3, sigma: float = 2.0) -> DataFrame:
-    """(ref_id, image_id, score) of every candidate against each of the first MOST_REFERENCES references by image_id.
+    """(ref_id, image_id, score) of every candidate against each of MOST_REFERENCES references at most; more are refused.
 
     Features are standardised over the candidates and the reference row, which counts even if it is a candidate too.
     The candidates' sums are one aggregation; references and sums are a few rows, sent to all tasks."""
     weights = WEIGHTS if weights is None else weights
     names = list(weights)
     sums = candidates.agg(F.count("*").alias("__n"), *[f.alias(f"{k}_{n}") for n in names for k, f in (("__s", F.sum(n)), ("__q", F.sum(F.col(n) * F.col(n))))])
-    refs = references.orderBy("image_id").limit(MOST_REFERENCES).select(F.col("image_id").alias("ref_id"), F.col("hist").alias("__hist"), *[F.col(n).alias(f"__r_{n}") for n in names])
+    if references.limit(MOST_REFERENCES + 1).count() > MOST_REFERENCES:
+        raise ValueError(f"at most {MOST_REFERENCES} references")
+    refs = references.select(F.col("image_id").alias("ref_id"), F.col("hist").alias("__hist"), *[F.col(n).alias(f"__r_{n}") for n in names])
     side = refs.join(F.broadcast(sums), F.lit(True))
     rows = candidates.join(F.broadcast(side), F.lit(True))
     terms = []

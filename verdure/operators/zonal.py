@@ -53,28 +53,52 @@ def class_counts(classified: DataFrame, polygons: DataFrame, classes: list[int],
 def windows(pixels: DataFrame, centres: DataFrame, size: int, bands: list[str], border: str = "reflect", image: str = "image_id") -> DataFrame:
     """centres (image, y, x and further columns) with each band's size x size neighbourhood as columns band_w0, band_w1, ...
 
-    Border: 'reflect' mirrors without repeating the edge, 'edge' repeats it, 'drop' leaves out centres that reach over it.
-    Offsets are exploded from the needed centres, so that one join brings all neighbours."""
+    Border: 'reflect' mirrors without repeating the edge, 'edge' repeats it, 'drop' leaves out centres that reach over it or
+    miss a pixel. Pixels are gathered to strips, a row per line; a strip is sent once to each line that sees it, and only to
+    lines with a centre. There a window is ``size`` strips, and its cells are places in their arrays."""
     half = size // 2
-    area = pixels.groupBy(image).agg(F.max("y").alias("__my"), F.max("x").alias("__mx"))
-    offsets = F.array(*[F.struct(F.lit(i).alias("w"), F.lit(i // size - half).alias("dy"), F.lit(i % size - half).alias("dx")) for i in range(size * size)])
-    rows = centres.join(area, image).withColumn("__o", F.explode(offsets))
 
     def within(v: Column, top: Column) -> Column:
         if border == "edge":
             return F.least(F.greatest(v, F.lit(0)), top)
         folded = F.abs(v)
-        return F.greatest(F.lit(0), F.when(folded > top, 2 * top - folded).otherwise(folded))
-
-    y, x = F.col("y") + F.col("__o.dy"), F.col("x") + F.col("__o.dx")
-    if border != "drop":
-        y, x = within(y, F.col("__my")), within(x, F.col("__mx"))
-    rows = rows.withColumns({"__y": y, "__x": x, "__w": F.col("__o.w")})
-    near = pixels.select(F.col(image).alias("__i"), F.col("y").alias("__y2"), F.col("x").alias("__x2"), *[F.col(b).alias(f"__{b}") for b in bands])
-    joined = rows.join(near, (F.col(image) == F.col("__i")) & (F.col("__y") == F.col("__y2")) & (F.col("__x") == F.col("__x2")))
-    picked = [F.max(F.when(F.col("__w") == i, F.col(f"__{b}"))).alias(f"{b}_w{i}") for b in bands for i in range(size * size)]
-    out = joined.groupBy(*centres.columns).agg(F.count("*").alias("__n"), *picked)
-    return (out.filter(F.col("__n") == size * size) if border == "drop" else out).drop("__n")
+        return v if border == "drop" else F.greatest(F.lit(0), F.when(folded > top, 2 * top - folded).otherwise(folded))
+
+    lines = _lines(pixels, bands, image)
+    # lines at most half a window away, and by which step each of them sees this one
+    sees = F.flatten(
+        F.transform(
+            F.sequence(F.greatest(F.lit(0), F.col("y") - half).cast("int"), F.least(F.col("__my"), F.col("y") + half).cast("int")),
+            lambda to: F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda dy: F.struct(to.alias("to"), dy.alias("dy"), within(to + dy, F.col("__my")).alias("line"))),
+        )
+    )
+    sent = lines.withColumn("__s", F.explode(F.filter(sees, lambda t: t["line"] == F.col("y"))))
+    sent = sent.select(F.col(image).alias("__i"), F.col("__s.to").cast("long").alias("__to"), F.col("__s.dy").alias("__dy"), "__mx", "__cells")
+    wanted = centres.select(F.col(image).alias("__i"), F.col("y").cast("long").alias("__to")).distinct()
+    sent = sent.join(wanted, ["__i", "__to"], "left_semi")
+    stacked = sent.groupBy("__i", "__to").agg(F.any_value("__mx").alias("__mx"), F.map_from_entries(F.collect_list(F.struct("__dy", "__cells"))).alias("__stack"))
+    stacked = stacked.select("__i", "__to", "__mx", F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda d: F.try_element_at("__stack", d)).alias("__stack"))
+    rows = centres.join(stacked, (F.col(image) == F.col("__i")) & (F.col("y").cast("long") == F.col("__to")))
+
+    def cell(i: int) -> Column:
+        x = within(F.col("x") + (i % size - half), F.col("__mx")).cast("int")
+        return F.when((x >= 0) & (x <= F.col("__mx")), F.get(F.get("__stack", i // size), x))
+
+    rows = rows.withColumn("__w", F.array(*[cell(i) for i in range(size * size)]))
+    if border == "drop":
+        rows = rows.filter(~F.exists("__w", lambda c: c.isNull()))
+    return rows.select(*centres.columns, *[F.get("__w", i)[b].alias(f"{b}_w{i}") for b in bands for i in range(size * size)])
+
+
+def _lines(pixels: DataFrame, bands: list[str], image: str) -> DataFrame:
+    """(image, y, __cells, __mx, __my): lines as arrays of structs of bands by x, NULL where a pixel is not there."""
+    cell = F.struct(F.col("x").cast("int").alias("x"), F.struct(*bands).alias("v"))
+    lines = pixels.groupBy(image, "y").agg(F.sort_array(F.collect_list(cell)).alias("__c"))
+    area = pixels.groupBy(image).agg(F.max("y").alias("__my"), F.max("x").alias("__mx"))  # a row per image
+    lines = lines.join(area, image)
+    held = F.map_from_entries("__c")
+    gaps = F.transform(F.sequence(F.lit(0), F.col("__mx").cast("int")), lambda x: F.try_element_at(held, x))
+    return lines.select(image, "y", "__mx", "__my", F.when(F.size("__c") == F.col("__mx") + 1, F.col("__c.v")).otherwise(gaps).alias("__cells"))
 
 
 def channel_layout(rows: DataFrame, n_bands: int, any_rgb: bool) -> DataFrame:
@@ -90,12 +114,18 @@ def probe(pixels: DataFrame, points: DataFrame, missing: Column, value: Column)
 
 
 def inventory(polygons: DataFrame) -> DataFrame:
-    """Per group: polygons, point sets and dots, most first."""
-    n = F.size("points")
-    return polygons.groupBy("grp").agg(
-        F.count("*").alias("shapes"), F.sum((n >= 3).cast("long")).alias("polygons"), F.sum((n < 3).cast("long")).alias("point_sets"),
-        F.sum(F.when(n < 3, n).otherwise(0)).cast("long").alias("dots"), F.slice(F.sort_array(F.collect_set(F.col("image_id").cast("string"))), 1, 2).alias("examples"),
+    """Per group: polygons, point sets and dots, most first, and the two least image names as examples."""
+    n, name = F.size("points"), F.col("image_id").cast("string")
+    rows = polygons.select("grp", n.alias("n"), name.alias("image"))
+    counts = rows.groupBy("grp").agg(
+        F.count("*").alias("shapes"), F.sum((F.col("n") >= 3).cast("long")).alias("polygons"), F.sum((F.col("n") < 3).cast("long")).alias("point_sets"),
+        F.sum(F.when(F.col("n") < 3, F.col("n")).otherwise(0)).cast("long").alias("dots"), F.min("image").alias("__first"),
     )
+    # the least name above the least one: two aggregates of one value each, whatever a group's size
+    firsts = counts.select(F.col("grp").alias("__g"), F.col("__first").alias("__f"))
+    second = rows.join(firsts, F.col("grp").eqNullSafe(F.col("__g"))).filter("image > __f").groupBy("__g").agg(F.min("image").alias("__second"))
+    out = counts.join(second, F.col("grp").eqNullSafe(F.col("__g")), "left")
+    return out.select("grp", "shapes", "polygons", "point_sets", "dots", F.array_compact(F.array("__first", "__second")).alias("examples"))
 
 
 def inventory_by_root(polygons: DataFrame, roots: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def label_ids(spark, sf_dir):
     return L.label_ids(_train(spark, sf_dir)).withColumn("label_id", F.col("label_id").cast("long"))
 
 
-@query("stratified_holdout", f"SELECT label, l_orderkey, l_partkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY label ORDER BY md5('12345|' || l_orderkey || '|' || l_partkey || '|' || l_linenumber), l_quantity) <= ceil(count(*) OVER (PARTITION BY label) * 0.2) AS held FROM ({_TRAIN})")
+@query("stratified_holdout", f"SELECT label, l_orderkey, l_partkey, l_linenumber, l_quantity, rank() OVER (PARTITION BY label ORDER BY md5('12345|' || l_orderkey || '|' || l_partkey || '|' || l_linenumber)) <= ceil(count(*) OVER (PARTITION BY label) * 0.2) AS held FROM ({_TRAIN})")
 def stratified_holdout(spark, sf_dir):
     return L.holdout(_train(spark, sf_dir), 0.2, L.SEED, "l_orderkey", "l_partkey", "l_linenumber")
 
