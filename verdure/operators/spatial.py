@@ -31,7 +31,9 @@ def nearest(targets: DataFrame, images: DataFrame, cells: tuple[float, ...] | No
     farther than a cell is wide; the others go on to a coarser grid. The first grid's cells follow from the images' density. Ties go to the lesser name. Targets without any
     image, or without coordinates, are left out."""
     left = targets.filter("latitude is not null and longitude is not null").select("target_index", "latitude", "longitude")
-    pics = images.filter("latitude is not null and longitude is not null").select("filename", F.col("latitude").alias("ilat"), F.col("longitude").alias("ilon"))
+    # images of one place are one place with the least of their names, so that a cluster at few places costs no more than these
+    pics = images.filter("latitude is not null and longitude is not null").groupBy(F.col("latitude").alias("ilat"), F.col("longitude").alias("ilon")).agg(F.min("filename").alias("filename"))
+    pics = written(pics) if cells is None else pics
     done, cells = [], cells or _grids(pics)
     for n, cell in enumerate(cells):
         at = lambda c: F.floor(F.col(c) / cell)  # noqa: B023, E731

@@ -135,21 +135,6 @@ def inventory_by_root(polygons: DataFrame, roots: DataFrame) -> DataFrame:
     return inventory(named.withColumn("grp", label)).withColumnRenamed("grp", "label")
 
 
-def labels(polygons: DataFrame) -> DataFrame:
-    """(image_id, y, x, label): polygons numbered from 1 per image in their order, later ones over earlier ones.
-
-    A set of one or two points marks the pixel at its rounded mean."""
-    from pyspark.sql import Window
-
-    from .shapes import mean_point
-
-    few = F.when(F.size("points") < 3, F.array(mean_point(F.col("points")))).otherwise(F.col("points"))
-    rows = polygons.withColumn("points", few).withColumn("label", F.row_number().over(Window.partitionBy("image_id").orderBy("poly_id")))
-    s = spans(rows, "label", ("image_id",))
-    px = s.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")
-    return px.groupBy("image_id", "y", "x").agg(F.max("label").alias("label"))
-
-
 def chips(pixels: DataFrame, polygons: DataFrame, grow: float = 1.4, least: int = 16, key: str = "poly_id") -> DataFrame:
     """Pixels of each polygon's bounding box, grown and at least ``least`` wide, with chip-relative coordinates."""
     lo = lambda k: F.array_min(F.transform("points", lambda p: p[k]))

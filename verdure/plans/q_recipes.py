@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import chips
 from ..operators import recipes as R
 from . import views as V
 from .registry import query
@@ -119,3 +120,34 @@ def replayed_documents(spark, sf_dir):
 def planned_sizes(spark, sf_dir):
     """The size of every image after its recipe, by scale, pixels or percents, without its pixels."""
     return R.planned(R.typed(images(spark, sf_dir))).select("image_id", F.col("new_h").cast("int").alias("new_h"), F.col("new_w").cast("int").alias("new_w"), "kind")
+
+
+_CHIP = 20
+_AXIS = "greatest(16, round_even((xh - xl + 1) * CAST(1.4 AS DOUBLE), 0))"
+_BOXES = f"""SELECT *, greatest(0, least(round_even(xl + (xh - xl + 1) / 2.0 - gw / 2.0, 0), 32 - gw)) AS cx, greatest(0, least(round_even(yl + (yh - yl + 1) / 2.0 - gh / 2.0, 0), 32 - gh)) AS cy FROM (SELECT poly_id, image_id, xl, xh, yl, yh, {_AXIS} AS gw, {_AXIS.replace("xh", "yh").replace("xl", "yl")} AS gh FROM
+  (SELECT b.poly_id, b.image_id, CASE shape WHEN 'point' THEN least(31, xl) ELSE xl END AS xl, CASE shape WHEN 'point' THEN least(31, xh) ELSE xh END AS xh, yl, yh FROM ({V.BOX}) b JOIN shapes s ON s.poly_id = b.poly_id))"""
+_CHIPPED = f""", boxes AS ({_BOXES}), q AS (SELECT poly_id AS image_id, least(gh, 32 - cy) AS n, least(gw, 32 - cx) AS m, {_CHIP} AS nn, {_CHIP} AS nm, CASE WHEN least(gh, 32 - cy) = {_CHIP} AND least(gw, 32 - cx) = {_CHIP} THEN 'none' WHEN least(gh, 32 - cy) >= {_CHIP} AND least(gw, 32 - cx) >= {_CHIP} THEN 'area' ELSE 'linear' END AS kind FROM boxes),
+p1 AS (SELECT b.poly_id AS image_id, g.y - cy AS y, g.x - cx AS x, g.b1, g.b2, false AS masked, kind FROM boxes b JOIN q ON q.image_id = b.poly_id JOIN pixels g ON g.image_id = b.image_id AND g.y >= cy AND g.y < cy + n AND g.x >= cx AND g.x < cx + m)"""
+
+
+def _sizes(spark, sf_dir):
+    """Images that are whole: 32 by 32."""
+    whole = V.pixels(spark, sf_dir).groupBy("image_id").count().filter("count = 1024")
+    return whole.select("image_id", F.lit(V.SIDE).alias("h"), F.lit(V.SIDE).alias("w"))
+
+
+_WHOLE = "(SELECT image_id FROM pixels GROUP BY image_id HAVING count(*) = 1024)"
+
+
+@query("chip_rasters", V.with_sql(_CHIPPED[2:] + _RESIZED + f" SELECT p.image_id AS poly_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, b1, b2 FROM p2 p JOIN shapes s ON s.poly_id = p.image_id WHERE s.image_id IN {_WHOLE}", "pixels", "shapes").replace(") boxes AS (", "), boxes AS (", 1))
+def chip_rasters(spark, sf_dir):
+    """Chips around all polygons of whole images, resampled to one size."""
+    boxes = chips.chip_boxes(V.polygons(spark, sf_dir), _sizes(spark, sf_dir), _CHIP)
+    return chips.chip_rasters(V.pixels(spark, sf_dir).select("image_id", "y", "x", "b1", "b2"), boxes, _CHIP)
+
+
+@query("chip_vertices", V.with_sql(f"boxes AS ({_BOXES}) SELECT b.poly_id, CAST(cx AS INT) AS chip_x, CAST(cy AS INT) AS chip_y, CAST(least(gw, 32 - cx) AS INT) AS chip_w, CAST(least(gh, 32 - cy) AS INT) AS chip_h, (({V.FIRST[0]}) - cx) * {_CHIP} / least(gw, 32 - cx) AS first_x, (({V.FIRST[1]}) - cy) * {_CHIP} / least(gh, 32 - cy) AS first_y FROM boxes b JOIN shapes s ON s.poly_id = b.poly_id WHERE b.image_id IN {_WHOLE}", "pixels", "shapes").replace(") boxes AS (", "), boxes AS (", 1))
+def chip_vertices(spark, sf_dir):
+    """Where each chip lies, and its polygon's first vertex on it."""
+    boxes = chips.chip_boxes(V.polygons(spark, sf_dir), _sizes(spark, sf_dir), _CHIP)
+    return boxes.select("poly_id", "chip_x", "chip_y", "chip_w", "chip_h", F.col("vertices")[0]["x"].alias("first_x"), F.col("vertices")[0]["y"].alias("first_y"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bands as B
-from ..operators import shapes, zonal
+from ..operators import chips, shapes, zonal
 from . import views as V
 from .registry import query
 
@@ -118,7 +118,12 @@ def pixel_probe(spark, sf_dir):
 @query("segmentation_labels", V.with_sql("""SELECT image_id, y, x, max(label) AS label FROM (SELECT l.image_id, p.y, p.x, l.label FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY poly_id) AS label FROM shapes) l JOIN (
   SELECT poly_id, x, y FROM inside WHERE shape <> 'pair' UNION ALL SELECT poly_id, CAST(round_even(x0 + w / 2.0, 0) AS BIGINT), CAST(round_even(y0 + h / 2.0, 0) AS BIGINT) FROM shapes WHERE shape = 'pair') p ON p.poly_id = l.poly_id) t GROUP BY image_id, y, x""", "shapes", "inside"))
 def segmentation_labels(spark, sf_dir):
-    return zonal.labels(V.polygons(spark, sf_dir)).withColumn("label", F.col("label").cast("long"))
+    return chips.labelled(chips.objects(V.polygons(spark, sf_dir))).withColumn("label", F.col("label").cast("long"))
+
+
+@query("object_table", V.with_sql("SELECT CAST(row_number() OVER (PARTITION BY image_id ORDER BY poly_id) AS INTEGER) AS object_id, grp AS group_name, image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY poly_id) AS INTEGER) AS polygon_index, poly_id FROM shapes", "shapes"))
+def object_table(spark, sf_dir):
+    return chips.object_table(chips.objects(V.polygons(spark, sf_dir)))
 
 
 @query("polygon_chips", V.with_sql("""SELECT b.poly_id, g.image_id, g.y - ya AS chip_y, g.x - xa AS chip_x, g.b1, g.b2, g.b3, g.b4 FROM (SELECT poly_id, image_id, CAST(greatest(0, floor(mx - hx)) AS BIGINT) AS xa, CAST(ceil(mx + hx) AS BIGINT) AS xb, CAST(greatest(0, floor(my - hy)) AS BIGINT) AS ya, CAST(ceil(my + hy) AS BIGINT) AS yb
