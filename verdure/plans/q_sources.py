@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from ..sources import files
+from ..sources import files, rasters
 from . import views as V
 from .registry import query
 
@@ -100,3 +100,33 @@ def project_polygons(spark, sf_dir):
     by_image.select("grp", "part", F.to_json(whole).alias("value")).write.partitionBy("grp", "part").text(path)  # a file per project
     found = files.read_projects(spark, f"{path}/*/*", "*.txt")
     return found.select("grp", "image_path", "name", F.col("parts")[0][0]["x"].alias("x"))
+
+
+_BYTE = "CAST(greatest(0, least(255, round_even(coalesce({c}, 0), 0))) AS INT)"
+_FRAME = "SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM pixels GROUP BY image_id"
+
+
+def _bitmaps(spark, sf_dir):
+    """A new shared folder with a bitmap of each image: red, green and blue from the first three bands."""
+    folder = shared_folder(spark)
+    px = V.pixels(spark, sf_dir).withColumn("b2", F.col("b2") / 10)
+    rasters.write_bitmaps(px.select("image_id", "y", "x", "b1", "b2", "b3"), folder)
+    return folder
+
+
+@query("bitmap_pixels", V.with_sql(f"SELECT CAST(f.image_id AS VARCHAR) AS image_id, r.y AS y, c.x AS x, {_BYTE.format(c='p.b1')} AS b1, {_BYTE.format(c='p.b2 / 10')} AS b2, {_BYTE.format(c='p.b3')} AS b3 FROM ({_FRAME}) f JOIN range(0, 32) r(y) ON r.y < f.h JOIN range(0, 32) c(x) ON c.x < f.w LEFT JOIN pixels p ON p.image_id = f.image_id AND p.y = r.y AND p.x = c.x", "pixels"))
+def bitmap_pixels(spark, sf_dir):
+    """Given pixels written as bitmaps by the registered writer and read again by the reader."""
+    return rasters.read_bitmaps(spark, _bitmaps(spark, sf_dir))
+
+
+@query("bitmap_images", V.with_sql(f"SELECT CAST(f.image_id AS VARCHAR) || '.bmp' AS image_id, r.y AS y, c.x AS x, CAST({_BYTE.format(c='p.b1')} AS DOUBLE) AS b1, CAST({_BYTE.format(c='p.b3')} AS DOUBLE) AS b3 FROM ({_FRAME}) f JOIN range(0, 32) r(y) ON r.y < f.h JOIN range(0, 32) c(x) ON c.x < f.w LEFT JOIN pixels p ON p.image_id = f.image_id AND p.y = r.y AND p.x = c.x", "pixels"))
+def bitmap_images(spark, sf_dir):
+    """The same files through the image scan, which decodes them by other means."""
+    return files.read_images(spark, _bitmaps(spark, sf_dir)).select("image_id", "y", "x", "b1", "b3")
+
+
+@query("bitmap_listing", V.with_sql(f"SELECT CAST(image_id AS VARCHAR) || '.bmp' AS filename, 54 + h * ((3 * w + 3) // 4 * 4) AS length FROM ({_FRAME})", "pixels"))
+def bitmap_listing(spark, sf_dir):
+    """The catalog scan over the written images: names and lengths."""
+    return files.list_images(spark, _bitmaps(spark, sf_dir)).select("filename", "length")
