@@ -74,6 +74,13 @@ RARE = (
     ("the terms of wtfpl", "wtfpl"),
     ("Copyright (c) 2019 2020 Somebody", "copyright"),
     ("released under apache" + " x" * 50, "apache"),
+    ("Copyright (c) " + " ".join(str(1990 + k) for k in range(30)) + " Somebody", "copyright"),
+    ("apache license version 2x", "apache"),
+    ("licensed under gpl 2 or later 3x", "gpl"),
+    ("Neither the name of the Société Générale of Applied and Theoretical Research in Nine Far Away Towns nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
+    ("gpl 2 or later with classpath exception", "classpath-exception"),
+    ("see https://opensource.org/licenses/MIT and http://creativecommons.org/licenses/by-nc-nd/4.0/", "cc-by-nc-nd"),
+    ("No license is granted", "no-license"),
 )
 
 
@@ -85,6 +92,11 @@ def test_texts_without_common_keywords(spark):
         assert label is None or label in row["labels"].split(",") and row["score"] > 0, text
 
 
+def test_versions_of_products_are_no_licenses(spark):
+    rows = [(0, "ruby 3; php 8; python 3; x11 7", "en", "a", 0), (1, "you need a commercial license for that", "en", "a", 0), (2, "under the PHP license", "en", "a", 0)]
+    assert [r["labels"] for r in result(licenses.scan(frame(spark, rows)))] == ["", "", "php"]
+
+
 def test_needed_literals_hold_in_every_match():
     for r in licenses.default_rules():
         assert r.needs and all(g and min(map(len, g)) >= licenses.LEAST for g in r.needs), r.regex
@@ -111,7 +123,11 @@ def samples(regex, n=12):
                 out += one(arg[3])
             elif op is c.BRANCH:
                 out += one(rng.choice(arg[1]))
-            elif op is c.MAX_REPEAT:
+            elif op is c.NOT_LITERAL:
+                out += "k"
+            elif op in (c.ASSERT, c.ASSERT_NOT):
+                continue
+            elif op in (c.MAX_REPEAT, c.POSSESSIVE_REPEAT):
                 out += "".join(one(arg[2]) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 2))))
             else:
                 raise ValueError(op)

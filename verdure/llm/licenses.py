@@ -76,25 +76,30 @@ FAMILIES = (
     ("bsl", r"business source"),
     ("sspl", r"server side public"),
     ("elastic", r"elastic"),
-    ("proprietary", r"(?:proprietary|commercial)"),
+    ("proprietary", r"proprietary"),
 )
-#: (form, priority, confidence): how a text names a license; {n} is the family's name. Repeats of groups are bounded, as
-#: the regex engine's depth grows with them.
+#: Repeats take all they can and give nothing back, so that the regex engine needs no depth for them and none ends early; each
+#: turn ends with its word.
+_END = r"(?= |$)"
+_NUMBERS = rf"(?: v?[0-9]+{_END})"
+#: (form, priority, confidence): how a text names a license; {n} is the family's name.
 FORMS = (
-    (r" spdx licen[sc]e identifier {n}(?: only| or later| [0-9]+){0,4}", 3, 1.0),
-    (r" licen[sc]ed under (?:the |an? )?(?:terms of )?(?:the )?{n}(?: licen[sc]e)?(?: version)?(?: v?[0-9]+){0,4}", 3, 0.95),
-    (r" (?:released|distributed|available|published|provided) under (?:the |an? )?(?:terms of )?(?:the )?{n}(?: licen[sc]e)?(?: version)?(?: v?[0-9]+){0,4}", 3, 0.9),
-    (r" (?:terms|conditions) of (?:the |an? )?{n}(?: licen[sc]e)?(?: version)?(?: v?[0-9]+){0,4}", 2, 0.8),
-    (r" {n} licen[sc]e version(?: v?[0-9]+){1,4}", 2, 0.85),
+    (rf" spdx licen[sc]e identifier {{n}}(?:(?: only| or later| [0-9]+){_END})*+", 3, 1.0),
+    (rf" licen[sc]ed under (?:the |an? )?(?:terms of )?(?:the )?{{n}}(?: licen[sc]e)?(?: version)?{_NUMBERS}*+", 3, 0.95),
+    (rf" (?:released|distributed|available|published|provided) under (?:the |an? )?(?:terms of )?(?:the )?{{n}}(?: licen[sc]e)?(?: version)?{_NUMBERS}*+", 3, 0.9),
+    (rf" (?:terms|conditions) of (?:the |an? )?{{n}}(?: licen[sc]e)?(?: version)?{_NUMBERS}*+", 2, 0.8),
+    (rf" {{n}} licen[sc]e version{_NUMBERS}++", 2, 0.85),
     (r" {n} licen[sc]e", 1, 0.7),
-    (r" {n} v?[0-9]+(?: [0-9]+){0,4}(?: international| unported)?", 1, 0.6),
+    (rf" {{n}}{_NUMBERS}++(?: international| unported)?", 1, 0.6),
 )
+#: Families whose name with a number is a product's version and no license.
+PRODUCTS = ("psf", "ruby", "php", "openssl", "postgresql", "x11", "w3c", "elastic")
 #: Hand-written rules beside the families: (label, regex, priority, confidence). Sentences of the licenses'
 #: own texts and notices, normalised; they outrank names, as a notice says which license holds and not only that one is named.
-_ANY = r"(?: [a-z0-9]+){1,12}"
+_HOLDER = r"(?: (?!nor the names of its )[^ ]+)++"
 SINGLE = (
-    ("public-domain", r" (?:released |placed |is |are ){0,3}(?:in |into )?(?:the )?public domain", 1, 0.6),
-    ("copyright", r" copyright(?: c)?(?: [0-9]{4}){1,20}", 0, 0.3),
+    ("public-domain", r" (?:(?:released|placed|is|are) )*+(?:in |into )?(?:the )?public domain", 1, 0.6),
+    ("copyright", rf" copyright(?: c)?(?: [0-9]{{4}}{_END})++", 0, 0.3),
     ("copyright", r" all rights reserved", 0, 0.4),
     ("mit", r" permission is hereby granted free of charge to any person obtaining a copy", 4, 1.0),
     ("mit", r" the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 4, 0.95),
@@ -105,7 +110,7 @@ SINGLE = (
     ("bsd", r" redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 4, 0.9),
     ("bsd", r" redistributions in binary form must reproduce the above copyright notice", 4, 0.9),
     ("bsd", r" this software is provided by the (?:copyright holders|regents|authors?)(?: and contributors)? as is and any express or implied warranties", 4, 0.8),
-    ("bsd-3-clause", r" neither the names? of" + _ANY + r" nor the names of its contributors may be used to endorse or promote products", 4, 1.0),
+    ("bsd-3-clause", r" neither the names? of" + _HOLDER + r" nor the names of its contributors may be used to endorse or promote products", 4, 1.0),
     ("bsd-4-clause", r" all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 4, 1.0),
     ("isc", r" permission to use copy modify and or distribute this software for any purpose", 3, 1.0),
     ("isc", r" permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", 4, 1.0),
@@ -146,10 +151,40 @@ SINGLE = (
     ("sspl", r" if you make the functionality of the program or a modified version available to third parties as a service", 4, 1.0),
     ("elastic", r" you may not provide the software to third parties as a hosted or managed service", 4, 1.0),
     ("commons-clause", r" the grant of rights under the licen[sc]e will not include and the licen[sc]e does not grant to you the right to sell the software", 4, 1.0),
+    ("gpl-or-later", r" gpl(?: v?[0-9]+(?= |$))*+ or later", 4, 0.9),
+    ("gpl-or-later", r" gnu general public licen[sc]e(?: version)? v?[0-9]+ or (?:any )?later", 4, 0.9),
+    ("gpl-or-later", r" either version [23] of the licen[sc]e or at your option any later version", 5, 0.9),
+    ("lgpl-or-later", r" lgpl(?: v?[0-9]+(?= |$))*+ or later", 4, 0.9),
+    ("classpath-exception", r" classpath exception", 4, 0.9),
+    ("classpath-exception", r" gives you permission to link this library with independent modules to produce an executable", 4, 1.0),
+    ("gcc-exception", r" gcc runtime library exception", 4, 0.9),
+    ("llvm-exception", r" llvm exceptions?", 4, 0.9),
+    ("font-exception", r" with font exception", 4, 0.9),
+    ("linking-exception", r" as a special exception(?: the)?(?: copyright holders?)?(?: of this (?:library|program))? gives? (?:you )?permission to link", 4, 0.9),
+    ("mit", r" opensource org licenses mit", 4, 1.0),
+    ("bsd-2-clause", r" opensource org licenses bsd 2 clause", 4, 1.0),
+    ("bsd-3-clause", r" opensource org licenses bsd 3 clause", 4, 1.0),
+    ("gpl", r" gnu org licenses (?:old licenses )?gpl", 4, 1.0),
+    ("lgpl", r" gnu org licenses (?:old licenses )?lgpl", 4, 1.0),
+    ("agpl", r" gnu org licenses agpl", 4, 1.0),
+    ("mpl", r" mozilla org (?:en us )?mpl [0-9]", 4, 1.0),
+    ("epl", r" eclipse org legal epl", 4, 1.0),
+    ("boost", r" boost org license 1 0", 4, 1.0),
+    ("ofl", r" scripts sil org ofl", 4, 1.0),
+    ("unlicense", r" unlicense org", 4, 1.0),
+    ("cc0", r" creativecommons org publicdomain zero", 4, 1.0),
+    ("cc-by", r" creativecommons org licenses by [0-9]", 4, 1.0),
+    ("cc-by-sa", r" creativecommons org licenses by sa [0-9]", 4, 1.0),
+    ("cc-by-nc", r" creativecommons org licenses by nc [0-9]", 4, 1.0),
+    ("cc-by-nd", r" creativecommons org licenses by nd [0-9]", 4, 1.0),
+    ("cc-by-nc-sa", r" creativecommons org licenses by nc sa [0-9]", 4, 1.0),
+    ("cc-by-nc-nd", r" creativecommons org licenses by nc nd [0-9]", 4, 1.0),
+    ("no-license", r" no licen[sc]e(?: is| or right is)? (?:hereby )?(?:granted|given|provided)", 4, 0.8),
+    ("no-license", r" not (?:be )?licen[sc]ed (?:for|to) (?:use|any)", 4, 0.6),
     ("beerware", r" if we meet some day and you think this stuff is worth it you can buy me a beer", 4, 1.0),
     ("proprietary", r" unauthori[sz]ed copying of this (?:file|document|software) via any medium is strictly prohibited", 4, 1.0),
     ("proprietary", r" (?:proprietary and confidential|confidential and proprietary)", 4, 0.8),
-    ("proprietary", r" may not be (?:copied|reproduced|distributed|disclosed)(?: or (?:copied|reproduced|distributed|disclosed)){0,3} without (?:the )?(?:prior )?(?:express )?written (?:permission|consent)", 4, 0.8),
+    ("proprietary", r" may not be (?:copied|reproduced|distributed|disclosed)(?: or (?:copied|reproduced|distributed|disclosed))*+ without (?:the )?(?:prior )?(?:express )?written (?:permission|consent)", 4, 0.8),
 )
 
 
@@ -166,7 +201,7 @@ class Rule:
 def default_rules() -> tuple[Rule, ...]:
     """Every family in every form, then the single rules: hundreds of signatures from three hand-written lists."""
     #: In every form a space leads the name and, beyond the match, follows it.
-    named = [(label, form.replace("{n}", name), p, c, needed(form.replace("{n}", "[^ ]+"), f" {name} ")) for form, p, c in FORMS for label, name in FAMILIES]
+    named = [(label, form.replace("{n}", name), p, c, needed(form.replace("{n}", "[^ ]+"), f" {name} ")) for form, p, c in FORMS for label, name in FAMILIES if form != FORMS[-1][0] or label not in PRODUCTS]
     return tuple(Rule(n, *r) for n, r in enumerate(named + [(*r, needed(r[1])) for r in SINGLE]))
 
 
