@@ -13,8 +13,8 @@ and none is lost.
 A text gets ten 64-bit fingerprints and meets others in a bucket for each of their forty 16-bit bands. In buckets of up to
 ``SMALL`` texts all pairs within ``SPAN`` bits of the first two fingerprints are candidates. Texts of larger buckets get
 ``WIDE`` fingerprints: there, all pairs within ``LIKELY`` of their bits are candidates, and only a text within ``SURE`` bits,
-whose similarity is well above the limit, need not be compared with further ones. Candidates are compared by their whole shingle
-sets. Where such a text turns out not to be similar after all, it is compared with its whole bucket again. At a similarity
+probably similar, need not be compared with further ones. Candidates are compared by their whole shingle sets. Where such a
+text turns out not to be similar after all, it is compared with its whole bucket again. At a similarity
 of 0.8 a pair meets in one bucket at least with a chance of about 0.95, at 0.9 of over 0.99, whatever the bucket's size.
 Large groups whose texts are alike just below the limit (0.74 to 0.8) are compared pair by pair. Texts of the same words are
 one text.
@@ -39,8 +39,8 @@ from .graph import connected
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: For texts that are alike: words to a shingle, similarity, 64-bit fingerprints, bits that two of these may differ in.
 WIDTH, SIMILARITY, PRINTS, SPAN = 5, 0.8, 10, 30
-#: In large buckets: 64-bit fingerprints, bits in which texts of a similarity of 0.8 hardly ever differ less, and more.
-WIDE, SURE, LIKELY = 32, 262, 345
+#: In large buckets: 64-bit fingerprints, bits in which texts of a similarity of 0.8 differ on average, and hardly ever more.
+WIDE, SURE, LIKELY = 32, 310, 345
 #: Bit blocks (shift, width); every pair of blocks is one way to deal.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Buckets up to this size compare all their pairs; larger ones are searched.
