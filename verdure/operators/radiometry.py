@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import wide_quantiles
+
 REFERENCE_BINS, MATCH_BINS = 1024, 2048
 #: Points of a curve whose length is a column.
 MOST_POINTS = 1 << 20
@@ -32,7 +34,8 @@ def match_mean_std(pixels: DataFrame, reference: dict[str, tuple[float, float]],
 def reference_cdf(pixels: DataFrame, band: str, bins: int = REFERENCE_BINS) -> DataFrame:
     """(bin, x, y, lo, hi): the cumulative histogram of a band between its 0.01 and 99.99 percentiles, x scaled to 0..1."""
     v = F.col(band).cast("double")
-    ends = pixels.agg(F.percentile(v, F.lit(0.0001)).alias("a"), F.percentile(v, F.lit(0.9999)).alias("z"), F.min(v).alias("l"), F.max(v).alias("h"), F.count(v).alias("n"))
+    cuts = wide_quantiles(pixels, [], {"v": [band]}, {"a": 0.0001, "z": 0.9999}).select(F.col("a_v").alias("a"), F.col("z_v").alias("z"))
+    ends = pixels.agg(F.min(v).alias("l"), F.max(v).alias("h"), F.count(v).alias("n")).join(F.broadcast(cuts), F.lit(True), "left")  # one row each
     tight, wide = F.col("z") > F.col("a"), F.col("h") > F.col("l")
     ends = ends.select(F.when(tight, F.col("a")).when(wide, F.col("l")).otherwise(F.lit(0.0)).alias("lo"), F.when(tight, F.col("z")).when(wide, F.col("h")).otherwise(F.lit(1.0)).alias("hi"), "n")
     inside = pixels.select(v.alias("v")).join(F.broadcast(ends), (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))  # one row is sent
@@ -88,14 +91,11 @@ def _bytes(v: Column, lo: Column, hi: Column) -> Column:
 
 
 def stretch(pixels: DataFrame, bands: list[str], low: float = 0.5, high: float = 99.5, pooled: bool = False) -> DataFrame:
-    """Bands of each image between two percentiles as bytes; pooled: the same limits for all bands of an image."""
-    if pooled:
-        limits = pixels.select("image_id", F.explode(F.array(*bands)).alias("v")).groupBy("image_id").agg(F.percentile("v", F.lit(low / 100)).alias("lo"), F.percentile("v", F.lit(high / 100)).alias("hi"))
-        ends = {b: ("lo", "hi") for b in bands}
-    else:
-        limits = pixels.groupBy("image_id").agg(*[F.percentile(b, F.lit(p / 100)).alias(f"{n}_{b}") for b in bands for n, p in (("lo", low), ("hi", high))])
-        ends = {b: (f"lo_{b}", f"hi_{b}") for b in bands}
-    rows = pixels.join(limits, "image_id")
+    """Bands of each image between two exact percentiles as bytes; pooled: the same limits for all bands of an image."""
+    sides = {"all": bands} if pooled else {b: [b] for b in bands}
+    limits = wide_quantiles(pixels, ["image_id"], sides, {"lo": low / 100, "hi": high / 100})
+    ends = {b: ("lo_all", "hi_all") if pooled else (f"lo_{b}", f"hi_{b}") for b in bands}
+    rows = pixels.filter("image_id is not null").join(limits, "image_id", "left")
     return rows.withColumns({b: _bytes(F.col(b), F.col(a), F.col(z)) for b, (a, z) in ends.items()}).select(*pixels.columns)
 
 

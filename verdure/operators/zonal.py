@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import quantiles as selected
 from .shapes import spans
 
 
@@ -43,6 +44,17 @@ def statistics(value: str, quantiles: tuple[float, ...] = (5, 25, 50, 75, 95), a
     return [F.avg(v).alias(f"{value}_mean"), q(0.5).alias(f"{value}_median"), F.stddev_pop(v).alias(f"{value}_std"), *named]
 
 
+def scene_statistics(pixels: DataFrame, value: str, quantiles: tuple[float, ...] = (5, 25, 50, 75, 95), image: str = "image_id") -> DataFrame:
+    """The same for whole images, whose values no task holds: (image, mean, median, std and quantiles of the finite values)."""
+    fractions = [min(1.0, max(0.0, q if q <= 1 else q / 100)) for q in quantiles]
+    finite = pixels.filter(~F.isnan(value) & (F.abs(value) != float("inf")))
+    plain = pixels.select(image).distinct().join(finite.groupBy(image).agg(F.avg(value).alias(f"{value}_mean"), F.stddev_pop(value).alias(f"{value}_std")), image, "left")
+    at = lambda f: F.max(F.when(F.col("fraction") == f, F.col("value")))
+    named = [at(f).alias(f"{value}_q{round(f * 100, 6):g}") for f in fractions]
+    cuts = selected(finite, [image], {value: [value]}, [0.5, *fractions]).groupBy(image).agg(at(0.5).alias(f"{value}_median"), *named)
+    return plain.join(cuts, image, "left")
+
+
 def class_counts(classified: DataFrame, polygons: DataFrame, classes: list[int], column: str = "class_id", key: str = "poly_id") -> DataFrame:
     """Pixels of each class per polygon, one column per class; polygons without pixels have zeros."""
     counts = [F.sum((F.col(column) == c).cast("long")).alias(f"class_{c}") for c in classes]

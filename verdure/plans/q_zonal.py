@@ -52,7 +52,7 @@ def polygon_statistics(spark, sf_dir):
 def scene_and_polygon_statistics(spark, sf_dir):
     px = V.pixels(spark, sf_dir)
     z = zonal.pixels_in(px, V.polygons(spark, sf_dir)).groupBy("poly_id", "image_id").agg(F.avg("b1").alias("poly_mean"))
-    s = px.groupBy("image_id").agg(F.avg("b1").alias("scene_mean"), F.stddev_pop("b1").alias("scene_std"), F.percentile("b1", F.lit(0.5)).alias("scene_median"))
+    s = zonal.scene_statistics(px, "b1", ()).select("image_id", *[F.col(f"b1_{c}").alias(f"scene_{c}") for c in ("mean", "std", "median")])
     return z.join(s, "image_id").drop("image_id")
 
 
