@@ -11,41 +11,67 @@ from pyspark.sql import functions as F
 from ..session import written
 from .catalog import canonical_base, stem
 
-CELLS = tuple(360.0 / 4**k for k in range(13))
-#: Images to an occupied cell of the first grid, about.
-DENSITY = 4
-
-
-def _grids(images: DataFrame) -> tuple[float, ...]:
-    """Cell widths from the widest that holds about DENSITY images where there are any, each four times the one before."""
-    cell = lambda c: F.struct(F.floor(F.col("ilat") / c), F.floor(F.col("ilon") / c))
-    n, *occupied = images.agg(F.count("*"), *[F.approx_count_distinct(cell(c)) for c in CELLS]).first()
-    first = next((k for k, o in enumerate(occupied) if n <= DENSITY * o), len(CELLS) - 1)
-    return CELLS[first::-1]
-
-
-def nearest(targets: DataFrame, images: DataFrame, cells: tuple[float, ...] | None = None) -> DataFrame:
+#: Places that a cell may hold unsplit. Bits of a cell's number below 360 degrees, in all and as added by each level.
+LEAF, DEEP, STEP = 16, 51, 3
+
+
+def _levels(places: DataFrame) -> list[DataFrame]:
+    """A tree of cells over distinct places (ilat, ilon, filename), from the widest level on: (py, px, children) with the cells
+    into which a cell is split, 64 at most.
+
+    A cell has the bounds of the places in it. One of at most LEAF places has these as ``places``; others are split at the
+    next level, up to cells of 360 / 2 ** DEEP degrees, so that depth follows the density at each spot."""
+    number = lambda c: F.floor(F.col(c) / 360.0 * (1 << DEEP))
+    rest, levels = places.withColumns({"qy": number("ilat"), "qx": number("ilon")}), []
+    for shift in range(DEEP, -1, -STEP):
+        at = rest.withColumns({"cy": F.shiftright("qy", shift), "cx": F.shiftright("qx", shift)})
+        ends = [f(c).alias(n) for n, f, c in (("y0", F.min, "ilat"), ("y1", F.max, "ilat"), ("x0", F.min, "ilon"), ("x1", F.max, "ilon"))]
+        cells = written(at.groupBy("cy", "cx").agg(F.count("*").alias("n"), *ends))
+        dense = cells.filter((F.col("n") > LEAF) & F.lit(shift > 0)).select("cy", "cx")
+        few = at.join(dense, ["cy", "cx"], "left_anti").groupBy("cy", "cx").agg(F.collect_list(F.struct("ilat", "ilon", "filename")).alias("places"))
+        above = {p: F.shiftright(c, STEP) if levels else F.lit(0).cast("long") for p, c in (("py", "cy"), ("px", "cx"))}
+        child = F.struct("cy", "cx", "y0", "y1", "x0", "x1", "places")
+        levels.append(written(cells.join(few, ["cy", "cx"], "left").withColumns(above).groupBy("py", "px").agg(F.collect_list(child).alias("children"))))
+        if dense.isEmpty():
+            break
+        rest = written(at.join(dense, ["cy", "cx"], "left_semi").drop("cy", "cx"))
+    return levels
+
+
+def nearest(targets: DataFrame, images: DataFrame) -> DataFrame:
     """(target_index, filename, degrees): the image nearest to each target in plain (latitude, longitude) degrees.
 
-    Both sides meet by grid cell: a target looks into the nine cells around it, and its best match holds if it is no
-    farther than a cell is wide; the others go on to a coarser grid. The first grid's cells follow from the images' density. Ties go to the lesser name. Targets without any
-    image, or without coordinates, are left out."""
-    left = targets.filter("latitude is not null and longitude is not null").select("target_index", "latitude", "longitude")
-    # images of one place are one place with the least of their names, so that a cluster at few places costs no more than these
-    pics = images.filter("latitude is not null and longitude is not null").groupBy(F.col("latitude").alias("ilat"), F.col("longitude").alias("ilon")).agg(F.min("filename").alias("filename"))
-    pics = written(pics) if cells is None else pics
-    done, cells = [], cells or _grids(pics)
-    for n, cell in enumerate(cells):
-        at = lambda c: F.floor(F.col(c) / cell)  # noqa: B023, E731
-        near = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-        a = left.withColumn("o", F.explode(near)).withColumns({"cy": at("latitude") + F.col("o.dy"), "cx": at("longitude") + F.col("o.dx")})
-        b = pics.withColumns({"cy": at("ilat"), "cx": at("ilon")})
-        d = F.sqrt(F.pow(F.col("latitude") - F.col("ilat"), 2) + F.pow(F.col("longitude") - F.col("ilon"), 2))
-        best = a.join(b, ["cy", "cx"]).withColumn("degrees", d).groupBy("target_index").agg(F.min(F.struct("degrees", "filename")).alias("m"))
-        found = written(left.join(best, "target_index", "left").select("target_index", "latitude", "longitude", F.col("m.filename").alias("filename"), F.col("m.degrees").alias("degrees")))
-        sure = F.col("degrees").isNotNull() & ((F.col("degrees") <= cell) | F.lit(n == len(cells) - 1))
-        done.append(found.filter(sure).select("target_index", "filename", "degrees"))
-        left = found.filter(~sure).select("target_index", "latitude", "longitude")
+    Images of one place are one place with the least of their names. A target goes down a tree of cells: at each level it keeps
+    only cells that are no farther than some place must be, and meets places in cells that hold few. So a cluster of any
+    density costs each target a few cells a level, wherever the target lies. Ties go to the lesser name. Targets without any
+    image, and targets and images without coordinates, are left out."""
+    known = lambda rows: rows.filter("latitude is not null and longitude is not null and not isnan(latitude) and not isnan(longitude)")
+    places = written(known(images).groupBy(F.col("latitude").alias("ilat"), F.col("longitude").alias("ilon")).agg(F.min("filename").alias("filename")))
+    lat, lon = F.col("latitude"), F.col("longitude")
+    away = lambda dy, dx: F.sqrt(F.pow(dy, 2) + F.pow(dx, 2))
+    outside = lambda v, lo, hi: F.greatest(lo - v, v - hi, F.lit(0.0))
+    farthest = lambda v, lo, hi: F.greatest(v - lo, hi - v)
+
+    def cell(c: Column) -> Column:
+        least = away(outside(lat, c["y0"], c["y1"]), outside(lon, c["x0"], c["x1"]))
+        most = away(farthest(lat, c["y0"], c["y1"]), farthest(lon, c["x0"], c["x1"]))
+        return F.struct(c["cy"].alias("cy"), c["cx"].alias("cx"), least.alias("least"), most.alias("most"))
+
+    match = lambda p: F.struct(away(lat - p["ilat"], lon - p["ilon"]).alias("degrees"), p["filename"].alias("filename"))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("struct<degrees:double,filename:string>")
+    asked = known(targets).select("target_index", lat.cast("double").alias("latitude"), lon.cast("double").alias("longitude"), none.alias("best"), F.array(F.struct(zero.alias("cy"), zero.alias("cx"))).alias("cells"))
+    target, done = ["target_index", "latitude", "longitude"], []
+    for level in _levels(places):
+        rows = asked.select(*target, "best", F.inline("cells")).join(level, (F.col("cy") == F.col("py")) & (F.col("cx") == F.col("px")))
+        split, whole = F.filter("children", lambda c: c["places"].isNull()), F.filter("children", lambda c: c["places"].isNotNull())
+        met = F.array_min(F.transform(F.flatten(F.transform(whole, lambda c: c["places"])), match))
+        rows = rows.select(*target, F.array_min(F.array("best", met)).alias("best"), F.transform(split, cell).alias("near"))
+        rows = rows.groupBy(*target).agg(F.min("best").alias("best"), F.flatten(F.collect_list("near")).alias("near"))
+        bound = F.least("best.degrees", F.array_min(F.transform("near", lambda c: c["most"]))) * (1 + 1e-12)
+        kept = F.transform(F.filter("near", lambda c: c["least"] <= F.col("bound")), lambda c: F.struct(c["cy"].alias("cy"), c["cx"].alias("cx")))
+        state = written(rows.withColumn("bound", bound).select(*target, "best", kept.alias("cells")))
+        done.append(state.filter(F.size("cells") == 0).select("target_index", "best.filename", "best.degrees"))
+        asked = state.filter(F.size("cells") > 0)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
