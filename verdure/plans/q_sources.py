@@ -12,13 +12,15 @@ from .registry import query
 
 @query("gps_json", V.with_sql("SELECT filename, (latitude) AS latitude, (longitude) AS longitude FROM gps", "gps"))
 def gps_json(spark, sf_dir):
-    number = F.regexp_extract("filename", "[0-9]+", 0).cast("int")
-    g = V.gps(spark, sf_dir).withColumns({"k": number % 3, "folder": F.floor(number / 64)})  # a text per folder and kind
+    """A text per folder and kind. Numbers over four digits share names: those that do lie in different folders, told by the digits cut off."""
+    number = F.col("number").cast("string")
+    folder = F.concat_ws("/", F.length(number), F.substring(number, 5, 20), F.floor(F.substring(number, 1, 4).cast("int") / 64))
+    g = V.gps(spark, sf_dir).withColumns({"k": F.col("number") % 3, "folder": folder})
     path = F.concat(F.lit("/data/x/"), F.col("filename"))
     records = g.filter("k = 0").groupBy("folder").agg(F.to_json(F.collect_list(F.struct(path.alias("filename"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")))).alias("value"))
     exif = g.filter("k = 1").groupBy("folder").agg(F.to_json(F.collect_list(F.struct(path.alias("SourceFile"), F.col("latitude").alias("GPSLatitude"), F.col("longitude").alias("GPSLongitude")))).alias("value"))
     named = g.filter("k = 2").groupBy("folder").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("filename", F.struct("latitude", "longitude"))))).alias("value"))
-    rows = files.gps_rows(records.unionByName(exif).unionByName(named))
+    rows = files.gps_rows(records.unionByName(exif).unionByName(named), "folder")
     return rows.select("filename", "latitude", "longitude")
 
 

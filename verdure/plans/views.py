@@ -94,8 +94,9 @@ def with_sql(select: str, *views: str) -> str:
 
 
 def gps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A position per supplier: number, filename, latitude, longitude. Names have four digits, so that numbers from 10,000 on share them."""
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("IMG_"), F.lpad(k.cast("string"), 4, "0"), F.lit(".tif")).alias("filename"), ((k * 37 % 1200) / 10 - 60).alias("latitude"), ((k * 91 % 3400) / 10 - 170).alias("longitude"))
+    return table(spark, sf_dir, "supplier").select(k.alias("number"), F.concat(F.lit("IMG_"), F.lpad(k.cast("string"), 4, "0"), F.lit(".tif")).alias("filename"), ((k * 37 % 1200) / 10 - 60).alias("latitude"), ((k * 91 % 3400) / 10 - 170).alias("longitude"))
 
 
 GPS = "SELECT 'IMG_' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') || '.tif' AS filename, (s_suppkey * 37 % 1200) / 10.0 - 60 AS latitude, (s_suppkey * 91 % 3400) / 10.0 - 170 AS longitude FROM supplier"

@@ -89,19 +89,21 @@ def read_projects(spark: SparkSession, path: str, glob: str = "*.json") -> DataF
     return files.select("project", "grp", "image_path", *polygon_record(F.col("f")))
 
 
-def gps_rows(documents: DataFrame) -> DataFrame:
+def gps_rows(documents: DataFrame, folder: str | None = None) -> DataFrame:
     """(filename, latitude, longitude) of JSON texts (column value): lists of records or of triples, or records by name.
 
     Latitude and longitude go by any of their usual names; of one base name the first entry of its text stays, of several
-    texts' first ones the least."""
-    rows = documents.sparkSession.sql("select e.pos, e.key, e.value as v from {docs}, lateral variant_explode(try_parse_json(value)) e", docs=documents.select("value"))
+    texts' first ones the least. ``folder`` names a column of the texts' folders: images of different folders may share a
+    name, so that the rule then holds within each folder, and rows carry it."""
+    by = [] if folder is None else [folder]
+    rows = documents.sparkSession.sql("select d.*, e.pos, e.key, e.value as v from {docs} d, lateral variant_explode(try_parse_json(d.value)) e", docs=documents.select("value", *by))
     get = lambda *names, t="string": F.coalesce(*[F.try_variant_get("v", p, t) for p in names])
     out = rows.select(
-        "pos", base_name(F.coalesce(get("$.filename", "$.file", "$.path", "$.SourceFile", "$[0]"), F.col("key"))).alias("filename"),
+        *by, "pos", base_name(F.coalesce(get("$.filename", "$.file", "$.path", "$.SourceFile", "$[0]"), F.col("key"))).alias("filename"),
         get("$.latitude", "$.lat", "$.GPSLatitude", "$[1]", t="double").alias("latitude"), get("$.longitude", "$.lon", "$.lng", "$.GPSLongitude", "$[2]", t="double").alias("longitude"),
     )
     out = out.filter("filename is not null and latitude is not null and longitude is not null")
-    return out.groupBy("filename").agg(F.min_by(F.struct("latitude", "longitude"), F.struct("pos", "latitude", "longitude")).alias("p")).select("filename", "p.latitude", "p.longitude")
+    return out.groupBy(*by, "filename").agg(F.min_by(F.struct("latitude", "longitude"), F.struct("pos", "latitude", "longitude")).alias("p")).select(*by, "filename", "p.latitude", "p.longitude")
 
 
 def target_rows(documents: DataFrame) -> DataFrame:
