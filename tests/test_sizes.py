@@ -1,6 +1,7 @@
 """Queries on tables with keys, counts and values that the smallest tables do not have."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from verdure.plans.registry import ORACLE_SQL, QUERIES
 
@@ -14,3 +15,20 @@ def test_images_of_different_folders_may_share_a_name(spark, tmp_path):
     want = sorted(con.execute(ORACLE_SQL["gps_json"]).fetchall())
     assert len(got) == len(keys) > len({r[0] for r in got})
     assert [r[0] for r in got] == [r[0] for r in want] and all(abs(a - b) < 1e-9 for r, w in zip(got, want) for a, b in zip(r[1:], map(float, w[1:])))
+
+
+def test_holdout_sends_no_rows_by_label(spark, monkeypatch):
+    from verdure.operators import learn
+
+    plans, real = [], learn.written
+
+    def spied(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(learn, "written", spied)
+    rows = spark.range(2_000_000).select((F.col("id") % 3).cast("string").alias("label"), F.col("id").alias("k"))
+    out = learn.holdout(rows, 0.2, 7, "k")
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("BroadcastHashJoin" in p for p in plans) == 4 and not any("SortMergeJoin" in p for p in plans)
+    assert {r["label"]: r["n"] for r in out.filter("held").groupBy("label").agg(F.count("*").alias("n")).collect()} == {"0": 133334, "1": 133334, "2": 133334}
