@@ -32,3 +32,23 @@ def test_holdout_sends_no_rows_by_label(spark, monkeypatch):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert sum("BroadcastHashJoin" in p for p in plans) == 4 and not any("SortMergeJoin" in p for p in plans)
     assert {r["label"]: r["n"] for r in out.filter("held").groupBy("label").agg(F.count("*").alias("n")).collect()} == {"0": 133334, "1": 133334, "2": 133334}
+
+
+def test_targets_of_one_place_are_asked_once(spark, monkeypatch):
+    from verdure.operators import spatial
+
+    states, real = [], spatial.written
+
+    def spied(df):
+        out = real(df)
+        if "cells" in df.columns:
+            states.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "written", spied)
+    images = [(f"i{k:03d}", k * 37 % 100 / 4, k * 53 % 90 / 3) for k in range(200)]
+    targets = [(k, k % 5 * 7.25, k % 5 * -3.5) for k in range(3000)]
+    got = spatial.nearest(spark.createDataFrame(targets, "target_index long, latitude double, longitude double"), spark.createDataFrame(images, "filename string, latitude double, longitude double"))
+    best = {t[1:]: min((((t[1] - a) ** 2 + (t[2] - b) ** 2), n)[::1] for n, a, b in images) for t in targets[:5]}
+    assert {r["target_index"]: r["filename"] for r in got.collect()} == {t[0]: best[t[1:]][1] for t in targets}
+    assert states and max(states) <= 5

@@ -43,8 +43,8 @@ def nearest(targets: DataFrame, images: DataFrame) -> DataFrame:
 
     Images of one place are one place with the least of their names. A target goes down a tree of cells: at each level it keeps
     only cells that are no farther than some place must be, and meets places in cells that hold few. So a cluster of any
-    density costs each target a few cells a level, wherever the target lies. Ties go to the lesser name. Targets without any
-    image, and targets and images without coordinates, are left out."""
+    density costs each target a few cells a level, wherever the target lies. Targets of one place go down as one. Ties go to
+    the lesser name. Targets without any image, and targets and images without coordinates, are left out."""
     known = lambda rows: rows.filter("latitude is not null and longitude is not null and not isnan(latitude) and not isnan(longitude)")
     places = written(known(images).groupBy(F.col("latitude").alias("ilat"), F.col("longitude").alias("ilon")).agg(F.min("filename").alias("filename")))
     lat, lon = F.col("latitude"), F.col("longitude")
@@ -59,8 +59,9 @@ def nearest(targets: DataFrame, images: DataFrame) -> DataFrame:
 
     match = lambda p: F.struct(away(lat - p["ilat"], lon - p["ilon"]).alias("degrees"), p["filename"].alias("filename"))
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("struct<degrees:double,filename:string>")
-    asked = known(targets).select("target_index", lat.cast("double").alias("latitude"), lon.cast("double").alias("longitude"), none.alias("best"), F.array(F.struct(zero.alias("cy"), zero.alias("cx"))).alias("cells"))
-    target, done = ["target_index", "latitude", "longitude"], []
+    wanted = known(targets).select("target_index", lat.cast("double").alias("latitude"), lon.cast("double").alias("longitude")).distinct()
+    target, done = ["latitude", "longitude"], []
+    asked = written(wanted.select(*target).distinct().select(*target, none.alias("best"), F.array(F.struct(zero.alias("cy"), zero.alias("cx"))).alias("cells")))
     for level in _levels(places):
         rows = asked.select(*target, "best", F.inline("cells")).join(level, (F.col("cy") == F.col("py")) & (F.col("cx") == F.col("px")))
         split, whole = F.filter("children", lambda c: c["places"].isNull()), F.filter("children", lambda c: c["places"].isNotNull())
@@ -70,12 +71,12 @@ def nearest(targets: DataFrame, images: DataFrame) -> DataFrame:
         bound = F.least("best.degrees", F.array_min(F.transform("near", lambda c: c["most"]))) * (1 + 1e-12)
         kept = F.transform(F.filter("near", lambda c: c["least"] <= F.col("bound")), lambda c: F.struct(c["cy"].alias("cy"), c["cx"].alias("cx")))
         state = written(rows.withColumn("bound", bound).select(*target, "best", kept.alias("cells")))
-        done.append(state.filter(F.size("cells") == 0).select("target_index", "best.filename", "best.degrees"))
+        done.append(state.filter(F.size("cells") == 0).select(*target, "best.filename", "best.degrees"))
         asked = state.filter(F.size("cells") > 0)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return wanted.join(out, target).select("target_index", "filename", "degrees")
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371008.8) -> Column:
