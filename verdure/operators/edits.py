@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bands import append_band, parse
+from ..session import written
 from .catalog import resized
 from .geometry import crop_first, replay, resize, shrink, warp
 from .radiometry import match_mean_std, stretch
@@ -157,9 +158,10 @@ def edited(
     """The whole replay: turn and crop, histogram match, resize, registration, then a derived band and a class band.
 
     The match comes before the resize, but behind it and the registration for images that shrink (``after_resize``), which
-    changes results and so is a choice. ``masked`` pixels give their target cells ``restore`` when an image shrinks. The
+    changes results and so is a choice. What the crop leaves is written once, since matching and resizing read it many times.
+    ``masked`` pixels give their target cells ``restore`` when an image shrinks. The
     class band is a model's class of each pixel, from ``model_bands``."""
-    rows = replay(pixels, recipes.select(*_turning(recipes)), h, w)
+    rows = written(replay(pixels, recipes.select(*_turning(recipes)), h, w))
 
     def matched(some: DataFrame) -> DataFrame:
         sizes = some.select("image_id", "h", "w").distinct()
