@@ -52,3 +52,25 @@ def test_targets_of_one_place_are_asked_once(spark, monkeypatch):
     best = {t[1:]: min((((t[1] - a) ** 2 + (t[2] - b) ** 2), n)[::1] for n, a, b in images) for t in targets[:5]}
     assert {r["target_index"]: r["filename"] for r in got.collect()} == {t[0]: best[t[1:]][1] for t in targets}
     assert states and max(states) <= 5
+
+
+def test_stacking_and_replay_read_what_was_written_once(spark, monkeypatch, tmp_path):
+    from verdure.operators import edits, learn
+
+    counts, real = {"learn": [], "edits": []}, learn.written
+
+    def spied(name):
+        def keep(df):
+            counts[name].append(df.columns)
+            return real(df)
+
+        return keep
+
+    monkeypatch.setattr(learn, "written", spied("learn"))
+    rows = spark.range(80).select("id", (F.col("id") % 2 * 10 + F.col("id") / 100).alias("b1"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("label"))
+    base, top, meta = learn.stack(rows, ["b1"], ["bayes"], ["id"], folds=2)
+    assert learn.overall_metrics(learn.stacked_predictions(base, top, rows)).first()["accuracy"] == 1.0
+    assert [*rows.columns, "__fold"] in counts["learn"] and ["label", *meta] in counts["learn"]
+    monkeypatch.setattr(edits, "written", spied("edits"), raising=False)
+    QUERIES["edited_rasters"](spark, "/root/testdata/sf0.001")
+    assert len(counts["edits"]) == 1
