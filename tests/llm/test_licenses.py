@@ -105,6 +105,24 @@ def test_needed_literals_hold_in_every_match():
             assert re.fullmatch(r.regex, text) and all(any(k in padded for k in g) for g in r.needs), (text, r)
 
 
+def test_words_of_a_text_open_its_rules_and_few_others():
+    rules = licenses.default_rules()
+    by_word, always = licenses.gates(rules)
+    assert len(always) < 5 and max(map(len, by_word.values())) < len(rules) / 4
+    for n, r in enumerate(rules):
+        for text in samples(r.regex):
+            assert n in always or any(n in by_word.get(w, ()) for w in text.split(" ")), (text, r)
+    prose = "the house of the king and the river is in a valley for it was on that hill with all of us"
+    assert len({n for w in prose.split() for n in by_word.get(w, ())}) < 20
+
+
+def test_rules_without_whole_words_are_always_tried(spark):
+    rules = tuple(licenses.Rule(n, label, rx, 0, 0.5, licenses.needed(rx)) for n, (label, rx) in enumerate([("odd", r" [^ ]*cense[a-z]*"), ("any", r" x[0-9]")]))
+    assert licenses.gates(rules) == ({}, [0, 1])
+    got = result(licenses.scan(frame(spark, [(1, "a Sublicensee x1", "en", "a", 0), (2, "none", "en", "a", 0)]), rules))
+    assert [r["labels"] for r in got] == ["any,odd", ""]
+
+
 def samples(regex, n=12):
     """Random strings that a regex matches."""
     import random

@@ -1,7 +1,8 @@
 """License scans by ordered signature rules (DataFrame functions only).
 
 Texts are lower-cased (A-Z) and reduced to words joined by one space. A rule runs only in texts that hold the literals
-which its regex cannot match without; they are read off the regex, so that no match is lost. Every match is an interval of words. An interval that
+which its regex cannot match without; they are read off the regex, so that no match is lost. A text's words open rules: only
+rules of which it has a word that such a literal cannot do without are looked at further. Every match is an interval of words. An interval that
 lies in another of the same or a higher priority is suppressed (of equal intervals of one priority the first rule's
 stays); what is left gives the labels and the score.
 
@@ -11,6 +12,7 @@ ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from re import _constants as _c
 from re import _parser as _p
@@ -202,7 +204,7 @@ def default_rules() -> tuple[Rule, ...]:
     """Every family in every form, then the single rules: hundreds of signatures from three hand-written lists."""
     #: In every form a space leads the name and, beyond the match, follows it.
     named = [(label, form.replace("{n}", name), p, c, needed(form.replace("{n}", "[^ ]+"), f" {name} ")) for form, p, c in FORMS for label, name in FAMILIES if form != FORMS[-1][0] or label not in PRODUCTS]
-    return tuple(Rule(n, *r) for n, r in enumerate(named + [(*r, needed(r[1])) for r in SINGLE]))
+    return tuple(Rule(n, *r) for n, r in enumerate(named + [(*r, needed(r[1] + " ")) for r in SINGLE]))
 
 
 def _groups(items) -> list[set[str]]:
@@ -267,6 +269,28 @@ def needed(*regexes: str) -> tuple[tuple[str, ...], ...]:
     return tuple(tuple(sorted(g)) for g in dict.fromkeys(frozenset(g) for r in regexes for g in _groups(_p.parse(r))))
 
 
+def _whole(literal: str) -> list[str]:
+    """Words that stand whole in a literal, so that every text that holds it has them among its words."""
+    return [w for w in literal.split(" ")[1:-1] if w]
+
+
+def gates(rules: tuple[Rule, ...]) -> tuple[dict[str, list[int]], list[int]]:
+    """Places of rules by word, and of rules that no words tell of. A text that a rule matches has one of the rule's words.
+
+    Of a rule's groups of literals that one is taken whose words the fewest rules share."""
+    shared = Counter(w for r in rules for w in {w for g in r.needs for s in g for w in _whole(s)})
+    by_word: dict[str, list[int]] = {}
+    always = []
+    for n, r in enumerate(rules):
+        told = [{min(_whole(s), key=lambda w: (shared[w], -len(w))) for s in g} for g in r.needs if all(map(_whole, g))]
+        if not told:
+            always.append(n)
+            continue
+        for w in min(told, key=lambda ws: sum(shared[w] for w in ws)):
+            by_word.setdefault(w, []).append(n)
+    return by_word, always
+
+
 def normalised(text: Column) -> Column:
     """Words joined, led and ended by one space; one space where there is none."""
     return F.regexp_replace(F.concat(F.lit(" "), ascii_lower(F.coalesce(text, F.lit(""))), F.lit(" ")), NOT_WORD, " ")
@@ -323,8 +347,7 @@ def detect(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     t = F.col("__t")
     span = "struct<start:int,neg:int,np:int,o:int,end:int,p:int,label:string,c:double>"
     none_base = F.array().cast("array<struct<start:int,end:int,label:string>>")
-    literals = sorted({s for r in rules for g in r.needs for s in g})
-    held = F.filter(F.array(*map(F.lit, literals)).cast("array<string>"), lambda k: F.contains(t, k))
+    by_word, always = gates(rules)
 
     def places(phrase: str, label: str) -> Column:
         named = F.transform(_word_spans(t, F.lit(f" {phrase}")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label")))
@@ -336,7 +359,14 @@ def detect(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
         one = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), (-r["p"]).alias("np"), r["o"].alias("o"), s["end"].alias("end"), r["p"].alias("p"), r["label"].alias("label"), r["c"].alias("c"))
         return F.transform(_word_spans(t, r["rx"]), one)
 
-    opened = let(held, lambda h: F.filter(_rule_literals(rules), lambda r: F.forall(r["needs"], lambda g: F.arrays_overlap(g, h))))
+    places_of = lambda ns: F.array(*map(F.lit, ns)).cast("array<int>")
+    told = places_of(always)
+    if by_word:
+        words = F.array_distinct(F.filter(F.split(t, " "), lambda w: w.isin(list(by_word))))
+        rules_of = F.map_from_arrays(F.array(*map(F.lit, by_word)), F.array(*map(places_of, by_word.values())))
+        told = F.array_distinct(F.concat(told, F.flatten(F.transform(words, lambda w: F.element_at(rules_of, w)))))
+    asked = F.transform(told, lambda n: F.get(_rule_literals(rules), n))
+    opened = F.filter(asked, lambda r: F.forall(r["needs"], lambda g: F.exists(g, lambda s: F.contains(t, s))))
     rows = rows.withColumn("__base", base).withColumn("__found", F.array_sort(F.flatten(F.transform(opened, run))).cast(f"array<{span}>"))
     return rows.withColumn("__kept", _survivors(F.col("__found"), levels))
 
