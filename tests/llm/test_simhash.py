@@ -181,6 +181,29 @@ def test_a_text_passed_over_in_vain_is_compared_again(spark, monkeypatch):
     assert kept == {t[1] for t in brute_kept(rows)}
 
 
+def test_texts_around_a_dense_group_are_not_paired_with_all_of_it(spark, monkeypatch):
+    """Texts about as near to a group of copies as the limit are passed over in vain, but one link to the group is enough for each."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(300)]
+    rows, copies, around = [], 250, 60
+    for i in range(copies + around):
+        w = list(base)
+        for k in rng.sample(range(300), 1 if i < copies else 6):
+            w[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(w), "en", "a", 0))
+    compared, alike = [], simhash._alike
+
+    def counted(near, *others):
+        compared.append(near.count())
+        return alike(near, *others)
+
+    monkeypatch.setattr(simhash, "_alike", counted)
+    kept = {r["doc_id"] for r in simhash.deduplicated(frame(spark, rows)).collect()}
+    want = {t[1] for t in brute_kept(rows)}
+    assert want <= kept and len(kept - want) <= 1
+    assert sum(compared[2:]) < 0.1 * copies * around
+
+
 def test_large_group_of_near_copies(spark):
     rng = random.Random(9)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]

@@ -14,7 +14,8 @@ A text gets ten 64-bit fingerprints and meets others in a bucket for each of the
 ``SMALL`` texts all pairs within ``SPAN`` bits of the first two fingerprints are candidates. Texts of larger buckets get
 ``WIDE`` fingerprints: there, all pairs within ``LIKELY`` of their bits are candidates, and only a text within ``SURE`` bits,
 probably similar, need not be compared with further ones. Candidates are compared by their whole shingle sets. Where such a
-text turns out not to be similar after all, it is compared with its whole bucket again. At a similarity
+text turns out not to be similar after all, it is compared with its whole bucket again: with the four nearest texts of each other
+component first, and with further ones (32 times as many in each turn) only of those that it is still not linked to. At a similarity
 of 0.8 a pair meets in one bucket at least with a chance of about 0.95, at 0.9 of over 0.99, whatever the bucket's size.
 Large groups whose texts are alike just below the limit (0.74 to 0.8) are compared pair by pair. Texts of the same words are
 one text.
@@ -353,62 +354,96 @@ def similar(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY)
 
 def _in_crowds(crowds: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """Verified links of large buckets. crowds has ``key`` and ``node``."""
-    search = lambda rows: _searched(rows.join(known.select("node", "wide"), "node"))
-    first = cut(search(crowds.withColumn("stays", F.lit(False))))
+    first = cut(_searched(crowds.join(known.select("node", "wide"), "node")))
     links = cut(_alike(first.select("a", "b").distinct(), known, similarity))
     # a text that was passed over for one that it is not similar to is compared with its whole buckets
-    failed = first.filter("sure").join(links, ["a", "b"], "left_anti").select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
-    failed = cut(failed.withColumn("stays", F.lit(True)))
-    if failed.isEmpty():
-        return links
-    again = crowds.join(failed.select("key").distinct(), "key", "left_semi").join(failed, ["key", "node"], "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
-    more = search(again).select("a", "b").distinct().join(first.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    return links.unionByName(_alike(cut(more), known, similarity))
+    asks = first.filter("sure").join(links, ["a", "b"], "left_anti").select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
+    asks, tried, nearest, roots = cut(asks), first.select("a", "b").distinct(), 4, None
+    while not asks.isEmpty():
+        roots = connected(links) if roots is None else roots
+        rows = crowds.join(asks.select("key").distinct(), "key", "left_semi").join(asks.withColumn("asks", F.lit(True)), ["key", "node"], "left").join(roots, "node", "left")
+        rows = rows.select("key", "node", F.coalesce("asks", F.lit(False)).alias("asks"), F.coalesce("root", "node").alias("root"))
+        found = cut(_asked(rows.join(known.select("node", "wide"), "node"), nearest))
+        more = cut(found.select(*_ordered()).distinct().join(tried, ["a", "b"], "left_anti"))
+        linked, tried = cut(_alike(more, known, similarity)), tried.unionByName(more)
+        if not linked.isEmpty():
+            links, roots = links.unionByName(linked), None
+        asks, nearest = cut(found.filter("more").select("key", F.struct(*[F.col(f"a{c}").alias(c) for c in NODE]).alias("node")).distinct()), 32 * nearest
+    return links
 
 
 def _searched(rows: DataFrame) -> DataFrame:
-    """(key, a, b, sure): candidates in large buckets. rows has ``key``, ``node``, ``stays`` and ``wide``, a text's WIDE fingerprints.
-
-    Texts that stay are compared with all others; if a bucket has any, those come first."""
+    """(key, a, b, sure): candidates in large buckets. rows has ``key``, ``node`` and ``wide``, a text's WIDE fingerprints."""
     import numpy as np
-    import pyarrow as pa
 
-    def solve(key: int, held: list[tuple]) -> pd.DataFrame:
-        nodes, stays = np.array([h[:3] for h in held], np.int64), np.array([h[3] for h in held])
-        values = np.frombuffer(b"".join(h[4] for h in held), np.uint64).reshape(len(held), WIDE)
-        if stays.any():
-            found = [np.stack([np.full(len(hit), q), hit], 1) for q in np.flatnonzero(stays) if len(hit := _within_wide(values, q))]
-        else:
-            found = links_of_wide(values, LIKELY, SURE)
+    def solve(nodes, values, _) -> dict:
+        found = links_of_wide(values, LIKELY, SURE)
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         away = np.bitwise_count(values[pairs[:, 0]] ^ values[pairs[:, 1]]).sum(1, dtype=np.int64)
-        out = pd.DataFrame(np.concatenate([nodes[pairs[:, 0]], nodes[pairs[:, 1]]], 1), columns=[f"{side}{c}" for side in "ab" for c in NODE])
-        return out.assign(key=key, sure=away <= SURE)
+        return _sides(nodes, pairs) | {"sure": away <= SURE}
+
+    return _by_bucket(rows.select("key", "node.*", "wide"), solve, "sure").select("key", *_ordered(), "sure")
+
+
+def _asked(rows: DataFrame, nearest: int) -> DataFrame:
+    """(key, a's and b's columns, more): for each text a that asks, the ``nearest`` candidates b in each other component of its bucket, as
+    one link to a component is enough; ``more`` says that one had others. rows has ``key``, ``node``, ``root``, ``asks`` and ``wide``."""
+    import numpy as np
+
+    def solve(nodes, values, rest) -> dict:
+        asks, part = rest[:, 0], np.unique(rest[:, 1:], axis=0, return_inverse=True)[1].reshape(-1)
+        pairs, cut_off = [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)]
+        for q in np.flatnonzero(asks):
+            away = np.bitwise_count(values ^ values[q]).sum(1, dtype=np.int64)
+            hit = np.flatnonzero((away <= LIKELY) & (part != part[q]))
+            hit = hit[np.lexsort((hit, away[hit], part[hit]))]
+            start = np.concatenate([[True], part[hit[1:]] != part[hit[:-1]]]) if len(hit) else np.zeros(0, bool)
+            place = np.arange(len(hit)) - np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0)) if len(hit) else hit
+            kept = place < nearest
+            full = np.isin(part[hit[kept]], part[hit[~kept]])
+            pairs.append(np.stack([np.full(kept.sum(), q), hit[kept]], 1))
+            cut_off.append(full)
+        return _sides(nodes, np.concatenate(pairs)) | {"more": np.concatenate(cut_off)}
+
+    root = [F.col(f"root.{c}").alias(f"r{c}") for c in NODE]
+    return _by_bucket(rows.select("key", "node.*", "wide", F.col("asks").cast("long").alias("asks"), *root), solve, "more")
+
+
+def _sides(nodes, pairs) -> dict:
+    return {f"{side}{c}": nodes[pairs[:, k], i] for k, side in enumerate("ab") for i, c in enumerate(NODE)}
+
+
+def _by_bucket(rows: DataFrame, solve, flag: str) -> DataFrame:
+    """What solve(nodes, values, other columns) gives for each bucket of rows (``key``, the node's columns, ``wide``, others: long)."""
+    import numpy as np
+    import pyarrow as pa
+
+    others = [c for c in rows.columns if c not in ("key", *NODE, "wide")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        schema = pa.schema([("key", pa.int64()), *((f"{side}{c}", pa.int64()) for side in "ab" for c in NODE), ("sure", pa.bool_())])
-        out = lambda: pa.RecordBatch.from_pandas(solve(now, held)[schema.names], schema, preserve_index=False)
+        schema = pa.schema([("key", pa.int64()), *((f"{side}{c}", pa.int64()) for side in "ab" for c in NODE), (flag, pa.bool_())])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            values = np.frombuffer(b"".join(h[0] for h in held), np.uint64).reshape(len(held), WIDE)
+            longs = np.array([h[1:] for h in held], np.int64)
+            found = solve(longs[:, : len(NODE)], values, longs[:, len(NODE) :])
+            for at in range(0, len(found[flag]), LANES):
+                part = {c: v[at : at + LANES] for c, v in found.items()}
+                yield pa.RecordBatch.from_pydict({"key": np.full(len(part[flag]), now), **part}, schema)
+
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", *NODE, "stays", "wide"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "wide", *NODE, *others))):
                 if row[0] != now:
                     if held:
-                        yield out()
+                        yield from out()
                     now, held = row[0], []
                 held.append(row[1:])
         if held:
-            yield out()
-
-    dealt = rows.select("key", "node.*", "stays", "wide").repartition("key").sortWithinPartitions("key", *NODE)
-    return dealt.mapInArrow(run, f"key long, {_SIDES}, sure boolean").select("key", *_ordered(), "sure")
-
-
-def _within_wide(values, q: int):
-    """Other rows within LIKELY bits of one."""
-    import numpy as np
+            yield from out()
 
-    hit = np.flatnonzero(np.bitwise_count(values ^ values[q]).sum(1, dtype=np.int64) <= LIKELY)
-    return hit[hit != q]
+    dealt = rows.repartition("key").sortWithinPartitions("key", *NODE)
+    return dealt.mapInArrow(run, f"key long, {_SIDES}, {flag} boolean")
 
 
 def _known(asked: DataFrame, crowded: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
