@@ -172,3 +172,11 @@ def test_encodings_and_previews(spark, tmp_path):
     (tmp_path / "b.csv").write_text("a,b\n" + "".join(f"{i:06d},{i % 7:06d}\n" for i in range(4000)))
     rows, n = files.preview_table(spark, str(tmp_path / "b.csv"), big=1000, rows=50)
     assert rows.count() == 50 and abs(n - 4001) < 100
+
+
+def test_tags_are_not_sent_whole_to_every_task(spark):
+    rows = spark.createDataFrame([(1, "/d/a"), (2, "/d/b"), (3, None)], "file_id long, path string")
+    exif = files.exif_rows(spark.createDataFrame([('[{"SourceFile":"/d/a","Number":7},{"SourceFile":"/d/z","Number":8}]',)], "value string"))
+    out = files.with_exif(rows, exif)
+    assert sorted((r["file_id"], r["tags"] and r["tags"]["Number"]) for r in out.collect()) == [(1, "7"), (2, None), (3, None)]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()

@@ -143,8 +143,9 @@ def exif_rows(documents: DataFrame) -> DataFrame:
 
 
 def with_exif(rows: DataFrame, exif: DataFrame, path: str = "path") -> DataFrame:
-    """rows with their file's tags, where there are any."""
-    return rows.join(exif.select(F.col("path").alias("__p"), "tags"), F.col(path) == F.col("__p"), "left").drop("__p")
+    """rows with their file's tags, where there are any. What parsing yields is far larger than the files it is planned by, so
+    that both sides are sorted and no task holds all tags."""
+    return rows.join(exif.select(F.col("path").alias("__p"), "tags").hint("merge"), F.col(path) == F.col("__p"), "left").drop("__p")
 
 
 def preview_table(spark: SparkSession, path: str, big: int = 2 << 20, rows: int = 1000) -> tuple[DataFrame, int]:
