@@ -74,3 +74,17 @@ def test_stacking_and_replay_read_what_was_written_once(spark, monkeypatch, tmp_
     monkeypatch.setattr(edits, "written", spied("edits"), raising=False)
     QUERIES["edited_rasters"](spark, "/root/testdata/sf0.001")
     assert len(counts["edits"]) == 1
+
+
+def test_large_rasters_are_gathered_in_parts_by_their_size(spark):
+    from verdure.operators import geometry
+
+    sizes = spark.range(50).selectExpr("id as image_id", "4 as h", "4 as w", "4096 as new_h", "4096 as new_w")
+    parts = geometry.parts_of(sizes)
+    assert parts * geometry.CELLS >= 50 * 4096 * 4096 > (parts - 1) * geometry.CELLS
+    assert geometry.parts_of(sizes.limit(0)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pixels = spark.range(96).selectExpr("id div 16 as image_id", "(id % 16) div 4 as y", "id % 4 as x", "cast(id * id % 37 as double) as b1")
+    small = sizes.filter("image_id < 6").selectExpr("image_id", "h", "w", "9 as new_h", "7 as new_w")
+    for cubic in (False, True):
+        rows = [sorted((r["image_id"], r["y"], r["x"], round(r["b1"], 9)) for r in geometry.enlarge(pixels, small, cubic, parts=n).collect()) for n in (None, 5)]
+        assert rows[0] == rows[1] and len(rows[0]) == 6 * 9 * 7

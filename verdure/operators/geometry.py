@@ -135,8 +135,19 @@ def _grid(sizes: DataFrame) -> DataFrame:
     return rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("new_w").cast("long") - 1)))
 
 
-def enlarge(pixels: DataFrame, sizes: DataFrame, cubic: bool = False, masked: Column | None = None, restore: float | None = None) -> DataFrame:
-    """Bilinear or cubic values on a larger raster; sizes has image_id, h, w, new_h, new_w. Edges repeat.
+#: Target pixels that one task gathers, where their number is known.
+CELLS = 1 << 19
+
+
+def parts_of(sizes: DataFrame) -> int:
+    """How many tasks gather CELLS target pixels of all images each; at least as many as there are shuffle partitions."""
+    cells = sizes.agg(F.sum(F.col("new_h").cast("long") * F.col("new_w"))).first()[0] or 0
+    return max(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cells // CELLS))
+
+
+def enlarge(pixels: DataFrame, sizes: DataFrame, cubic: bool = False, masked: Column | None = None, restore: float | None = None, parts: int | None = None) -> DataFrame:
+    """Bilinear or cubic values on a larger raster; sizes has image_id, h, w, new_h, new_w. Edges repeat. With ``parts`` (see
+    :func:`parts_of`) so many tasks gather the pixels, and what one of them holds does not grow with the input.
 
     The weights are products, so that rows are interpolated first and columns then: 4 and 4 source values, not 16. A mask is
     carried beside the bands: a target in which a masked pixel has a weight gets the restore value."""
@@ -146,6 +157,8 @@ def enlarge(pixels: DataFrame, sizes: DataFrame, cubic: bool = False, masked: Co
         places = sizes.withColumn("__t", F.explode(F.sequence(F.lit(0).cast("long"), F.col(new).cast("long") - 1)))
         at = (F.col("__t") + 0.5) * F.col(n) / F.col(new) - 0.5
         places = places.withColumn("__w", F.explode(_weights(at, F.col(n), taps, True))).select("image_id", "__t", F.col("__w.p").alias(axis), F.col("__w.w").alias("__w"))
+        if parts:
+            rows, places = rows.repartition(parts, "image_id", axis), places.repartition(parts, "image_id", axis)
         joined = rows.join(places, ["image_id", axis])
         return joined.groupBy("image_id", F.col("__t").alias(axis), other).agg(*[F.sum(F.col("__w") * F.col(b)).alias(b) for b in bands], _touched(F.col("__w")).alias("__m"))
 

@@ -97,7 +97,8 @@ def _full(spark, sf_dir, side):
 
 @query("bilinear_resample", V.with_sql(_BI.format(full=_FULL).replace("FROM (SELECT image_id, ty", "FROM (SELECT f.image_id, ty"), "pixels").replace("JOIN pixels p ON p.image_id = g.image_id AND p.y", ", pixels p WHERE p.image_id = g.image_id AND p.y").replace("\n  WHERE a.k BETWEEN", "\n  AND a.k BETWEEN"))
 def bilinear_resample(spark, sf_dir):
-    return G.enlarge(*_full(spark, sf_dir, 48)).select("image_id", "y", "x", "b1")
+    px, sizes = _full(spark, sf_dir, 48)
+    return G.enlarge(px, sizes, parts=G.parts_of(sizes)).select("image_id", "y", "x", "b1")
 
 
 _CUBE = "CASE WHEN abs({d}) <= 1 THEN 1.25 * power(abs({d}), 3) - 2.25 * power(abs({d}), 2) + 1 WHEN abs({d}) < 2 THEN -0.75 * power(abs({d}), 3) + 3.75 * power(abs({d}), 2) - 6 * abs({d}) + 3 ELSE 0 END"
@@ -107,7 +108,8 @@ _CUBE = "CASE WHEN abs({d}) <= 1 THEN 1.25 * power(abs({d}), 3) - 2.25 * power(a
   FROM {_FULL} f, range(0, 64) r(ty), range(0, 64) s(tx)) g, range(-2, 34) a(k), range(-2, 34) b(k), pixels p WHERE p.image_id = g.image_id AND p.y = greatest(0, least(31, a.k)) AND p.x = greatest(0, least(31, b.k))
   AND a.k BETWEEN floor(g.sy) - 1 AND floor(g.sy) + 2 AND b.k BETWEEN floor(g.sx) - 1 AND floor(g.sx) + 2 GROUP BY 1, 2, 3""", "pixels"))
 def cubic_resample(spark, sf_dir):
-    return G.enlarge(*_full(spark, sf_dir, 64), cubic=True).select("image_id", "y", "x", "b1")
+    px, sizes = _full(spark, sf_dir, 64)
+    return G.enlarge(px, sizes, cubic=True, parts=G.parts_of(sizes)).select("image_id", "y", "x", "b1")
 
 
 _HALF = "SELECT image_id, y // 2 AS y, x // 2 AS x, avg(b1) AS b1 FROM pixels WHERE image_id % 4 = 0 GROUP BY 1, 2, 3"
