@@ -6,7 +6,7 @@ from corpus import documents, frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from verdure.llm import bpe
+from verdure.llm import bpe, common
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
@@ -55,3 +55,23 @@ def test_encoded_keeps_columns_and_empty_table(spark):
     rows = bpe.encoded(docs, PATH, public_tokenizers.PATTERN).filter("doc_id = 9").collect()
     assert bytes(rows[0]["decoded"]).decode() == rows[0]["text"]
     assert bpe.digests(frame(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_what_a_task_remembers_goes_with_it(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(bpe, "by_text", lambda docs, keep, fields, make, *more: made.append(make))
+    for query in (bpe.encoded, bpe.digests):
+        query(frame(spark), PATH, public_tokenizers.PATTERN)
+    held = bpe.codec(PATH, public_tokenizers.PATTERN)
+    before = len(held.known), len(held.fits)
+    for make in made:
+        assert make()(["quixotry zyxwvutsrq jvkqxz"])
+    assert (len(held.known), len(held.fits)) == before
+
+
+def test_batches_are_cut(spark):
+    docs = spark.range(1000).selectExpr("id AS doc_id", "concat('word ', id) AS text", "'en' AS lang").coalesce(1)
+    rows = bpe.encoded(docs, PATH, public_tokenizers.PATTERN).collect()
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in rows} == {i: f"word {i}" for i in range(1000)}
+    sizes = common.by_text(docs, ["doc_id"], "n long", lambda: lambda texts: [(len(texts),)] * len(texts), 300).groupBy("n").count()
+    assert sorted(map(tuple, sizes.collect())) == [(100, 100), (300, 900)]

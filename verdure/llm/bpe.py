@@ -13,6 +13,7 @@ ignored by :func:`digests` and kept by :func:`encoded`.
 from __future__ import annotations
 
 import base64
+import copy
 import hashlib
 from functools import lru_cache
 
@@ -20,8 +21,10 @@ from pyspark.sql import DataFrame
 
 from .common import by_text
 
-#: Distinct pieces remembered by a worker; the memory is emptied when it is full.
+#: Distinct pieces remembered by a task; the memory is emptied when it is full.
 REMEMBERED = 600_000
+#: Texts whose ids and bytes are held at once, where these are returned.
+AT_ONCE = 256
 
 
 class Codec:
@@ -57,6 +60,12 @@ class Codec:
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
 
+    def fresh(self) -> Codec:
+        """The same vocabulary with a memory of its own, which goes with it."""
+        own = copy.copy(self)
+        own.fits, own.known = {}, {}
+        return own
+
     def _parts(self, token: bytes, below: int) -> list[bytes]:
         """What merging gives when only merges of a rank under ``below`` are allowed."""
         parts = [token[i : i + 1] for i in range(len(token))]
@@ -193,10 +202,10 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     of columns of these names."""
 
     def make():
-        c = codec(path, pattern)
+        c = codec(path, pattern).fresh()  # a worker outlives the task: later stages run beside what it still holds
         return lambda texts: [(ids := c.encode(t or ""), c.decode(numbers(ids))) for t in texts]
 
-    return by_text(docs, [c for c in docs.columns if c not in ("ids", "decoded")], "ids binary, decoded binary", make)
+    return by_text(docs, [c for c in docs.columns if c not in ("ids", "decoded")], "ids binary, decoded binary", make, AT_ONCE)
 
 
 def numbers(ids: bytes) -> list[int]:
@@ -209,7 +218,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: n_tokens, the digest of its ids and of the bytes that they decode to."""
 
     def make():
-        c, sha = codec(path, pattern), hashlib.sha256
+        c, sha = codec(path, pattern).fresh(), hashlib.sha256
         return lambda texts: [(len(ids := c.encode(t or "")) // 4, sha(ids).hexdigest(), sha(c.decode(numbers(ids))).hexdigest()) for t in texts]
 
     return by_text(docs, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
