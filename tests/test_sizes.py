@@ -88,3 +88,28 @@ def test_large_rasters_are_gathered_in_parts_by_their_size(spark):
     for cubic in (False, True):
         rows = [sorted((r["image_id"], r["y"], r["x"], round(r["b1"], 9)) for r in geometry.enlarge(pixels, small, cubic, parts=n).collect()) for n in (None, 5)]
         assert rows[0] == rows[1] and len(rows[0]) == 6 * 9 * 7
+
+
+def test_svm_passes_over_gathered_rows_with_its_classes_side_by_side(spark, monkeypatch):
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+    from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+
+    from verdure.operators import learn
+
+    made, real = [], learn.OneVsRest
+    monkeypatch.setattr(learn, "OneVsRest", lambda **how: made.append(real(**how)) or made[-1])
+    b1, b2 = F.col("id") * 37 % 200, F.col("id") * 53 % 150
+    rows = spark.range(0, 600, 1, 8).select(F.when(b1 + F.col("id") % 7 > 100, "x").when(b2 - F.col("id") % 11 > 60, "y").otherwise("z").alias("label"), b1.cast("double").alias("b1"), b2.cast("double").alias("b2"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("svm", "svm")
+    model = learn.fit(rows, ["b1", "b2"], "svm", maxIter=4)
+    spark.sparkContext.setJobGroup("", "")
+    assert [m.getParallelism() for m in made] == [4]
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("svm")]
+    assert len(jobs) > 30 and sum(len(j.stageIds) > 1 for j in jobs) < 10
+    want = StringIndexer(inputCol="label", outputCol="label_id", stringOrderType="alphabetAsc").fit(rows).transform(rows)
+    want = VectorAssembler(inputCols=["b1", "b2"], outputCol="features").transform(want)
+    want = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(want).transform(want)
+    plain = OneVsRest(classifier=LinearSVC(featuresCol="scaled", labelCol="label_id", maxIter=4), featuresCol="scaled", labelCol="label_id").fit(want)
+    for a, b in zip(model.stages[-1].stages[-1].models, plain.models, strict=True):
+        assert all(abs(p - q) < 1e-6 for p, q in zip([*a.coefficients, a.intercept], [*b.coefficients, b.intercept]))
